@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .forced_bpe import bpe_round_trip
 from .packing import pack
 from .shared import table
+from .simhash import near_duplicates
 from .sorted_table import sorted_table
 from .token_counts import token_counts
 
@@ -29,6 +30,10 @@ def op8_sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_table(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -37,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op8_sorted_table": op8_sorted_table,
+    "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
