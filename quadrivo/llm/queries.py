@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat_format import DIGESTS_SQL, chat_digests
 from .forced_bpe import bpe_round_trip
+from .language_id import language_id
+from .media import media_digests
 from .packing import pack
 from .shared import table
 from .simhash import near_duplicates
@@ -26,6 +30,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE).drop("ids")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int") + 1).alias("role"), F.lit(said).alias("text"))
+    return chat_digests(rows.unionByName(more))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_sorted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_table(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -41,8 +60,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
+    "op6_chat_format": op6_chat_format,
+    "op7_media": op7_media,
     "op8_sorted_table": op8_sorted_table,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": DIGESTS_SQL}
