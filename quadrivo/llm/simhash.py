@@ -14,8 +14,6 @@ Each shard returns a spanning forest of its links instead of all pairs.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,7 +26,7 @@ from .shared import batch_of, column_type, written
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Points of a shard that one task takes; points of a leaf's two sides that are compared at once; sample for vantage points.
-SHARD, LEAF, SAMPLE, MOST_POINTS = 4096, 1 << 18, 256, 6
+SHARD, LEAF, SAMPLE, MOST_POINTS = 1 << 16, 1 << 18, 256, 6
 _BITS = 1 << np.arange(64, dtype=np.uint64)
 
 
@@ -165,7 +163,8 @@ def links(points: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> Da
     spark = points.sparkSession
     n = points.count()
     sample = [r.fp for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    depth = min(MOST_POINTS, max(1, math.ceil(math.log(max(2, n / shard), 8))))
+    # Each vantage point leaves a sixth at most in the largest shard, which its guests then enlarge; a third is left for uneven data.
+    depth = next((k for k in range(1, MOST_POINTS) if n * (1 + 2 ** (k - 1)) / 6**k <= shard / 1.5), MOST_POINTS)
     visits = []
     for block, mask in enumerate(_blocks(distance)):
         at = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(v)))) for v in _vantage_points(sample, mask, depth)] or [F.lit(0)]
