@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +24,9 @@ from .shared import batch_of, column_type
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Fragments that a worker remembers, and the longest that it does.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 600_000, 64
+#: Letters that every Unicode version lower-cases alike, one by one and without recomposing; or ASCII signs but the apostrophe.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ſ]+|[!-&(-/:-@\\[-`{-~]+")
 
 
 class ForcedBpe:
@@ -54,7 +58,8 @@ class ForcedBpe:
         #: Whether any run of white space may be cut out of a text.
         self.words = bool(self.cut[np.ix_(spaces, rest)].all() and self.cut[np.ix_(rest, spaces)].all()) and len(self.hf.encode(SPACES, add_special_tokens=False).ids) == 0
         self.joined = self.hf.decoder is None  # then the library's decode() puts a space between tokens
-        self.spaces = str.maketrans(dict.fromkeys(SPACES, " "))
+        self.alphabet = {b: c for c, b in alphabet.items()}
+        self.tokens = [(self.hf.id_to_token(i) or "").encode() for i in range(self.hf.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, tuple[bytes, bytes]] = {"": (b"", b"")}
 
     def fragments(self, text: str) -> list[str]:
@@ -65,32 +70,54 @@ class ForcedBpe:
         return [raw[i:j].decode() for i, j in zip(at, at[1:])]
 
     def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids as little-endian unsigned 32-bit numbers, and their decoded text."""
-        ids = [e.ids for e in self.hf.encode_batch(parts, add_special_tokens=False)]
-        text = self.hf.decode_batch(ids, skip_special_tokens=False)
-        return [(np.array(i, "<u4").tobytes(), t.encode()) for i, t in zip(ids, text)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Encodes words that are not yet known, by their fragments."""
-        split = {w: self.fragments(w) for w in words}
-        parts = [p for p in {p for ps in split.values() for p in ps} if p not in self.known]
+        """Ids as little-endian unsigned 32-bit numbers, and their decoded text. A run of plain letters or of signs is one pre-token, so it goes to the BPE model at once."""
+        model, ids, rest = self.hf.model, [], []
+        for i, p in enumerate(parts):
+            if self.words and _PLAIN.fullmatch(p):
+                low = p.lower()
+                low = low if low.isascii() else low.encode().decode("latin-1").translate(self.alphabet)
+                ids.append([t.id for t in model.tokenize(low)])
+            else:
+                ids.append(None)
+                rest.append(i)
+        for i, e in zip(rest, self.hf.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
+            ids[i] = e.ids
+        texts = [b" ".join([self.tokens[i] for i in x]) for x in ids] if self.joined else [t.encode() for t in self.hf.decode_batch(ids, skip_special_tokens=False)]
+        return [(struct.pack(f"<{len(x)}I", *x), t) for x, t in zip(ids, texts)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words that are not yet known, by their fragments. Words are cut together: the spaces between them are boundaries too."""
+        split: list[list[str]] = [[]]
+        for p in self.fragments(" ".join(words)):
+            if p == " ":
+                split.append([])
+            else:
+                split[-1].append(p)
+        parts = [p for p in {p for ps in split for p in ps} if p not in self.known]
         known = dict(zip(parts, self._encode(parts)))
-        for w, ps in split.items():
-            made = [known.get(p) or self.known[p] for p in ps]
-            known[w] = (b"".join(m[0] for m in made), b" ".join(m[1] for m in made if m[0])) if len(made) > 1 else made[0]
+        for w, ps in zip(words, split):
+            if len(ps) > 1:
+                made = [known.get(p) or self.known[p] for p in ps]
+                known[w] = (b"".join([m[0] for m in made]), b" ".join([m[1] for m in made if m[0]]))
         self.known |= known
 
     def run(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text its ids, as little-endian unsigned 32-bit numbers, and their decoded text in UTF-8."""
         if not (self.words and self.joined):
             return self._encode([t or "" for t in texts])
-        split = [(t or "").translate(self.spaces).split(" ") for t in texts]
-        if new := {w for ws in split for w in set(ws)} - self.known.keys():
+        split = []
+        for t in texts:
+            t = t or ""
+            for c in SPACES[1:]:
+                if c in t:
+                    t = t.replace(c, " ")
+            split.append(t.split(" "))
+        if new := [*set().union(*split).difference(self.known)]:
             self._learn(new)
         get, out = self.known.__getitem__, []
         for ws in split:
-            made = [m for m in map(get, ws) if m[0]]
-            out.append((b"".join([m[0] for m in made]), b" ".join([m[1] for m in made])))
+            made = [get(w) for w in ws if w]
+            out.append((b"".join([m[0] for m in made]), b" ".join([m[1] for m in made if m[0]])))
         if len(self.known) > MEMORY:
             self.known = {"": (b"", b"")}
         else:
