@@ -13,6 +13,7 @@ from .forced_bpe import bpe_round_trip
 from .language_id import language_id
 from .media import media_digests
 from .packing import pack
+from .quality_rules import quality_rules
 from .shared import table
 from .simhash import near_duplicates
 from .sorted_table import sorted_table
@@ -22,6 +23,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -58,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
