@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_alphabet, load_tokenizer
-from .shared import batch_of, column_type
+from .shared import arrow_map, batch_of, column_type
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Fragments that a worker remembers, and the longest that it does.
@@ -151,4 +151,4 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", key: str =
                 columns += [[np.frombuffer(i, "<u4").tolist() for i, _ in made], [t.decode() for _, t in made]] if texts else []
                 yield batch_of(columns, schema)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return arrow_map(df.select(key, text), run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batch_of, column_type
+from .shared import arrow_map, batch_of, column_type
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: Expected number of texts for each language in the training sample, and the most languages learned (those with most texts).
@@ -112,7 +112,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         yield batch_of([rows.astype(np.int32), columns.astype(np.int32), total[rows, columns]], schema)
 
     counts = np.zeros((len(languages), buckets))
-    for r in picked.mapInArrow(count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    for r in arrow_map(picked, count, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():
         counts[r.column(0).to_numpy(), r.column(1).to_numpy()] = r.column(2).to_numpy()
     matrix = np.log(counts + SMOOTHING) - np.log(counts.sum(1, keepdims=True) + SMOOTHING * buckets)
     n = np.array([sizes[x] for x in languages], float)
@@ -135,7 +135,7 @@ def _scored(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 names, scores = shared.value.predict(b.column(len(keep)).to_pylist())
                 yield batch_of([*(b.column(i) for i in range(len(keep))), names, scores], schema)
 
-    return df.select(*keep, "_text").mapInArrow(run, schema)
+    return arrow_map(df.select(*keep, "_text"), run, schema)
 
 
 def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import batch_of, column_type
+from .shared import arrow_map, batch_of, column_type
 
 #: Bytes of a sample, samples of a chunk, samples from one keyframe to the next, and samples a second.
 SAMPLE, PER_CHUNK, GROUP, RATE = 192, 16, 8, 48_000
@@ -192,7 +192,7 @@ def probe_column(df: DataFrame, media: str = "media", key: str = "doc_id") -> Da
             if rows:
                 yield batch_of(list(zip(*rows)), schema)
 
-    return df.select(key, media).mapInArrow(run, schema)
+    return arrow_map(df.select(key, media), run, schema)
 
 
 def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id", media: bool = False) -> DataFrame:
@@ -217,4 +217,4 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id", media:
                     rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(track), *[stored] * media))
                 yield batch_of([b.column(0), *zip(*rows)], schema)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return arrow_map(df.select(key, text), run, schema)

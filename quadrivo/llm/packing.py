@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .shared import batch_of, column_type, written
+from .shared import arrow_map, batch_of, column_type, written
 
 WINDOW, UNIT, MAX_QUEUES, SCALE = 2048, 32, 256, 16
 #: Offsets of (task, queue) up to which they are sent to every executor; more are joined by a shuffle.
@@ -128,7 +128,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
                 so_far[q] = ats[-1] + len(made)
             yield batch_of([[task] * len(ids), queues, ats, ns, b.column(0), ids], encoded)
 
-    kept = written(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")).mapInArrow(encode, encoded), "encoded")
+    kept = written(arrow_map(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")), encode, encoded), "encoded")
     totals = kept.groupBy("queue", "task").agg(F.sum("n").alias("n"))
     totals = written(totals, "totals")
     lengths = [0] * (len(names) + 1)
@@ -159,4 +159,4 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id",
                 ids = [raw[i][size * s : size * e] for i, s, e in places]
                 yield batch_of([b.column(0).take(pa.array(of)), start, length, crc, n[of], seq, offset, queue[of].astype(np.int32), ids], out)
 
-    return placed.mapInArrow(cut, out)
+    return arrow_map(placed, cut, out)

@@ -5,7 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +73,23 @@ def batch_of(columns: list, schema: T.StructType) -> pa.RecordBatch:
     arrow = _arrow(schema.json())
     made = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
     return pa.RecordBatch.from_arrays(made, schema=arrow)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each Spark context, so that they needn't have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_quadrivo_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    to = Path(tempfile.mkdtemp(prefix="quadrivo-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(to))
+    context._quadrivo_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow with this package at the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import batch_of, column_type, written
+from .shared import arrow_map, batch_of, column_type, ship, written
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Points of a shard that one task takes; points of a leaf's two sides that are compared at once; sample for vantage points.
@@ -57,7 +57,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle
             made = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
             yield batch_of([b.column(0), made.view(np.int64)], schema)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return arrow_map(df.select(key, text), run, schema)
 
 
 # --- within a shard ---------------------------------------------------------------------------------
@@ -160,7 +160,7 @@ def _vantage_points(sample: list[int], mask: int, n: int) -> list[int]:
 
 def links(points: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> DataFrame:
     """Spanning links (a, b) of all pairs of distinct fingerprints (column fp) within the distance; each shard's links are a forest."""
-    spark = points.sparkSession
+    ship(points.sparkSession)
     n = points.count()
     sample = [r.fp for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
     # Each vantage point leaves a sixth at most in the largest shard, which its guests then enlarge; a third is left for uneven data.

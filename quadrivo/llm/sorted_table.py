@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .shared import batch_of, column_type, new_path
+from .shared import arrow_map, batch_of, column_type, new_path
 
 MAGIC, VERSION = b"QSSTABLE", 1
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
@@ -205,7 +205,7 @@ def write_sorted_table(df: DataFrame, tokenizer: str, path: str, text: str = "te
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     order = ["key", F.xxhash64("text")]
-    shards = sorted(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema).collect())
+    shards = sorted(arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, schema).collect())
     manifest, start = [], 0
     for s in shards:
         manifest.append(s.asDict() | {"start": start})
@@ -232,7 +232,7 @@ def read_sorted_table(spark: SparkSession, manifest: list[dict], key: str = "doc
                         yield batch_of(list(zip(*rows)), schema)
 
     n = len(manifest)
-    return spark.range(0, n, 1, max(1, n)).mapInArrow(run, schema)
+    return arrow_map(spark.range(0, n, 1, max(1, n)), run, schema)
 
 
 def look_up(manifest: list[dict], key: int | None) -> list[np.ndarray]:

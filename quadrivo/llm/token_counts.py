@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .shared import batch_of, column_type
+from .shared import arrow_map, batch_of, column_type
 
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
 
@@ -83,4 +83,4 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", key: str = "
             counts = [counter.count(t) for t in texts]
             yield batch_of([b.column(0), [len(t.encode()) if t else 0 for t in texts], counts, [n > limit for n in counts]], schema)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return arrow_map(df.select(key, text), run, schema)
