@@ -18,29 +18,35 @@ from quadrivo.llm.shared import new_path, table
 LANGUAGE_SCORE = 0.5
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column beside those that stages look at, so that no other column's name can clash with theirs."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with an identified language. A null or empty text, or one without a letter, goes."""
     model = language_id.train(docs)
-    scored = language_id.identify(docs, model)
-    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    scored = language_id.identify(bundled(docs), model)
+    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the co-trained classifier, fitted on the labels of its input's documents, calls good."""
     model = co_training.train(docs, table(spark, sf_dir, "labels"))
-    return co_training.score(docs, model, docs.columns).filter("kept").select(*docs.columns)
+    return co_training.score(bundled(docs), model, ["row"]).filter("kept").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the smallest doc_id, and of repeated rows of it the first by text. A group of null ids only keeps one of them too."""
-    found = simhash.near_duplicates(docs)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = stays.groupBy("doc_id", "component_id", "fingerprint").count()
-    # Ids are unique as a rule: only the rows of repeated ones are compared with each other.
-    kept = docs.join(counts.select(F.col("doc_id").alias("_id"), "fingerprint", "count"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    single = kept.filter("count = 1").select(*docs.columns)
-    repeated = kept.filter("count > 1").select(*docs.columns, F.struct(*docs.columns).alias("_row")).groupBy("doc_id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return single.unionByName(repeated)
+    """Keeps one document of each group of near duplicates, the one with the smallest doc_id (a null one last), and one of repeated rows.
+
+    Rows are told apart by doc_id and a hash of the text, so rows that share an id, or have none, are not taken for one document.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    keyed = bundled(docs).withColumn("key", key)
+    stays = simhash.near_duplicates(keyed, key="key").filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
+    kept = keyed.select("row", "key").join(stays, "key")
+    repeated = kept.filter("n > 1").groupBy("key").agg(F.min("row").alias("row"))
+    return kept.filter("n = 1").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, batch_of, column_type, written
+from .shared import arrow_map, batch_of, column_type, spare, written
 
 #: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample and of the pool; rounds, and verdicts that a view hands over in one.
 WORDS, CATEGORIES, BINS = 1 << 16, 128, 12
@@ -213,7 +213,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", source: str = "source", lang: str = "lang", threshold: float = 0.5) -> DataFrame:
-    """The kept columns with text_prob, meta_prob, quality_prob (calibrated, of being good) and kept (quality_prob >= threshold) for every row."""
+    """The kept columns (none named as these) with text_prob, meta_prob, quality_prob (calibrated, of being good) and kept (quality_prob >= threshold) for every row."""
     out = T._parse_datatype_string("text_prob double, meta_prob double, quality_prob double, kept boolean")
     schema = T.StructType([*(df.schema[c] for c in keep), *out])
     shared, k = df.sparkSession.sparkContext.broadcast(model), len(keep)  # two weight vectors of fixed size
@@ -229,7 +229,8 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", sour
                 pt, pm, p = model.combine(zt, model.meta[features].sum(1) + model.meta[-1])
                 yield batch_of([*(b.column(i) for i in range(k)), pt, pm, p, p >= threshold], schema)
 
-    return arrow_map(df.select(*keep, F.col(text).alias("_text"), F.col(source).cast("string").alias("_source"), F.col(lang).cast("string").alias("_lang")), run, schema)
+    looked_at = [F.col(c).cast("string").alias(spare(df, f"_{i}")) for i, c in enumerate((text, source, lang))]
+    return arrow_map(df.select(*keep, *looked_at), run, schema)
 
 
 def quality_classifier(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", sample: int = SAMPLE, pool: int = POOL, threshold: float = 0.5) -> DataFrame:

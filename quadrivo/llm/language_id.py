@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, batch_of, column_type
+from .shared import arrow_map, batch_of, column_type, spare
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: Expected number of texts for each language in the training sample, and the most languages learned (those with most texts).
@@ -120,11 +120,13 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score added in front (other columns unchanged); only the text is looked at."""
-    return _scored(df.withColumn("_text", F.col(text)), model, df.columns)
+    """df with lang_pred and score, which replace columns of these names; only the text is looked at."""
+    keep = [c for c in df.columns if c not in ("lang_pred", "score")]
+    return _scored(df.select(*keep, F.col(text).alias(spare(df, "text"))), model, keep)
 
 
 def _scored(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """df: the kept columns, then the text."""
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES numbers at most
 
@@ -135,7 +137,7 @@ def _scored(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 names, scores = shared.value.predict(b.column(len(keep)).to_pylist())
                 yield batch_of([*(b.column(i) for i in range(len(keep))), names, scores], schema)
 
-    return arrow_map(df.select(*keep, "_text"), run, schema)
+    return arrow_map(df, run, schema)
 
 
 def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
@@ -145,5 +147,5 @@ def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str
     null, an empty table gives none; without any labelled text all are und.
     """
     model = train(df, text, lang, key, sample)
-    rows = df.select(F.col(key), held_out(key).alias("held_out"), F.col(text).alias("_text"))
+    rows = df.select(F.col(key), held_out(key).alias("held_out"), F.col(text).alias(f"{key}_text"))
     return _scored(rows, model, [key, "held_out"])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import spare, written
 
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -80,11 +80,12 @@ def statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None)
             ),
         )
 
-    rows = df.select(*keep, _let(F.coalesce(F.col(text), F.lit("")), all_of).alias("_s"))
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(f"_s.{a}").cast("double"), F.col(f"_s.{b}").cast("double")), F.lit(0.0))
+    made = spare(df, "_s")
+    rows = df.select(*keep, _let(F.coalesce(F.col(text), F.lit("")), all_of).alias(made))
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(f"{made}.{a}").cast("double"), F.col(f"{made}.{b}").cast("double")), F.lit(0.0))
     return rows.select(
         *keep,
-        *(F.col(f"_s.{c}") for c in BASE),
+        *(F.col(f"{made}.{c}") for c in BASE),
         share("word_chars", "n_words").alias("mean_word"),
         share("n_symbols", "n_words").alias("symbol_share"),
         share("n_dup_lines", "lines").alias("dup_line_share"),

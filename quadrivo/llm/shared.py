@@ -63,6 +63,13 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
     return df.schema[name].dataType
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 @lru_cache(maxsize=64)
 def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromJson(json.loads(ddl)))

@@ -56,8 +56,8 @@ def test_rows(spark):
 def test_on_documents(spark):
     sf = SF.replace("0.01", "0.1")
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    learned = labels.filter("pmod(hash(doc_id), 2) = 0")
-    got = quality_classifier(docs, learned).join(labels.filter("pmod(hash(doc_id), 2) = 1"), "doc_id")
+    learned = labels.filter("pmod(hash(doc_id), 4) <> 1")
+    got = quality_classifier(docs, learned).join(labels.filter("pmod(hash(doc_id), 4) = 1"), "doc_id")
     r = got.selectExpr("avg(if(quality = 1 and toxic = 0, int(kept), null)) good", "avg(if(quality = 0, int(kept), null)) bad", "avg(if(toxic = 1, int(kept), null)) toxic").first()
     print(r)
     assert r.good > 0.97 and r.bad < 0.1 and r.toxic < 0.35
