@@ -56,7 +56,7 @@ class Warehouse:
         out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(made.items())).encode()))
         out.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        array = self.spark._gateway.new_array(options, 1)
+        array = self.spark.sparkContext._gateway.new_array(options, 1)
         array[0] = options.OVERWRITE
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path(f"{self.root}/{file}")), array)
