@@ -1,0 +1,88 @@
+"""The jobs over recorded payloads, from an empty warehouse to reminders."""
+
+import datetime as dt
+import json
+
+from pyspark.sql import functions as F
+
+from quadrivo.control import jobs
+from quadrivo.control.config import Config
+from quadrivo.control.scheduler import Trigger
+from quadrivo.sources.warehouse import Warehouse
+
+NOW = dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC)
+DUE = int(NOW.timestamp()) + 10 * 3600
+
+
+def key(**p):
+    return json.dumps(p, sort_keys=True)
+
+
+def payloads(stamp=5):
+    file = {"type": "file", "filename": "a.txt", "fileurl": "https://h/f", "mimetype": "text/plain", "timemodified": stamp}
+    contents = [{"id": 10, "section": 0, "modules": [{"id": 100, "modname": "resource", "name": "R", "contents": [file, {"type": "url", "fileurl": "x"}]}, {"id": 101, "modname": "url", "name": "", "url": "https://u", "contents": []}]}]
+    return {
+        "site_info": {"*": {"userid": 7, "username": "u"}},
+        "courses": {"*": [{"id": 1, "fullname": "One"}, {"id": 2, "fullname": "Two", "visible": 0}]},
+        "timeline": {key(classification="inprogress"): {"courses": [{"id": 1}]}, "*": {"courses": []}},
+        "updates": {key(courseid=1, since=int(NOW.timestamp()) - 300): {"instances": [{"id": 1}], "warnings": []}, "*": {"instances": [], "warnings": []}},
+        "contents": {key(courseid=1): contents, "*": []},
+        "assignments": {"*": {"courses": [{"id": 1, "assignments": [{"id": 50, "name": "Essay", "duedate": DUE}]}, {"id": 2, "assignments": []}]}},
+        "submission": {"*": {"lastattempt": {"submission": {"status": "new"}}}},
+        "grades": {"*": {"usergrades": [{"courseid": 1, "userid": 7, "gradeitems": [{"id": 70, "itemtype": "course"}]}]}},
+        "calendar": {"*": {"groupedbycourse": [{"events": [{"id": 90, "name": "e", "description": "<p>d</p>", "eventtype": "due", "timestart": DUE, "course": {"id": 1}}]}]}},
+    }
+
+
+def test_from_payloads_to_reminders(spark, tmp_path):
+    w, conf, clock = Warehouse(spark, f"file://{tmp_path}/w"), Config(), lambda: NOW
+    sync = jobs.SyncJob(w, conf, jobs.recorded(spark, payloads()), clock=clock)
+    out = sync.run(Trigger.STARTUP, lambda: False)
+    assert out.detail == "full: 2/2 course(s) re-synced, 1 assignment(s), 1 status(es), 2 grade item(s), 1 event(s)" and out.items == 7
+    assert {r.id: (r.timeline_classification, r.visible) for r in w["courses"].collect()} == {1: ("inprogress", True), 2: (None, False)}
+    assert w["files"].first().id == 1 and w["calendar"].first().description == "d"
+    body = {"v": b"hello"}
+
+    def download(urls):
+        return urls.select(F.col("fileurl").alias("url"), F.lit("done").alias("outcome"), F.lit(len(body["v"])).cast("bigint").alias("size_bytes"), F.lit(bytearray(body["v"])).alias("content"), F.lit(None).cast("string").alias("error"))
+
+    ingest = jobs.IngestionJob(w, conf, f"file://{tmp_path}/o", download, clock=clock)
+    assert ingest.has_work() and ingest.run(Trigger.MANUAL, lambda: False).detail == "2 new version(s), 0 deferred, 0 still pending"
+    assert not ingest.has_work() and w["versions"].count() == 2
+    extract = jobs.ExtractionJob(w, conf, f"file://{tmp_path}/o", clock=clock)
+    assert extract.has_work() and extract.run(Trigger.MANUAL, lambda: False).detail == "2 done, 0 failed, 0 still pending"
+    assert sorted(r.extracted_text for r in w["extractions"].collect()) == ["hello", "https://u"] and not extract.has_work()
+
+    # The second sync is incremental from the first one's start; the file changed, its bytes too.
+    stamp = (NOW.isoformat(), NOW.isoformat())
+    from quadrivo.sources import schema
+
+    w.commit({"executions": spark.createDataFrame([(1, "moodle_sync", "startup", 1, "done", *stamp, 1.0, 7, None, None)], schema.schema("executions"))})
+    sync.fetch = jobs.recorded(spark, payloads(6))
+    out = sync.run(Trigger.INTERVAL, lambda: False)
+    assert out.detail.startswith("incremental: 2/2")  # course 1 has updates, course 2 has no contents yet
+    body["v"] = b"changed"
+    assert ingest.run(Trigger.MANUAL, lambda: False).detail == "1 new version(s), 0 deferred, 0 still pending"
+    assert sorted((r.resource_id, r.version_number) for r in w["versions"].collect()) == [(1, 1), (1, 2), (2, 1)]
+
+    got = []
+    sink = type("Sink", (), {"send": lambda self, m: got.append(m.title)})()
+    notify = jobs.NotificationJob(w, conf, sink, clock=clock)
+    assert notify.has_work() and notify.run(Trigger.MANUAL, lambda: False).items == 1 and got == ["Essay: 10 horas"]
+    assert not notify.has_work()
+    w.commit({"sent": w["sent"].limit(0)})
+    submitted = payloads() | {"submission": {"*": {"lastattempt": {"submission": {"status": "submitted"}}}}}
+    notify.refresh = jobs.status_refresh(w, jobs.recorded(spark, submitted), NOW.isoformat)
+    assert notify.run(Trigger.MANUAL, lambda: False).detail == "0 sent, 0 failed, 1 no longer due" and len(got) == 1
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from quadrivo.__main__ import main
+
+    conf = tmp_path / "c.toml"
+    conf.write_text("nonsense = 1")
+    assert main([str(conf), "--status"]) == 2
+    conf.write_text(f'warehouse = "{tmp_path}/w"')
+    assert main([str(conf), "--status"]) == 0 and "not running" in capsys.readouterr().out
+    assert main([str(conf), "--purge"]) == 1 and main([str(conf), "--purge", "--yes"]) == 0
+    assert "courses: 0 row(s) removed" in capsys.readouterr().out
