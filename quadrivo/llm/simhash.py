@@ -217,7 +217,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", dist
     points = written(made.groupBy("fp").agg(F.min(key).alias("least")), "points")
     found = written(links(points, distance, shard).distinct(), "links")
     roots = components(found)
-    groups = points.join(roots, points.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = groups.select("fp", "root").join(least, "root").select("fp", "component_id")
+    groups = written(points.join(roots, points.fp == roots.node, "left").select("fp", "root", "least"), "groups")
+    # A component may hold a third of all fingerprints: its least key is written first, so that this is a plain join, whose large partitions can be split.
+    linked = groups.filter("root IS NOT NULL")
+    tops = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
+    labels = linked.join(tops, "root").select("fp", "component_id").union(groups.filter("root IS NULL").select("fp", "least"))
     return made.join(labels, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
