@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.instants import as_column
+from ..sources.shipping import ship
 from .queues import UNSUPPORTED
 
 OFFICE = "application/vnd.openxmlformats-officedocument."
@@ -343,4 +344,5 @@ def extract(documents: DataFrame, content: str = "content", name: str = "extract
             yield pd.concat([b[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[f.split(" ")[0] for f in RESULT.split(", ")])], axis=1)
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), RESULT])
+    ship(documents.sparkSession)
     return documents.mapInPandas(run, schema)

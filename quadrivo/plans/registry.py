@@ -268,7 +268,7 @@ query(
     " UNION ALL ".join(f"SELECT '{c}' AS child, '{k}' AS reference, CAST({schema.keys(c)[0][0]} AS VARCHAR) AS id FROM ${c} x WHERE x.{k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ${p} p WHERE p.{schema.keys(p)[0][0]} = x.{k})" for c, k, p in _FK),
 )(lambda t: schema.fk_violations({n: t[n] for n in _COUNTED}))
 query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM $lineitem GROUP BY ALL HAVING count(*) > 1")(lambda t: schema.duplicate_keys(t["lineitem"], ["l_orderkey", "l_linenumber"]))
-query("labels_without_document", "SELECT doc_id FROM $labels l WHERE NOT EXISTS (SELECT 1 FROM $documents d WHERE d.doc_id = l.doc_id)")(lambda t: t["labels"].join(t["documents"].select("doc_id"), "doc_id", "left_anti").select("doc_id"))
+query("documents_without_label", "SELECT doc_id FROM $documents d WHERE NOT EXISTS (SELECT 1 FROM $labels l WHERE d.doc_id = l.doc_id)")(lambda t: t["documents"].select("doc_id").join(t["labels"].select("doc_id"), "doc_id", "left_anti"))
 query("unknown_keys", "SELECT event_type AS key FROM $events EXCEPT SELECT * FROM (SELECT 'view' UNION ALL SELECT 'click') k")(lambda t: t["events"].select(F.col("event_type").alias("key")).subtract(t.spark.sql("SELECT 'view' AS key UNION ALL SELECT 'click'")))
 
 # --- payloads ---------------------------------------------------------------------------------------
@@ -357,10 +357,12 @@ def _flatten(t: Lens) -> DataFrame:
     import pandas as pd
 
     from ..sources.platform import flatten
+    from ..sources.shipping import ship
 
     def run(batches):
         for b in batches:
             rows = [(i, k, v) for i, p in zip(b["event_id"], b["props"]) for k, v in sorted(flatten({"options": [json.loads(p), {"on": True, "none": None}]}).items())]
             yield pd.DataFrame(rows, columns=["event_id", "field", "value"])
 
+    ship(t.spark)
     return t["events"].select("event_id", "props").mapInPandas(run, "event_id long, field string, value string")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shipping import ship
+
 MAX_BYTES, RETRIES, RETRY_STATUS = 64 << 20, 2, (502, 503, 504)
 #: Functions of the platform's interface.
 FUNCTIONS = {
@@ -156,6 +158,7 @@ class PlatformSource(DataSource):
 
 
 def calls(spark: SparkSession, base: str, token: str, function: str, params: list[dict]) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(PlatformSource)
     return spark.read.format("platform").options(base=base, token=token, function=FUNCTIONS.get(function, function), calls=json.dumps(params)).load()
 
@@ -184,4 +187,5 @@ def downloads(urls: DataFrame, base: str, token: str, url: str = "fileurl") -> D
                     rows.append((u, "failed", None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["url", "outcome", "size_bytes", "content", "error"]).astype({"size_bytes": "Int64"})
 
+    ship(urls.sparkSession)
     return urls.select(url).mapInPandas(run, "url string, outcome string, size_bytes long, content binary, error string")
