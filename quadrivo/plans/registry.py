@@ -249,6 +249,40 @@ query(
     FROM $resources r LEFT JOIN b ON r.origin = b.origin AND r.source_type = b.source_type AND r.external_reference = b.external_reference
     UNION ALL SELECT id, origin, source_type, external_reference, course_id, section_id, module_id, name, source_url, '{_NOW}', '{_NOW}' FROM f""",
 )(lambda t: state.upsert_with_ids(t["resources"], t["resources"].filter("id % 2 = 0").selectExpr("origin", "source_type", "CASE WHEN id % 4 = 0 THEN external_reference ELSE 'n' || external_reference END AS external_reference", "course_id", "section_id", "module_id", "name || '!' AS name", "source_url", "id AS _seq"), ["origin", "source_type", "external_reference"], _NOW))
+def _upserted(columns: str, key: str) -> str:
+    """The oracle of an upsert of the rows with key % 4 = 0, changed in one column, as keys key + 3."""
+    first, *rest = columns.split(", ")
+    value = lambda c: f"CASE WHEN b.{key} IS NULL THEN o.{c} ELSE b.{c} END AS {c}"
+    return f"""WITH b AS (SELECT {key} + 3 AS {key}, concat({first}, '!') AS {first}, {", ".join(rest)} FROM $TABLE WHERE {key} % 4 = 0)
+        SELECT coalesce(o.{key}, b.{key}) AS {key}, {", ".join(map(value, [first, *rest]))}, coalesce(o.created_at, '{_NOW}') AS created_at, CASE WHEN b.{key} IS NULL THEN o.last_synced_at ELSE '{_NOW}' END AS last_synced_at FROM $TABLE o FULL JOIN b ON b.{key} = o.{key}"""
+
+
+for _table, _key, _columns in (
+    ("users", "id", "fullname, username"),
+    ("sections", "id", "name, course_id, section_number, summary, visible"),
+    ("modules", "id", "modname, course_id, section_id, name, url, visible"),
+    ("assignments", "id", "name, course_id, duedate, allowsubmissionsfromdate, cutoffdate, grade"),
+    ("submissions", "assignment_id", "grading_status, submission_status, cansubmit, submitted_at"),
+    ("calendar", "id", "name, course_id, description, eventtype, modulename, instance, timestart, timesort, timeduration"),
+):
+    query(f"upsert_{_table}", _upserted(_columns, _key).replace("$TABLE", f"${_table}"))(
+        lambda t, n=_table, k=_key, c=_columns.split(", "): state.upsert(t[n], t[n].filter(f"{k} % 4 = 0").select((F.col(k) + 3).alias(k), F.concat(c[0], F.lit("!")).alias(c[0]), *c[1:], F.col(k).alias("_seq")), [k], _NOW)
+    )
+query(
+    "upsert_files",
+    f"""WITH b AS (SELECT module_id, filename, filepath, filesize + 1 AS filesize, mimetype, CASE WHEN id % 4 = 0 THEN fileurl ELSE 'n' || fileurl END AS fileurl, timemodified FROM $files WHERE id % 2 = 0),
+    f AS (SELECT b.*, (SELECT max(id) FROM $files) + row_number() OVER (ORDER BY fileurl) AS id FROM b WHERE fileurl NOT IN (SELECT fileurl FROM $files))
+    SELECT o.id, o.module_id, o.filename, o.filepath, CASE WHEN b.fileurl IS NULL THEN o.filesize ELSE b.filesize END AS filesize, o.mimetype, o.fileurl, o.timemodified, o.created_at, CASE WHEN b.fileurl IS NULL THEN o.last_synced_at ELSE '{_NOW}' END AS last_synced_at FROM $files o LEFT JOIN b ON b.fileurl = o.fileurl
+    UNION ALL SELECT id, module_id, filename, filepath, filesize, mimetype, fileurl, timemodified, '{_NOW}', '{_NOW}' FROM f""",
+)(lambda t: state.upsert_with_ids(t["files"], t["files"].filter("id % 2 = 0").selectExpr("module_id", "filename", "filepath", "filesize + 1 AS filesize", "mimetype", "CASE WHEN id % 4 = 0 THEN fileurl ELSE 'n' || fileurl END AS fileurl", "timemodified", "id AS _seq"), ["fileurl"], _NOW))
+query("append_versions", "SELECT id, resource_id, version_number FROM $versions UNION ALL SELECT (SELECT max(id) FROM $versions) + row_number() OVER (ORDER BY r.id), r.id, coalesce(max(v.version_number), 0) + 1 FROM $resources r LEFT JOIN $versions v ON v.resource_id = r.id WHERE r.id % 10 = 1 GROUP BY r.id")(
+    lambda t: state.append(t["versions"].select("id", "resource_id", "version_number"), state.with_ids(t["versions"], latest.next_version_numbers(t["resources"].filter("id % 10 = 1"), t["versions"]).select(F.col("id").alias("resource_id"), F.col("next_number").alias("version_number")), ["resource_id"]))
+)
+query("upsert_checks", "SELECT coalesce(b.resource_id, c.resource_id) AS resource_id, CASE WHEN b.resource_id IS NULL THEN c.source_timemodified ELSE 1 END AS source_timemodified, CASE WHEN b.resource_id IS NULL THEN c.checked_at ELSE 'now' END AS checked_at FROM $checks c FULL JOIN (SELECT id AS resource_id FROM $resources WHERE id % 5 = 0 OR id % 7 = 0) b ON b.resource_id = c.resource_id")(
+    lambda t: state.upsert(t["checks"], t["resources"].filter("id % 5 = 0 OR id % 7 = 0").selectExpr("id AS resource_id", "1L AS source_timemodified", "'now' AS checked_at", "id AS _seq"), ["resource_id"], _NOW)
+)
+query("delete_request", "SELECT * FROM $requests WHERE id <> 100")(lambda t: state.delete(t["requests"], F.col("id") == 100))
+query("stored_object_refs", "SELECT DISTINCT content_hash, left(content_hash, 2) || '/' || content_hash AS storage_ref FROM $versions")(lambda t: t["versions"].select("content_hash", F.concat(F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash").alias("storage_ref")).distinct())
 query("insert_or_ignore_sent", f"SELECT notification_type, subject_key, scheduled_for FROM $sent UNION SELECT notification_type, subject_key, scheduled_for FROM ({_CANDIDATES}) c")(
     lambda t: state.insert_or_ignore(t["sent"].select("notification_type", "subject_key", "scheduled_for"), _candidates(t).select("notification_type", "subject_key", "scheduled_for"), ["notification_type", "subject_key", "scheduled_for"])
 )

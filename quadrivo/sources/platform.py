@@ -157,6 +157,15 @@ class PlatformSource(DataSource):
         return _Reader(self.options)
 
 
+def systemic(e: BaseException | None) -> bool:
+    """Whether an error, or one that caused it, will meet every further item too, as a refused token does."""
+    while e is not None:
+        if isinstance(e, ApiError) and e.auth:
+            return True
+        e = e.__cause__ or e.__context__
+    return False
+
+
 def calls(spark: SparkSession, base: str, token: str, function: str, params: list[dict]) -> DataFrame:
     ship(spark)
     spark.dataSource.register(PlatformSource)
@@ -170,7 +179,7 @@ def fixtures(spark: SparkSession, path: str) -> DataFrame:
 
 
 def downloads(urls: DataFrame, base: str, token: str, url: str = "fileurl") -> DataFrame:
-    """url, outcome (done, too_large, failed), size_bytes, content, error for each address; a failure never stops the rest."""
+    """url, outcome (done, too_large, failed), size_bytes, content, error for each address; a failure never stops the rest, unless it is systemic."""
     import pandas as pd
 
     def run(batches):
@@ -184,6 +193,8 @@ def downloads(urls: DataFrame, base: str, token: str, url: str = "fileurl") -> D
                 except TooLarge as e:
                     rows.append((u, "too_large", e.size, None, str(e)))
                 except Exception as e:  # noqa: BLE001 - recorded row by row
+                    if systemic(e):
+                        raise
                     rows.append((u, "failed", None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["url", "outcome", "size_bytes", "content", "error"]).astype({"size_bytes": "Int64"})
 

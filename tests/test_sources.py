@@ -161,3 +161,10 @@ def test_reminder_stream(spark, tmp_path):
     for _ in range(2):  # a restart finds nothing new
         stream.start(source, w, lambda: rules, Sink(), f"file://{tmp_path}/checkpoint").awaitTermination(120)
     assert got == ["a1", "a9"] and w["sent"].count() == 2
+
+
+def test_systemic_errors():
+    inner = platform.ApiError("invalidtoken", "", True)
+    outer = RuntimeError("x")
+    outer.__cause__ = inner
+    assert platform.systemic(outer) and not platform.systemic(platform.ApiError("c", "", False)) and not platform.systemic(None)
