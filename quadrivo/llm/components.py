@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # A hub may have a third of all links. Its least neighbour is summed up on the map side and written, so that the join is a plain one, whose large partitions can be split.
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = both.join(least, "a")
     if large:
         return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -33,8 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").filter("a <> b")
     for _ in range(MAX_STEPS):
         to = new_path(spark, "edges")
-        stars = _star(_star(edges, True).filter("a <> b").distinct(), False).filter("a <> b").distinct()
-        edges = written(stars, "edges", to)
+        large = written(_star(edges, True).filter("a <> b").distinct(), "large")
+        edges = written(_star(large, False).filter("a <> b").distinct(), "edges", to)
         if path:
             drop_path(spark, path)
         path = to
