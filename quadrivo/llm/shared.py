@@ -5,16 +5,16 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable
 from functools import lru_cache
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shipping import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,28 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
         return where.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         where = f"file://{tempfile.mkdtemp(prefix='quadrivo-')}"
-        _delete_on_exit(spark, where)
     else:
         where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_quadrivo"
     spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
-def _delete_on_exit(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _session_dir(spark: SparkSession) -> str:
+    """A folder of this Spark context in the shared folder. It is removed when the context's JVM ends."""
+    context = spark.sparkContext
+    if not hasattr(context, "_quadrivo_dir"):
+        path = f"{shared_dir(spark)}/quadrivo-{uuid.uuid4().hex}"
+        where, store = _file_system(spark, path)
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        context._quadrivo_dir = path
+    return context._quadrivo_dir
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet; it is removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _delete_on_exit(spark, path)
-    return path
+    """A path in the shared folder that nothing uses yet."""
+    return f"{_session_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, store = _file_system(spark, path)
+    store.delete(where, True)
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -82,20 +91,6 @@ def batch_of(columns: list, schema: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, schema=arrow)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once for each Spark context, so that they needn't have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_quadrivo_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    to = Path(tempfile.mkdtemp(prefix="quadrivo-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    context.addPyFile(str(to))
-    context._quadrivo_shipped = True
-
-
 def arrow_map(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
     """df.mapInArrow with this package at the workers."""
     ship(df.sparkSession)
