@@ -24,6 +24,8 @@ from .shared import arrow_map, batch_of, column_type, spare, written
 #: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample and of the pool; rounds, and verdicts that a view hands over in one.
 WORDS, CATEGORIES, BINS = 1 << 16, 128, 12
 SAMPLE, POOL, ROUNDS, HANDED, CONFIDENT = 12_000, 4000, 3, 400, 0.95
+#: A verdict is not handed over to a view that is of the other opinion by more than this: toxic words are seen in texts only, so metadata can't vouch for their absence.
+OPPOSED = 0.1
 #: Words that a Python worker remembers.
 MEMORY = 400_000
 NUMBERS = ("log_chars", "log_lines", "line_chars", "upper", "signs", "digits", "bangs", "spaces", "repeats")
@@ -165,8 +167,9 @@ def learn(values: np.ndarray, cats: np.ndarray, texts: list[np.ndarray], y: np.n
         told = [np.setdiff1d(pool, k) for k in learned]
         for own, other in ((0, 1), (1, 0)):
             p = sigmoid(views[own].take(told[other]).dot(w[own]))
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:handed]
-            sure = sure[np.maximum(p, 1 - p)[sure] >= CONFIDENT]
+            there = sigmoid(views[other].take(told[other]).dot(w[other])) - 0.5
+            firm = (np.maximum(p, 1 - p) >= CONFIDENT) & ~((there * (p - 0.5) < 0) & (np.abs(there) > OPPOSED))
+            sure = np.flatnonzero(firm)[np.argsort(-np.abs(p[firm] - 0.5), kind="stable")[:handed]]
             target[other][told[other][sure]] = p[sure] > 0.5
             learned[other] = np.union1d(learned[other], told[other][sure])
     model.text, model.meta = w
