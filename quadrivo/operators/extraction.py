@@ -346,3 +346,19 @@ def extract(documents: DataFrame, content: str = "content", name: str = "extract
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep), RESULT])
     ship(documents.sparkSession)
     return documents.mapInPandas(run, schema)
+
+
+def embedded_image_rows(documents: DataFrame, key: str, ocr: Callable[[bytes], str], content: str = "content", folder: str = "word/media/", most: int = IMAGES) -> DataFrame:
+    """A row for each picture in each office file (key, file, status, chars, reason), and one with status truncated where there were more than `most`."""
+    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, file string, status string, chars long, reason string"
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, data in zip(b[key], b[content]):
+                for t in embedded_images(bytes(data), folder, ocr, most)[1] if data is not None else []:
+                    rows.append((k, t.get("file"), t.get("status", "truncated"), t.get("chars"), t.get("reason") or t.get("error")))
+            yield pd.DataFrame(rows, columns=[key, "file", "status", "chars", "reason"]).astype({"chars": "Int64"})
+
+    ship(documents.sparkSession)
+    return documents.select(key, content).mapInPandas(run, schema)

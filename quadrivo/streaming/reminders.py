@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reminders
+from ..operators.history import last_successful_start
 from ..sources.sinks import Message, Sink
 from ..sources.warehouse import Warehouse
 
+SYNC = "moodle_sync"
 IDENTITY = ["notification_type", "subject_key", "scheduled_for"]
 log = logging.getLogger(__name__)
 
@@ -48,16 +50,22 @@ def record(warehouse: Warehouse, rows: DataFrame) -> None:
 
 
 def start(ticks: DataFrame, warehouse: Warehouse, rules_source: Callable[[], Iterable[reminders.Rule]], sink: Sink, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """A streaming query over ticks (now long, confirmed string, at string): each batch evaluates its newest tick only, so missed ones are skipped, not replayed. Rules are read anew for every batch."""
+    """A streaming query over ticks (now long, confirmed string, at string): each batch evaluates its newest tick only, so missed ones are skipped, not replayed.
+
+    Rules are read anew for every batch, and so is the start of the last successful sync where a tick has none.
+    """
 
     def cycle(batch: DataFrame, _: int) -> None:
         if newest := batch.orderBy("now", ascending=False).first():
-            send_cycle(warehouse, rules_source(), newest.now, newest.confirmed, sink, newest.at)
+            confirmed = newest.confirmed
+            if confirmed is None and (last := last_successful_start(warehouse["executions"], SYNC).first()):
+                confirmed = last.started_at
+            send_cycle(warehouse, rules_source(), newest.now, confirmed, sink, newest.at)
 
     return ticks.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def hourly(spark: SparkSession) -> DataFrame:
-    """Ticks of the clock, one an hour at most, from the rate source."""
+    """Ticks of the clock on the hour, from the rate source."""
     rate = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return rate.selectExpr("unix_seconds(timestamp) AS now", "CAST(NULL AS string) AS confirmed", "CAST(timestamp AS string) AS at").filter("now % 3600 = 0")

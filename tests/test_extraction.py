@@ -80,6 +80,13 @@ def test_archive_limits():
     assert x.embedded_images(b"no zip", "", str) == ([], [])
 
 
+def test_embedded_image_rows(spark):
+    good = zipped(**{f"word__media__{i}.png": bytes([i + 1]) for i in range(3)})
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bytearray(b"no zip")), (3, None)], "id long, content binary")
+    got = x.embedded_image_rows(df, "id", lambda b: "text", most=2).collect()
+    assert [(r.id, r.status, r.chars) for r in got] == [(1, "done", 4), (1, "done", 4), (1, "truncated", None)]
+
+
 def test_pages_and_skew():
     assert x.pages_result(["a" * 60] * 3).metadata["sufficient_text"] and x.pages_result([]).metadata["scanned"]
     assert x.pages_result(["", ""], lambda: ["o", "p"]).text == "o\np"

@@ -155,7 +155,8 @@ def test_reminder_stream(spark, tmp_path):
     out = stream.send_cycle(w, rules, n, "2024-01", Sink(), "t0")
     assert out == {"pending": 2, "sent": 1, "failed": 1, "first_error": "RuntimeError: down"} and got == ["a1"]
     broken.clear()
-    ticks = spark.createDataFrame([(n - 5, "2024-01", "t1"), (n + 10_000, "2024-01", "t2")], "now long, confirmed string, at string")
+    w.commit({"executions": spark.createDataFrame([(1, "moodle_sync", "t", 1, "done", "2024-01", None, None, None, None, None)], schema.schema("executions"))})
+    ticks = spark.createDataFrame([(n - 5, "2024-01", "t1"), (n + 10_000, None, "t2")], "now long, confirmed string, at string")
     ticks.write.parquet(f"file://{tmp_path}/ticks")
     source = spark.readStream.schema(ticks.schema).parquet(f"file://{tmp_path}/ticks")
     for _ in range(2):  # a restart finds nothing new
