@@ -200,6 +200,8 @@ def write_sorted_table(df: DataFrame, tokenizer: str, path: str, text: str = "te
             writer.close()
             out.close()
             size = store.get_file_info(part).size
+            if store.get_file_info(final).type != pafs.FileType.NotFound:  # of an attempt whose end was not noticed
+                store.delete_file(final)
             store.move(part, final)
             yield batch_of([[task.partitionId()], [f"{path}/shard-{task.partitionId():06d}.sst"], [writer.entries], [writer.ids], [size]], schema)
 
