@@ -37,10 +37,14 @@ def rule_table(spark: SparkSession, given: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.id, r.offset_seconds, r.title_template, r.body_template) for r in given], SCHEMA)
 
 
+def _edges(rules_: DataFrame) -> DataFrame:
+    """Rules with the lower end of their bands."""
+    return rules_.withColumn("lower", F.lag("offset_seconds", 1, 0).over(Window.orderBy("offset_seconds")))  # a rule set fits in one task
+
+
 def bands(rules_: DataFrame) -> DataFrame:
     """id, lower, upper of each rule's band (lower, upper], from the deadline outwards."""
-    by = Window.orderBy("offset_seconds")  # a rule set fits in one task
-    return rules_.select("id", F.lag("offset_seconds", 1, 0).over(by).alias("lower"), F.col("offset_seconds").alias("upper"))
+    return _edges(rules_).select("id", "lower", F.col("offset_seconds").alias("upper"))
 
 
 def narrowest_band(rules_: DataFrame) -> DataFrame:
@@ -88,9 +92,7 @@ def effective_rules(host: DataFrame, stored: DataFrame, saved: DataFrame) -> Dat
 
 def in_band(tasks: DataFrame, rules_: DataFrame, now: int, due: str = "duedate") -> DataFrame:
     """Tasks with the rule of the smallest offset that is not below the time left. Bands don't overlap, so each task meets one rule at most and nothing has to be aggregated; the narrowest band has no lower end."""
-    names = rules_.select(F.col("id").alias("_id"), "title_template", "body_template")
-    b = bands(rules_).join(names, F.col("id") == F.col("_id"))
-    b = F.broadcast(b.select(F.col("id").alias("rule_id"), F.when(F.col("lower") > 0, F.col("lower")).alias("lower"), "upper", "title_template", "body_template"))
+    b = F.broadcast(_edges(rules_).select(F.col("id").alias("rule_id"), F.when(F.col("lower") > 0, F.col("lower")).alias("lower"), F.col("offset_seconds").alias("upper"), "title_template", "body_template"))
     left = F.col(due) - F.lit(now)
     return tasks.join(b, (left <= F.col("upper")) & (F.col("lower").isNull() | (left > F.col("lower")))).drop("lower", "upper")
 

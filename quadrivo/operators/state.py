@@ -40,19 +40,25 @@ def upsert(old: DataFrame, batch: DataFrame, keys: Sequence[str], now: str, keep
     return joined.select(*(value(c).alias(c) for c in old.columns))
 
 
-def with_ids(old: DataFrame, new: DataFrame, order: Sequence[str], column: str = "id") -> DataFrame:
-    """new rows with ids that follow the old ones, in a fixed order. Rows are numbered within ranges of the order, so no task gets them all."""
-    spread = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+def with_ids(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str = "id") -> DataFrame:
+    """new rows with ids that follow the old ones, in the order of a hash of their keys.
+
+    The hash's first three digits deal rows evenly to 4096 groups, which are numbered side by side; as these digits
+    come first in the order too, a group's ids begin after those of the groups before it, of which there are 4096
+    counts at most. The order depends on the keys alone, not on how rows are partitioned, so a task that is run again gives the same ids.
+    """
+    named = new.withColumn("_hash", F.sha2(F.concat_ws("\x1f", *(F.col(k).cast("string") for k in keys)), 256)).withColumn("_group", F.left("_hash", F.lit(3)))
+    at = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", *keys))
+    sizes = named.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = sizes.select("_group", (F.sum("_n").over(Window.orderBy("_group")) - F.col("_n")).alias("_before"))
     top = old.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
-    made = spread.join(F.broadcast(before), "_part").join(F.broadcast(top))
-    return made.withColumn(column, (F.col("_top") + F.col("_before") + F.col("_at")).cast("bigint")).drop("_part", "_at", "_before", "_top")
+    starts = before.join(F.broadcast(top)).select("_group", (F.col("_top") + F.col("_before")).alias("_start"))
+    made = named.withColumn("_at", at).join(F.broadcast(starts), "_group")
+    return made.withColumn(column, (F.col("_start") + F.col("_at")).cast("bigint")).drop("_hash", "_group", "_at", "_start")
 
 
 def upsert_with_ids(old: DataFrame, batch: DataFrame, keys: Sequence[str], now: str, order: str = "_seq") -> DataFrame:
-    """upsert for a table whose id is given by the store: new keys get the next ids in the order of the keys."""
+    """upsert for a table whose id is given by the store: new keys get the next ids."""
     merged = upsert(old, batch, keys, now, order=order)
     known, fresh = merged.filter("id IS NOT NULL"), merged.filter("id IS NULL").drop("id")
     return known.unionByName(with_ids(old, fresh, keys).select(*old.columns))

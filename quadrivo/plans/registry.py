@@ -244,7 +244,7 @@ query(
 query(
     "upsert_resources",
     f"""WITH b AS (SELECT origin, source_type, CASE WHEN id % 4 = 0 THEN external_reference ELSE 'n' || external_reference END AS external_reference, course_id, section_id, module_id, name || '!' AS name, source_url FROM $resources WHERE id % 2 = 0),
-    f AS (SELECT b.*, (SELECT max(id) FROM $resources) + row_number() OVER (ORDER BY origin, source_type, external_reference) AS id FROM b WHERE NOT EXISTS (SELECT 1 FROM $resources r WHERE r.origin = b.origin AND r.source_type = b.source_type AND r.external_reference = b.external_reference))
+    f AS (SELECT b.*, (SELECT max(id) FROM $resources) + row_number() OVER (ORDER BY sha256(concat_ws(chr(31), origin, source_type, external_reference))) AS id FROM b WHERE NOT EXISTS (SELECT 1 FROM $resources r WHERE r.origin = b.origin AND r.source_type = b.source_type AND r.external_reference = b.external_reference))
     SELECT r.id, r.origin, r.source_type, r.external_reference, r.course_id, r.section_id, r.module_id, CASE WHEN b.origin IS NULL THEN r.name ELSE b.name END AS name, r.source_url, r.created_at, CASE WHEN b.origin IS NULL THEN r.last_synced_at ELSE '{_NOW}' END AS last_synced_at
     FROM $resources r LEFT JOIN b ON r.origin = b.origin AND r.source_type = b.source_type AND r.external_reference = b.external_reference
     UNION ALL SELECT id, origin, source_type, external_reference, course_id, section_id, module_id, name, source_url, '{_NOW}', '{_NOW}' FROM f""",
@@ -271,11 +271,11 @@ for _table, _key, _columns in (
 query(
     "upsert_files",
     f"""WITH b AS (SELECT module_id, filename, filepath, filesize + 1 AS filesize, mimetype, CASE WHEN id % 4 = 0 THEN fileurl ELSE 'n' || fileurl END AS fileurl, timemodified FROM $files WHERE id % 2 = 0),
-    f AS (SELECT b.*, (SELECT max(id) FROM $files) + row_number() OVER (ORDER BY fileurl) AS id FROM b WHERE fileurl NOT IN (SELECT fileurl FROM $files))
+    f AS (SELECT b.*, (SELECT max(id) FROM $files) + row_number() OVER (ORDER BY sha256(fileurl)) AS id FROM b WHERE fileurl NOT IN (SELECT fileurl FROM $files))
     SELECT o.id, o.module_id, o.filename, o.filepath, CASE WHEN b.fileurl IS NULL THEN o.filesize ELSE b.filesize END AS filesize, o.mimetype, o.fileurl, o.timemodified, o.created_at, CASE WHEN b.fileurl IS NULL THEN o.last_synced_at ELSE '{_NOW}' END AS last_synced_at FROM $files o LEFT JOIN b ON b.fileurl = o.fileurl
     UNION ALL SELECT id, module_id, filename, filepath, filesize, mimetype, fileurl, timemodified, '{_NOW}', '{_NOW}' FROM f""",
 )(lambda t: state.upsert_with_ids(t["files"], t["files"].filter("id % 2 = 0").selectExpr("module_id", "filename", "filepath", "filesize + 1 AS filesize", "mimetype", "CASE WHEN id % 4 = 0 THEN fileurl ELSE 'n' || fileurl END AS fileurl", "timemodified", "id AS _seq"), ["fileurl"], _NOW))
-query("append_versions", "SELECT id, resource_id, version_number FROM $versions UNION ALL SELECT (SELECT max(id) FROM $versions) + row_number() OVER (ORDER BY r.id), r.id, coalesce(max(v.version_number), 0) + 1 FROM $resources r LEFT JOIN $versions v ON v.resource_id = r.id WHERE r.id % 10 = 1 GROUP BY r.id")(
+query("append_versions", "SELECT id, resource_id, version_number FROM $versions UNION ALL SELECT (SELECT max(id) FROM $versions) + row_number() OVER (ORDER BY sha256(CAST(r.id AS VARCHAR))), r.id, coalesce(max(v.version_number), 0) + 1 FROM $resources r LEFT JOIN $versions v ON v.resource_id = r.id WHERE r.id % 10 = 1 GROUP BY r.id")(
     lambda t: state.append(t["versions"].select("id", "resource_id", "version_number"), state.with_ids(t["versions"], latest.next_version_numbers(t["resources"].filter("id % 10 = 1"), t["versions"]).select(F.col("id").alias("resource_id"), F.col("next_number").alias("version_number")), ["resource_id"]))
 )
 query("upsert_checks", "SELECT coalesce(b.resource_id, c.resource_id) AS resource_id, CASE WHEN b.resource_id IS NULL THEN c.source_timemodified ELSE 1 END AS source_timemodified, CASE WHEN b.resource_id IS NULL THEN c.checked_at ELSE 'now' END AS checked_at FROM $checks c FULL JOIN (SELECT id AS resource_id FROM $resources WHERE id % 5 = 0 OR id % 7 = 0) b ON b.resource_id = c.resource_id")(

@@ -63,7 +63,8 @@ def test_from_payloads_to_reminders(spark, tmp_path):
     assert out.detail.startswith("incremental: 2/2")  # course 1 has updates, course 2 has no contents yet
     body["v"] = b"changed"
     assert ingest.run(Trigger.MANUAL, lambda: False).detail == "1 new version(s), 0 deferred, 0 still pending"
-    assert sorted((r.resource_id, r.version_number) for r in w["versions"].collect()) == [(1, 1), (1, 2), (2, 1)]
+    kinds = {r.id: r.source_type for r in w["resources"].collect()}
+    assert sorted((kinds[r.resource_id], r.version_number) for r in w["versions"].collect()) == [("file", 1), ("file", 2), ("url", 1)]
 
     got = []
     sink = type("Sink", (), {"send": lambda self, m: got.append(m.title)})()
