@@ -166,3 +166,19 @@ def test_history(spark):
     r = spark.createDataFrame([(1, "x", "2024-01-01T00:10:00"), (2, "x", "2024-01-01T00:11:00")], "id long, job_name string, requested_at string")
     assert [x.id for x in history.served_requests(r, e).collect()] == [1]
     assert len(schema.COLUMNS) == 19 and set(schema.PURGED) | set(schema.KEPT) == set(schema.COLUMNS) and not set(schema.PURGED) & set(schema.KEPT)
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from quadrivo.sources.warehouse import Warehouse
+
+    w = Warehouse(spark, f"file://{tmp_path}/w")
+    w.commit({n: schema.empty(spark, n) for n in ("assignments", "submissions", "resources", "versions", "extractions", "calendar", "courses")})
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    pending = plan(read_model.pending_assignments(w["assignments"], w["submissions"], N))
+    assert f"GreaterThanOrEqual(duedate,{N})" in pending and "IsNotNull(submission_status)" in pending and "created_at" not in pending
+    assert f"LessThanOrEqual(timestart,{N + 5})" in plan(read_model.calendar(w["calendar"], N, N + 5).select("id"))
+    assert "EqualTo(timeline_classification,inprogress)" in plan(read_model.current_courses(w["courses"]))
+    one_course = plan(read_model.materials(w["resources"], w["versions"], w["extractions"], 3))
+    assert "EqualTo(course_id,3)" in one_course and "extracted_text" not in one_course and "LeftSemi" in one_course and "WindowGroupLimit" in one_course
+    assert "WindowGroupLimit" in plan(queues.pending_extraction(w["versions"], w["extractions"]))
