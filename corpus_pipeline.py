@@ -18,22 +18,25 @@ from quadrivo.llm.shared import new_path, table
 LANGUAGE_SCORE = 0.5
 
 
-def bundled(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column beside those that stages look at, so that no other column's name can clash with theirs."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source")
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., so that no name can clash with those that stages add; and the new names of those that they look at."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), {c: f"c{docs.columns.index(c)}" for c in ("doc_id", "text", "lang", "source")}
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with an identified language. A null or empty text, or one without a letter, goes."""
     model = language_id.train(docs)
-    scored = language_id.identify(bundled(docs), model)
-    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select("row.*")
+    plain, names = numbered(docs)
+    scored = language_id.identify(plain, model, names["text"])
+    return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the co-trained classifier, fitted on the labels of its input's documents, calls good."""
     model = co_training.train(docs, table(spark, sf_dir, "labels"))
-    return co_training.score(bundled(docs), model, ["row"]).filter("kept").select("row.*")
+    plain, names = numbered(docs)
+    scored = co_training.score(plain, model, plain.columns, names["text"], names["source"], names["lang"])
+    return scored.filter("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +44,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by doc_id and a hash of the text, so rows that share an id, or have none, are not taken for one document.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    keyed = bundled(docs).withColumn("key", key)
-    stays = simhash.near_duplicates(keyed, key="key").filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
-    kept = keyed.select("row", "key").join(stays, "key")
-    repeated = kept.filter("n > 1").groupBy("key").agg(F.min("row").alias("row"))
-    return kept.filter("n = 1").select("row.*").unionByName(repeated.select("row.*"))
+    plain, names = numbered(docs)
+    id_, text = F.col(names["doc_id"]), F.col(names["text"])
+    key = F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
+    keyed = plain.withColumn("key", key)
+    stays = simhash.near_duplicates(keyed, names["text"], "key").filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
+    kept = keyed.join(stays, "key")
+    repeated = kept.filter("n > 1").groupBy("key").agg(F.min(F.struct(*plain.columns)).alias("row"))
+    return kept.filter("n = 1").select(*plain.columns).unionByName(repeated.select("row.*")).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

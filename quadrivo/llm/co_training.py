@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, batch_of, column_type, spare, written
+from .shared import arrow_map, batch_of, column_type, written
 
 #: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample and of the pool; rounds, and verdicts that a view hands over in one.
 WORDS, CATEGORIES, BINS = 1 << 16, 128, 12
@@ -220,20 +220,22 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", sour
     out = T._parse_datatype_string("text_prob double, meta_prob double, quality_prob double, kept boolean")
     schema = T.StructType([*(df.schema[c] for c in keep), *out])
     shared, k = df.sparkSession.sparkContext.broadcast(model), len(keep)  # two weight vectors of fixed size
+    # What is kept is not sent twice.
+    more = [c for c in (text, source, lang) if c not in keep]
+    places = [[*keep, *more].index(c) for c in (text, source, lang)]
 
     def run(batches):
         model = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                texts, s, g = (b.column(k + i).to_pylist() for i in range(3))
+                texts, s, g = (b.column(i).to_pylist() for i in places)
                 zt = np.array([model.text_score(t) for t in texts])
                 features = model.meta_features(np.array([numbers(t) for t in texts]), np.array([categories(*c) for c in zip(s, g)]))
                 pt, pm, p = model.combine(zt, model.meta[features].sum(1) + model.meta[-1])
                 yield batch_of([*(b.column(i) for i in range(k)), pt, pm, p, p >= threshold], schema)
 
-    looked_at = [F.col(c).cast("string").alias(spare(df, f"_{i}")) for i, c in enumerate((text, source, lang))]
-    return arrow_map(df.select(*keep, *looked_at), run, schema)
+    return arrow_map(df.select(*keep, *more), run, schema)
 
 
 def quality_classifier(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", sample: int = SAMPLE, pool: int = POOL, threshold: float = 0.5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, batch_of, column_type, spare
+from .shared import arrow_map, batch_of, column_type
 
 BUCKETS, ORDERS, SMOOTHING = 1 << 15, (1, 2, 3), 0.5
 #: Expected number of texts for each language in the training sample, and the most languages learned (those with most texts).
@@ -122,11 +122,11 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred and score, which replace columns of these names; only the text is looked at."""
     keep = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return _scored(df.select(*keep, F.col(text).alias(spare(df, "text"))), model, keep)
+    return _scored(df.select(*keep), model, keep, keep.index(text))
 
 
-def _scored(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """df: the kept columns, then the text."""
+def _scored(df: DataFrame, model: Model, keep: list[str], at: int) -> DataFrame:
+    """df: the kept columns, and the text: one of them, or the column behind them."""
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES numbers at most
 
@@ -134,7 +134,7 @@ def _scored(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                names, scores = shared.value.predict(b.column(len(keep)).to_pylist())
+                names, scores = shared.value.predict(b.column(at).to_pylist())
                 yield batch_of([*(b.column(i) for i in range(len(keep))), names, scores], schema)
 
     return arrow_map(df, run, schema)
@@ -148,4 +148,4 @@ def language_id(df: DataFrame, text: str = "text", lang: str = "lang", key: str
     """
     model = train(df, text, lang, key, sample)
     rows = df.select(F.col(key), held_out(key).alias("held_out"), F.col(text).alias(f"{key}_text"))
-    return _scored(rows, model, [key, "held_out"])
+    return _scored(rows, model, [key, "held_out"], 2)
