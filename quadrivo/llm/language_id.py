@@ -21,8 +21,6 @@ SAMPLE, MAX_LANGUAGES = 2000, 256
 #: Characters that are scored at once.
 CHUNK = 1 << 20
 UNKNOWN = "und"
-
-
 #: Blanks out all that is no letter below U+0800; the rest is asked for one by one.
 _LATIN = str.maketrans({i: " " for i in range(0x800) if not chr(i).isalpha()})
 
