@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrivo.llm import co_training, language_id, simhash
+from quadrivo.llm import co_training, language_id, near_copies
 from quadrivo.llm.packing import pack
 from quadrivo.llm.queries import BYTE_BPE
 from quadrivo.llm.shared import new_path, table
@@ -42,13 +42,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the one with the smallest doc_id (a null one last), and one of repeated rows.
 
+    Near duplicates share 0.8 or more of their distinct five-word shingles (Jaccard), directly or over others.
     Rows are told apart by doc_id and a hash of the text, so rows that share an id, or have none, are not taken for one document.
     """
     plain, names = numbered(docs)
     id_, text = F.col(names["doc_id"]), F.col(names["text"])
     key = F.struct(id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"))
     keyed = plain.withColumn("key", key)
-    stays = simhash.near_duplicates(keyed, names["text"], "key").filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
+    stays = near_copies.near_copies(keyed, names["text"], "key").filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
     kept = keyed.join(stays, "key")
     repeated = kept.filter("n > 1").groupBy("key").agg(F.min(F.struct(*plain.columns)).alias("row"))
     return kept.filter("n = 1").select(*plain.columns).unionByName(repeated.select("row.*")).toDF(*docs.columns)
