@@ -2,9 +2,13 @@
 
 Two views of a document have a classifier each: the text content (which words occur, hashed) and the page
 metadata (source, language, size and layout: shares of capitals, signs, line lengths; binned). Both learn from a bounded sample of labelled
-documents; then, over rounds, each adds its most confident verdicts on a pool of unlabelled documents to the
-other's training set. Each view's score is calibrated on labelled documents that neither has learned from, and a combination of the
+documents; then, over rounds, each scores all unlabelled documents on the executors and adds its most confident verdicts, for each
+class, to the other's training set. Each view's score is calibrated on labelled documents that neither has learned from, and a combination of the
 calibrated views, which lets either veto, scores all documents.
+
+Every text is read once: its features are written to the shared folder (two bytes for each distinct word and beginning of a word, eleven numbers), and rounds and
+verdicts work on these. The driver holds the features of the labelled sample and of the verdicts handed over, both bounded
+in rows and in words, whatever keys repeat or are null.
 """
 
 from __future__ import annotations
@@ -12,20 +16,23 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import arrow_map, batch_of, column_type, written
+from .shared import arrow_map, batch_of, column_type, drop_path, new_path, written
 
-#: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample and of the pool; rounds, and verdicts that a view hands over in one.
+#: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample, the most distinct words in all of them (an eighth of it holds for
+#: the verdicts of a class that a view hands over in one round); rounds, and those verdicts.
 WORDS, CATEGORIES, BINS = 1 << 16, 128, 12
-SAMPLE, POOL, ROUNDS, HANDED, CONFIDENT = 12_000, 4000, 3, 400, 0.95
-#: A verdict is not handed over to a view that is of the other opinion by more than this: toxic words are seen in texts only, so metadata can't vouch for their absence.
-OPPOSED = 0.1
+SAMPLE, SAMPLE_WORDS, ROUNDS, HANDED, CONFIDENT = 12_000, 8_000_000, 3, 50, 0.95
+#: Beginnings of words that are features too, as words are inflected; steps of a view's first fit and of later ones, which go on from it; how strongly log-odds are drawn in
+#: by their standard errors, so that words seen by chance on one side weigh little; weight of a verdict beside a label.
+BEGINNINGS, STEPS, ERRORS, VOUCHED = (4, 6), (40, 10), 4.0, 0.25
 #: Words that a Python worker remembers.
 MEMORY = 400_000
 NUMBERS = ("log_chars", "log_lines", "line_chars", "upper", "signs", "digits", "bangs", "spaces", "repeats")
@@ -54,6 +61,19 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
 
 
+def buckets(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
+    """Buckets of a text's words and their beginnings; known remembers those of words met before."""
+    found: set[int] = set()
+    for w in words(text):
+        b = known.get(w)
+        if b is None:
+            b = known[w] = (bucket(w), *(bucket(f"{w[:n]}*") for n in BEGINNINGS if len(w) > n))
+        found.update(b)
+    if len(known) > MEMORY:
+        known.clear()
+    return found
+
+
 class Sparse:
     """Rows of active features."""
 
@@ -81,23 +101,25 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, rare: int, steps: int = 120, l2: float = 1e-4) -> np.ndarray:
-    """Logistic regression on features scaled by their log-odds ratio (features of fewer than `rare` rows are left out), by Adam. The last weight is the constant's."""
+def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, rare: int, scaled: np.ndarray | None = None, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regression on features scaled by their log-odds ratio, drawn in by ERRORS (features of fewer than `rare` rows are left out), by Adam: weights, the constant's
+    last, and the scaled weights, from which a later fit may go on."""
     if not x.n or y.min() == y.max():
         w = np.zeros(x.size + 1)
         w[-1] = 0.0 if not x.n else 4.0 * (2 * y[0] - 1)
-        return w
+        return w, np.zeros(x.size + 1)
     pos, neg, seen = x.back(y * weight), x.back((1 - y) * weight), x.back(np.ones(x.n))
     ratio = np.log((pos + 1) / (pos[-1] + 2)) - np.log((neg + 1) / (neg[-1] + 2))
+    ratio *= ratio**2 / (ratio**2 + ERRORS**2 * (1 / (pos + 1) + 1 / (neg + 1)))
     ratio[seen < rare] = 0
     ratio[-1] = 1
-    w, m, v = np.zeros(x.size + 1), np.zeros(x.size + 1), np.zeros(x.size + 1)
+    w, m, v = np.zeros(x.size + 1) if scaled is None else scaled.copy(), np.zeros(x.size + 1), np.zeros(x.size + 1)
     total = weight.sum()
-    for step in range(1, steps + 1):
+    for step in range(1, STEPS[scaled is not None] + 1):
         g = ratio * x.back((sigmoid(x.dot(ratio * w)) - y) * weight) / total + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return ratio * w
+    return ratio * w, w
 
 
 def _dense_fit(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
@@ -134,85 +156,199 @@ class Model:
         return sigmoid(ct), sigmoid(cm), sigmoid(joint)
 
     def text_score(self, text: str | None) -> float:
-        known, total = self.known, float(self.text[-1])
-        buckets = set()
-        for w in words(text):
-            b = known.get(w)
-            if b is None:
-                b = known[w] = bucket(w)
-            buckets.add(b)
-        if len(known) > MEMORY:
-            known.clear()
-        return total + float(self.text[list(buckets)].sum()) if buckets else total
+        found = sorted(buckets(text, self.known))
+        return float(self.text[-1]) + (float(self.text[found].sum()) if found else 0.0)
 
 
 def _meta_size() -> int:
     return len(NUMBERS) * (BINS + 1) + CATEGORIES
 
 
-def learn(values: np.ndarray, cats: np.ndarray, texts: list[np.ndarray], y: np.ndarray, part: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED) -> Model:
-    """The model of rows whose part is 0 (labelled), 1 (labelled, for calibration) or 2 (pool; y is not looked at)."""
-    edges = np.stack([np.quantile(values[:, j], np.linspace(0, 1, BINS + 2)[1:-1]) if len(values) else np.zeros(BINS) for j in range(len(NUMBERS))])
+@dataclass
+class Rows:
+    """Features of documents: an id that equal contents share, numbers and categories side by side, word buckets (sorted, flat, with each document's count)."""
+
+    ids: np.ndarray
+    meta: np.ndarray
+    flat: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, ids, meta: list[bytes], words: list[bytes]) -> Rows:
+        """From columns of the features table."""
+        return cls(np.array(ids, np.int64), np.frombuffer(b"".join(meta)).reshape(-1, META), np.frombuffer(b"".join(words), "<u2"), np.array([len(w) // 2 for w in words], np.int64))
+
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "meta", "flat", "sizes")))
+
+    def take(self, which: np.ndarray) -> Rows:
+        texts = self.texts()
+        return Rows(self.ids[which], self.meta[which], np.concatenate([np.empty(0, "<u2"), *(texts[i] for i in which)]), self.sizes[which])
+
+    def texts(self) -> list[np.ndarray]:
+        return np.split(self.flat, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+
+    def views(self, model: Model) -> list[Sparse]:
+        return [Sparse([t.astype(np.int64) for t in self.texts()], WORDS), Sparse(list(model.meta_features(self.meta[:, : len(NUMBERS)], self.meta[:, len(NUMBERS) :].astype(np.int64))), _meta_size())]
+
+    def scores(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """What each view's weights add up to."""
+        ends = np.cumsum(self.sizes)
+        sums = np.r_[0.0, model.text[self.flat]]
+        text = np.add.reduceat(np.r_[sums, 0.0], np.stack([ends - self.sizes + 1, ends + 1], 1).ravel())[::2] if len(ends) else np.empty(0)
+        text = np.where(self.sizes > 0, text, 0.0) + model.text[-1]
+        features = model.meta_features(self.meta[:, : len(NUMBERS)], self.meta[:, len(NUMBERS) :].astype(np.int64))
+        return text, model.meta[features].sum(1) + model.meta[-1]
+
+
+META = len(NUMBERS) + 2
+
+
+def verdicts(model: Model, rows: Rows, told: list[set[int]], handed: int) -> list[tuple[np.ndarray, ...]]:
+    """For each view that is told: ids, sureness, classes and numbers of words of the other view's `handed` surest verdicts of each class, one for equal
+    contents, on rows it was not told of before and is not of the other opinion on: toxic words are seen in texts only, so metadata can't vouch for their absence."""
+    probability = [sigmoid(z) for z in rows.scores(model)]
+    found = []
+    for other in (0, 1):
+        p, there = probability[1 - other], probability[other]
+        firm = (np.maximum(p, 1 - p) >= CONFIDENT) & ((p > 0.5) == (there > 0.5)) & ~np.isin(rows.ids, np.fromiter(told[other], np.int64, len(told[other])))
+        found.append(surest(rows.ids[firm], np.abs(p[firm] - 0.5), p[firm] > 0.5, rows.sizes[firm], handed))
+    return found
+
+
+def surest(ids: np.ndarray, sure: np.ndarray, good: np.ndarray, n: np.ndarray, handed: int) -> tuple[np.ndarray, ...]:
+    """One of each id, and of these the `handed` surest of each class."""
+    _, first = np.unique(ids, return_index=True)
+    order = first[np.lexsort((ids[first], -sure[first]))]
+    kept = np.concatenate([order[good[order] == c][:handed] for c in (True, False)])
+    return ids[kept], sure[kept], good[kept], n[kept]
+
+
+def learn(rows: Rows, y: np.ndarray, held: np.ndarray, exchange: Callable[[Model, list[set[int]]], list[tuple[Rows, np.ndarray]]], rounds: int = ROUNDS) -> Model:
+    """The model of labelled rows, of which `held` are for calibration only. exchange gives, for each view, the rows and classes that the other hands to it."""
+    numbers_ = rows.meta[:, : len(NUMBERS)]
+    edges = np.stack([np.quantile(numbers_[:, j], np.linspace(0, 1, BINS + 2)[1:-1]) if len(y) else np.zeros(BINS) for j in range(len(NUMBERS))])
     model = Model(edges, np.zeros(WORDS + 1), np.zeros(_meta_size() + 1), [np.array([0.0, 1.0])] * 2, np.array([0.0, 0.5, 0.5, 0.0]))
     if not len(y):
         return model
-    views = [Sparse(texts, WORDS), Sparse(list(model.meta_features(values, cats)), _meta_size())]
-    learned = [np.flatnonzero(part == 0)] * 2
-    target = [np.where(part == 2, 0.5, y).astype(float) for _ in views]
-    weight, pool = np.where(part == 2, 0.5, 1.0), np.flatnonzero(part == 2)
+    own = rows.take(np.flatnonzero(~held))
+    parts = [[(own, y[~held].astype(float), 1.0)] for _ in (0, 1)]
+    told: list[set[int]] = [set(own.ids.tolist()) | set(rows.ids[held].tolist()) for _ in (0, 1)]
+    scaled: list[np.ndarray | None] = [None, None]
     for step in range(rounds + 1):
-        w = [fit(v.take(k), t[k], weight[k], rare) for v, k, t, rare in zip(views, learned, target, (3, 1))]
-        if step == rounds or not len(pool):
+        weights = []
+        for view, rare in ((0, 3), (1, 1)):
+            x = Rows.joined([p for p, _, _ in parts[view]]).views(model)[view]
+            target = np.concatenate([t for _, t, _ in parts[view]])
+            weight = np.concatenate([np.full(len(t), w) for _, t, w in parts[view]])
+            w, scaled[view] = fit(x, target, weight, rare, scaled[view])
+            weights.append(w)
+        model.text, model.meta = weights
+        if step == rounds:
             break
-        told = [np.setdiff1d(pool, k) for k in learned]
-        for own, other in ((0, 1), (1, 0)):
-            p = sigmoid(views[own].take(told[other]).dot(w[own]))
-            there = sigmoid(views[other].take(told[other]).dot(w[other])) - 0.5
-            firm = (np.maximum(p, 1 - p) >= CONFIDENT) & ~((there * (p - 0.5) < 0) & (np.abs(there) > OPPOSED))
-            sure = np.flatnonzero(firm)[np.argsort(-np.abs(p[firm] - 0.5), kind="stable")[:handed]]
-            target[other][told[other][sure]] = p[sure] > 0.5
-            learned[other] = np.union1d(learned[other], told[other][sure])
-    model.text, model.meta = w
-    held = np.flatnonzero(part == 1)
-    if len(held) and 0 < y[held].mean() < 1:
-        z = [v.take(held).dot(x) for v, x in zip(views, w)]
-        model.calibration = [_dense_fit(np.stack([np.ones(len(held)), s], 1), y[held]) for s in z]
+        for view, (more, good) in enumerate(exchange(model, told)):
+            if len(good):
+                parts[view].append((more, good.astype(float), VOUCHED))
+                told[view] |= set(more.ids.tolist())
+    if held.any() and 0 < y[held].mean() < 1:
+        z = rows.take(np.flatnonzero(held)).scores(model)
+        model.calibration = [_dense_fit(np.stack([np.ones(len(s)), s], 1), y[held]) for s in z]
         a, b = (np.clip(c[0] + c[1] * s, -8, 8) for c, s in zip(model.calibration, z))
-        model.joint = _dense_fit(np.stack([np.ones(len(held)), a, b, np.minimum(a, b)], 1), y[held])
+        model.joint = _dense_fit(np.stack([np.ones(len(a)), a, b, np.minimum(a, b)], 1), y[held])
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", sample: int = SAMPLE, pool: int = POOL) -> Model:
-    """Learns to tell documents labelled quality 1 and not toxic from the rest.
+def _draw(salt: str, *c: Column) -> Column:
+    """A number from 0 to below 1, by hash."""
+    return F.pmod(F.xxhash64(F.lit(salt), *c), F.lit(1 << 24)) / float(1 << 24)
 
-    Labelled keys and the pool are thinned by hashes to `sample` and `pool` expected ones; only their features (word
-    buckets, numbers, categories) reach the driver. Null keys and labels are left out; of a key's several labels the worst counts.
-    """
-    bad = F.greatest(1 - F.col("quality").cast("int"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)))
-    known = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).select(F.col(key).alias("_key"), (1 - bad).alias("_y"))
-    n, docs = known.count(), df.count()
-    draw = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(1 << 24))
-    share = lambda want, of: math.ceil(min(1.0, want / max(1, of)) * (1 << 24))
-    picked = written(known.filter(draw(F.col("_key"), "labelled") < share(sample, n)).groupBy("_key").agg(F.min("_y").alias("_y")), "labels")
-    small = picked.count() <= 2 * sample  # else keys repeat so much that the hash can't thin them
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).cast("string").alias("_source"), F.col(lang).cast("string").alias("_lang"))
-    rows = rows.join(F.broadcast(picked) if small else picked, "_key", "left").filter(F.col("_y").isNotNull() | (draw(F.struct("_key", F.lit(0)), "pool") < share(pool, docs)))
-    part = F.when(F.col("_y").isNull(), 2).otherwise((draw(F.col("_key"), "part") % 4 == 0).cast("int"))
-    schema = T._parse_datatype_string("y int, part int, numbers array<double>, cats array<int>, words array<int>")
+
+def features(df: DataFrame, text: str, key: str, source: str, lang: str) -> DataFrame:
+    """_key, _id (a hash of the content that the views look at), _n (its distinct word buckets), _meta and _words (binary) of each row, written to the shared folder."""
+    t, s, g = F.col(text), F.col(source).cast("string"), F.col(lang).cast("string")
+    content = F.xxhash64(*(x for c in (t, s, g) for x in (F.coalesce(c, F.lit("")), c.isNull())))
+    schema = T.StructType([T.StructField("_key", column_type(df, key)), *T._parse_datatype_string("_id long, _n int, _meta binary, _words binary")])
 
     def run(batches):
-        for b in batches:
-            y, p, texts, s, g = (b.column(i).to_pylist() for i in range(5))
-            yield batch_of([[v or 0 for v in y], p, [numbers(t) for t in texts], [categories(*c) for c in zip(s, g)], [sorted({bucket(w) for w in words(t)}) for t in texts]], schema)
+        known: dict[str, tuple[int, ...]] = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                texts, s, g = (b.column(i).to_pylist() for i in (2, 3, 4))
+                meta = [np.array([*numbers(x), *categories(*c)], "<f8").tobytes() for x, c in zip(texts, zip(s, g))]
+                found = [np.array(sorted(buckets(x, known)), "<u2") for x in texts]
+                yield batch_of([b.column(0), b.column(1), [len(x) for x in found], meta, [x.tobytes() for x in found]], schema)
+
+    return written(arrow_map(df.select(F.col(key).alias("_key"), content.alias("_id"), t.alias("_text"), s.alias("_source"), g.alias("_lang")), run, schema), "features")
+
 
-    got = arrow_map(rows.select("_y", part.alias("_part"), "_text", "_source", "_lang"), run, schema).toArrow()
-    column = lambda name: got.column(name).combine_chunks()
-    values = column("numbers").flatten().to_numpy().reshape(-1, len(NUMBERS))
-    cats = column("cats").flatten().to_numpy().astype(np.int64).reshape(-1, 2)
-    flat, ends = column("words").flatten().to_numpy(), column("words").value_lengths().to_numpy().cumsum()
-    texts = np.split(flat, ends[:-1]) if len(ends) else []
-    order = np.lexsort((values[:, 0], values[:, 2], values[:, 7], column("y").to_numpy(), column("part").to_numpy()))  # whatever order the tasks ended in
-    return learn(values[order], cats[order], [texts[i] for i in order], column("y").to_numpy()[order], column("part").to_numpy()[order])
+def fetched(made: DataFrame, ids: list[int]) -> Rows:
+    """Features of the contents with these ids, each once, in the order of the ids."""
+    rows = made.filter(F.col("_id").isin(ids)).groupBy("_id").agg(F.first("_meta").alias("_meta"), F.first("_words").alias("_words")) if ids else made.select("_id", "_meta", "_words").limit(0)
+    got = {i: (m, w) for i, m, w in zip(*(c.to_pylist() for c in rows.toArrow().columns))}
+    ids = [i for i in ids if i in got]
+    return Rows.of(ids, [got[i][0] for i in ids], [got[i][1] for i in ids])
+
+
+def _labelled(made: DataFrame, labels: DataFrame, key: str, sample: int, most_words: int) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """The sample: features, whether good, whether held back for calibration. Distinct keys are drawn first, so that those that are joined are
+    few, then the distinct contents of their rows, as a key may have any number of them."""
+    bad = F.greatest(1 - F.col("quality").cast("int"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)))
+    path = new_path(made.sparkSession, "labels")
+    known = written(labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("_key")).agg((1 - F.max(bad)).alias("_y")), "labels", path)
+    picked = known.filter(_draw("labelled", F.col("_key")) < sample / max(1, known.count()))
+    rows = made.select("_key", "_id", "_n").join(F.broadcast(picked), "_key")
+    contents = written(rows.groupBy("_id").agg(F.min("_y").alias("y"), F.first("_n").alias("n")), "contents")
+    total = contents.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    share = min(1.0, sample / max(1, total.rows), most_words / max(1, total.words))
+    got = sorted((r._id, r.y) for r in contents.filter(_draw("content", F.col("_id")) < share).collect())
+    ids = [i for i, _ in got]
+    drop_path(made.sparkSession, path)
+    held = np.array([i % 4 == 0 for i in ids], bool)
+    return fetched(made, ids), np.array([y for _, y in got], np.int64), held
+
+
+def co_train(made: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE, handed: int = HANDED, rounds: int = ROUNDS, most_words: int = SAMPLE_WORDS) -> Model:
+    """The model of a features table and labels (see train)."""
+    rows, y, held = _labelled(made, labels, key, sample, most_words)
+    schema = T._parse_datatype_string("view int, id long, sure double, good boolean, n long")
+
+    def exchange(model: Model, told: list[set[int]]) -> list[tuple[Rows, np.ndarray]]:
+        shared = made.sparkSession.sparkContext.broadcast((model, told))  # two weight vectors, and the ids of the bounded training sets
+
+        def run(batches):
+            (model, told), best = shared.value, [(np.empty(0, np.int64), np.empty(0), np.empty(0, bool), np.empty(0, np.int64))] * 2
+            for b in batches:
+                found = verdicts(model, Rows.of(*(b.column(i).to_pylist() for i in range(3))), told, handed)
+                best = [surest(*(np.concatenate(c) for c in zip(old, new)), handed) for old, new in zip(best, found)]
+            for view, found in enumerate(best):
+                yield batch_of([np.full(len(found[0]), view, np.int32), *found], schema)
+
+        # A task sends on no more than could be among the surest of all.
+        sent = arrow_map(made.select("_id", "_meta", "_words"), run, schema).groupBy("view", "id", "good").agg(F.max("sure").alias("sure"), F.first("n").alias("n"))
+        order = Window.partitionBy("view", "good").orderBy(F.desc("sure"), "id")
+        ranked = sent.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= handed).withColumn("words", F.sum("n").over(order))
+        chosen = [{}, {}]
+        for r in ranked.filter(F.col("words") <= most_words // 8).collect():
+            chosen[r.view][r.id] = r.good
+        every = fetched(made, sorted(set(chosen[0]) | set(chosen[1])))
+        shared.destroy()
+        place = {i: n for n, i in enumerate(every.ids.tolist())}
+        return [(every.take(np.array([place[i] for i in sorted(c)], np.int64)), np.array([c[i] for i in sorted(c)], bool)) for c in chosen]
+
+    return learn(rows, y, held, exchange, rounds)
+
+
+def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """Learns to tell documents labelled quality 1 and not toxic from the rest.
+
+    Of the distinct labelled keys `sample` expected ones are drawn, of the distinct contents of their rows as many, and fewer where these
+    have over SAMPLE_WORDS distinct words in all. All other rows are unlabelled, and all of them take part in every round of the exchange.
+    Null keys and labels are left out; of several labels of a key or content the worst counts.
+    """
+    made = features(df, text, key, source, lang)
+    return co_train(made, labels, key, sample)
 
 
 def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", source: str = "source", lang: str = "lang", threshold: float = 0.5) -> DataFrame:
@@ -238,10 +374,19 @@ def score(df: DataFrame, model: Model, keep: list[str], text: str = "text", sour
     return arrow_map(df.select(*keep, *more), run, schema)
 
 
-def quality_classifier(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", sample: int = SAMPLE, pool: int = POOL, threshold: float = 0.5) -> DataFrame:
+def quality_classifier(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """For each row: key, text_prob, meta_prob, quality_prob, kept.
 
     A null text counts as empty, null source and lang are values of their own. Repeated rows repeat, a null key stays
     null, an empty table gives none. Without labels of both kinds all rows get the verdict of the one kind, or 0.5 (kept).
     """
-    return score(df, train(df, labels, text, key, source, lang, sample, pool), [key], text, source, lang, threshold)
+    made = features(df, text, key, source, lang)
+    shared = df.sparkSession.sparkContext.broadcast(co_train(made, labels, key, sample))
+    schema = T.StructType([T.StructField(key, column_type(df, key)), *T._parse_datatype_string("text_prob double, meta_prob double, quality_prob double, kept boolean")])
+
+    def run(batches):
+        for b in batches:
+            pt, pm, p = shared.value.combine(*Rows.of(*(b.column(i).to_pylist() for i in (1, 2, 3))).scores(shared.value))
+            yield batch_of([b.column(0), pt, pm, p, p >= threshold], schema)
+
+    return arrow_map(made.select("_key", "_id", "_meta", "_words"), run, schema)
