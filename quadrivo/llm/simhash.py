@@ -4,8 +4,9 @@ Fingerprints that differ in at most `distance` bits are linked. Split into dista
 differ in one bit at most in some block, so each block is searched as a metric space of its own with
 radius 1 and every link is found. The upper levels of a block's vantage-point tree are the same for all: a fingerprint's distances
 from a few vantage points name its shard. By the triangle bound a partner at block distance 0 has the
-same distances, and one at block distance 1 has each of them one more or one less (parity excludes equal ones), so a fingerprint
-visits, beside its own shard, the shards over that boundary - half of them, as each pair is met from one side. Within a shard the
+same distances, and one at block distance 1 has each of them one more or one less (parity excludes equal ones); which of them go up
+depends on the one bit that differs. So a fingerprint visits, beside its own shard, one shard over the boundary for each bit of the block at most, and half of
+these, as each pair is met from one side - however deep the tree. Within a shard the
 tree goes on, with vantage points of its own, until few enough are left to compare whole fingerprints exactly.
 
 Copies with one fingerprint are one point. A shard that holds more than SHARD points is dealt out as a grid of smaller ones, so no task gets them all.
@@ -26,7 +27,7 @@ from .shared import arrow_map, batch_of, column_type, ship, written
 
 DISTANCE, SHINGLE, SEED = 4, 4, 42
 #: Points of a shard that one task takes; points of a leaf's two sides that are compared at once; sample for vantage points.
-SHARD, LEAF, SAMPLE, MOST_POINTS = 1 << 16, 1 << 18, 256, 6
+SHARD, LEAF, SAMPLE = 1 << 16, 1 << 18, 256
 _BITS = 1 << np.arange(64, dtype=np.uint64)
 
 
@@ -158,25 +159,49 @@ def _vantage_points(sample: list[int], mask: int, n: int) -> list[int]:
     return picked
 
 
+def plan(n: int, distance: int = DISTANCE, shard: int = SHARD) -> tuple[int, float]:
+    """Vantage points of each block's tree for n different fingerprints, and how often each fingerprint is expected to be sent if they are spread evenly.
+
+    A vantage point leaves a sixth at most in the largest shard, which its guests then enlarge; a third is left for uneven data. The depth ends
+    where shards are single values of a block, or their numbers no longer fit into 62 bits.
+    """
+    masks = _blocks(distance)
+    width = max(m.bit_count() for m in masks)
+    most = next(k for k in range(64, 0, -1) if len(masks) * (width + 2) ** k < 1 << 62 and (k == 1 or 6 ** (k - 4) < 2**width))
+    guests = lambda k: min(2 ** (k - 1), width / 2) if distance else 0
+    depth = next((k for k in range(1, most) if n * (1 + guests(k)) / 6**k <= shard / 1.5), most)
+    largest = n * (1 + guests(depth)) / min(6**depth, 2**width)
+    return depth, len(masks) * (1 + guests(depth)) * max(1, -(-largest // shard))
+
+
+def visits(points: DataFrame, sample: list[int], distance: int, depth: int) -> DataFrame:
+    """fp, shard, guest: each fingerprint (column fp) at home in a shard of each block, and as a guest in those over the boundary."""
+    masks, found = _blocks(distance), []
+    base = max(m.bit_count() for m in masks) + 2
+    for block, mask in enumerate(masks):
+        vantage = _vantage_points(sample, mask, depth)
+        powers = [base ** (len(vantage) - 1 - i) for i in range(len(vantage))]
+        code = F.lit(block * base**depth)
+        for v, power in zip(vantage, powers):
+            code = code + F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(v)))).cast("long") * F.lit(power)
+        shards = F.array(F.struct(code.cast("long").alias("shard"), F.lit(False).alias("guest")))
+        if distance and vantage:
+            # What a bit's change from 0 to 1 adds to the code; from 1 to 0 it takes that off.
+            bits = [j for j in range(64) if mask >> j & 1]
+            change = F.array(*(F.struct(F.lit(j).alias("bit"), F.lit(sum(-p if v >> j & 1 else p for v, p in zip(vantage, powers))).cast("long").alias("by")) for j in bits))
+            moved = F.transform(change, lambda c: F.when(F.getbit("fp", c["bit"]) == 1, -c["by"]).otherwise(c["by"]))
+            over = F.array_distinct(F.filter(moved, lambda d: d > 0))
+            shards = F.concat(shards, F.transform(over, lambda d: F.struct((code + d).cast("long").alias("shard"), F.lit(True).alias("guest"))))
+        found.append(shards)
+    return points.select("fp", F.explode(F.concat(*found)).alias("v")).select("fp", "v.shard", "v.guest")
+
+
 def links(points: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> DataFrame:
     """Spanning links (a, b) of all pairs of distinct fingerprints (column fp) within the distance; each shard's links are a forest."""
     ship(points.sparkSession)
-    n = points.count()
     sample = [r.fp for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    # Each vantage point leaves a sixth at most in the largest shard, which its guests then enlarge; a third is left for uneven data.
-    depth = next((k for k in range(1, MOST_POINTS) if n * (1 + 2 ** (k - 1)) / 6**k <= shard / 1.5), MOST_POINTS)
-    visits = []
-    for block, mask in enumerate(_blocks(distance)):
-        at = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(v)))) for v in _vantage_points(sample, mask, depth)] or [F.lit(0)]
-        shifts = [[0] * len(at)]
-        if distance:
-            shifts += [[1, *(1 if i >> j & 1 else -1 for j in range(len(at) - 1))] for i in range(1 << (len(at) - 1))]
-        for shift in shifts:
-            code = F.lit(block)
-            for d, s in zip(at, shift):
-                code = code * 67 + d + (s + 1)
-            visits.append(F.struct(code.cast("long").alias("shard"), F.lit(any(shift)).alias("guest")))
-    met = points.select("fp", F.explode(F.array(*visits)).alias("v")).select("fp", "v.shard", "v.guest")
+    depth, _ = plan(points.count(), distance, shard)
+    met = visits(points, sample, distance, depth)
     # A shard without a home point has no work; one with too many points becomes a grid.
     sizes = written(met.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(~F.col("guest")).alias("homes")).filter("homes > 0 and n > 1"), "shards")
     dealt = sizes.select("shard", F.ceil(F.col("n") / shard).cast("int").alias("side"))
@@ -186,7 +211,7 @@ def links(points: DataFrame, distance: int = DISTANCE, shard: int = SHARD) -> Da
     spread = met.join(dealt, "shard").withColumn("salt", salt).select("fp", "guest", "salt", "shard", F.explode(cells).alias("c")).select("fp", "guest", "salt", "shard", "c.i", "c.j")
     masks = _blocks(distance)
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    blocks_of = 67 ** len(_vantage_points(sample, masks[0], depth) or [0])
+    blocks_of = (max(m.bit_count() for m in masks) + 2) ** depth
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         code, i, j = (k.as_py() for k in key)

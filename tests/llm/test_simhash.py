@@ -84,6 +84,44 @@ def test_links_of_dense_and_sparse_points(spark, distance):
         assert {got.get(f, f) for f in g} == {min(g)}
 
 
+def test_copies_are_bounded(spark):
+    """However many fingerprints there are, each is sent a bounded number of times; the plan's figure holds for counted visits."""
+    from quadrivo.llm.simhash import _blocks, plan, visits
+
+    assert {n: round(plan(n)[1]) for n in (10**6, 10**8, 10**9, 10**10, 3 * 10**10)} == {10**6: 15, 10**8: 36, 10**9: 36, 10**10: 36, 3 * 10**10: 72}
+    rng = random.Random(5)
+    fps = np.array([rng.getrandbits(64) for _ in range(20_000)], np.uint64).view(np.int64).tolist()
+    points = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for depth in (1, 3, 9):
+        counts = visits(points, fps[:256], 4, depth).groupBy("fp").count().agg({"count": "avg"}).first()[0]
+        assert counts <= len(_blocks(4)) * (1 + min(2 ** (depth - 1), 11)) + 0.5
+    assert max(r.n for r in visits(points, fps[:256], 4, 9).filter("not guest").groupBy("shard").agg({"fp": "count"}).toDF("shard", "n").collect()) < 20
+
+
+@pytest.mark.parametrize("depth", [1, 4, 11])
+def test_partners_meet_at_any_depth(spark, depth):
+    """Each pair within four bits has a shard in which at least one of the two is at home."""
+    from quadrivo.llm.simhash import visits
+
+    rng = random.Random(depth)
+    pairs = []
+    for _ in range(2000):
+        a = b = rng.getrandbits(64)
+        for j in rng.sample(range(64), rng.randrange(1, 5)):
+            b ^= 1 << j
+        pairs.append((a, b))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    points = spark.createDataFrame([(signed(x),) for p in pairs for x in p], "fp long")
+    home, seen = {}, {}
+    for r in visits(points, [signed(a) for a, _ in pairs[:256]], 4, depth).collect():
+        seen.setdefault(r.fp, set()).add(r.shard)
+        if not r.guest:
+            home.setdefault(r.fp, set()).add(r.shard)
+    for a, b in pairs:
+        a, b = signed(a), signed(b)
+        assert home[a] & seen[b] or home[b] & seen[a]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)]
     random.Random(0).shuffle(edges)
