@@ -1,7 +1,10 @@
 """Media columns: ISO base media (MP4-family) containers.
 
-write_container() stores a payload as samples of an uncompressed 8-bit audio track; probe() walks the nested boxes of any such file, decodes the sample tables
+write_container() stores a payload as samples of an uncompressed 8-bit audio track; probe() walks the nested boxes of any such file, decodes the sample tables, those of movie fragments too,
 and reports codec, duration and the byte ranges of keyframes without touching the payload; read_payload() gathers the samples' bytes by those tables.
+
+Nothing in a file is trusted: every count is held against the length of its box, or of the file, before anything of that size is made, and
+samples outside the file are refused, so memory is bounded by the file's own length.
 """
 
 from __future__ import annotations
@@ -80,6 +83,8 @@ class Track:
     sizes: np.ndarray
     times: np.ndarray
     keys: np.ndarray
+    #: Duration of the last sample, where the samples are those of a fragment.
+    last: int = 0
 
     def key_ranges(self) -> list[tuple[int, int]]:
         """Begin and end of each keyframe's bytes."""
@@ -104,58 +109,194 @@ def boxes(data: memoryview, start: int, stop: int) -> Iterator[tuple[bytes, int,
         at += size
 
 
-def _leaves(data: memoryview, start: int, stop: int) -> dict[bytes, tuple[int, int]]:
-    """The first box of each kind at any depth below containers, tracks apart."""
-    found: dict[bytes, tuple[int, int]] = {}
+class Body:
+    """A box's body, from which numbers are read within its bounds."""
+
+    def __init__(self, data: memoryview, kind: bytes, start: int, stop: int):
+        self.data, self.kind, self.start, self.stop = data, kind, start, stop
+
+    def refused(self, why: str) -> ValueError:
+        return ValueError(f"{self.kind.decode('latin-1')}: {why}")
+
+    def numbers(self, at: int, form: str) -> tuple:
+        if self.start + at + struct.calcsize(form) > self.stop:
+            raise self.refused("cut")
+        return struct.unpack_from(form, self.data, self.start + at)
+
+    def array(self, at: int, n: int, kind: str = ">u4") -> np.ndarray:
+        if self.start + at + n * np.dtype(kind).itemsize > self.stop:
+            raise self.refused(f"{n} entries do not fit")
+        return np.frombuffer(self.data, kind, n, self.start + at).astype(np.int64)
+
+    def counted(self, width: int, kind: str = ">u4") -> np.ndarray:
+        """The table behind a version, flags and a count of its rows."""
+        (n,) = self.numbers(4, ">I")
+        return self.array(8, n * width, kind).reshape(-1, width)
+
+    def flags(self) -> int:
+        return self.numbers(0, ">I")[0] & 0xFFFFFF
+
+
+def _leaves(data: memoryview, start: int, stop: int, apart: tuple[bytes, ...] = ()) -> dict[bytes, list[Body]]:
+    """The boxes of each kind at any depth below containers, in order; those of a kind kept apart are not entered."""
+    found: dict[bytes, list[Body]] = {}
     todo = [(start, stop)]
     while todo:
+        inner = []
         for kind, a, b in boxes(data, *todo.pop()):
-            if kind in CONTAINERS and kind != b"trak":
-                todo.append((a, b))
+            if kind in CONTAINERS and kind not in apart:
+                inner.append((a, b))
             else:
-                found.setdefault(kind, (a, b))
+                found.setdefault(kind, []).append(Body(data, kind, a, b))
+        todo += reversed(inner)
     return found
 
 
-def _array(data: memoryview, at: int, n: int, kind: str = ">u4") -> np.ndarray:
-    return np.frombuffer(data, kind, n, at).astype(np.int64)
-
-
-def _track(data: memoryview, start: int, stop: int) -> Track:
-    at = {k: v[0] for k, v in _leaves(data, start, stop).items()}
-    wide = data[at[b"mdhd"]] == 1
-    timescale, duration = struct.unpack_from(">IQ", data, at[b"mdhd"] + 20) if wide else struct.unpack_from(">II", data, at[b"mdhd"] + 12)
-    handler = bytes(data[at[b"hdlr"] + 8 : at[b"hdlr"] + 12]).decode("latin-1")
-    codec = bytes(data[at[b"stsd"] + 12 : at[b"stsd"] + 16]).decode("latin-1")
-    count = lambda kind, skip=4: struct.unpack_from(">I", data, at[kind] + skip)[0]
-    one, n = struct.unpack_from(">II", data, at[b"stsz"] + 4)
-    sizes = np.full(n, one, np.int64) if one else _array(data, at[b"stsz"] + 12, n)
-    offsets = _array(data, at[b"co64"] + 8, count(b"co64"), ">u8") if b"co64" in at else _array(data, at[b"stco"] + 8, count(b"stco"))
-    runs = _array(data, at[b"stsc"] + 8, 3 * count(b"stsc")).reshape(-1, 3)
-    per = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(offsets) + 1]))
-    chunk = np.repeat(np.arange(len(offsets)), per)[:n]
-    ends = np.cumsum(sizes)
-    first = np.r_[0, np.cumsum(per)[:-1]][chunk] if n else chunk
-    places = offsets[chunk] + (ends - sizes) - (ends - sizes)[first] if n else np.empty(0, np.int64)
-    steps = _array(data, at[b"stts"] + 8, 2 * count(b"stts")).reshape(-1, 2)
-    deltas = np.repeat(steps[:, 1], steps[:, 0])[:n]
+def _sizes(found: dict[bytes, Body], most: int) -> np.ndarray:
+    """The size of each sample."""
+    if b"stz2" in found:
+        box = found[b"stz2"]
+        width, n = box.numbers(7, ">BI")
+        if width == 16:
+            return box.array(12, n, ">u2")
+        if width == 8:
+            return box.array(12, n, ">u1")
+        if width != 4:
+            raise box.refused(f"fields of {width} bits")
+        pairs = box.array(12, -(-n // 2), ">u1")
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n]
+    box = found[b"stsz"]
+    one, n = box.numbers(4, ">II")
+    if not one:
+        return box.array(12, n)
+    if one * n > most:
+        raise box.refused(f"{n} samples of {one} bytes do not fit into the file")
+    return np.full(n, one, np.int64)
+
+
+def _places(found: dict[bytes, Body], sizes: np.ndarray) -> np.ndarray:
+    """Where each sample begins."""
+    n, runs = len(sizes), found[b"stsc"].counted(3)
+    offsets = (found[b"co64"].counted(1, ">u8") if b"co64" in found else found[b"stco"].counted(1)).ravel()
+    if not n:
+        return np.empty(0, np.int64)
+    first = runs[:, 0] - 1
+    if not len(runs) or first[0] or (np.diff(first) <= 0).any() or first[-1] >= len(offsets) or (runs[:, 1] == 0).any():
+        raise found[b"stsc"].refused("chunks out of order")
+    per = np.minimum(runs[:, 1], n + 1)
+    ends = np.cumsum(np.diff(np.r_[first, len(offsets)]) * per)
+    if ends[-1] < n:
+        raise found[b"stsc"].refused("fewer places than samples")
+    at = np.arange(n)
+    run = np.searchsorted(ends, at, side="right")
+    inner = at - np.r_[0, ends][run]
+    leads = np.flatnonzero(inner % per[run] == 0)  # the first sample of each chunk
+    before = np.cumsum(sizes) - sizes
+    chunk = first[run] + inner // per[run]
+    return offsets[chunk] + before - np.repeat(before[leads], np.diff(np.r_[leads, n]))
+
+
+def _track(data: memoryview, start: int, stop: int, most: int) -> tuple[int | None, Track]:
+    """A track's number, if it has one, and what its sample tables say. most: bytes that are left for samples."""
+    found = {k: v[0] for k, v in _leaves(data, start, stop).items()}
+    wide = found[b"mdhd"].numbers(0, ">B")[0] == 1
+    timescale, duration = found[b"mdhd"].numbers(20, ">IQ") if wide else found[b"mdhd"].numbers(12, ">II")
+    number = found[b"tkhd"].numbers(20 if found[b"tkhd"].numbers(0, ">B")[0] == 1 else 12, ">I")[0] if b"tkhd" in found else None
+    handler, codec = (found[k].numbers(at, ">4s")[0].decode("latin-1") for k, at in ((b"hdlr", 8), (b"stsd", 12)))
+    sizes = _sizes(found, most)
+    steps, n = found[b"stts"].counted(2), len(sizes)
+    if steps[:, 0].sum() != n:
+        raise found[b"stts"].refused("times of another number of samples")
+    deltas = np.repeat(steps[:, 1], steps[:, 0])
     keys = np.ones(n, bool)
-    if b"stss" in at:
+    if b"stss" in found:
+        marked = found[b"stss"].counted(1).ravel() - 1
+        if len(marked) and (marked.min() < 0 or marked.max() >= n):
+            raise found[b"stss"].refused("no such sample")
         keys[:] = False
-        keys[_array(data, at[b"stss"] + 8, count(b"stss")) - 1] = True
-    return Track(codec, handler, timescale, duration, places, sizes, np.r_[0, np.cumsum(deltas)[:-1]] if n else deltas, keys)
+        keys[marked] = True
+    return number, Track(codec, handler, timescale, duration, _places(found, sizes), sizes, np.cumsum(deltas) - deltas, keys)
+
+
+def _fragment(data: memoryview, start: int, stop: int, head: int, defaults: dict[int, tuple], tracks: dict[int, list[Track]], spent: list[int]) -> None:
+    """Adds the samples of a movie fragment to their tracks. head: where its box begins; defaults: duration, size and flags by track; spent: samples so far."""
+    follows = head
+    for part in _leaves(data, start, stop, (b"traf",)).get(b"traf", []):
+        found = _leaves(data, part.start, part.stop)
+        own = found[b"tfhd"][0]
+        flags, at = own.flags(), 8
+        number, base = own.numbers(4, ">I")[0], head if own.flags() & 0x20000 else follows
+        if number not in tracks:
+            raise own.refused(f"no track {number}")
+        if flags & 1:
+            (base,), at = own.numbers(at, ">Q"), at + 8
+        at += 4 * bool(flags & 2)
+        told = list(defaults.get(number, (0, 0, 0)))
+        for i, bit in enumerate((0x08, 0x10, 0x20)):
+            if flags & bit:
+                (told[i],), at = own.numbers(at, ">I"), at + 4
+        last = tracks[number][-1]
+        clock = int(last.times[-1]) + last.last if len(last.times) else 0
+        if b"tfdt" in found:
+            (clock,) = found[b"tfdt"][0].numbers(4, ">Q" if found[b"tfdt"][0].numbers(0, ">B")[0] == 1 else ">I")
+        follows = base
+        for run in found.get(b"trun", []):
+            flags, (n,), at = run.flags(), run.numbers(4, ">I"), 8
+            if flags & 1:
+                (offset,), at = run.numbers(at, ">i"), at + 4
+                follows = base + offset
+            first = None
+            if flags & 4:
+                (first,), at = run.numbers(at, ">I"), at + 4
+            given = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if n > len(data) - spent[0]:
+                raise run.refused(f"{n} samples do not fit into the file")
+            spent[0] += n
+            table = run.array(at, n * len(given)).reshape(n, len(given))
+            durations, sizes, marks = (table[:, given.index(bit)] if bit in given else np.full(n, told[i], np.int64) for i, bit in enumerate((0x100, 0x200, 0x400)))
+            if first is not None and n and 0x400 not in given:
+                marks[0] = first
+            ends = np.cumsum(sizes)
+            times = clock + np.cumsum(durations) - durations
+            tracks[number].append(Track("", "", 0, 0, follows + ends - sizes, sizes, times, marks & 0x10000 == 0, int(durations[-1]) if n else 0))
+            clock, follows = clock + int(durations.sum()), follows + int(sizes.sum())
+
+
+def _joined(parts: list[Track], most: int) -> Track:
+    """A track with the samples of its fragments, all of which must lie in the file."""
+    whole = parts[0]
+    for name in ("places", "sizes", "times", "keys"):
+        setattr(whole, name, np.concatenate([getattr(p, name) for p in parts]))
+    if not whole.duration and len(parts) > 1 and len(whole.times):
+        whole.duration = int(whole.times[-1]) + parts[-1].last
+    if len(whole.sizes) and (whole.places.min() < 0 or (whole.places > most - whole.sizes).any() or whole.sizes.sum() > most):
+        raise ValueError("samples outside the file, or more of them than it holds")
+    return whole
 
 
 def probe(media: bytes) -> list[Track]:
-    """The tracks of a container, from its boxes alone. Raises ValueError for what is no such file."""
-    data, tracks = memoryview(media), []
+    """The tracks of a container, from its boxes alone. Raises ValueError for what is no such file, or contradicts itself."""
+    data, tracks, defaults, spent = memoryview(media), {}, {}, [0]
     try:
+        at = 0
         for kind, a, b in boxes(data, 0, len(data)):
             if kind == b"moov":
-                tracks += [_track(data, x, y) for k, x, y in boxes(data, a, b) if k == b"trak"]
-    except (KeyError, struct.error, IndexError) as e:
+                found = _leaves(data, a, b, (b"trak",))
+                for t in found.get(b"trak", []):
+                    number, track = _track(data, t.start, t.stop, len(data) - spent[0])
+                    number = -1 - len(tracks) if number is None else number
+                    if number in tracks:
+                        raise ValueError(f"track {number} twice")
+                    tracks[number], spent[0] = [track], spent[0] + len(track.sizes)
+                defaults |= {t.numbers(4, ">I")[0]: t.numbers(12, ">III") for t in found.get(b"trex", [])}
+            elif kind == b"moof":
+                _fragment(data, a, b, at, defaults, tracks, spent)
+            at = b
+        return [_joined(parts, len(data)) for parts in tracks.values()]
+    except KeyError as e:
+        raise ValueError(f"no box {e.args[0]!r}") from e
+    except (struct.error, IndexError, OverflowError) as e:
         raise ValueError(f"not a readable container: {e!r}") from e
-    return tracks
 
 
 def read_payload(media: bytes, track: Track) -> bytes:
@@ -176,7 +317,7 @@ def feature(track: Track) -> str:
 
 
 def probe_column(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """For each track of each row's container: key, track, codec, handler, timescale, duration, samples, key_ranges (array of begin and end). A null or unreadable container gives one row with error set."""
+    """For each track of each row's container: key, track, codec, handler, timescale, duration, samples, key_ranges (array of begin and end). A null, unreadable or trackless container gives one row with error set."""
     schema = T.StructType([T.StructField(key, column_type(df, key)), *T._parse_datatype_string("track int, codec string, handler string, timescale long, duration long, samples long, key_ranges array<struct<begin:long,end:long>>, error string")])
 
     def run(batches):
@@ -186,9 +327,11 @@ def probe_column(df: DataFrame, media: str = "media", key: str = "doc_id") -> Da
                 try:
                     if m is None:
                         raise ValueError("null")
-                    rows += [(k, i, t.codec, t.handler, t.timescale, t.duration, len(t.sizes), [{"begin": x, "end": y} for x, y in t.key_ranges()], None) for i, t in enumerate(probe(m))]
-                except ValueError as e:
-                    rows.append((k, *[None] * 7, str(e)))
+                    if not (tracks := probe(m)):
+                        raise ValueError("no tracks")
+                    rows += [(k, i, t.codec, t.handler, t.timescale, t.duration, len(t.sizes), [{"begin": x, "end": y} for x, y in t.key_ranges()], None) for i, t in enumerate(tracks)]
+                except Exception as e:  # noqa: BLE001 - one file never stops the rest
+                    rows.append((k, *[None] * 7, str(e) or type(e).__name__))
             if rows:
                 yield batch_of(list(zip(*rows)), schema)
 

@@ -49,6 +49,104 @@ def test_foreign_layouts():
         write_container(b"x")
 
 
+def fragmented(offsets=True):
+    """Two fragments of one track: sizes, durations and flags by sample in the first, by default in the second."""
+    stbl = _box(b"stbl", _full(b"stsd", struct.pack(">I", 1), _box(b"avc1", bytes(8))), *(_full(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")), _full(b"stsz", bytes(8)))
+    tkhd = _full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0))
+    mdia = _box(b"mdia", _full(b"mdhd", struct.pack(">IIII", 0, 0, 1000, 0), bytes(4)), _full(b"hdlr", bytes(4), b"vide", bytes(13)), _box(b"minf", stbl))
+    made = _box(b"moov", _box(b"trak", tkhd, mdia), _box(b"mvex", _full(b"trex", struct.pack(">IIIII", 7, 1, 40, 6, 0x10000))))
+    samples = [(10, 5, 0), (20, 3, 0x10000), (30, 4, 0x10000)]
+
+    def moof(size):
+        run = _full(b"trun", struct.pack(">Ii", 3, size + 8), *(struct.pack(">III", *x) for x in samples), flags=0x701)
+        return _box(b"moof", _full(b"mfhd", struct.pack(">I", 1)), _box(b"traf", _full(b"tfhd", struct.pack(">I", 7), flags=0x20000), _full(b"tfdt", struct.pack(">Q", 100), version=1), run))
+
+    made += moof(len(moof(0))) + _box(b"mdat", b"aaaaabbbcccc")
+    at = len(made)
+
+    def second(size):
+        run = _full(b"trun", struct.pack(">IiI", 2, size + 8, 0), flags=0x5)
+        return _box(b"moof", _box(b"traf", _full(b"tfhd", struct.pack(">IQ", 7, at), flags=0x1), run))
+
+    return made + second(len(second(0))) + _box(b"mdat", b"ddddddeeeeee")
+
+
+def test_fragments():
+    made = fragmented()
+    (t,) = probe(made)
+    assert read_payload(made, t) == b"aaaaabbbccccddddddeeeeee" and t.codec == "avc1"
+    assert t.times.tolist() == [100, 110, 130, 160, 200] and t.duration == 240
+    assert [made[a:b] for a, b in t.key_ranges()] == [b"aaaaa", b"dddddd"]
+
+
+def test_compact_sizes():
+    payload = bytes(range(21))
+    for width, packed in ((4, bytes([0x12, 0x34, 0x56])), (8, bytes([1, 2, 3, 4, 5, 6])), (16, struct.pack(">6H", 1, 2, 3, 4, 5, 6))):
+        stbl = _box(b"stbl", _full(b"stsd", struct.pack(">I", 1), _box(b"mp4a", bytes(8))), _full(b"stts", struct.pack(">III", 1, 6, 1)), _full(b"stsc", struct.pack(">IIII", 1, 1, 6, 1)), _full(b"stz2", bytes(3), struct.pack(">BI", width, 6), packed), _full(b"stco", struct.pack(">II", 1, 8)))
+        mdia = _box(b"mdia", _full(b"mdhd", struct.pack(">IIII", 0, 0, 1, 6), bytes(4)), _full(b"hdlr", bytes(4), b"soun", bytes(13)), _box(b"minf", stbl))
+        made = _box(b"mdat", payload) + _box(b"moov", _box(b"trak", mdia))
+        (t,) = probe(made)
+        assert t.sizes.tolist() == [1, 2, 3, 4, 5, 6] and read_payload(made, t) == payload
+
+
+def test_false_counts_are_refused(spark):
+    """Counts and places that the file can't hold, each an error and none a large allocation."""
+    made = write_container(bytes(192 * 40))
+    word = lambda kind, skip, value: made[: (at := made.index(kind) + skip)] + struct.pack(">I", value) + made[at + 4 :]
+    bad = {
+        "stsz": word(b"stsz", 12, 0xFFFFFFFF),
+        "stts": word(b"stts", 12, 0xFFFFFFFF),
+        "stts ": word(b"stts", 8, 0xFFFFFFFF),
+        "stsc": word(b"stsc", 8, 0xFFFFFFFF),
+        "stsc ": word(b"stsc", 16, 0),
+        "stco": word(b"stco", 12, len(made)),
+        "stco ": word(b"stco", 8, 0xFFFFFFF),
+        "stss": word(b"stss", 12, 0),
+        "stss ": word(b"stss", 12, 41),
+    }
+    for data in bad.values():
+        with pytest.raises(ValueError):
+            probe(data)
+    rows = probe_column(spark.createDataFrame([*bad.items(), ("good", made)], "doc_id string, media binary")).collect()
+    assert {r.doc_id for r in rows if r.error is None} == {"good"} and len(rows) == len(bad) + 1
+
+
+FUZZ = """
+import random, resource, sys
+sys.path.insert(0, {root!r})
+from quadrivo.llm.media import feature, probe, read_payload, write_container
+from tests.llm.test_media import fragmented
+size = int(open("/proc/self/statm").read().split()[0]) * 4096
+resource.setrlimit(resource.RLIMIT_AS, (size + (1 << 30), size + (1 << 30)))
+rng, right = random.Random(7), 0
+for i in range(6000):
+    data = bytearray(fragmented() if i % 3 == 0 else write_container(bytes(192 * rng.randrange(1, 60))))
+    for _ in range(rng.randrange(1, 6)):
+        at = rng.randrange(len(data))
+        if i % 2:  # in the boxes behind the payload, where the tables are
+            at = rng.randrange(max(0, len(data) - 700), len(data))
+        size = rng.choice((1, 4))
+        data[at : at + size] = rng.choice((bytes(size), b"\\xff" * size, rng.randbytes(size)))
+    try:
+        for t in probe(bytes(data)):
+            assert len(read_payload(bytes(data), t)) == t.sizes.sum() and feature(t)
+            right += 1
+    except ValueError:
+        pass
+print(right)
+"""
+
+
+def test_fuzz_under_a_gigabyte():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent.parent)
+    done = subprocess.run([sys.executable, "-c", FUZZ.format(root=root)], capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0 and int(done.stdout) > 500, done.stderr[-2000:]
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "é" * 300_000, "x"), (4, "a" * 192, "x"), (4, "a" * 192, "x"), (None, "b", None)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -61,5 +159,5 @@ def test_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.feature.startswith("codec=raw;")
     tracks = probe_column(spark.createDataFrame([(1, bytes(got[0].media)), (2, None), (3, b"zz")], "doc_id long, media binary")).collect()
-    assert [t.codec for t in sorted(tracks, key=lambda t: t.doc_id)] == ["raw ", None] and {t.doc_id for t in tracks if t.error} == {2}
+    assert [t.codec for t in sorted(tracks, key=lambda t: t.doc_id)] == ["raw ", None, None] and {t.doc_id for t in tracks if t.error} == {2, 3}
     assert media_digests(spark.createDataFrame([], SCHEMA)).count() == 0
