@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import types as T
 
-from quadrivo.llm.language_id import _clean, hashed, language_id, train
+from quadrivo.llm.language_id import _clean, hashed, language_id, posterior, train
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.StringType())])
 
@@ -20,7 +20,7 @@ def test_hashes_are_even():
 def test_model_is_multinomial_naive_bayes(spark):
     rows = [(i, t, g, "x") for i, (t, g) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und die katze", "de"), (None, "en"), ("no label", None)] * 20)]
     df = spark.createDataFrame(rows, SCHEMA)
-    model = train(df)
+    (model,) = train(df)
     assert model.languages == ["de", "en", "fr"]
     learned = [(t, g) for i, t, g, _ in rows if g and t and zlib.crc32(str(i).encode()) % 4 != 2]
     counts = np.zeros((3, 1 << 15))
@@ -30,11 +30,33 @@ def test_model_is_multinomial_naive_bayes(spark):
     assert np.allclose(model.matrix, want)
     text = "the dog and le chat"
     z = model.prior + want[:, hashed(_clean(text))].sum(1)
-    names, scores = model.predict([text, "é" * 10, "", "7"])
+    names, top, total = model.predict([text, "é" * 10, "", "7"])
+    scores = posterior(names, top, total).tolist()
     assert names[0] == model.languages[z.argmax()] and abs(scores[0] - 1 / np.exp(z - z.max()).sum()) < 1e-9
     assert names[2:] == ["und", "und"] and scores[2:] == [0, 0]
 
 
+def test_any_number_of_languages(spark):
+    """300 languages of words of their own: all are learned, and blocks of any size give the same rows."""
+    rows = [(i, " ".join(f"{chr(0x4E00 + 7 * (i % 300) + j)}{chr(0x3041 + i % 60)}" for j in range(4)), f"l{i % 300:03}", "x") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole, parts = ({r.doc_id: r for r in language_id(df, block=n).collect()} for n in (512, 128))
+    assert len(whole) == len(parts) == 3000
+    assert all(whole[i].lang_pred == parts[i].lang_pred and abs(whole[i].score - parts[i].score) < 1e-9 for i in whole)
+    assert sum(whole[i].lang_pred == g for i, _, g, _ in rows) > 2900 and len({r.lang_pred for r in whole.values()}) == 300
+
+
+def test_hot_and_null_keys_are_thinned(spark):
+    """Null and repeated keys are drawn by their texts, and copies of a row count once."""
+    df = spark.range(60_000).selectExpr("if(id % 2 = 0, null, 4) doc_id", "if(id % 3 = 0, 'the same words', concat('word', id)) text", "'en' lang", "'x' score")
+    (model,) = train(df, sample=100)
+    grams = sum(len(hashed(_clean(t))) for t in ["the same words"] * 2 + ["word12345"] * 100)
+    counted = np.exp(model.matrix[0]).max()
+    assert model.languages == ["en"] and counted < 1
+    total = 0.5 / np.exp(model.matrix[0].min()) - 0.5 * (1 << 15)  # n-grams that were counted
+    assert 0.5 * grams < total < 2 * grams
+
+
 def test_rows(spark):
     rows = [(1, None, "en", "x"), (2, "", "fr", "x"), (3, "word " * 600_000, "en", "x"), (3, "mot", "fr", "x"), (3, "mot", "fr", "x"), (None, "123", None, "x")]
     got = sorted(map(tuple, language_id(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)

@@ -30,8 +30,9 @@ def test_near_duplicate_stage(spark):
 def test_pipeline_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]
-    model = language_id.train(docs)
-    names, scores = model.predict([r[1] for r in rows])
+    (model,) = language_id.train(docs)
+    found = model.predict([r[1] for r in rows])
+    names, scores = found[0], language_id.posterior(*found)
     rows = [r for r, n, s in zip(rows, names, scores) if n != "und" and s >= 0.5]
     left = spark.createDataFrame(rows, docs.schema)
     classifier = co_training.train(left, spark.read.parquet(f"{SF}/labels.parquet"))
