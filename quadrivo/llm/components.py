@@ -10,14 +10,14 @@ from .shared import drop_path, new_path, written
 MAX_STEPS = 64
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's larger (large) or smaller (small) neighbours to the smallest of its neighbourhood."""
+def _star(edges: DataFrame, large: bool, path: str) -> DataFrame:
+    """Links each node's larger (large) or smaller (small) neighbours to the smallest of its neighbourhood, which is kept at path."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # A hub may have a third of all links. Its least neighbour is summed up on the map side and written, so that the join is a plain one, whose large partitions can be split.
-    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", path)
     joined = both.join(least, "a")
     if large:
         return joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -33,11 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
     spark, was, path = edges.sparkSession, None, None
     edges = edges.select("a", "b").filter("a <> b")
     for _ in range(MAX_STEPS):
-        to = new_path(spark, "edges")
-        large = written(_star(edges, True).filter("a <> b").distinct(), "large")
-        edges = written(_star(large, False).filter("a <> b").distinct(), "edges", to)
-        if path:
-            drop_path(spark, path)
+        to, *used = (new_path(spark, name) for name in ("edges", "least", "large", "least"))
+        large = written(_star(edges, True, used[0]).filter("a <> b").distinct(), "large", used[1])
+        edges = written(_star(large, False, used[2]).filter("a <> b").distinct(), "edges", to)
+        for done in [*used, *([path] if path else [])]:
+            drop_path(spark, done)
         path = to
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == was:

@@ -17,19 +17,19 @@ from __future__ import annotations
 
 import bisect
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import byte_bpe
-from .shared import arrow_map, batch_of, column_type, new_path
+from .shared import arrow_map, batch_of, column_type, new_path, open_path
 
 MAGIC, VERSION = b"QSSTABLE", 1
 FOOTER = struct.Struct("<QQQQQQBB6x8s")
@@ -168,46 +168,39 @@ class ShardReader:
         return found
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-
-
 def write_sorted_table(df: DataFrame, tokenizer: str, path: str, text: str = "text", key: str = "doc_id", end_id: int = 0, block_bytes: int = BLOCK_BYTES) -> list[dict]:
     """Encodes text, appends end_id, and writes shards in ascending key order to the folder path, which all executors must reach.
 
     Returns the manifest in key order: a dict for each shard (path, entries, ids, bytes, and start: ids in all shards before it).
-    Equal keys are ordered by a hash of their text, which also lets a hot key spread over shards. A null
-    text counts as empty; a null key sorts first; an empty table gives no shards. A shard appears under its name only when it is whole, so a
-    task that is run again replaces it.
+    key must be an integer column (else TypeError). Equal keys are ordered by a hash of their text and then dealt at random, so that a hot key, even of equal texts,
+    spreads over shards. A null text counts as empty; a null key sorts first; an empty table gives no shards. Each attempt of a task writes a file of
+    its own name, and the manifest names those of the attempts that succeeded; what a killed or late attempt leaves is no part of the table.
     """
-    fields = "shard int, path string, entries long, ids long, bytes long"
-    schema = T._parse_datatype_string(fields)
+    if not isinstance(column_type(df, key), T.IntegralType):
+        raise TypeError(f"{key} must be an integer column")
+    schema = T._parse_datatype_string("shard int, path string, entries long, ids long, bytes long")
 
     def run(batches):
         bpe, task = byte_bpe(tokenizer), TaskContext.get()
         width, end, writer, store = bpe.dtype.itemsize, np.array([end_id], bpe.dtype), None, None
+        name = f"shard-{task.partitionId():06d}-{uuid.uuid4().hex}.sst"
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if writer is None:
-                    store, folder = _open(path)
+                    store, folder = open_path(path)
                     store.create_dir(folder, recursive=True)
-                    final = f"{folder}/shard-{task.partitionId():06d}.sst"
-                    part = f"{folder}/.{task.partitionId():06d}-{task.taskAttemptId()}.part"
-                    out = store.open_output_stream(part)
+                    out = store.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(out, width, block_bytes)
                 writer.add(encode_key(k), np.concatenate([bpe.ids(t), end]).tobytes())
         if writer:
             writer.close()
             out.close()
-            size = store.get_file_info(part).size
-            if store.get_file_info(final).type != pafs.FileType.NotFound:  # of an attempt whose end was not noticed
-                store.delete_file(final)
-            store.move(part, final)
-            yield batch_of([[task.partitionId()], [f"{path}/shard-{task.partitionId():06d}.sst"], [writer.entries], [writer.ids], [size]], schema)
-
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    order = ["key", F.xxhash64("text")]
-    shards = sorted(arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, schema).collect())
+            yield batch_of([[task.partitionId()], [f"{path}/{name}"], [writer.entries], [writer.ids], [store.get_file_info(f"{folder}/{name}").size]], schema)
+
+    # The random number makes no difference to the result: rows that it parts are equal in key and text.
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.rand(1).alias("deal"))
+    order = ["key", "hash", "deal"]
+    shards = sorted(arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text"), run, schema).collect())
     manifest, start = [], 0
     for s in shards:
         manifest.append(s.asDict() | {"start": start})
@@ -222,7 +215,7 @@ def read_sorted_table(spark: SparkSession, manifest: list[dict], key: str = "doc
     def run(batches):
         for b in batches:
             for at in b.column(0).to_pylist():
-                store, place = _open(manifest[at]["path"])
+                store, place = open_path(manifest[at]["path"])
                 with store.open_input_file(place) as source:
                     rows = []
                     for k, before, ids in ShardReader(source).scan():
@@ -241,7 +234,7 @@ def look_up(manifest: list[dict], key: int | None) -> list[np.ndarray]:
     """The ids of each entry with this key: shards by their Bloom filters, then bisection of the index."""
     found = []
     for shard in manifest:
-        store, place = _open(shard["path"])
+        store, place = open_path(shard["path"])
         with store.open_input_file(place) as source:
             found += ShardReader(source).get(key)
     return found

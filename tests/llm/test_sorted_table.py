@@ -44,6 +44,34 @@ def test_shard_round_trip_and_lookup():
         w.add(encode_key(0), b"")
 
 
+def test_attempts_that_were_killed_are_no_part_of_the_table(spark):
+    """Files of other attempts lie beside those of the manifest, whole or cut, and a table can be written twice to one folder."""
+    path = new_path(spark, "t")
+    df = spark.createDataFrame([(i, f"text {i}", 0) for i in range(50)], SCHEMA)
+    first = write_sorted_table(df, PATH, path)
+    folder = path.removeprefix("file://")
+    for s in first:
+        name = s["path"].rsplit("/", 1)[1]
+        with open(f"{folder}/{name[:13]}{'0' * 32}.sst", "wb") as f:
+            f.write(open(f"{folder}/{name}", "rb").read()[:100])
+    again = write_sorted_table(df, PATH, path)
+    assert {s["path"] for s in first}.isdisjoint(s["path"] for s in again)
+    for manifest in (first, again):
+        assert sorted(r.doc_id for r in read_sorted_table(spark, manifest).collect()) == list(range(50)) and len(look_up(manifest, 7)) == 1
+
+
+def test_equal_rows_spread_over_shards(spark):
+    df = spark.range(4000).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "id start")
+    manifest = write_sorted_table(df, PATH, new_path(spark, "t"))
+    assert len(manifest) > 1 and max(s["entries"] for s in manifest) < 2500 and sum(s["entries"] for s in manifest) == 4000
+    assert len(look_up(manifest, None)) == 4000
+
+
+def test_other_keys_are_refused(spark):
+    with pytest.raises(TypeError):
+        write_sorted_table(spark.createDataFrame([("a", "x")], "doc_id string, text string"), PATH, new_path(spark, "t"))
+
+
 def test_table_against_brute_force(spark):
     rng = random.Random(2)
     texts = [None, "", "x", "hello <|endoftext|> é", "word " * 30_000, *(" ".join(rng.choices(["a", "bc", "déf", "\n"], k=rng.randrange(60))) for _ in range(300))]
