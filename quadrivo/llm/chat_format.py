@@ -38,7 +38,7 @@ def _concat(parts: Column) -> Column:
 
 
 def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", train_role: str = "assistant") -> DataFrame:
-    """For each conversation: key, formatted, and segments, whose texts make up formatted in order; loss marks those to learn from, which are
+    """For each conversation: key, formatted, and loss, the mask: the spans of formatted (start, length, in code points) to learn from, in order, which are
     the escaped texts of train_role.
 
     A null text or role counts as empty. Turns of equal (or null: first) number are ordered by role and text, and repeated rows are
@@ -59,15 +59,25 @@ def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
         return F.concat(F.array(head), body, F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss"))))
 
     made = turns.withColumn("begins", begins).withColumn("blocks", block).withColumn("segments", F.flatten(F.transform("blocks", segments)))
-    return made.select(key, _concat(F.transform("segments", lambda s: s["text"])).alias("formatted"), "segments")
+    # Where each segment begins is summed up over lengths alone: an array that grew with the sum would be copied for each turn.
+    sizes = F.transform("segments", lambda s: F.struct(F.length(s["text"]).cast("long").alias("length"), s["loss"].alias("loss")))
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    runs = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        span = F.struct(acc["at"].alias("start"), s["length"].alias("length"))
+        return F.struct((acc["at"] + s["length"]).alias("at"), F.when(s["loss"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    loss = F.aggregate(sizes, runs, step, lambda acc: acc["spans"])
+    return made.select(key, _concat(F.transform("segments", lambda s: s["text"])).alias("formatted"), loss.alias("loss"))
 
 
 def read_chats(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """What format_chats made, read back: key, turns (role and text of each, unescaped, from formatted) and loss_text (unescaped, under the mask)."""
+    """What format_chats made, read back from formatted: key, turns (role and text of each, unescaped) and loss_text (unescaped, cut out by the spans of the mask)."""
     blocks = F.transform(F.filter(F.split("formatted", F.lit(END)), lambda b: b != ""), lambda b: F.struct(F.substring_index(F.substr(b, F.lit(len(HEAD) + 1)), COLON, 1).alias("role"), b.alias("raw")))
     texts = lambda b: F.split(F.substr(b["raw"], F.length(b["role"]) + F.lit(len(HEAD) + len(COLON) + 1)), F.lit(AND))
     turns = F.flatten(F.transform(blocks, lambda b: F.transform(texts(b), lambda t: F.struct(unescape(b["role"], ROLE_ESCAPES).alias("role"), unescape(t).alias("text")))))
-    loss = _concat(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])))
+    loss = _concat(F.transform("loss", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))))
     return df.select(key, "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
 

@@ -47,6 +47,6 @@ def test_template(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi", ""), (1, 1, "assistant", "a<b", ""), (1, 2, "assistant", "c", "")], SCHEMA)
     r = format_chats(df).first()
     assert r.formatted == "### user: hi</turn>\n### assistant: a\\lb<and>c</turn>\n"
-    assert [s.text for s in r.segments if s.loss] == ["a\\lb", "c"]
+    assert [r.formatted[s.start : s.start + s.length] for s in r.loss] == ["a\\lb", "c"] and r.asDict().keys() == {"conv_id", "formatted", "loss"}
     plan = format_chats(df.withColumn("x", F.lit(1)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
