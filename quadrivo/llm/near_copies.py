@@ -1,25 +1,36 @@
 """Near copies of texts: links of Jaccard similarity LEAST / OF or more over sets of word shingles, every one found and none else.
 
-Shingles are compared by their XXH64. Texts with equal sets are one point. Two sets that are alike enough share a shingle among the first
-n - ceil(0.8 n) + 1 of each, whatever the order of all shingles (prefix filter), so points that share one there are the
-candidates; how many they share there bounds what they can share at all, and those within the bound are compared whole. Shingles that are
-frequent in a sample come last in the order, so that common passages make few candidates; the sample bears on the work only.
+Shingles are compared by their XXH64. Texts with equal sets are one point. Links are sought in three steps, each of which leaves less to the next:
+
+1. SimHash: the sets' fingerprints go through the vantage-point trees of simhash; its links, and equal fingerprints, are compared whole.
+2. Pivots: two sets that are alike enough share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever the order of all shingles
+   (prefix filter). While groups of points that share one are so large that their pairs would outgrow them, each group's points are compared with one of them, and
+   what is linked need not be compared again. So a group of many copies costs a few comparisons for each copy, not one for each pair.
+3. The rest: points of a group that are not connected yet are paired; how many shingles they share there bounds what they can share
+   at all, and those within the bound are compared whole. So no link between points that are not connected otherwise is lost.
+
+Shingles that are frequent in a sample come last in the order, so that common passages make few candidates; the sample bears on the work only.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import arrow_map, batch_of, column_type, written
+from .shared import arrow_map, batch_of, column_type, drop_path, new_path, written
+from .simhash import bits_of, links
 
 LEAST, OF, SHINGLE, SEED = 4, 5, 5, 42
 #: Documents in which frequent shingles are sought, in how many of them one is frequent, and the most that are kept.
 SAMPLE, FREQUENT, MOST = 10_000, 4, 200_000
+#: Pairs of a group's points for each of its points from which pivots are compared first, and the most rounds of that (each has to halve what is left).
+CROWDED, ROUNDS = 8, 6
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -54,51 +65,109 @@ def _frequent(df: DataFrame, text: str, key: str) -> np.ndarray:
 
 
 def _sets(df: DataFrame, text: str, key: str, frequent: np.ndarray) -> DataFrame:
-    """key, id (a hash of the set), n (its size), prefix (the shingles by which it is found)."""
-    schema = T.StructType([T.StructField(key, column_type(df, key)), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """key, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found)."""
+    schema = T.StructType([T.StructField(key, column_type(df, key)), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
-            ids, sizes, prefixes = [], [], []
+            ids, sizes, fps, prefixes = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t)
                 ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                fps.append(bits_of(s))
                 if len(frequent):
                     late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                     s = np.r_[s[~late], s[late]]
                 prefixes.append(s[: len(s) - -(-LEAST * len(s) // OF) + 1].view(np.int64).tolist())
-            yield batch_of([b.column(0), np.array(ids, np.uint64).view(np.int64), sizes, prefixes], schema)
+            yield batch_of([b.column(0), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes], schema)
 
     return arrow_map(df.select(key, text), run, schema)
 
 
-def _verified(pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts s, t are alike."""
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are alike."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches):
+        held: dict[int, str | None] = {}
+
+        @lru_cache(maxsize=256)
+        def set_of(i: int) -> np.ndarray:
+            return shingles(held[i])
+
         for batch in batches:
             a, b, s, t = (batch.column(i).to_pylist() for i in range(4))
-            kept = [i for i in range(len(a)) if alike(shingles(s[i]), shingles(t[i]))]
+            held = dict(zip(a + b, s + t))
+            kept = [i for i in range(len(a)) if alike(set_of(a[i]), set_of(b[i]))]
             yield batch_of([[a[i] for i in kept], [b[i] for i in kept]], schema)
 
-    return arrow_map(pairs.select("a", "b", "s", "t"), run, schema)
+    whole = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
+    return arrow_map(whole.select("a", "b", "s", "t"), run, schema)
+
+
+def _fit(n: str, m: str) -> str:
+    """Whether sets of these sizes can be alike."""
+    return f"{OF} * least({n}, {m}) >= {LEAST} * greatest({n}, {m})"
+
+
+def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """For each row: key, component_id (the smallest key it is linked with over any number of links, its own included)."""
+    """For each row: key, component_id (the smallest key it is linked with over any number of links, its own included).
+
+    Null, empty and blank texts are alike. Repeated rows and keys repeat; a null key is never the smallest unless it is alone; an empty table gives none.
+    """
+    spark = df.sparkSession
     made = written(_sets(df, text, key, _frequent(df, text, key)), "sets")
-    points = written(made.groupBy("id").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "points")
-    found = points.select("id", "n", F.explode("prefix").alias("p"))
-    a, b = found.select(F.col("id").alias("a"), F.col("n").alias("na"), "p"), found.select(F.col("id").alias("b"), F.col("n").alias("nb"), "p")
-    met = a.join(b, "p").filter(f"a < b AND {OF} * least(na, nb) >= {LEAST} * greatest(na, nb)").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides.
-    pairs = written(met.filter(f"{LEAST + OF} * (shared + ceil({LEAST} * greatest(na, nb) / {OF}) - 1) >= {LEAST} * (na + nb)").select("a", "b"), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    points = written(made.groupBy("id").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "points")
+    # Only shingles that two points share can link any.
+    every = points.select("id", "n", F.explode("prefix").alias("p"))
+    common = every.groupBy("p").agg(F.count("*").alias("m")).filter("m > 1").select("p")
+    group_path = new_path(spark, "groups-of-shingles")
+    groups = written(every.join(common, "p"), "", group_path)
+    # SimHash: trees over distinct fingerprints, each of which its smallest point stands for.
+    prints = written(points.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("m")), "prints")
+    near = links(prints.select("fp")).distinct()
+    first = lambda c, to: prints.select(F.col("fp").alias(c), F.col("first").alias(to))
+    same = points.join(prints.filter("m > 1"), "fp").filter("id <> first").select(*_ordered(F.col("id"), F.col("first")))
+    found = written(near.join(first("a", "x"), "a").join(first("b", "y"), "b").select(*_ordered(F.col("x"), F.col("y"))).union(same).distinct(), "near")
+    # Texts of all points that may have to be compared.
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("id")).distinct()
     who = points.join(ends, "id").select("id", F.col("least").alias(key))
-    texts = written(df.join(who, key).groupBy("id").agg(F.first(text).alias("text")), "texts")
-    whole = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
-    groups = written(points.join(components(written(_verified(whole), "links")), F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "least"), "groups")
-    tops = written(groups.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
-    return made.select(key, "id").join(groups.join(tops, "root").select("id", "component_id"), "id").select(key, "component_id")
+    text_path = new_path(spark, "texts")
+    texts = written(df.join(who, key).groupBy("id").agg(F.first(text).alias("text")), "", text_path)
+    linked = written(_verified(found, texts), "links")
+    roots = written(components(linked), "roots")
+    before = float("inf")
+    for step in range(ROUNDS + 1):
+        at = written(groups.join(roots, groups.id == roots.node, "left").select("p", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+        # The points of a group that are connected with most of it need no comparison among themselves.
+        parts = at.groupBy("p", "root").agg(F.count("*").alias("m"))
+        main = written(parts.groupBy("p").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top")).select("p", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("others")).filter("others > 0"), "main")
+        size = main.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.col("m").cast("double") * F.col("others")), F.lit(0.0)).alias("pairs")).first()
+        if step == ROUNDS or size.pairs <= CROWDED * size.points or size.pairs > before / 2:
+            break
+        before = size.pairs
+        here = at.join(main.filter(f"others > {CROWDED}").select("p"), "p")
+        pivot = here.groupBy("p").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))).alias("x")).select("p", "x.v", "x.nv", "x.rv")
+        pairs = written(here.join(pivot, "p").filter(f"root <> rv AND {_fit('n', 'nv')}").select(*_ordered(F.col("id"), F.col("v"))).distinct(), "pivots")
+        linked = written(linked.union(_verified(pairs, texts)), "links")
+        roots = written(components(linked), "roots")
+    rest = at.join(main.select("p", "main"), "p")
+    a = rest.filter("root <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    b = rest.select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main")
+    # Both points of a pair may be apart from the main part: then it is met from both sides, of which one counts.
+    met = a.join(b, "p").filter(f"rx <> ry AND (ry = main OR x < y) AND {_fit('nx', 'ny')}").select(*_ordered(F.col("x"), F.col("y")), (F.col("nx") + F.col("ny")).alias("both"), F.greatest("nx", "ny").alias("larger"))
+    met = met.groupBy("a", "b", "both", "larger").agg(F.count("*").alias("shared"))
+    # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides.
+    pairs = written(met.filter(f"{LEAST + OF} * (shared + ceil({LEAST} * larger / {OF}) - 1) >= {LEAST} * both").select("a", "b"), "pairs")
+    linked = written(linked.union(_verified(pairs, texts)), "links")
+    for path in (group_path, text_path):
+        drop_path(spark, path)
+    roots = components(linked)
+    placed = written(points.join(roots, points.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), "least"), "groups")
+    tops = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
+    return made.select(key, "id").join(placed.join(tops, "root").select("id", "component_id"), "id").select(key, "component_id")

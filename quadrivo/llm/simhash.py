@@ -42,11 +42,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     spans = zip(starts[:n].tolist(), ends[len(words) - n :].tolist())
     digest = xxhash.xxh64_intdigest
-    counts, all_ = np.zeros(64, np.int64), np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n)
-    for i in range(0, n, 1 << 16):
-        part = all_[i : i + (1 << 16)]
+    return bits_of(np.fromiter((digest(joined[s:e], SEED) for s, e in spans), np.uint64, n))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)]
         counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(_BITS[2 * counts > n].sum())
+    return int(_BITS[2 * counts > len(hashes)].sum())
 
 
 def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:

@@ -1,12 +1,19 @@
 import random
+from functools import lru_cache
 
 import corpus_pipeline as cp
 from quadrivo.llm.simhash import fingerprint
 from tests.llm.test_pipeline import DOCS, SF
 
 
+@lru_cache(maxsize=None)
+def plain_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def jaccard(s, t):
-    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (s.lower().split(), t.lower().split()))
+    a, b = plain_set(s), plain_set(t)
     return len(a & b) / len(a | b)
 
 
@@ -37,3 +44,29 @@ def test_near_copies_beyond_four_bits_go(spark):
     rows = [(i, t, "en", "s", len(t), None) for i, t in enumerate(texts)]
     got = {r.doc_id for r in cp.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
     assert got == left(texts) and len(got) < len(texts)
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Some hundred near copies of one text, others that are only linked over others, and texts that share a passage alone; pairs grow with the copies, not their square."""
+    from quadrivo.llm import near_copies as nc
+
+    rng = random.Random(4)
+    passage, texts = [f"shared{i}" for i in range(30)], []
+    base = [f"w{rng.randrange(900)}" for _ in range(250)]
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.randrange(1, 3)):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    for i in range(20):  # a chain: each like the one before only
+        base = [f"c{i}x{j}" if 9 * i <= j < 9 * i + 9 else w for j, w in enumerate(base)]
+        texts.append(" ".join(base))
+    texts += [" ".join([f"u{i}x{j}" for j in range(rng.randrange(5, 60))] + passage) for i in range(120)]
+    rng.shuffle(texts)
+    compared, plain = [], nc._verified
+    monkeypatch.setattr(nc, "_verified", lambda pairs, held: compared.append(pairs.count()) or plain(pairs, held))
+    rows = [(i, t, "en", "s", len(t), None) for i, t in enumerate(texts)]
+    got = {r.doc_id for r in nc.near_copies(spark.createDataFrame(rows, DOCS)).filter("doc_id = component_id").collect()}
+    print(compared)
+    assert got == left(texts) and 120 < len(got) < 200
+    assert len(compared) > 2 and sum(compared) < 4000  # 31,125 pairs among the copies alone
