@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quadrivo.llm import co_training, language_id, near_copies
 from quadrivo.llm.packing import pack
 from quadrivo.llm.queries import BYTE_BPE
-from quadrivo.llm.shared import new_path, table
+from quadrivo.llm.shared import drop_path, new_path, scratch, table
 
 #: A document whose likeliest language has less than this probability is rejected, as is one without a letter.
 LANGUAGE_SCORE = 0.5
@@ -25,9 +25,8 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with an identified language. A null or empty text, or one without a letter, goes."""
-    model = language_id.train(docs)
     plain, names = numbered(docs)
-    scored = language_id.identify(plain, model, names["text"])
+    scored = language_id.identify(plain, language_id.train(docs), names["text"])
     return scored.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*plain.columns).toDF(*docs.columns)
 
 
@@ -51,13 +50,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = plain.withColumn("key", key)
     stays = near_copies.near_copies(keyed, names["text"], "key").filter("key = component_id").groupBy("key").agg(F.count("*").alias("n"))
     kept = keyed.join(stays, "key")
-    repeated = kept.filter("n > 1").groupBy("key").agg(F.min(F.struct(*plain.columns)).alias("row"))
+    whole = F.struct(*plain.columns)
+    repeated = kept.filter("n > 1").groupBy("key").agg(F.min_by(whole, F.to_json(whole)).alias("row"))  # as JSON, columns without an order have one too
     return kept.filter("n = 1").select(*plain.columns).unionByName(repeated.select("row.*")).toDF(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into windows that hold every source in proportion."""
-    return pack(docs, BYTE_BPE).drop("ids")
+    """Packs what is left into windows that hold every source in proportion: a row for each piece of a document, with its token ids (little-endian, 2 bytes each).
+
+    A null text is packed as the end id alone, rows that repeat are documents of their own, a null key or source is carried along, an empty table gives none.
+    """
+    return pack(docs, BYTE_BPE)
 
 
 STAGES = [("language", language_stage), ("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("packing", packing_stage)]
@@ -67,11 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table. Each stage's intermediate tables, and the stage before it, are removed once it is written."""
+    docs, was = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
-        made = stage(spark, docs, sf_dir)
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if was:
+            drop_path(spark, was)
+        docs, was = spark.read.schema(made.schema).parquet(path), path
     return docs
