@@ -205,15 +205,18 @@ def learn(labelled: DataFrame, bins: int = BINS) -> DecisionList:
 def train(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> DecisionList:
     """Learns to reject what labels (key, label: 1 good, 0 bad) call bad, among texts that pass the base rules.
 
-    Labels are thinned by a hash of the key to `sample` expected keys, whose texts alone are looked at. Null labels and keys are left out;
-    of a key's several labels the mean counts, 0.5 as good.
+    Of the distinct labelled keys `sample` expected ones are drawn by a hash; where their rows are more, as a key may have any number of them,
+    these are drawn by a hash of their texts, equal ones counting once. Null labels and keys are left out; of a key's several labels the mean counts, 0.5 as good.
     """
-    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"))
-    n = known.count()
-    draw = F.pmod(F.xxhash64(F.lit("rules"), F.col("_key")), F.lit(1 << 20))
-    picked = written(known.filter(draw < math.ceil(min(1.0, sample / max(1, n)) * (1 << 20))).groupBy("_key").agg(F.avg("_y").alias("_y")), "labels")
-    small = picked.count() <= 2 * sample  # else keys repeat so much that the hash can't thin them
-    joined = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked) if small else picked, "_key")
+    draw = lambda salt, c, share: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(1 << 20)) < math.ceil(min(1.0, share) * (1 << 20))
+    known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(F.col(label).cast("double")).alias("_y"))
+    known = written(known, "labels")
+    picked = known.filter(draw("rules", F.col("_key"), sample / max(1, known.count())))
+    n = df.select(F.col(key).alias("_key")).join(F.broadcast(picked), "_key").count()
+    joined = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")
+    if n > sample:
+        content = F.xxhash64("_key", F.coalesce(F.col("_text"), F.lit("")))
+        joined = joined.withColumn("_content", content).filter(draw("row", F.col("_content"), sample / n)).dropDuplicates(["_content"]).drop("_content")
     rows = statistics(joined, "_text", ["_key", "_y"])
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("_key")), F.lit(3)).cast("int")
     made = written(rows.select(*BASE, *FEATURES[1:], (F.col("_y") < 0.5).cast("int").alias("bad"), fold.alias("fold")), "statistics")

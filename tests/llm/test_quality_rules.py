@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrivo.llm.quality_rules import BASE, learn, quality_rules, statistics, train
+from quadrivo.llm.quality_rules import BASE, BINS, FEATURES, MAX_CONDITIONS, MAX_RULES, MIN_COVER, PRECISION, learn, quality_rules, statistics, train
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.StringType())])
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("text", T.StringType())])
@@ -69,3 +70,77 @@ def test_on_documents(spark):
     right = got.filter("not base_failed").join(labels, "doc_id").selectExpr("avg(int(kept = (quality = 1)))", "avg(if(quality = 1, int(kept), null))").first()
     assert right[0] > 0.95 and right[1] > 0.97
     print(train(docs, labels))
+
+
+def brute_list(rows):
+    """The decision list by counting rows one by one: rows of (features, bad, fold)."""
+    thresholds = {}
+    for f in FEATURES:
+        seen = set()
+        for kind in (0, 1):
+            have = sorted(r[0][f] for r in rows if r[1] == kind)
+            seen |= {have[max(0, math.ceil(i * len(have) / BINS) - 1)] for i in range(BINS + 1)} if have else set()
+        v = sorted(seen)
+        if len(v) > 1:
+            thresholds[f] = [(x + y) / 2 for x, y in zip(v, v[1:])]
+    holds = lambda r, rule: all((r[0][f] > t) == above for f, above, t in rule)
+    rules = []
+    while len(rules) < MAX_RULES:
+        left = [r for r in rows if not any(holds(r, rule) for rule in rules)]
+        rule = []
+        while len(rule) < MAX_CONDITIONS:
+            here = [r for r in left if r[2] < 2 and holds(r, rule)]
+            p_all = sum(r[1] for r in here)
+            if not p_all or p_all == len(here):
+                break
+            best, most = None, 1e-9
+            for f in sorted(thresholds):
+                for t in thresholds[f]:
+                    for above in (True, False):
+                        covered = [r[1] for r in here if (r[0][f] > t) == above]
+                        p = sum(covered)
+                        gain = p * (math.log2(p / len(covered)) - math.log2(p_all / len(here))) if p else 0
+                        if gain > most:
+                            best, most = (f, above, t), gain
+            if not best:
+                break
+            rule.append(best)
+        if not rule:
+            break
+        worth = []
+        for i in range(1, len(rule) + 1):
+            covered = [r[1] for r in left if r[2] == 2 and holds(r, rule[:i])]
+            worth.append((round(2 * sum(covered) / len(covered) - 1 if covered else -1, 3), -i, len(covered)))
+        value, size, n = max(worth)
+        if (value + 1) / 2 < PRECISION or n < MIN_COVER:
+            break
+        rules.append(rule[:-size])
+    return rules
+
+
+def test_query_against_brute_force(spark):
+    sf = SF
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    y = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            y.setdefault(r.doc_id, []).append(r.quality)
+    made = statistics(docs).withColumn("fold", F.expr("pmod(xxhash64('fold', doc_id), 3)")).collect()
+    passed = [r for r in made if r.n_words >= 50 and 100 * r.n_repeat_words <= 50 * r.n_words]
+    rows = [({f: float(r[f]) for f in FEATURES}, int(sum(y[r.doc_id]) / len(y[r.doc_id]) < 0.5), r.fold) for r in passed if r.doc_id in y]
+    rules = brute_list(rows)
+    assert rules
+    want = {r.doc_id: r in passed and not any(all((float(r[f]) > t) == above for f, above, t in rule) for rule in rules) for r in made}
+    assert {r.doc_id: r.kept for r in quality_rules(docs, labels).collect()} == want
+
+
+def test_a_hot_key_is_thinned_by_its_texts(spark, monkeypatch):
+    from quadrivo.llm import quality_rules as qr
+
+    docs = spark.range(30_000).selectExpr("if(id % 4 = 0, null, 7) doc_id", "concat_ws(' ', 'some words', id % 9000, 'and more')  text", "'x' extra")
+    seen, plain = [], qr.learn
+    monkeypatch.setattr(qr, "MIN_WORDS", 1)
+    monkeypatch.setattr(qr, "learn", lambda rows: seen.append(rows.count()) or plain(rows))
+    labels = spark.createDataFrame([(7, 1, "x"), (7, 1, "y"), (None, 0, "z")], LABELS)
+    train(docs, labels, sample=500)
+    assert 0 < seen[0] < 700
