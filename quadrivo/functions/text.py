@@ -12,7 +12,7 @@ from .instants import as_column
 
 MESSAGE_CHARS, ERROR_CHARS, DESCRIPTION_CHARS, SECRET_CHARS = 4096, 1000, 200, 8
 #: What marks a secret in a text.
-TOKEN_PARAMETER = r"((?:[wW][sS])?[tT][oO][kK][eE][nN]=)[^&\s'\"<>]+"
+TOKEN_PARAMETER = r"(?i)((?:ws)?token=)[^&\s'\"<>]+"
 BOT_TOKEN = r"[0-9]{6,}:[A-Za-z0-9_-]{30,}"
 AUTH_ERRORS = ("invalidtoken", "invalidlogin")
 SUBJECT = "assignment:"

@@ -49,6 +49,12 @@ def served_requests(requests: DataFrame, executions: DataFrame) -> DataFrame:
     return requests.join(newest, (requests.job_name == F.col("_j")) & (F.col("_end") >= requests.requested_at), "left_semi")
 
 
+def waiting_requests(requests: DataFrame, executions: DataFrame) -> DataFrame:
+    """Requests, with served: whether their job was running, or ended, after they were made, so that they need no run of their own."""
+    done = served_requests(requests, executions).select("id").withColumn("served", F.lit(True))
+    return requests.join(done, "id", "left").select(*requests.columns, F.coalesce("served", F.lit(False)).alias("served"))
+
+
 def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """table_name, n for each table."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]

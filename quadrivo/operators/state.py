@@ -85,6 +85,13 @@ def delete(old: DataFrame, condition: Column) -> DataFrame:
     return old.filter(~F.coalesce(condition, F.lit(False)))
 
 
+def start_execution(executions: DataFrame, execution: int, job: str, trigger: str, attempt: int, at: str) -> DataFrame:
+    """executions with the row of an attempt that begins."""
+    row = executions.sparkSession.createDataFrame([(execution, job, trigger, attempt, "running", at)], "id long, job_name string, trigger string, attempt long, status string, started_at string")
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in executions.schema if f.name not in row.columns]
+    return append(executions, row.select("*", *more))
+
+
 def finish_execution(executions: DataFrame, execution: int, status: str, at: str, seconds: float, items: int | None = None, detail: str | None = None, error: str | None = None) -> DataFrame:
     values = {"status": status, "finished_at": at, "duration_seconds": seconds, "items_processed": items, "detail": detail, "error": error}
     return update(executions, F.col("id") == execution, **{c: F.lit(v).cast(executions.schema[c].dataType) for c, v in values.items()})
@@ -109,3 +116,9 @@ def record_outcomes(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     put in, resources whose deferral ends, deferrals to put in. A plain failure leaves no trace, so it is tried again."""
     done, big = results.filter("outcome = 'done'"), results.filter("outcome = 'too_large'")
     return done.select("resource_id", "source_timemodified", F.col("at").alias("checked_at")), done.select("resource_id"), big.select("resource_id", F.lit("too_large").alias("reason"), "size_bytes", "limit_bytes", "source_timemodified", F.col("at").alias("deferred_at"))
+
+
+def deferrals_after(deferrals: DataFrame, cleared: DataFrame, deferred: DataFrame) -> DataFrame:
+    """deferrals without those that ended, with the new ones, which take the place of a resource's former one."""
+    gone = cleared.select("resource_id").union(deferred.select("resource_id"))
+    return deferrals.join(gone, "resource_id", "left_anti").select(*deferrals.columns).unionByName(deferred)

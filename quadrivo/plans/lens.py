@@ -58,10 +58,10 @@ LENS = {
         CASE WHEN o_orderkey % 6 = 0 THEN '2024-01-14T00:00:00+00:00' ELSE '2024-01-16T00:00:00+00:00' END AS last_synced_at FROM $orders""",
     "submissions": f"""SELECT CAST(o_orderkey AS BIGINT) AS assignment_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'submitted' WHEN o_orderstatus = 'O' THEN 'new' ELSE 'draft' END AS submission_status,
         'notgraded' AS grading_status, o_orderkey % 2 = 0 AS cansubmit, EPOCH(o_orderdate) AS submitted_at, {_STAMPS}, '2024-01-16T00:00:00+00:00' AS last_synced_at FROM $orders WHERE o_orderkey % 5 <> 0""",
-    "grades": f"""SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS BIGINT) AS id, CAST(o_custkey AS BIGINT) AS course_id, CAST(1 AS BIGINT) AS user_id,
+    "grades": f"""SELECT CAST((l_orderkey * 8 + l_linenumber) * 64 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS BIGINT) AS id, CAST(o_custkey AS BIGINT) AS course_id, CAST(1 AS BIGINT) AS user_id,
         CASE WHEN l_linenumber = 1 THEN NULL ELSE CAST(l_partkey AS BIGINT) END AS cmid, CASE WHEN l_linenumber = 2 THEN NULL ELSE concat('Item ', CAST(l_partkey AS STRING)) END AS item_name, CASE WHEN l_linenumber = 1 THEN 'course' ELSE 'mod' END AS item_type,
-        l_returnflag AS item_module, l_quantity AS grade_raw, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS grade_formatted, l_linestatus AS percentage_formatted
-        FROM $lineitem JOIN $orders ON l_orderkey = o_orderkey WHERE l_orderkey % 10 = 0""",
+        l_returnflag AS item_module, l_quantity AS grade_raw, CAST(CAST(l_quantity AS BIGINT) AS STRING) AS grade_formatted, l_linestatus AS percentage_formatted, {_STAMPS}, '2024-01-16T00:00:00+00:00' AS last_synced_at
+        FROM $lineitem JOIN $orders ON l_orderkey = o_orderkey""",
     "calendar": f"""SELECT CAST(event_id AS BIGINT) AS id, CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(user_id AS BIGINT) END AS course_id, event_type AS name, concat('<p>', event_type, '</p> ') AS description, event_type AS eventtype,
         CAST(NULL AS STRING) AS modulename, CAST(NULL AS BIGINT) AS instance, EPOCH(ts) AS timestart, EPOCH(ts) AS timesort, CAST(0 AS BIGINT) AS timeduration, {_STAMPS}, '2024-01-16T00:00:00+00:00' AS last_synced_at FROM $events""",
     "resources": f"""SELECT CAST(p_partkey AS BIGINT) AS id, 'moodle' AS origin, CASE WHEN p_partkey % 3 = 0 THEN 'url' ELSE 'file' END AS source_type,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import instants, rules, text
@@ -31,6 +31,7 @@ _MATERIAL = f"""SELECT r.id AS resource_id, r.name, r.course_id, r.section_id, r
     FROM $resources r LEFT JOIN {_LATEST} v ON v.resource_id = r.id LEFT JOIN (SELECT * FROM $extractions QUALIFY row_number() OVER (PARTITION BY resource_version_id ORDER BY id DESC) = 1) e ON e.resource_version_id = v.id"""
 _SETTLED = "EXISTS (SELECT 1 FROM $extractions d WHERE d.resource_version_id = v.id AND d.depth = 'basic' AND (d.status = 'done' OR d.extractor_name = 'unsupported'))"
 _FAILED = "(SELECT resource_version_id, count(*) AS n, max(extracted_at) AS at, arg_max_null(error_reason, id) AS why FROM $extractions WHERE depth = 'basic' AND status = 'failed' GROUP BY 1)"
+_ABANDONED = f"SELECT v.id AS version_id, v.size_bytes, v.mimetype, r.name, r.course_id, f.n AS failures, f.at AS last_attempt_at, f.why AS last_error FROM {_LATEST} v JOIN $resources r ON r.id = v.resource_id JOIN {_FAILED} f ON f.resource_version_id = v.id WHERE NOT {_SETTLED} AND f.n >= 2"
 _NEWEST = "(SELECT course_id, max(last_synced_at) AS newest FROM $sections GROUP BY 1)"
 _FILES = f"""SELECT 'moodle' AS origin, 'file' AS source_type, f.fileurl AS external_reference, m.course_id, m.section_id, f.module_id, f.filename AS name, f.fileurl AS source_url, f.mimetype, f.timemodified AS source_timemodified
     FROM $files f JOIN $modules m ON m.id = f.module_id JOIN {_NEWEST} n ON n.course_id = m.course_id WHERE NOT f.last_synced_at < n.newest"""
@@ -66,10 +67,8 @@ def query(name: str, oracle: str | None = None):
 query("course_summary", f"SELECT {_COURSE} FROM $courses")(lambda t: read_model.courses(t["courses"]))
 query("current_courses", f"SELECT {_COURSE} FROM $courses WHERE timeline_classification = 'inprogress'")(lambda t: read_model.current_courses(t["courses"]))
 query("course_by_id", f"SELECT {_COURSE} FROM $courses WHERE id = 42")(lambda t: read_model.by_id(read_model.courses(t["courses"]), 42))
-query("courses_ordered", f"SELECT {_COURSE} FROM $courses ORDER BY fullname, id LIMIT 50")(lambda t: read_model.courses(t["courses"]).orderBy("fullname", "id").limit(50))
 query("assignments_with_status", f"SELECT {_ASSIGNMENT}")(lambda t: read_model.assignments(t["assignments"], t["submissions"], ORDER_NOW))
 query("assignments_of_course", f"SELECT {_ASSIGNMENT} WHERE a.course_id = 7")(lambda t: read_model.assignments(t["assignments"], t["submissions"], ORDER_NOW, 7))
-query("assignments_by_duedate", f"SELECT {_ASSIGNMENT} ORDER BY a.duedate NULLS FIRST, a.id LIMIT 500")(lambda t: read_model.assignments(t["assignments"], t["submissions"], ORDER_NOW).orderBy(F.asc_nulls_first("duedate"), "id").limit(500))
 query("pending_assignments", f"SELECT {_ASSIGNMENT} WHERE {_PENDING.format(now=ORDER_NOW)}")(lambda t: read_model.pending_assignments(t["assignments"], t["submissions"], ORDER_NOW))
 query("upcoming_assignments", f"SELECT {_ASSIGNMENT} WHERE a.duedate <> 0 AND a.duedate BETWEEN {ORDER_NOW} AND {ORDER_NOW + 30 * 86400}")(lambda t: read_model.upcoming_assignments(t["assignments"], t["submissions"], ORDER_NOW, 30))
 query("calendar_range", f"SELECT * FROM $calendar WHERE timestart >= {TASK_NOW} AND timestart <= {TASK_NOW + 3 * 86400}")(lambda t: read_model.calendar(t["calendar"], TASK_NOW, TASK_NOW + 3 * 86400))
@@ -81,6 +80,36 @@ query("materials_all", _MATERIAL)(lambda t: read_model.materials(t["resources"],
 query("material_by_id", f"{_MATERIAL} WHERE r.id = 19")(lambda t: read_model.materials(t["resources"], t["versions"], t["extractions"], resource=19))
 query("course_has_contents", "SELECT * FROM $courses c WHERE EXISTS (SELECT 1 FROM $sections s WHERE s.course_id = c.id)")(lambda t: read_model.has_contents(t["courses"], t["sections"]))
 
+# --- orders -----------------------------------------------------------------------------------------
+
+
+def _ordered(name: str, rows: Callable[[Lens], DataFrame], sql: str, order: list[tuple[str, str]], key: str) -> None:
+    """A query of all rows in their order: as result sets are compared without one, each row says which stands before it, as sorted by Spark."""
+    words = ", ".join(f"{c} {how}" for c, how in order)
+    query(name, f"SELECT *, lag({key}) OVER (ORDER BY {words}) AS after FROM ({sql}) o")(lambda t: _neighbours(rows(t).orderBy(*(F.expr(c).desc_nulls_last() if how.startswith("DESC") else F.expr(c).asc_nulls_first() for c, how in order)), key))
+
+
+def _neighbours(rows: DataFrame, key: str) -> DataFrame:
+    """Sorted rows with the key of the row before. A partition of a sorted table holds a range, so only its last row is needed by the next one."""
+    at = rows.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n"))
+    here = at.withColumn("_before", F.lag(key).over(Window.partitionBy("_p").orderBy("_n")))
+    lasts = at.groupBy("_p").agg(F.max_by(key, "_n").alias("_last"))
+    lasts = lasts.withColumn("_next", F.lead("_p").over(Window.orderBy("_p"))).filter("_next IS NOT NULL").select("_next", "_last")  # a row for each partition
+    first = F.col("_n") == F.shiftleft(F.col("_p").cast("long"), 33)
+    return here.join(F.broadcast(lasts), F.col("_p") == F.col("_next"), "left").select(*rows.columns, F.when(first, F.col("_last")).otherwise(F.col("_before")).alias("after"))
+
+
+_NULLS_FIRST, _NULLS_LAST = "ASC NULLS FIRST", "DESC NULLS LAST"
+_ordered("courses_ordered", lambda t: read_model.courses(t["courses"]), f"SELECT {_COURSE} FROM $courses", [("fullname", _NULLS_FIRST), ("id", _NULLS_FIRST)], "id")
+_ordered("assignments_by_duedate", lambda t: read_model.assignments(t["assignments"], t["submissions"], ORDER_NOW), f"SELECT {_ASSIGNMENT}", [("duedate", _NULLS_FIRST), ("id", _NULLS_FIRST)], "id")
+_ordered("grades_ordered", lambda t: t["grades"], "SELECT * FROM $grades", [("course_id", _NULLS_FIRST), ("item_name", _NULLS_FIRST), ("id", _NULLS_FIRST)], "id")
+_ordered("calendar_ordered", lambda t: t["calendar"], "SELECT * FROM $calendar", [("timestart", _NULLS_FIRST), ("id", _NULLS_FIRST)], "id")
+_ordered("modules_ordered", lambda t: t["modules"], "SELECT * FROM $modules", [("course_id", _NULLS_FIRST), ("section_id", _NULLS_FIRST), ("id", _NULLS_FIRST)], "id")
+_ordered("materials_ordered", lambda t: read_model.materials(t["resources"], t["versions"], t["extractions"]), _MATERIAL, [("name", _NULLS_FIRST), ("resource_id", _NULLS_FIRST)], "resource_id")
+_ordered("abandoned_ordered", lambda t: queues.abandoned_versions(t["versions"], t["resources"], t["extractions"], most=2), _ABANDONED, [("failures", _NULLS_LAST), ("version_id", _NULLS_FIRST)], "version_id")
+_ordered("deferrals_biggest", lambda t: queues.listed_deferrals(t["deferrals"], t["resources"]).select("resource_id", "name", "size_bytes", F.expr("size_bytes div 1048576").alias("mb"), F.expr("limit_bytes div 1048576").alias("limit_mb"), "deferred_at"),
+         "SELECT d.resource_id, r.name, d.size_bytes, d.size_bytes // 1048576 AS mb, d.limit_bytes // 1048576 AS limit_mb, d.deferred_at FROM $deferrals d JOIN $resources r ON r.id = d.resource_id", [("size_bytes", _NULLS_LAST), ("resource_id", _NULLS_FIRST)], "resource_id")
+
 # --- latest of a key --------------------------------------------------------------------------------
 
 query("latest_version", f"SELECT * FROM {_LATEST} x")(lambda t: latest.latest_versions(t["versions"]))
@@ -102,7 +131,7 @@ query("versions_of_resource", "SELECT * FROM $versions WHERE resource_id = 19")(
 query("pending_extraction", f"SELECT v.id, coalesce(f.n, 0) AS failed_count FROM {_LATEST} v LEFT JOIN {_FAILED} f ON f.resource_version_id = v.id WHERE NOT {_SETTLED} AND coalesce(f.n, 0) < 3")(lambda t: queues.pending_extraction(t["versions"], t["extractions"]))
 query(
     "abandoned_versions",
-    f"SELECT v.id AS version_id, v.size_bytes, v.mimetype, r.name, r.course_id, f.n AS failures, f.at AS last_attempt_at, f.why AS last_error FROM {_LATEST} v JOIN $resources r ON r.id = v.resource_id JOIN {_FAILED} f ON f.resource_version_id = v.id WHERE NOT {_SETTLED} AND f.n >= 2",
+    _ABANDONED,
 )(lambda t: queues.abandoned_versions(t["versions"], t["resources"], t["extractions"], most=2))
 query("budget_topk", f"SELECT v.id, coalesce(f.n, 0) AS failed_count FROM {_LATEST} v LEFT JOIN {_FAILED} f ON f.resource_version_id = v.id WHERE NOT {_SETTLED} AND coalesce(f.n, 0) < 3 ORDER BY failed_count, id LIMIT {queues.EXTRACTION_BUDGET}")(
     lambda t: queues.budget(queues.pending_extraction(t["versions"], t["extractions"]), ["failed_count", "id"], queues.EXTRACTION_BUDGET)
@@ -120,9 +149,6 @@ def _pending_work(t: Lens) -> DataFrame:
 query("ingestion_pending", _PENDING_WORK)(_pending_work)
 query("ingestion_pending_ordered", f"SELECT * FROM ({_PENDING_WORK}) w ORDER BY work_group, second_key, external_reference LIMIT {queues.INGESTION_BUDGET}")(lambda t: queues.budget(_pending_work(t), ["work_group", "second_key", "external_reference"], queues.INGESTION_BUDGET))
 query("ingestion_deferrals", "SELECT d.resource_id, d.reason, d.size_bytes, d.limit_bytes, d.deferred_at, r.name, r.course_id FROM $deferrals d JOIN $resources r ON r.id = d.resource_id")(lambda t: queues.listed_deferrals(t["deferrals"], t["resources"]))
-query("deferrals_biggest", "SELECT r.name, d.size_bytes // 1048576 AS mb, d.limit_bytes // 1048576 AS limit_mb, d.deferred_at FROM $deferrals d JOIN $resources r ON r.id = d.resource_id ORDER BY d.size_bytes DESC NULLS LAST, d.resource_id LIMIT 25")(
-    lambda t: queues.listed_deferrals(t["deferrals"], t["resources"]).orderBy(F.desc_nulls_last("size_bytes"), "resource_id").limit(25).select("name", F.expr("size_bytes div 1048576").alias("mb"), F.expr("limit_bytes div 1048576").alias("limit_mb"), "deferred_at")
-)
 _NEEDS = f"SELECT a.id FROM $assignments a LEFT JOIN $submissions s ON s.assignment_id = a.id WHERE s.assignment_id IS NULL OR (a.duedate > {ORDER_NOW} AND (s.submission_status IS NULL OR s.submission_status <> 'submitted'))"
 _UPDATES = "(SELECT id AS course_id, CASE WHEN id % 6 = 0 THEN 2 ELSE 0 END AS i, CASE WHEN id % 15 = 0 THEN 1 ELSE 0 END AS w FROM $courses WHERE id % 2 = 0)"
 _CHANGED = f"SELECT c.id FROM $courses c WHERE NOT EXISTS (SELECT 1 FROM $sections s WHERE s.course_id = c.id) OR EXISTS (SELECT 1 FROM {_UPDATES} u WHERE u.course_id = c.id AND u.i + u.w > 0)"
@@ -263,6 +289,7 @@ for _table, _key, _columns in (
     ("modules", "id", "modname, course_id, section_id, name, url, visible"),
     ("assignments", "id", "name, course_id, duedate, allowsubmissionsfromdate, cutoffdate, grade"),
     ("submissions", "assignment_id", "grading_status, submission_status, cansubmit, submitted_at"),
+    ("grades", "id", "item_type, course_id, user_id, cmid, item_name, item_module, grade_raw, grade_formatted, percentage_formatted"),
     ("calendar", "id", "name, course_id, description, eventtype, modulename, instance, timestart, timesort, timeduration"),
 ):
     query(f"upsert_{_table}", _upserted(_columns, _key).replace("$TABLE", f"${_table}"))(
@@ -289,10 +316,31 @@ query("insert_or_ignore_sent", f"SELECT notification_type, subject_key, schedule
 query("clear_deferral", "SELECT * FROM $deferrals WHERE resource_id <> 16")(lambda t: state.delete(t["deferrals"], F.col("resource_id") == 16))
 query("set_classification", "SELECT * REPLACE (CASE WHEN id = 3 THEN 'past' ELSE timeline_classification END AS timeline_classification) FROM $courses")(lambda t: state.update(t["courses"], F.col("id") == 3, timeline_classification=F.lit("past")))
 query("replace_rules", f"SELECT id, o AS offset_seconds, true AS enabled, 'now' AS updated_at FROM {_RULES_SQL} r")(lambda t: state.replace_rules(RULES, "now", t.spark)[0].select("id", "offset_seconds", "enabled", "updated_at"))
-query("record_outcomes_checks", "SELECT id AS resource_id, id AS source_timemodified, 'now' AS checked_at FROM $resources WHERE id % 3 = 0")(
-    lambda t: state.record_outcomes(t["resources"].selectExpr("id AS resource_id", "CASE WHEN id % 3 = 0 THEN 'done' WHEN id % 3 = 1 THEN 'too_large' ELSE 'failed' END AS outcome", "id AS size_bytes", "1L AS limit_bytes", "id AS source_timemodified", "'now' AS at"))[0]
+
+
+def _outcomes(t: Lens) -> DataFrame:
+    return t["resources"].selectExpr("id AS resource_id", "CASE WHEN id % 3 = 0 THEN 'done' WHEN id % 3 = 1 THEN 'too_large' ELSE 'failed' END AS outcome", "id AS size_bytes", "1L AS limit_bytes", "id AS source_timemodified", "'now' AS at")
+
+
+query("record_outcomes_checks", "SELECT id AS resource_id, id AS source_timemodified, 'now' AS checked_at FROM $resources WHERE id % 3 = 0")(lambda t: state.record_outcomes(_outcomes(t))[0])
+query("record_outcomes_cleared", "SELECT id AS resource_id FROM $resources WHERE id % 3 = 0")(lambda t: state.record_outcomes(_outcomes(t))[1])
+query("record_outcomes_deferred", "SELECT id AS resource_id, 'too_large' AS reason, id AS size_bytes, CAST(1 AS BIGINT) AS limit_bytes, id AS source_timemodified, 'now' AS deferred_at FROM $resources WHERE id % 3 = 1")(lambda t: state.record_outcomes(_outcomes(t))[2])
+query("deferrals_after_batch", "SELECT * FROM $deferrals WHERE resource_id % 3 = 2 UNION ALL SELECT id, 'too_large', id, 1, id, 'now' FROM $resources WHERE id % 3 = 1")(lambda t: state.deferrals_after(t["deferrals"], *state.record_outcomes(_outcomes(t))[1:]))
+_TRIED = "SELECT v.id AS resource_version_id, 'basic' AS depth, 'plain_text' AS extractor_name, '1' AS extractor_version, CASE WHEN v.id % 2 = 0 THEN 'done' ELSE 'failed' END AS status, CASE WHEN v.id % 2 = 1 THEN 'why ' || v.id END AS error_reason, CASE WHEN v.id % 2 = 0 THEN v.content_hash END AS extracted_text, CAST(NULL AS VARCHAR) AS metadata, 'now' AS extracted_at FROM $versions v WHERE v.version_number = 1"
+query("append_extractions", f"SELECT * FROM $extractions UNION ALL BY NAME SELECT (SELECT max(id) FROM $extractions) + row_number() OVER (ORDER BY sha256(CAST(resource_version_id AS VARCHAR))) AS id, * FROM ({_TRIED}) n")(
+    lambda t: state.append(t["extractions"], state.with_ids(t["extractions"], t.sql(_TRIED.replace("VARCHAR", "STRING")), ["resource_version_id"]))
 )
-query("purged_tables", "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS fullname WHERE false")(lambda t: schema.empty(t.spark, "courses").select("id", "fullname"))
+query("start_execution", "SELECT * FROM $executions UNION ALL BY NAME SELECT max(id) + 1 AS id, 'ingestion' AS job_name, 'manual' AS trigger, 2 AS attempt, 'running' AS status, 'now' AS started_at FROM $executions")(
+    lambda t: state.start_execution(t["executions"], t["executions"].agg(F.max("id")).first()[0] + 1, "ingestion", "manual", 2, "now")
+)
+query("requests_taken", "SELECT r.id, r.job_name, EXISTS (SELECT 1 FROM $executions e WHERE e.job_name = r.job_name AND (e.finished_at IS NULL OR e.finished_at >= r.requested_at)) AS served FROM $requests r")(lambda t: history.waiting_requests(t["requests"], t["executions"]).select("id", "job_name", "served"))
+query("purged_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS before, {'0' if n in schema.PURGED else 'count(*)'} AS after FROM ${n}" for n in (*_COUNTED, "executions", "requests", "sent")))(
+    lambda t: schema.purge_report({n: t[n] for n in (*_COUNTED, "executions", "requests", "sent")})
+)
+query("purged_and_kept", "SELECT DISTINCT table_name, kept FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, {str(n in schema.KEPT).lower()} AS kept" for n in schema.COLUMNS) + ") x")(
+    lambda t: t.spark.createDataFrame([(n, n in schema.KEPT) for n in (*schema.PURGED, *schema.KEPT)], "table_name string, kept boolean")
+)
+query("storage_totals", "SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT sha256(text) AS h, max(strlen(text)) AS n FROM $documents GROUP BY 1) x")(lambda t: warehouse.totals(warehouse.addressed(t["documents"].select(F.encode("text", "UTF-8").alias("content")))))
 
 # --- integrity --------------------------------------------------------------------------------------
 
@@ -346,12 +394,13 @@ query("api_error_detection", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'au
 # --- text rules -------------------------------------------------------------------------------------
 
 query("strip_html", "SELECT page_id, nullif(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS plain FROM $pages")(lambda t: t["pages"].select("page_id", text.strip_markup("html").alias("plain")))
-_SECRETS = "concat('GET /x?WsToken=abc', CAST(doc_id AS STRING), '&b=1 bot123456', CAST(doc_id AS STRING), ':AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA-_ and hunter2hunter2 ', left(text, 40))"
-query("redact_secrets", f"SELECT doc_id, replace(regexp_replace(regexp_replace({_SECRETS}, '((?:[wW][sS])?[tT][oO][kK][eE][nN]=)[^&\\s''\"<>]+', '\\1***', 'g'), '[0-9]{{6,}}:[A-Za-z0-9_-]{{30,}}', '***', 'g'), 'hunter2hunter2', '***') AS safe FROM $documents")(
+_SECRETS = "concat('GET /x?WsToken=abc', CAST(doc_id AS STRING), '&b=1 bot123456', CAST(doc_id AS STRING), ':AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA-_ and hunter2hunter2 ', text)"
+query("redact_secrets", f"SELECT doc_id, replace(regexp_replace(regexp_replace({_SECRETS}, '(?i)((?:ws)?token=)[^&\\s''\"<>]+', '\\1***', 'g'), '[0-9]{{6,}}:[A-Za-z0-9_-]{{30,}}', '***', 'g'), 'hunter2hunter2', '***') AS safe FROM $documents")(
     lambda t: t.sql(f"SELECT doc_id, {_SECRETS} AS s FROM $documents").select("doc_id", text.redact("s", ["hunter2hunter2", "short"]).alias("safe"))
 )
-query("safe_error", "SELECT doc_id, CASE WHEN length('E: ' || text) > 1000 THEN left('E: ' || text, 997) || '...' ELSE 'E: ' || text END AS error FROM $documents WHERE NOT regexp_matches(text, '[tT][oO][kK][eE][nN]=|[0-9]{6,}:[A-Za-z0-9_-]{30,}')")(
-    lambda t: t["documents"].filter("NOT text RLIKE '[tT][oO][kK][eE][nN]=|[0-9]{6,}:[A-Za-z0-9_-]{30,}'").select("doc_id", text.safe_error(F.lit("E"), "text").alias("error"))
+_SAFE = """'E: ' || regexp_replace(regexp_replace(x.s, '(?i)((?:ws)?token=)[^&\\s''\"<>]+', '\\1***', 'g'), '[0-9]{6,}:[A-Za-z0-9_-]{30,}', '***', 'g')"""
+query("safe_error", f"SELECT doc_id, CASE WHEN length({_SAFE}) > 1000 THEN left({_SAFE}, 997) || '...' ELSE {_SAFE} END AS error FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'call of /x?wsTOKEN=a' || doc_id || '&b failed: ' ELSE '' END || text AS s FROM $documents) x")(
+    lambda t: t.sql("SELECT doc_id, concat(CASE WHEN doc_id % 5 = 0 THEN concat('call of /x?wsTOKEN=a', CAST(doc_id AS STRING), '&b failed: ') ELSE '' END, text) AS s FROM $documents").select("doc_id", text.safe_error(F.lit("E"), "s").alias("error"))
 )
 query("url_token_redaction", "SELECT id, 'https://example.edu/f/' || CAST(id AS VARCHAR) || '?token=%2A%2A%2A&forcedownload=1' AS safe FROM $files")(lambda t: t["files"].select("id", text.redact_url("fileurl").alias("safe")))
 query("url_token_replacement", "SELECT id, 'https://example.edu/f/' || CAST(id AS VARCHAR) || '?forcedownload=1&token=own' AS url FROM $files")(lambda t: t["files"].select("id", text.authenticated_url("fileurl", "own").alias("url")))
@@ -377,13 +426,19 @@ query("native_text_sufficient", "SELECT source, list_sort(list(n_chars))[count(*
 query("render_scale", "SELECT p_partkey, round(CASE WHEN (p_size * 200.0) * (200 / 72.0) * (p_size * 150.0) * (200 / 72.0) > 50000000 THEN (200 / 72.0) * sqrt(50000000 / ((p_size * 200.0) * (200 / 72.0) * (p_size * 150.0) * (200 / 72.0))) ELSE 200 / 72.0 END, 6) AS scale, CAST(p_size * 1000 AS BIGINT) * (p_size * 100) <= 50000000 AS ok FROM $part")(
     lambda t: t["part"].select("p_partkey", F.round(rules.render_scale(F.col("p_size") * F.lit(200.0), F.col("p_size") * F.lit(150.0)), 6).alias("scale"), rules.image_allowed(F.col("p_size") * 1000, F.col("p_size") * 100).alias("ok"))
 )
-query("zip_member_safety")(lambda t: t["part"].select("p_partkey", rules.safe_members(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct((i * F.col("p_size") * 1000000).alias("size"), (i * 100000).alias("packed")))).alias("ok")))
+query(
+    "zip_member_safety",
+    f"""WITH RECURSIVE r AS (SELECT p_partkey, p_size, 0 AS i, CAST(0 AS BIGINT) AS total, '' AS ok FROM $part UNION ALL
+    SELECT p_partkey, p_size, i + 1, total + CASE WHEN fits THEN s ELSE 0 END, ok || CASE WHEN fits THEN 'y' ELSE 'n' END
+    FROM (SELECT *, s <= {rules.MEMBER_BYTES} AND s <= {rules.MEMBER_RATIO} * (i + 1) * 100000 AND total + s <= {rules.TOTAL_BYTES} AS fits FROM (SELECT *, CAST(i + 1 AS BIGINT) * p_size * 1000000 AS s FROM r WHERE i < 9) a) b)
+    SELECT p_partkey, ok FROM r WHERE i = 9""",
+)(lambda t: t["part"].select("p_partkey", F.array_join(F.transform(rules.safe_members(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct((i.cast("bigint") * F.col("p_size") * 1000000).alias("size"), (i * 100000).alias("packed")))), lambda x: F.when(x, "y").otherwise("n")), "").alias("ok")))
 query("content_dedup", "SELECT sha256(text) AS content_hash, left(sha256(text), 2) || '/' || sha256(text) AS storage_ref, CAST(max(strlen(text)) AS BIGINT) AS size_bytes FROM $documents GROUP BY 1, 2")(lambda t: warehouse.addressed(t["documents"].select(F.encode("text", "UTF-8").alias("content"))).drop("content"))
 query("url_reference_bytes", "SELECT id, sha256(url) AS content_hash, 'text/uri-list' AS mimetype FROM $modules WHERE url <> ''")(lambda t: t["modules"].filter("url <> ''").select("id", F.sha2(queues.url_bytes("url"), 256).alias("content_hash"), queues.default_mimetype(F.lit("url"), F.lit(None).cast("string")).alias("mimetype")))
 query("depth_validity", "SELECT id, depth IN ('basic', 'deep') AS valid FROM $extractions")(lambda t: t["extractions"].select("id", rules.valid_depth("depth").alias("valid")))
 
 
-@query("flatten_params")
+@query("flatten_params", "SELECT event_id, 'options[0][k]' AS field, json_extract_string(props, '$.k') AS value FROM $events UNION ALL SELECT event_id, 'options[1][on]', '1' FROM $events UNION ALL SELECT event_id, 'options[1][none]', '' FROM $events")
 def _flatten(t: Lens) -> DataFrame:
     """Form fields of nested parameters, a row for each."""
     import json

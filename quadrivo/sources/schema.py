@@ -72,3 +72,18 @@ def fk_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
 def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keys that occur more than once, with n."""
     return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def after_purge(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables as a purge leaves them: academic ones empty, the others as they are."""
+    return {name: df.limit(0) if name in PURGED else df for name, df in tables.items()}
+
+
+def purge_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name, before and after: rows of each table around a purge."""
+    left, out = after_purge(tables), None
+    for name, df in tables.items():
+        rows = df.select(F.lit(0).alias("after")).unionByName(left[name].select(F.lit(1).alias("after")))
+        counted = rows.agg(F.count_if(F.col("after") == 0).alias("before"), F.count_if(F.col("after") == 1).alias("after")).select(F.lit(name).alias("table_name"), "before", "after")
+        out = counted if out is None else out.unionByName(counted)
+    return out

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import COLUMNS, PURGED, empty, schema
+from .schema import COLUMNS, PURGED, after_purge, empty, schema
 
 
 class Warehouse:
@@ -83,8 +83,9 @@ class Warehouse:
     def purge(self, stamp: str) -> DataFrame:
         """Empties the academic tables after a backup; returns table_name, n of what was removed. Without a whole backup nothing is removed."""
         self.backup(f"before-purge-{stamp}")
-        counts = [(name, self[name].count()) for name in PURGED]
-        self.commit({name: empty(self.spark, name) for name in PURGED})
+        was = {name: self[name] for name in PURGED}
+        counts = [(name, df.count()) for name, df in was.items()]
+        self.commit(after_purge(was))
         return self.spark.createDataFrame(counts, "table_name string, n long")
 
 
@@ -127,8 +128,11 @@ def retrieve(spark: SparkSession, root: str, hashes: DataFrame) -> DataFrame:
 def storage_totals(spark: SparkSession, root: str) -> DataFrame:
     """One row: objects, bytes."""
     held = stored(spark, root)
-    rows = spark.createDataFrame([], "content binary") if held is None else held
-    return rows.agg(F.count("*").alias("objects"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("bigint").alias("bytes"))
+    return totals(spark.createDataFrame([], "content binary") if held is None else held)
+
+
+def totals(objects: DataFrame) -> DataFrame:
+    return objects.agg(F.count("*").alias("objects"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("bigint").alias("bytes"))
 
 
 def valid_ref(ref: str) -> bool:
