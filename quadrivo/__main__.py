@@ -1,4 +1,5 @@
-"""Command line: python -m quadrivo CONFIG [--job NAME | --status | --purge [--yes]]; without an option, the daemon.
+"""Command line: python -m quadrivo CONFIG [--job NAME | --status | --purge [--yes]]; without an option, the daemon. Beside a daemon, --job
+leaves the job to it.
 
 Exit codes: 0 done, 1 failed or refused, 2 bad configuration or usage, 130 interrupted.
 """
@@ -14,22 +15,8 @@ from datetime import UTC, datetime
 from pathlib import Path
 
 from .control import config as configs
-from .control.scheduler import Attempt, History, Lock, Scheduler, Trigger, is_locked
-
-
-def stored_history(warehouse) -> History:
-    """The history kept in the warehouse's executions and requests."""
-    rows = warehouse["executions"].orderBy("id").collect()
-    made = History([Attempt(r.id, r.job_name, r.trigger, r.attempt, r.started_at, r.status, r.finished_at, r.duration_seconds, r.items_processed, r.detail, r.error) for r in rows])
-
-    def save(attempts: list[Attempt]) -> None:
-        from .sources.schema import schema
-
-        values = [(a.id, a.job, a.trigger, a.attempt, a.status, a.started_at, a.finished_at, a.seconds, a.items, a.detail, a.error) for a in attempts]
-        warehouse.commit({"executions": warehouse.spark.createDataFrame(values, schema("executions"))})
-
-    made.saved = save
-    return made
+from .control.ledger import WarehouseLedger
+from .control.scheduler import Lock, Scheduler, is_locked
 
 
 def build(conf: configs.Config, spark, base: str, token: str) -> Scheduler:
@@ -48,7 +35,7 @@ def build(conf: configs.Config, spark, base: str, token: str) -> Scheduler:
         configs.NOTIFICATIONS: jobs.NotificationJob(w, conf, sink, jobs.status_refresh(w, fetch, now)),
     }
     alert = lambda job, error, at: sink.send(sinks.Message(sinks.JOB_FAILED, f"{job} failed", f"{at:%Y-%m-%d %H:%M}: {error}"))
-    return Scheduler(made, conf, stored_history(w), alert)
+    return Scheduler(made, conf, WarehouseLedger(w), alert)
 
 
 def status(conf: configs.Config, spark) -> None:
@@ -61,9 +48,9 @@ def status(conf: configs.Config, spark) -> None:
         print(f"[{r.job_name}] enabled={conf.is_enabled(r.job_name)} last={r.status} at {r.started_at} ({r.trigger}, items={r.items_processed}) {r.detail or ''}" + (f" last failure {r.failed_at}: {r.last_error}" if r.last_error else ""))
     for r in reminders.bands(reminders.rule_table(spark, conf.reminders)).collect():
         print(f"reminder {r.id}: when {r.lower // 3600}h to {r.upper // 3600}h remain")
-    for r in queues.listed_deferrals(w["deferrals"], w["resources"]).orderBy("size_bytes", ascending=False).limit(100).collect():
+    for r in queues.listed_deferrals(w["deferrals"], w["resources"]).orderBy("size_bytes", ascending=False).toLocalIterator():
         print(f"not ingested: {r.name} ({r.reason}, {r.size_bytes} bytes, limit {r.limit_bytes})")
-    for r in queues.abandoned_versions(w["versions"], w["resources"], w["extractions"]).orderBy("failures", ascending=False).limit(100).collect():
+    for r in queues.abandoned_versions(w["versions"], w["resources"], w["extractions"]).orderBy("failures", ascending=False).toLocalIterator():
         print(f"given up: {r.name} after {r.failures} attempts: {r.last_error}")
 
 
@@ -83,7 +70,8 @@ def main(args: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from .sources.sinks import RedactingFilter
+    from .sources.sinks import guard
+    from .sources.warehouse import Warehouse
 
     spark = SparkSession.builder.appName("quadrivo").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.status:
@@ -91,12 +79,14 @@ def main(args: list[str] | None = None) -> int:
         return 0
     lock = Lock(conf.lock_path)
     if not lock.acquire():
+        if given.job:
+            Warehouse(spark, conf.warehouse).ask(given.job, datetime.now(UTC).isoformat(timespec="microseconds"))
+            print(f"{given.job} is left to the process that runs on this warehouse")
+            return 0
         print("another process runs on this warehouse", file=sys.stderr)
         return 1
     try:
         if given.purge:
-            from .sources.warehouse import Warehouse
-
             if not given.yes:
                 print("add --yes to empty the academic tables after a backup", file=sys.stderr)
                 return 1
@@ -104,19 +94,17 @@ def main(args: list[str] | None = None) -> int:
                 print(f"{r.table_name}: {r.n} row(s) removed")
             return 0
         logging.basicConfig(level=logging.INFO)
-        for handler in logging.getLogger().handlers:
-            handler.addFilter(RedactingFilter())
+        guard(logging.getLogger())
         run = build(conf, spark, os.environ.get("MOODLE_URL", ""), os.environ.get("MOODLE_TOKEN", ""))
         for name in (signal.SIGINT, signal.SIGTERM):
             before = signal.getsignal(name)
             signal.signal(name, lambda *_, n=name, b=before: (run.stop(), signal.signal(n, b)))
-        run.startup(one_shot=bool(given.job))
+        run.open(daemon=not given.job)
         if given.job:
-            run.request(given.job, Trigger.MANUAL)
-            run.run_until_idle()
-            last = run.history.last(given.job)
-            return 0 if last and last.status == "done" else 1
-        run.run_forever()
+            run.ask(given.job)
+            run.drain()
+            return 0 if run.ledger.last_status(given.job) == "done" else 1
+        run.serve()
         return 0
     except KeyboardInterrupt:
         return 130

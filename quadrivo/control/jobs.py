@@ -7,7 +7,9 @@ url, outcome, size_bytes, content, error. Both default to the platform's interfa
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import logging
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -18,13 +20,21 @@ from ..operators import extraction, history, normalize, queues, state
 from ..operators.latest import latest_versions
 from ..operators.reminders import Rule
 from ..sources import schema, warehouse as originals
-from ..sources.sinks import Sink
+from ..sources.sinks import Sink, safe_error
 from ..sources.warehouse import Warehouse
 from .config import EXTRACTION, INGESTION, SYNC, Config
-from .scheduler import Result, Trigger
+from .ledger import Result
+from .scheduler import Trigger
 
 Fetch = Callable[[str, list[dict]], DataFrame]
 DEPTH = "basic"
+#: Items of a batch that are worked on and committed together; a stop and the time limit are heard between.
+CHUNK = 25
+log = logging.getLogger(__name__)
+
+
+class Stopped(RuntimeError):
+    pass
 
 
 def _now() -> datetime:
@@ -36,6 +46,8 @@ class Base:
     warehouse: Warehouse
     config: Config
     clock: Callable[[], datetime] = field(default=_now, kw_only=True)
+    monotonic: Callable[[], float] = field(default=time.monotonic, kw_only=True)
+    chunk: int = field(default=CHUNK, kw_only=True)
 
     def stamp(self) -> str:
         return self.clock().astimezone(UTC).isoformat()
@@ -43,6 +55,20 @@ class Base:
     def empty(self, table: str) -> DataFrame:
         return schema.empty(self.warehouse.spark, table)
 
+    def chunks(self, work: DataFrame, order: list[str], job: str, should_stop: Callable[[], bool]) -> Iterator[DataFrame]:
+        """Pieces of a batch in order, until its items or its seconds are used up, or a stop is asked for. work has to be written down, as it is taken from piece by piece."""
+        limits, began = self.config.jobs[job], self.monotonic()
+        listed = work.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+        with self.warehouse.aside() as keep:
+            listed, after, left = keep(listed), -1, limits.max_items
+            while (left is None or left > 0) and not should_stop() and (limits.max_seconds is None or self.monotonic() - began < limits.max_seconds):
+                piece = keep(listed.filter(F.col("_place") > after).orderBy("_place").limit(min(self.chunk, left or self.chunk)))
+                n, last = piece.agg(F.count("*"), F.max("_place")).first()
+                if not n:
+                    break
+                after, left = last, left and left - n
+                yield piece.drop("_place")
+
 
 @dataclass
 class SyncJob(Base):
@@ -54,11 +80,23 @@ class SyncJob(Base):
         return True
 
     def run(self, trigger: Trigger, should_stop: Callable[[], bool]) -> Result:
+        with self.warehouse.aside() as keep:
+            return self._run(trigger, should_stop, keep)
+
+    def _run(self, trigger: Trigger, should_stop: Callable[[], bool], keep: Callable[[DataFrame], DataFrame]) -> Result:
+        """keep writes a payload down, so that it is fetched once, however often it is used. A stop is heard before each kind of payload; nothing is stored then,
+        and the attempt counts as failed, so that the next one asks for the same changes."""
         w, now, spark = self.warehouse, self.stamp(), self.warehouse.spark
+
+        def kept(df: DataFrame) -> DataFrame:
+            if should_stop():
+                raise Stopped("a stop was asked for; nothing is stored")
+            return keep(df)
+
         since = history.checkpoint(w["executions"], SYNC, trigger.value).first().since
-        user = self.kept(normalize.user(self.fetch("site_info", [{}])))
+        user = kept(normalize.user(self.fetch("site_info", [{}])))
         me = user.first().id
-        courses = self.kept(normalize.courses(self.fetch("courses", [{"userid": me}])))
+        courses = kept(normalize.courses(self.fetch("courses", [{"userid": me}])))
         ids = sorted(r.id for r in courses.select("id").collect())  # the courses of one student
         lists = [self.fetch("timeline", [{"classification": name}]).select(F.explode(F.from_json(F.get_json_object("payload", "$.courses"), "array<struct<id:long>>")["id"]).alias("id")) for name in ("inprogress", "past", "future")]
         labels = queues.labelled_timeline(*lists)
@@ -67,16 +105,16 @@ class SyncJob(Base):
             told = self.fetch("updates", [{"courseid": i, "since": since} for i in ids])
             size = lambda part: F.coalesce(F.json_array_length(F.get_json_object("payload", f"$.{part}")), F.lit(0)).cast("bigint")
             updates = told.select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), size("instances").alias("n_instances"), size("warnings").alias("n_warnings"))
-        changed = sorted(r.id for r in queues.changed_courses(courses, w["sections"], self.kept(updates), since is None).collect())
-        contents = self.kept(self.fetch("contents", [{"courseid": i} for i in changed]).select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), "payload"))
-        assignments = self.kept(normalize.assignments(self.fetch("assignments", [{"courseids": ids}])))
+        changed = sorted(r.id for r in queues.changed_courses(courses, w["sections"], kept(updates), since is None).collect())
+        contents = kept(self.fetch("contents", [{"courseid": i} for i in changed]).select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), "payload"))
+        assignments = kept(normalize.assignments(self.fetch("assignments", [{"courseids": ids}])))
         marked = spark.createDataFrame([(i,) for i in changed], "id long")
         refresh = queues.status_refresh(assignments, marked, queues.needs_status(self.merged("assignments", assignments, ["id"], now), w["submissions"], int(self.clock().timestamp())))
         wanted = sorted(r.id for r in refresh.collect())
         statuses = normalize.submission_status(self.fetch("submission", [{"assignid": i} for i in wanted]).select(F.get_json_object("params", "$.assignid").cast("bigint").alias("assignment_id"), "payload"))
-        statuses = self.kept(statuses)
-        grades = self.kept(normalize.grades(self.fetch("grades", [{"courseid": i, "userid": me} for i in changed])))
-        calendar = self.kept(normalize.calendar(self.fetch("calendar", [{"courseids": ids}])))
+        statuses = kept(statuses)
+        grades = kept(normalize.grades(self.fetch("grades", [{"courseid": i, "userid": me} for i in changed])))
+        calendar = kept(normalize.calendar(self.fetch("calendar", [{"courseids": ids}])))
         merged_courses = self.merged("courses", courses, ["id"], now).join(labels.withColumnRenamed("timeline_classification", "_label"), "id", "left")
         merged_courses = merged_courses.withColumn("timeline_classification", F.coalesce("_label", "timeline_classification"))
         w.commit({
@@ -94,10 +132,6 @@ class SyncJob(Base):
         total = history.sync_totals(counts).first()
         return Result(total.items_processed, total.summary)
 
-    def kept(self, df: DataFrame) -> DataFrame:
-        """A payload is fetched once, however often it is used: its rows are persisted, and read again only if an executor is lost."""
-        return df.persist()
-
     def merged(self, table: str, batch: DataFrame, keys: list[str], now: str) -> DataFrame:
         return state.upsert(self.warehouse[table], _numbered(batch), keys, now)
 
@@ -112,6 +146,7 @@ class IngestionJob(Base):
 
     objects: str = ""
     download: Callable[[DataFrame], DataFrame] = None
+    reserve: int = originals.RESERVE
 
     def pending(self) -> DataFrame:
         w = self.warehouse
@@ -122,39 +157,37 @@ class IngestionJob(Base):
         return bool(self.pending().take(1))
 
     def run(self, trigger: Trigger, should_stop: Callable[[], bool]) -> Result:
-        w, now = self.warehouse, self.stamp()
         every = self.pending()
-        n = every.count()
-        work = queues.budget(every, ["work_group", "second_key", "external_reference"], self.config.jobs[INGESTION].max_items or n).persist()
-        resources = state.upsert_with_ids(w["resources"], _numbered(work.drop("work_group", "second_key", "latest_version_id", "mimetype", "source_timemodified")), ["origin", "source_type", "external_reference"], now)
+        n, told = every.count(), {"attempted": 0, "failed": 0, "deferred": 0, "new": 0, "first_error": None}
+        for work in self.chunks(every, ["work_group", "second_key", "external_reference"], INGESTION, should_stop):
+            for name, value in self.ingest(work).items():
+                told[name] = told[name] + value if name != "first_error" else told[name] or value
+        return Result(told["attempted"], f"{told['new']} new version(s), {told['deferred']} deferred, {n - told['attempted']} still pending", f"{told['failed']} item(s) failed; first: {told['first_error']}" if told["failed"] else None)
+
+    def ingest(self, work: DataFrame) -> dict:
+        """Downloads and commits one piece of the batch."""
+        w, now, keys = self.warehouse, self.stamp(), ["origin", "source_type", "external_reference"]
+        resources = state.upsert_with_ids(w["resources"], _numbered(work.drop("work_group", "second_key", "latest_version_id", "mimetype", "source_timemodified")), keys, now)
         w.commit({"resources": resources})
-        keys = ["origin", "source_type", "external_reference"]
         work = work.join(w["resources"].select(*keys, F.col("id").alias("resource_id")), keys)
         plain = work.filter("source_type = 'url'").select("resource_id", F.lit("done").alias("outcome"), F.length(queues.url_bytes("source_url")).cast("bigint").alias("size_bytes"), queues.url_bytes("source_url").alias("content"), F.lit(None).cast("string").alias("error"))
         files = work.filter("source_type = 'file'").select("resource_id", F.col("source_url").alias("fileurl"))
         got = self.download(files).join(files, F.col("url") == F.col("fileurl")).select("resource_id", "outcome", "size_bytes", "content", "error")
-        # Downloads are kept, so that none is repeated for each of the tables below.
-        results = plain.unionByName(got).join(work.select("resource_id", "source_type", "mimetype", "source_timemodified"), "resource_id").persist()
-        originals.store(results.filter("outcome = 'done'").select("content"), self.objects)
-        last = latest_versions(w["versions"]).select("resource_id", F.col("content_hash").alias("_was"), F.col("version_number").alias("_n"))
-        hashed = results.filter("outcome = 'done'").withColumn("content_hash", F.sha2("content", 256)).join(last, "resource_id", "left")
-        fresh = hashed.filter(~F.col("content_hash").eqNullSafe(F.col("_was")))
-        rows = fresh.select("resource_id", (F.coalesce("_n", F.lit(0)) + 1).cast("bigint").alias("version_number"), "content_hash", F.concat(F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash").alias("storage_ref"), "size_bytes", queues.default_mimetype("source_type", "mimetype").alias("mimetype"), F.lit(now).alias("ingested_at"))
-        versions = state.append(w["versions"], state.with_ids(w["versions"], rows, ["resource_id"]))
-        outcomes = results.select("resource_id", "outcome", "size_bytes", F.lit(64 << 20).cast("bigint").alias("limit_bytes"), "source_timemodified", F.lit(now).alias("at"))
-        checks, cleared, deferred = state.record_outcomes(outcomes)
-        gone = cleared.select("resource_id").union(deferred.select("resource_id"))
-        was = w["checks"].join(checks.select("resource_id"), "resource_id", "left_anti").select(*w["checks"].columns)
-        told = history.batch_counters(results.withColumn("seq", F.col("resource_id"))).first()
-        new = fresh.count()
-        w.commit({
-            "versions": versions,
-            "checks": was.unionByName(checks),
-            "deferrals": w["deferrals"].join(gone, "resource_id", "left_anti").select(*w["deferrals"].columns).unionByName(deferred),
-        })
-        for df in (work, results):
-            df.unpersist()
-        return Result(told.attempted, f"{new} new version(s), {told.deferred} deferred, {n - told.attempted} still pending", f"{told.failed} item(s) failed; first: {told.first_error}" if told.failed else None)
+        with w.aside() as keep:
+            results = keep(plain.unionByName(got).join(work.select("resource_id", "source_type", "mimetype", "source_timemodified"), "resource_id"))
+            originals.store(results.filter("outcome = 'done'").select("content"), self.objects, reserve=self.reserve)
+            last = latest_versions(w["versions"]).select("resource_id", F.col("content_hash").alias("_was"), F.col("version_number").alias("_n"))
+            hashed = results.filter("outcome = 'done'").withColumn("content_hash", F.sha2("content", 256)).join(last, "resource_id", "left")
+            fresh = hashed.filter(~F.col("content_hash").eqNullSafe(F.col("_was")))
+            rows = fresh.select("resource_id", (F.coalesce("_n", F.lit(0)) + 1).cast("bigint").alias("version_number"), "content_hash", F.concat(F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash").alias("storage_ref"), "size_bytes", queues.default_mimetype("source_type", "mimetype").alias("mimetype"), F.lit(now).alias("ingested_at"))
+            versions = state.append(w["versions"], state.with_ids(w["versions"], rows, ["resource_id"]))
+            outcomes = results.select("resource_id", "outcome", "size_bytes", F.lit(64 << 20).cast("bigint").alias("limit_bytes"), "source_timemodified", F.lit(now).alias("at"))
+            checks, cleared, deferred = state.record_outcomes(outcomes)
+            was = w["checks"].join(checks.select("resource_id"), "resource_id", "left_anti").select(*w["checks"].columns)
+            told = history.batch_counters(results.withColumn("seq", F.col("resource_id"))).first().asDict()
+            new = fresh.count()
+            w.commit({"versions": versions, "checks": was.unionByName(checks), "deferrals": state.deferrals_after(w["deferrals"], cleared, deferred)})
+        return {"attempted": told["attempted"], "failed": told["failed"], "deferred": told["deferred"], "new": new, "first_error": told["first_error"]}
 
 
 @dataclass
@@ -170,20 +203,27 @@ class ExtractionJob(Base):
         return bool(self.pending().take(1))
 
     def run(self, trigger: Trigger, should_stop: Callable[[], bool]) -> Result:
+        every = self.pending()
+        n, told = every.count(), {"attempted": 0, "done": 0, "failed": 0, "first_error": None}
+        for work in self.chunks(every, ["failed_count", "id"], EXTRACTION, should_stop):
+            for name, value in self.extract(work.select("id")).items():
+                told[name] = told[name] + value if name != "first_error" else told[name] or value
+        return Result(told["attempted"], f"{told['done']} done, {told['failed']} failed, {n - told['attempted']} still pending", told["first_error"])
+
+    def extract(self, todo: DataFrame) -> dict:
+        """Reads and records one piece of the batch."""
         from ..functions.text import extension
 
         w, now = self.warehouse, self.stamp()
-        n = self.pending().count()
-        todo = queues.budget(self.pending(), ["failed_count", "id"], self.config.jobs[EXTRACTION].max_items or n).select("id")
         names = w["resources"].select(F.col("id").alias("resource_id"), "name")
-        rows = w["versions"].join(todo, "id").join(names, "resource_id", "left").select(F.col("id").alias("resource_version_id"), "content_hash", extraction.extractor("mimetype", extension("name")).alias("extractor_name"))
+        rows = w["versions"].join(todo, "id").join(names, "resource_id", "left").select(F.col("id").alias("resource_version_id"), "content_hash", extraction.extractor("mimetype", extension("name"), pictures="image_ocr" in extraction.PARSERS).alias("extractor_name"))
         content = originals.retrieve(w.spark, self.objects, rows.select("content_hash").distinct())
-        made = extraction.extract(rows.join(content, "content_hash", "left").drop("content_hash")).persist()
-        added = made.select("*", F.lit(DEPTH).alias("depth"), F.lit(now).alias("extracted_at"))
-        told = history.batch_counters(made.select(F.col("resource_version_id").alias("seq"), F.col("status").alias("outcome"), F.col("error_reason").alias("error"))).first()
-        w.commit({"extractions": state.append(w["extractions"], state.with_ids(w["extractions"], added, ["resource_version_id"]))})
-        made.unpersist()
-        return Result(told.attempted, f"{told.done} done, {told.failed} failed, {n - told.attempted} still pending", told.first_error)
+        with w.aside() as keep:
+            made = keep(extraction.extract(rows.join(content, "content_hash", "left").drop("content_hash")))
+            added = made.select("*", F.lit(DEPTH).alias("depth"), F.lit(now).alias("extracted_at"))
+            told = history.batch_counters(made.select(F.col("resource_version_id").alias("seq"), F.col("status").alias("outcome"), F.col("error_reason").alias("error"))).first().asDict()
+            w.commit({"extractions": state.append(w["extractions"], state.with_ids(w["extractions"], added, ["resource_version_id"]))})
+        return {name: told[name] for name in ("attempted", "done", "failed", "first_error")}
 
 
 @dataclass
@@ -219,8 +259,11 @@ class NotificationJob(Base):
 
         before = sorted({r.assignment_id for r in self.candidates().select("assignment_id").toLocalIterator()})
         if self.refresh and before:
-            self.refresh(before)  # best effort: a submission made meanwhile stops its reminder
-        made = send_cycle(self.warehouse, self.rules(), int(self.clock().timestamp()), self.confirmed(), self.sink, self.stamp())
+            try:
+                self.refresh(before)  # a submission made meanwhile stops its reminder
+            except Exception as e:  # noqa: BLE001 - an outage of the platform must not silence reminders: the stored statuses stand in
+                log.warning("statuses could not be read again, the stored ones are used: %s", safe_error(e))
+        made = send_cycle(self.warehouse, self.rules(), int(self.clock().timestamp()), self.confirmed(), self.sink, self.stamp(), should_stop)
         suppressed = len(before) - made["pending"]
         return Result(made["sent"], f"{made['sent']} sent, {made['failed']} failed, {suppressed} no longer due", made["first_error"])
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from .schema import COLUMNS, PURGED, after_purge, empty, schema
 
 
+#: Bytes that stay free on the file system of originals.
+RESERVE = 1 << 30
+
+
 class Warehouse:
     """Tables as Parquet snapshots below a folder that all executors reach.
 
@@ -38,11 +44,15 @@ class Warehouse:
     def __getitem__(self, table: str) -> DataFrame:
         if table not in COLUMNS:
             raise KeyError(table)
+        if table == "requests":
+            return self.requests(self.request_files())
         where = self.names().get(table)
         return self.spark.read.schema(schema(table)).parquet(where) if where else empty(self.spark, table)
 
     def commit(self, tables: Mapping[str, DataFrame]) -> None:
         """Replaces tables together."""
+        if "requests" in tables:
+            raise ValueError("requests are added one by one, by any process")
         made = self.names()
         for name, df in tables.items():
             where = f"{self.root}/{name}/{uuid.uuid4().hex}"
@@ -61,6 +71,41 @@ class Warehouse:
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
         context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path(f"{self.root}/{file}")), array)
 
+    # Requests come from processes that don't hold the lock, so each is a file of its own, which no commit replaces.
+
+    def ask(self, job: str, at: str) -> None:
+        """Adds a request for a job, which the process that runs the jobs takes up."""
+        row = self.spark.createDataFrame([(time.time_ns(), job, at)], schema("requests"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/requests")
+
+    def request_files(self) -> list[str]:
+        at = self._path(f"{self.root}/requests")
+        found = self._fs.listStatus(at) if self._fs.exists(at) else []
+        return sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith("part-"))
+
+    def requests(self, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema("requests")).parquet(*files) if files else empty(self.spark, "requests")
+
+    def remove_requests(self, files: list[str]) -> int:
+        for file in files:
+            self._fs.delete(self._path(file), False)
+        return len(files)
+
+    @contextmanager
+    def aside(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """A function that writes a DataFrame down and gives it back as read, so that calls and downloads are made once even if an executor is lost; all is removed at the end."""
+        where = f"{self.root}/.aside-{uuid.uuid4().hex}"
+
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{where}/{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield keep
+        finally:
+            self._fs.delete(self._path(where), True)
+
     def backup(self, stamp: str) -> str:
         """A full copy of all tables under backups/<stamp>, its row counts checked; an existing one is refused."""
         where = f"{self.root}/backups/{stamp}"
@@ -99,12 +144,28 @@ def addressed(objects: DataFrame, content: str = "content") -> DataFrame:
     return one.select("content_hash", F.concat(F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash").alias("storage_ref"), F.length("content").cast("bigint").alias("size_bytes"), "content")
 
 
-def store(objects: DataFrame, root: str, content: str = "content") -> DataFrame:
-    """Adds objects that the store lacks; returns content_hash, storage_ref, size_bytes of all given. Storing again changes nothing."""
+class NoSpace(OSError):
+    pass
+
+
+def free_bytes(spark: SparkSession, root: str) -> int:
+    """What the file system below a store says is left."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus().getRemaining()
+
+
+def store(objects: DataFrame, root: str, content: str = "content", reserve: int = RESERVE, free: Callable[[SparkSession, str], int] = free_bytes) -> DataFrame:
+    """Adds objects that the store lacks; returns content_hash, storage_ref, size_bytes of all given. Storing again changes nothing.
+
+    Nothing is written, and NoSpace raised, where less than `reserve` bytes would be left free.
+    """
     spark = objects.sparkSession
     given = addressed(objects, content)
     held = stored(spark, root)
     fresh = given if held is None else given.join(held.select("content_hash"), "content_hash", "left_anti")
+    need, left = totals(fresh).first().bytes, free(spark, root)
+    if need and left - need < reserve:
+        raise NoSpace(f"{need} bytes to store, {left} free, {reserve} are to stay free")
     fresh.select("content_hash", "content", F.left("content_hash", F.lit(2)).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(root)
     return given.drop("content")
 

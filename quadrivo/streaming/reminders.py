@@ -18,7 +18,7 @@ IDENTITY = ["notification_type", "subject_key", "scheduled_for"]
 log = logging.getLogger(__name__)
 
 
-def send_cycle(warehouse: Warehouse, rules: Iterable[reminders.Rule], now: int, confirmed: str | None, sink: Sink, at: str) -> dict:
+def send_cycle(warehouse: Warehouse, rules: Iterable[reminders.Rule], now: int, confirmed: str | None, sink: Sink, at: str, should_stop: Callable[[], bool] = lambda: False) -> dict:
     """Sends what is due and not sent yet, and records each message after it was sent, so a failure is tried again (at least once).
 
     The number of messages of a cycle is that of one student's deadlines within the widest band; they are fetched a partition at a time.
@@ -29,6 +29,8 @@ def send_cycle(warehouse: Warehouse, rules: Iterable[reminders.Rule], now: int,
     due = reminders.messages(reminders.unsent(found, warehouse["sent"]), warehouse["courses"], rules)
     done, failed, first = [], 0, None
     for r in due.toLocalIterator():
+        if should_stop():  # what was sent is recorded, the rest is for the next cycle
+            break
         try:
             sink.send(Message(r.notification_type, r.title, r.body))
             done.append((r.notification_type, r.subject_key, r.scheduled_for, at))

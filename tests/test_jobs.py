@@ -87,3 +87,90 @@ def test_command_line(tmp_path, capsys, spark):
     assert main([str(conf), "--status"]) == 0 and "not running" in capsys.readouterr().out
     assert main([str(conf), "--purge"]) == 1 and main([str(conf), "--purge", "--yes"]) == 0
     assert "courses: 0 row(s) removed" in capsys.readouterr().out
+
+
+def batch(spark, tmp_path, n, conf="", **more):
+    """An ingestion job with n pending files, and the files that were asked for."""
+    from quadrivo.control.config import parse
+
+    w, seen = Warehouse(spark, f"file://{tmp_path}/w"), []
+    contents = [{"id": 10, "section": 0, "modules": [{"id": 100, "modname": "resource", "name": "R", "contents": [{"type": "file", "filename": f"f{i}.txt", "fileurl": f"https://h/{i}", "mimetype": "text/plain", "timemodified": 1} for i in range(n)]}]}]
+    jobs.SyncJob(w, Config(), jobs.recorded(spark, payloads() | {"contents": {key(courseid=1): contents, "*": []}}), clock=lambda: NOW).run(Trigger.STARTUP, lambda: False)
+
+    def download(urls):
+        seen.append(sorted(r.fileurl for r in urls.collect()))
+        return urls.select(F.col("fileurl").alias("url"), F.when(F.col("fileurl").endswith("/1"), "failed").otherwise("done").alias("outcome"), F.lit(1).cast("bigint").alias("size_bytes"), F.encode("fileurl", "UTF-8").alias("content"), F.when(F.col("fileurl").endswith("/1"), "404").alias("error"))
+
+    return w, seen, jobs.IngestionJob(w, parse(conf), f"file://{tmp_path}/o", download, clock=lambda: NOW, **more)
+
+
+def test_budgets_of_items_and_time_and_a_stop(spark, tmp_path):
+    """Each piece is committed before the next begins; what the budget or a stop leaves is pending, and what failed is tried once in a batch."""
+    ticks = iter(range(100))
+    w, seen, job = batch(spark, tmp_path, 5, "[ingestion]\nmax_items = 3\nmax_seconds = 999", chunk=2)
+    assert job.run(Trigger.MANUAL, lambda: True).detail == "0 new version(s), 0 deferred, 5 still pending" and not seen
+    out = job.run(Trigger.MANUAL, lambda: False)
+    assert out.detail == "2 new version(s), 0 deferred, 2 still pending" and out.items == 3 and "1 item(s) failed; first: 404" in out.error
+    assert [len(x) for x in seen] == [2, 1] and w["versions"].count() == 2
+    job.config.jobs["ingestion"].__dict__["max_seconds"] = 2
+    job.chunk, job.monotonic = 1, lambda: float(next(ticks))
+    out = job.run(Trigger.MANUAL, lambda: False)
+    assert out.items == 1 and w["versions"].count() == 3  # the second look at the clock is over the limit
+    stops = iter([False, True])
+    extract = jobs.ExtractionJob(w, Config(), job.objects, clock=lambda: NOW, chunk=1)
+    assert extract.run(Trigger.MANUAL, lambda: next(stops)).detail == "1 done, 0 failed, 2 still pending" and w["extractions"].count() == 1
+
+
+def test_a_stopped_sync_stores_nothing(spark, tmp_path):
+    w = Warehouse(spark, f"file://{tmp_path}/w")
+    asked = iter([False, False, True])
+    try:
+        jobs.SyncJob(w, Config(), jobs.recorded(spark, payloads()), clock=lambda: NOW).run(Trigger.STARTUP, lambda: next(asked))
+        raise AssertionError("ran to its end")
+    except jobs.Stopped:
+        assert w["courses"].count() == 0
+
+
+def test_an_outage_does_not_silence_reminders(spark, tmp_path, caplog):
+    w = Warehouse(spark, f"file://{tmp_path}/w")
+    jobs.SyncJob(w, Config(), jobs.recorded(spark, payloads()), clock=lambda: NOW).run(Trigger.STARTUP, lambda: False)
+    from quadrivo.sources import schema
+
+    w.commit({"executions": spark.createDataFrame([(1, "moodle_sync", "startup", 1, "done", NOW.isoformat(), NOW.isoformat(), 1.0, 7, None, None)], schema.schema("executions"))})
+    got = []
+    sink = type("Sink", (), {"send": lambda self, m: got.append(m.title)})()
+
+    def down(ids):
+        raise OSError("no route to https://h/?wstoken=secret1")
+
+    out = jobs.NotificationJob(w, Config(), sink, down, clock=lambda: NOW).run(Trigger.MANUAL, lambda: False)
+    assert out.items == 1 and len(got) == 1 and "wstoken=***" in caplog.text and "secret1" not in caplog.text
+
+
+def test_no_original_is_stored_into_the_reserve(spark, tmp_path):
+    from quadrivo.sources import warehouse as originals
+
+    objects = spark.createDataFrame([(bytearray(b"x" * 1000),)], "content binary")
+    root = f"file://{tmp_path}/o"
+    try:
+        originals.store(objects, root, reserve=500, free=lambda *_: 1499)
+        raise AssertionError("was stored")
+    except originals.NoSpace:
+        assert originals.stored(spark, root) is None
+    originals.store(objects, root, reserve=500, free=lambda *_: 1500)
+    assert originals.storage_totals(spark, root).first().bytes == 1000 and originals.free_bytes(spark, root) > 0
+    originals.store(objects, root, reserve=500, free=lambda *_: 0)  # nothing new needs no space
+
+
+def test_a_request_beside_a_running_process_is_queued(spark, tmp_path, capsys):
+    from quadrivo.__main__ import main
+    from quadrivo.control.ledger import WarehouseLedger
+    from quadrivo.control.scheduler import Lock
+
+    conf = tmp_path / "c.toml"
+    conf.write_text(f'warehouse = "{tmp_path}/w"')
+    lock = Lock(f"{tmp_path}/w/.lock")
+    assert lock.acquire()
+    assert main([str(conf), "--job", "extraction"]) == 0 and "left to the process" in capsys.readouterr().out
+    lock.release()
+    assert WarehouseLedger(Warehouse(spark, f"{tmp_path}/w")).take_requests() == [("extraction", False)]
