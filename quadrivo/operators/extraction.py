@@ -1,7 +1,8 @@
 """Text of documents: which extractor takes a file, what it gives, and the record of each attempt.
 
 Plain text stays in the JVM. Formats that need a parser run in Arrow batches on the executors, with the standard library's
-zip, XML and HTML readers; formats that need more (PDF, legacy spreadsheets, pictures) go to whoever is registered for them, else they are recorded as failures.
+zip, XML and HTML readers; formats that need more (PDF, pictures) go to whoever is registered for them, else they are recorded as failures. Who reads
+pictures is also given those inside office files.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import io
 import json
 import re
+import struct
 import zipfile
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.instants import as_column
 from ..sources.shipping import ship
+from . import legacy_sheets
 from .queues import UNSUPPORTED
 
 OFFICE = "application/vnd.openxmlformats-officedocument."
@@ -63,42 +67,46 @@ class Extracted:
     metadata: dict = field(default_factory=dict)
 
 
-class _Visible(HTMLParser):
-    """Text nodes outside scripts and styles, and descriptions of pictures."""
-
-    hidden = frozenset({"script", "style"})
+class _Events(HTMLParser):
+    """A page as a list of what its parser met: begin, end and text, in order."""
 
     def __init__(self):
         super().__init__()
-        self.parts, self.depth, self.tags, self.described = [], 0, 0, 0
-
-    def _add(self, text: str | None) -> bool:
-        if not self.depth and text and (text := text.strip()):
-            self.parts.append(text)
-            return True
-        return False
+        self.met: list[tuple[str, str, list]] = []
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
-        if tag in self.hidden:
-            self.depth += 1
-        else:
-            self.described += sum(self._add(v) for k, v in attrs if k == "alt")
+        self.met.append(("begin", tag, attrs))
 
     def handle_endtag(self, tag):
-        self.depth -= tag in self.hidden and self.depth > 0
+        self.met.append(("end", tag, []))
 
     def handle_data(self, data):
-        self._add(data)
+        self.met.append(("text", data, []))
+
+
+HIDDEN = ("script", "style")
+
+
+def _shown(events: Iterable[tuple[str, str, list]]) -> Iterable[tuple[str, str]]:
+    """What a reader of the page gets, as kind and text: text nodes and descriptions of pictures outside scripts and styles."""
+    inside = 0
+    for kind, what, attrs in events:
+        if what in HIDDEN and kind != "text":
+            inside = max(0, inside + (1 if kind == "begin" else -1))
+        elif not inside and kind == "text":
+            yield "text", what.strip()
+        elif not inside and kind == "begin":
+            yield from (("described", (value or "").strip()) for name, value in attrs if name == "alt")
 
 
 def html_text(data: bytes) -> Extracted:
     """Visible text of a page, a line for each node. The parser is not closed, so what is cut off at the end stays out."""
     raw = data.decode("utf-8")
-    page = _Visible()
+    page = _Events()
     page.feed(raw)
-    text = "\n".join(page.parts)
-    return Extracted(text, {"char_count": len(text), "raw_char_count": len(raw), "tag_count": page.tags, "attribute_chunks": page.described})
+    shown = [(kind, line) for kind, line in _shown(page.met) if line]
+    text = "\n".join(line for _, line in shown)
+    return Extracted(text, {"char_count": len(text), "raw_char_count": len(raw), "tag_count": sum(kind == "begin" for kind, *_ in page.met), "attribute_chunks": sum(kind == "described" for kind, _ in shown)})
 
 
 def plain_text(data: bytes) -> Extracted:
@@ -153,8 +161,20 @@ def _run_text(e: ElementTree.Element) -> str:
     return "".join(x.text or "" if _own(x) == "t" else plain.get(_own(x), "") for x in e.iter())
 
 
-def docx_text(data: bytes) -> Extracted:
-    """Paragraphs of the body, then cells of its tables."""
+Reader = Callable[[bytes], str]
+
+
+def _with_pictures(made: Extracted, data: bytes, folder: str, read: Reader | None) -> Extracted:
+    """made with the texts of the file's pictures behind its own, and what became of each; without a reader only that there was none."""
+    made.metadata["embedded_images_ocr"] = None
+    if read:
+        texts, made.metadata["embedded_images_ocr"] = embedded_images(data, folder, read)
+        made.text = "\n\n".join([made.text, *texts])
+    return made
+
+
+def docx_text(data: bytes, read: Reader | None = None) -> Extracted:
+    """Paragraphs of the body, then cells of its tables, then what `read` finds in its pictures."""
     root = Archive(data).xml("word/document.xml")
     body = next(iter(_all(root, "body")))
     paragraphs = [e for e in body if _own(e) == "p"]
@@ -163,11 +183,12 @@ def docx_text(data: bytes) -> Extracted:
     for t in tables:
         for row in (r for r in t if _own(r) == "tr"):
             parts += ["\n".join(_run_text(p) for p in cell if _own(p) == "p") for cell in row if _own(cell) == "tc"]
-    return Extracted("\n".join(parts), {"method": "native", "paragraphs": len(paragraphs), "tables": len(tables), "images_embedded": sum(1 for _ in _all(body, "inline")), "embedded_images_ocr": None})
+    made = Extracted("\n".join(parts), {"method": "native", "paragraphs": len(paragraphs), "tables": len(tables), "images_embedded": sum(1 for _ in _all(body, "inline"))})
+    return _with_pictures(made, data, "word/media/", read)
 
 
-def pptx_text(data: bytes) -> Extracted:
-    """Slides in the order of their file names; unreadable ones are left out but counted."""
+def pptx_text(data: bytes, read: Reader | None = None) -> Extracted:
+    """Slides in the order of their file names; unreadable ones are left out but counted. Then what `read` finds in their pictures."""
     archive, parts = Archive(data), []
     slides = archive.named("ppt/slides/slide", ".xml")
     for m in slides:
@@ -176,7 +197,7 @@ def pptx_text(data: bytes) -> Extracted:
                 parts.append("".join(archive.xml(m).itertext()))
             except ElementTree.ParseError:
                 continue
-    return Extracted("\n".join(parts), {"method": "manual_ooxml", "slides": len(slides), "embedded_images_ocr": None})
+    return _with_pictures(Extracted("\n".join(parts), {"method": "manual_ooxml", "slides": len(slides)}), data, "ppt/media/", read)
 
 
 def _sheets(sheets: Iterable[tuple[str, Iterable[list[str]]]], count: str) -> Extracted:
@@ -199,11 +220,46 @@ def _number(raw: str) -> str:
         return raw
 
 
+#: Numbers of the formats of dates and times that need no description in the file.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _is_date(code: str) -> bool:
+    """Whether a number format shows a date or time: a letter for one outside quotes, escapes, colours and conditions."""
+    bare = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^]]*\]', "", code.lower())
+    return "general" not in bare and bool(re.search("[dmyhs]", bare.split(";")[0]))
+
+
+def _date_styles(archive: Archive, names: set[str]) -> set[int]:
+    """The cell styles whose numbers are dates."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = archive.xml("xl/styles.xml")
+    own = {int(f.attrib["numFmtId"]) for f in _all(root, "numFmt") if _is_date(f.attrib.get("formatCode", ""))}
+    told = {int(f.attrib["numFmtId"]) for f in _all(root, "numFmt")}
+    formats = next(iter(_all(root, "cellXfs")), ())
+    return {i for i, x in enumerate(formats) if (n := int(x.attrib.get("numFmtId", 0))) in own or n in DATE_FORMATS - told}
+
+
+def _date(raw: str, from_1904: bool) -> str:
+    """A serial day as it is: date with time, or the time alone of less than a day."""
+    try:
+        days = float(raw)
+        if 0 <= days < 1:
+            return str((datetime(1900, 1, 1) + timedelta(seconds=round(days * 86400))).time())
+        base = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30 if days >= 60 else 31)  # 1900 has a leap day there
+        return str(base + timedelta(days=int(days // 1), seconds=round(days % 1 * 86400)))
+    except (ValueError, OverflowError):
+        return raw
+
+
 def xlsx_text(data: bytes) -> Extracted:
-    """Sheets in the workbook's order, cached values of formulas, a line for each row that has any."""
+    """Sheets in the workbook's order, cached values of formulas, dates as such, a line for each row that has any."""
     archive = Archive(data)
     names = {m.filename for m in archive.zip.infolist()}
     targets = {_attribute(r, "Id"): _attribute(r, "Target") for r in archive.xml("xl/_rels/workbook.xml.rels")}
+    dates, book = _date_styles(archive, names), archive.xml("xl/workbook.xml")
+    from_1904 = any(x.attrib.get("date1904") in ("1", "true") for x in _all(book, "workbookPr"))
     shared = ["".join(t.text or "" for t in _all(si, "t")) for si in archive.xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
 
     def value(c: ElementTree.Element) -> str | None:
@@ -213,10 +269,10 @@ def xlsx_text(data: bytes) -> Extracted:
         v = next((x.text for x in c if _own(x) == "v"), None)
         if v is None:
             return None
-        return shared[int(v)] if kind == "s" else {"1": "True", "0": "False"}.get(v, v) if kind == "b" else v if kind in ("str", "e", "d") else _number(v)
+        return shared[int(v)] if kind == "s" else {"1": "True", "0": "False"}.get(v, v) if kind == "b" else v if kind in ("str", "e", "d") else _date(v, from_1904) if int(c.attrib.get("s", 0)) in dates else _number(v)
 
     def sheets():
-        for s in _all(archive.xml("xl/workbook.xml"), "sheet"):
+        for s in _all(book, "sheet"):
             target = targets[_attribute(s, "id")]
             root = archive.xml(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
             yield s.attrib["name"], ([v for c in row if _own(c) == "c" and (v := value(c)) is not None] for row in _all(root, "row"))
@@ -224,6 +280,14 @@ def xlsx_text(data: bytes) -> Extracted:
     return _sheets(sheets(), "sheets")
 
 
+def xls_text(data: bytes) -> Extracted:
+    """Worksheets of a legacy workbook; numbers, dates among them, as they are stored: with a point."""
+    try:
+        return _sheets(legacy_sheets.sheets(data), "sheets")
+    except (struct.error, IndexError) as e:
+        raise ValueError(f"a broken workbook: {e}") from e
+
+
 def _open_text(e: ElementTree.Element) -> str:
     """Text of a paragraph of an OpenDocument file."""
     out = [e.text or ""]
@@ -302,16 +366,36 @@ def skew(gray: np.ndarray, angles: np.ndarray = ANGLES, most: int = 500) -> floa
     return best
 
 
-PARSERS: dict[str, Callable[[bytes], Extracted]] = {"plain_text": plain_text, "html_text": html_text, "docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text, "odt": odt_text, "ods": ods_text}
+PARSERS: dict[str, Callable[[bytes], Extracted]] = {"plain_text": plain_text, "html_text": html_text, "docx": docx_text, "pptx": pptx_text, "xlsx": xlsx_text, "xls": xls_text, "odt": odt_text, "ods": ods_text}
+_MODELS: dict[str, object] = {}
 
 
 def register(name: str, parser: Callable[[bytes], Extracted]) -> None:
-    """Gives a format its parser, say one that needs a library or an OCR engine."""
+    """Gives a format its parser, say one that needs a library or an OCR engine. That of image_ocr is also given the pictures inside office files."""
     if name not in FORMATS:
         raise ValueError(f"no such format: {name}")
     PARSERS[name] = parser
 
 
+def per_worker(name: str, make: Callable[[], Callable[[bytes], Extracted]]) -> Callable[[bytes], Extracted]:
+    """A parser that needs something large, a model say, which each Python worker makes once, when it first needs it."""
+
+    def parser(data: bytes) -> Extracted:
+        from quadrivo.operators import extraction
+
+        if name not in extraction._MODELS:
+            extraction._MODELS[name] = make()
+        return extraction._MODELS[name](data)
+
+    return parser
+
+
+def supports(name: str, mimetype: str | None, extension: str) -> bool:
+    """Whether a format takes files of a media type or an extension."""
+    types, extensions = FORMATS[name]
+    return mimetype in types or extension in extensions
+
+
 # --- on tables --------------------------------------------------------------------------------------
 
 
@@ -333,7 +417,8 @@ def extract(documents: DataFrame, content: str = "content", name: str = "extract
         try:
             if kind not in parsers:
                 raise NotImplementedError(f"no parser is registered for {kind}")
-            made = parsers[kind](data)
+            parser, pictures = parsers[kind], parsers.get("image_ocr")
+            made = parser(data, lambda picture: pictures(picture).text) if pictures and parser in (docx_text, pptx_text) else parser(data)
             return kind, versions.get(kind, "1"), "done", None, made.text, json.dumps(made.metadata)
         except Exception as e:  # noqa: BLE001 - the reason is the record
             return kind, versions.get(kind, "1"), "failed", f"{type(e).__name__}: {e}"[:1000], None, None
