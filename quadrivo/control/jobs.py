@@ -1,6 +1,6 @@
 """The four jobs: each is one DataFrame program from a warehouse and its inputs to a new state.
 
-`fetch(function, params)` gives a DataFrame of params and payload (JSON text) for a list of parameter objects; `download(urls)` one of
+`fetch(function, params)` gives a DataFrame of params and payload (JSON text) for parameter objects, a short list or a table of them; `download(urls)` one of
 url, outcome, size_bytes, content, error. Both default to the platform's interface and run on the executors.
 """
 
@@ -26,7 +26,7 @@ from .config import EXTRACTION, INGESTION, SYNC, Config
 from .ledger import Result
 from .scheduler import Trigger
 
-Fetch = Callable[[str, list[dict]], DataFrame]
+Fetch = Callable[[str, list[dict] | DataFrame], DataFrame]
 DEPTH = "basic"
 #: Items of a batch that are worked on and committed together; a stop and the time limit are heard between.
 CHUNK = 25
@@ -102,18 +102,17 @@ class SyncJob(Base):
         labels = queues.labelled_timeline(*lists)
         updates = spark.createDataFrame([], "course_id long, n_instances long, n_warnings long")
         if since is not None and ids:
-            told = self.fetch("updates", [{"courseid": i, "since": since} for i in ids])
+            told = self.fetch("updates", _params(courses, courseid="id", since=F.lit(since)))
             size = lambda part: F.coalesce(F.json_array_length(F.get_json_object("payload", f"$.{part}")), F.lit(0)).cast("bigint")
             updates = told.select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), size("instances").alias("n_instances"), size("warnings").alias("n_warnings"))
-        changed = sorted(r.id for r in queues.changed_courses(courses, w["sections"], kept(updates), since is None).collect())
-        contents = kept(self.fetch("contents", [{"courseid": i} for i in changed]).select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), "payload"))
+        changed = kept(queues.changed_courses(courses, w["sections"], kept(updates), since is None))
+        contents = kept(self.fetch("contents", _params(changed, courseid="id")).select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), "payload"))
         assignments = kept(normalize.assignments(self.fetch("assignments", [{"courseids": ids}])))
-        marked = spark.createDataFrame([(i,) for i in changed], "id long")
-        refresh = queues.status_refresh(assignments, marked, queues.needs_status(self.merged("assignments", assignments, ["id"], now), w["submissions"], int(self.clock().timestamp())))
-        wanted = sorted(r.id for r in refresh.collect())
-        statuses = normalize.submission_status(self.fetch("submission", [{"assignid": i} for i in wanted]).select(F.get_json_object("params", "$.assignid").cast("bigint").alias("assignment_id"), "payload"))
+        refresh = queues.status_refresh(assignments, changed.select("id"), queues.needs_status(self.merged("assignments", assignments, ["id"], now), w["submissions"], int(self.clock().timestamp())))
+        wanted = kept(refresh)
+        statuses = normalize.submission_status(self.fetch("submission", _params(wanted, assignid="id")).select(F.get_json_object("params", "$.assignid").cast("bigint").alias("assignment_id"), "payload"))
         statuses = kept(statuses)
-        grades = kept(normalize.grades(self.fetch("grades", [{"courseid": i, "userid": me} for i in changed])))
+        grades = kept(normalize.grades(self.fetch("grades", _params(changed, courseid="id", userid=F.lit(me)))))
         calendar = kept(normalize.calendar(self.fetch("calendar", [{"courseids": ids}])))
         merged_courses = self.merged("courses", courses, ["id"], now).join(labels.withColumnRenamed("timeline_classification", "_label"), "id", "left")
         merged_courses = merged_courses.withColumn("timeline_classification", F.coalesce("_label", "timeline_classification"))
@@ -128,7 +127,7 @@ class SyncJob(Base):
             "grades": self.merged("grades", grades, ["id"], now),
             "calendar": self.merged("calendar", calendar, ["id"], now),
         })
-        counts = spark.createDataFrame([(since is None, len(ids), len(changed), assignments.count(), len(wanted), grades.count(), calendar.count(), 0, 0)], "full boolean, courses long, changed long, assignments long, statuses long, grades long, events long, detection_warnings long, item_warnings long")
+        counts = spark.createDataFrame([(since is None, len(ids), changed.count(), assignments.count(), wanted.count(), grades.count(), calendar.count(), 0, 0)], "full boolean, courses long, changed long, assignments long, statuses long, grades long, events long, detection_warnings long, item_warnings long")
         total = history.sync_totals(counts).first()
         return Result(total.items_processed, total.summary)
 
@@ -136,6 +135,11 @@ class SyncJob(Base):
         return state.upsert(self.warehouse[table], _numbered(batch), keys, now)
 
 
+def _params(rows: DataFrame, **columns) -> DataFrame:
+    """A column params: a call's parameters from each row."""
+    return rows.select(F.to_json(F.struct(*((F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()))).alias("params"))
+
+
 def _numbered(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_seq", F.monotonically_increasing_id())
 
@@ -231,7 +235,7 @@ class NotificationJob(Base):
     """Sends reminders that are due. What the last successful sync did not see is not reminded of."""
 
     sink: Sink = None
-    refresh: Callable[[list[int]], None] | None = None
+    refresh: Callable[[DataFrame], None] | None = None
 
     def rules(self) -> list[Rule]:
         """The rules in force, read anew each time: those saved, else the configured ones."""
@@ -257,22 +261,26 @@ class NotificationJob(Base):
     def run(self, trigger: Trigger, should_stop: Callable[[], bool]) -> Result:
         from ..streaming.reminders import send_cycle
 
-        before = sorted({r.assignment_id for r in self.candidates().select("assignment_id").toLocalIterator()})
-        if self.refresh and before:
+        with self.warehouse.aside() as keep:
+            return self._run(keep(self.candidates().select("assignment_id").distinct()), send_cycle, should_stop)
+
+    def _run(self, before: DataFrame, send_cycle: Callable, should_stop: Callable[[], bool]) -> Result:
+        n = before.count()
+        if self.refresh and n:
             try:
                 self.refresh(before)  # a submission made meanwhile stops its reminder
             except Exception as e:  # noqa: BLE001 - an outage of the platform must not silence reminders: the stored statuses stand in
                 log.warning("statuses could not be read again, the stored ones are used: %s", safe_error(e))
         made = send_cycle(self.warehouse, self.rules(), int(self.clock().timestamp()), self.confirmed(), self.sink, self.stamp(), should_stop)
-        suppressed = len(before) - made["pending"]
+        suppressed = n - made["pending"]
         return Result(made["sent"], f"{made['sent']} sent, {made['failed']} failed, {suppressed} no longer due", made["first_error"])
 
 
-def status_refresh(warehouse: Warehouse, fetch: Fetch, now: Callable[[], str]) -> Callable[[list[int]], None]:
-    """Reads the submission status of assignments again and stores it."""
+def status_refresh(warehouse: Warehouse, fetch: Fetch, now: Callable[[], str]) -> Callable[[DataFrame], None]:
+    """Reads the submission status of assignments (column assignment_id) again and stores it."""
 
-    def refresh(ids: list[int]) -> None:
-        got = fetch("submission", [{"assignid": i} for i in ids])
+    def refresh(assignments: DataFrame) -> None:
+        got = fetch("submission", _params(assignments, assignid="assignment_id"))
         rows = normalize.submission_status(got.select(F.get_json_object("params", "$.assignid").cast("bigint").alias("assignment_id"), "payload"))
         warehouse.commit({"submissions": state.upsert(warehouse["submissions"], _numbered(rows), ["assignment_id"], now())})
 
@@ -282,9 +290,10 @@ def status_refresh(warehouse: Warehouse, fetch: Fetch, now: Callable[[], str]) -
 def recorded(spark, payloads: dict[str, dict]) -> Fetch:
     """A fetch that answers from recorded payloads: function to {parameters as sorted JSON: payload}; "*" answers all others."""
 
-    def fetch(function: str, params: list[dict]) -> DataFrame:
+    def fetch(function: str, params: list[dict] | DataFrame) -> DataFrame:
         answers = payloads.get(function, {})
-        rows = [(json.dumps(p), json.dumps(answers.get(json.dumps(p, sort_keys=True), answers.get("*", {})))) for p in params]
+        given = [json.loads(r.params) for r in params.toLocalIterator()] if isinstance(params, DataFrame) else params
+        rows = [(json.dumps(p), json.dumps(answers.get(json.dumps(p, sort_keys=True), answers.get("*", {})))) for p in given]
         return spark.createDataFrame(rows, "params string, payload string")
 
     return fetch

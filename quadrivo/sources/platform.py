@@ -10,6 +10,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -166,12 +167,25 @@ def systemic(e: BaseException | None) -> bool:
     return False
 
 
-def calls(spark: SparkSession, base: str, token: str, function: str, params: list[dict]) -> DataFrame:
+def calls(spark: SparkSession, base: str, token: str, function: str, params: list[dict] | DataFrame) -> DataFrame:
+    """params, payload (both JSON text) of a call for each parameter object: those of a list, or of a table with a column params, whose rows stay on the executors."""
     ship(spark)
+    if isinstance(params, DataFrame):
+        return _called(params, base, token, FUNCTIONS.get(function, function))
     spark.dataSource.register(PlatformSource)
     return spark.read.format("platform").options(base=base, token=token, function=FUNCTIONS.get(function, function), calls=json.dumps(params)).load()
 
 
+def _called(params: DataFrame, base: str, token: str, function: str) -> DataFrame:
+    def run(batches):
+        client = Client(base, token)
+        for b in batches:
+            for given in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"params": [given], "payload": [json.dumps(client.call(function, **json.loads(given)))]})
+
+    return params.select("params").mapInArrow(run, "params string, payload string")
+
+
 def fixtures(spark: SparkSession, path: str) -> DataFrame:
     """Recorded payloads, a line of {"params": ..., "payload": ...} for each call, in the source's columns."""
     rows = spark.read.text(path)
