@@ -30,7 +30,7 @@ LEAST, OF, SHINGLE, SEED = 4, 5, 5, 42
 #: Documents in which frequent shingles are sought, in how many of them one is frequent, and the most that are kept.
 SAMPLE, FREQUENT, MOST = 10_000, 4, 200_000
 #: Pairs of a group's points for each of its points from which pivots are compared first, and the most rounds of that (each has to halve what is left).
-CROWDED, ROUNDS = 8, 6
+CROWDED, ROUNDS = 32, 3
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -115,6 +115,19 @@ def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, root after more links: each label goes over to the least one that a link leads to, once. Equal labels are connected, but what is connected may have several labels:
+    that is enough to leave out comparisons, and costs a few stages where the components would cost some dozens."""
+    ends = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    if labels is None:
+        return written(ends.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
+    of = lambda c, to: labels.select(F.col("node").alias(c), F.col("root").alias(to))
+    named = ends.join(of("a", "ra"), "a", "left").join(of("b", "rb"), "b", "left").select("a", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    named = written(named.union(labels.select("node", "root", "root")).groupBy("a", "ra").agg(F.min("rb").alias("rb")), "named")
+    goes = named.groupBy("ra").agg(F.min("rb").alias("to"))
+    return written(named.join(goes, "ra").select(F.col("a").alias("node"), F.least("ra", "to").alias("root")), "labels")
+
+
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: key, component_id (the smallest key it is linked with over any number of links, its own included).
 
@@ -139,11 +152,11 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     who = points.join(ends, "id").select("id", F.col("least").alias(key))
     text_path = new_path(spark, "texts")
     texts = written(df.join(who, key).groupBy("id").agg(F.first(text).alias("text")), "", text_path)
-    linked = written(_verified(found, texts), "links")
-    roots = written(components(linked), "roots")
+    linked = [written(_verified(found, texts), "links")]
+    labels = _hooked(_hooked(None, linked[0]), linked[0])
     before = float("inf")
     for step in range(ROUNDS + 1):
-        at = written(groups.join(roots, groups.id == roots.node, "left").select("p", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+        at = written(groups.join(labels, groups.id == labels.node, "left").select("p", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
         # The points of a group that are connected with most of it need no comparison among themselves.
         parts = at.groupBy("p", "root").agg(F.count("*").alias("m"))
         main = written(parts.groupBy("p").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top")).select("p", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("others")).filter("others > 0"), "main")
@@ -154,8 +167,8 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         here = at.join(main.filter(f"others > {CROWDED}").select("p"), "p")
         pivot = here.groupBy("p").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))).alias("x")).select("p", "x.v", "x.nv", "x.rv")
         pairs = written(here.join(pivot, "p").filter(f"root <> rv AND {_fit('n', 'nv')}").select(*_ordered(F.col("id"), F.col("v"))).distinct(), "pivots")
-        linked = written(linked.union(_verified(pairs, texts)), "links")
-        roots = written(components(linked), "roots")
+        linked.append(written(_verified(pairs, texts), "links"))
+        labels = _hooked(_hooked(labels, linked[-1]), linked[-1])  # the pivot goes over to the least label around it, then the others follow
     rest = at.join(main.select("p", "main"), "p")
     a = rest.filter("root <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
     b = rest.select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main")
@@ -164,10 +177,12 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     met = met.groupBy("a", "b", "both", "larger").agg(F.count("*").alias("shared"))
     # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides.
     pairs = written(met.filter(f"{LEAST + OF} * (shared + ceil({LEAST} * larger / {OF}) - 1) >= {LEAST} * both").select("a", "b"), "pairs")
-    linked = written(linked.union(_verified(pairs, texts)), "links")
+    for more in linked[1:]:
+        linked[0] = linked[0].union(more)
+    every_link = written(linked[0].union(_verified(pairs, texts)), "links")
     for path in (group_path, text_path):
         drop_path(spark, path)
-    roots = components(linked)
+    roots = components(every_link)
     placed = written(points.join(roots, points.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), "least"), "groups")
     tops = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
     return made.select(key, "id").join(placed.join(tops, "root").select("id", "component_id"), "id").select(key, "component_id")

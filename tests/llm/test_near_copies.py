@@ -64,6 +64,8 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     texts += [" ".join([f"u{i}x{j}" for j in range(rng.randrange(5, 60))] + passage) for i in range(120)]
     rng.shuffle(texts)
     compared, plain = [], nc._verified
+    monkeypatch.setattr(nc, "CROWDED", 8)  # so that groups of this size are crowded
+    monkeypatch.setattr(nc, "ROUNDS", 6)
     monkeypatch.setattr(nc, "_verified", lambda pairs, held: compared.append(pairs.count()) or plain(pairs, held))
     rows = [(i, t, "en", "s", len(t), None) for i, t in enumerate(texts)]
     got = {r.doc_id for r in nc.near_copies(spark.createDataFrame(rows, DOCS)).filter("doc_id = component_id").collect()}
