@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ball_kmeans import CLUSTERS_SQL, ball_kmeans
 from .chat_format import DIGESTS_SQL, chat_digests
 from .co_training import quality_classifier
+from .fill_middle import DIGESTS_SQL as MIDDLES_SQL
+from .fill_middle import fill_middle_digests
 from .forced_bpe import bpe_round_trip
 from .language_id import language_id
 from .media import media_digests
 from .packing import pack
+from .prefix_bpe import bpe_digests
 from .quality_rules import quality_rules
 from .shared import table
 from .simhash import near_duplicates
@@ -22,6 +26,7 @@ from .token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +72,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_bpe": op2_bpe,
@@ -78,5 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sorted_table": op8_sorted_table,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_prefix_bpe": op12_prefix_bpe,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
-ORACLE_SQL: dict[str, str] = {"op6_chat_format": DIGESTS_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": DIGESTS_SQL, "op11_fill_middle": MIDDLES_SQL, "op13_ball_kmeans": CLUSTERS_SQL}

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 def test_oracle(spark, name):
     got = queries.QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in ("documents", "conversations", "labels", "pages"):
+    for t in ("documents", "conversations", "labels", "pages", "embeddings"):
         db.sql(f"CREATE VIEW {t} AS FROM '{SF}/{t}.parquet'")
     want = db.sql(queries.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
