@@ -108,20 +108,23 @@ class SyncJob(Base):
         changed = kept(queues.changed_courses(courses, w["sections"], kept(updates), since is None))
         contents = kept(self.fetch("contents", _params(changed, courseid="id")).select(F.get_json_object("params", "$.courseid").cast("bigint").alias("course_id"), "payload"))
         assignments = kept(normalize.assignments(self.fetch("assignments", [{"courseids": ids}])))
-        refresh = queues.status_refresh(assignments, changed.select("id"), queues.needs_status(self.merged("assignments", assignments, ["id"], now), w["submissions"], int(self.clock().timestamp())))
+        refresh = queues.status_refresh(assignments, changed.select("id"), queues.needs_status(state.upsert(w["assignments"], _numbered(assignments), ["id"], now), w["submissions"], int(self.clock().timestamp())))
         wanted = kept(refresh)
         statuses = normalize.submission_status(self.fetch("submission", _params(wanted, assignid="id")).select(F.get_json_object("params", "$.assignid").cast("bigint").alias("assignment_id"), "payload"))
         statuses = kept(statuses)
         grades = kept(normalize.grades(self.fetch("grades", _params(changed, courseid="id", userid=F.lit(me)))))
         calendar = kept(normalize.calendar(self.fetch("calendar", [{"courseids": ids}])))
-        merged_courses = self.merged("courses", courses, ["id"], now).join(labels.withColumnRenamed("timeline_classification", "_label"), "id", "left")
+        # Only rows of the batches' keys are read and written; labels may be of courses that are stored, but not among those told now.
+        touched = courses.select("id").union(labels.select("id"))
+        merged_courses = state.upsert(w.find("courses", touched), _numbered(courses), ["id"], now).join(labels.withColumnRenamed("timeline_classification", "_label"), "id", "left")
         merged_courses = merged_courses.withColumn("timeline_classification", F.coalesce("_label", "timeline_classification"))
-        w.commit({
+        files = kept(normalize.files(contents))
+        w.commit(put={
             "users": self.merged("users", user, ["id"], now),
             "courses": merged_courses,
             "sections": self.merged("sections", normalize.sections(contents), ["id"], now),
             "modules": self.merged("modules", normalize.modules(contents), ["id"], now),
-            "files": state.upsert_with_ids(w["files"], _numbered(normalize.files(contents)), ["fileurl"], now),
+            "files": keep(state.upsert_with_ids(w.find("files", files), _numbered(files), ["fileurl"], now, reserve=lambda n: w.reserve("files", n))),
             "assignments": self.merged("assignments", assignments, ["id"], now),
             "submissions": self.merged("submissions", statuses, ["assignment_id"], now),
             "grades": self.merged("grades", grades, ["id"], now),
@@ -132,7 +135,8 @@ class SyncJob(Base):
         return Result(total.items_processed, total.summary)
 
     def merged(self, table: str, batch: DataFrame, keys: list[str], now: str) -> DataFrame:
-        return state.upsert(self.warehouse[table], _numbered(batch), keys, now)
+        """The rows of the batch's keys, as they are put over the stored ones."""
+        return state.upsert(self.warehouse.find(table, batch), _numbered(batch), keys, now)
 
 
 def _params(rows: DataFrame, **columns) -> DataFrame:
@@ -171,26 +175,26 @@ class IngestionJob(Base):
     def ingest(self, work: DataFrame) -> dict:
         """Downloads and commits one piece of the batch."""
         w, now, keys = self.warehouse, self.stamp(), ["origin", "source_type", "external_reference"]
-        resources = state.upsert_with_ids(w["resources"], _numbered(work.drop("work_group", "second_key", "latest_version_id", "mimetype", "source_timemodified")), keys, now)
-        w.commit({"resources": resources})
-        work = work.join(w["resources"].select(*keys, F.col("id").alias("resource_id")), keys)
+        brought = _numbered(work.drop("work_group", "second_key", "latest_version_id", "mimetype", "source_timemodified"))
+        w.commit(put={"resources": state.upsert_with_ids(w.find("resources", work), brought, keys, now, reserve=lambda n: w.reserve("resources", n))})
+        work = work.join(w.find("resources", work).select(*keys, F.col("id").alias("resource_id")), keys)
         plain = work.filter("source_type = 'url'").select("resource_id", F.lit("done").alias("outcome"), F.length(queues.url_bytes("source_url")).cast("bigint").alias("size_bytes"), queues.url_bytes("source_url").alias("content"), F.lit(None).cast("string").alias("error"))
         files = work.filter("source_type = 'file'").select("resource_id", F.col("source_url").alias("fileurl"))
         got = self.download(files).join(files, F.col("url") == F.col("fileurl")).select("resource_id", "outcome", "size_bytes", "content", "error")
         with w.aside() as keep:
             results = keep(plain.unionByName(got).join(work.select("resource_id", "source_type", "mimetype", "source_timemodified"), "resource_id"))
             originals.store(results.filter("outcome = 'done'").select("content"), self.objects, reserve=self.reserve)
-            last = latest_versions(w["versions"]).select("resource_id", F.col("content_hash").alias("_was"), F.col("version_number").alias("_n"))
+            last = latest_versions(w.find("versions", results)).select("resource_id", F.col("content_hash").alias("_was"), F.col("version_number").alias("_n"))
             hashed = results.filter("outcome = 'done'").withColumn("content_hash", F.sha2("content", 256)).join(last, "resource_id", "left")
             fresh = hashed.filter(~F.col("content_hash").eqNullSafe(F.col("_was")))
             rows = fresh.select("resource_id", (F.coalesce("_n", F.lit(0)) + 1).cast("bigint").alias("version_number"), "content_hash", F.concat(F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash").alias("storage_ref"), "size_bytes", queues.default_mimetype("source_type", "mimetype").alias("mimetype"), F.lit(now).alias("ingested_at"))
-            versions = state.append(w["versions"], state.with_ids(w["versions"], rows, ["resource_id"]))
+            rows = keep(rows)
+            new = rows.count()
+            versions = state.with_ids(schema.empty(w.spark, "versions"), rows, ["resource_id"], last=w.reserve("versions", new))
             outcomes = results.select("resource_id", "outcome", "size_bytes", F.lit(64 << 20).cast("bigint").alias("limit_bytes"), "source_timemodified", F.lit(now).alias("at"))
             checks, cleared, deferred = state.record_outcomes(outcomes)
-            was = w["checks"].join(checks.select("resource_id"), "resource_id", "left_anti").select(*w["checks"].columns)
             told = history.batch_counters(results.withColumn("seq", F.col("resource_id"))).first().asDict()
-            new = fresh.count()
-            w.commit({"versions": versions, "checks": was.unionByName(checks), "deferrals": state.deferrals_after(w["deferrals"], cleared, deferred)})
+            w.commit(append={"versions": versions}, drop={"deferrals": cleared}, put={"checks": checks, "deferrals": deferred})
         return {"attempted": told["attempted"], "failed": told["failed"], "deferred": told["deferred"], "new": new, "first_error": told["first_error"]}
 
 
@@ -209,24 +213,31 @@ class ExtractionJob(Base):
     def run(self, trigger: Trigger, should_stop: Callable[[], bool]) -> Result:
         every = self.pending()
         n, told = every.count(), {"attempted": 0, "done": 0, "failed": 0, "first_error": None}
-        for work in self.chunks(every, ["failed_count", "id"], EXTRACTION, should_stop):
-            for name, value in self.extract(work.select("id")).items():
+        for work in self.chunks(self.described(every), ["failed_count", "id"], EXTRACTION, should_stop):
+            for name, value in self.extract(work).items():
                 told[name] = told[name] + value if name != "first_error" else told[name] or value
         return Result(told["attempted"], f"{told['done']} done, {told['failed']} failed, {n - told['attempted']} still pending", told["first_error"])
 
-    def extract(self, todo: DataFrame) -> dict:
-        """Reads and records one piece of the batch."""
+    def described(self, pending: DataFrame) -> DataFrame:
+        """Pending versions with what their extraction needs to know of them, looked up once for the whole batch."""
         from ..functions.text import extension
 
-        w, now = self.warehouse, self.stamp()
+        w = self.warehouse
         names = w["resources"].select(F.col("id").alias("resource_id"), "name")
-        rows = w["versions"].join(todo, "id").join(names, "resource_id", "left").select(F.col("id").alias("resource_version_id"), "content_hash", extraction.extractor("mimetype", extension("name"), pictures="image_ocr" in extraction.PARSERS).alias("extractor_name"))
+        how = extraction.extractor("mimetype", extension("name"), pictures="image_ocr" in extraction.PARSERS).alias("extractor_name")
+        return pending.join(w["versions"], "id").join(names, "resource_id", "left").select("id", "failed_count", "content_hash", how)
+
+    def extract(self, rows: DataFrame) -> dict:
+        """Reads and records one piece of the batch."""
+        w, now = self.warehouse, self.stamp()
+        rows = rows.select(F.col("id").alias("resource_version_id"), "content_hash", "extractor_name")
         content = originals.retrieve(w.spark, self.objects, rows.select("content_hash").distinct())
         with w.aside() as keep:
             made = keep(extraction.extract(rows.join(content, "content_hash", "left").drop("content_hash")))
             added = made.select("*", F.lit(DEPTH).alias("depth"), F.lit(now).alias("extracted_at"))
             told = history.batch_counters(made.select(F.col("resource_version_id").alias("seq"), F.col("status").alias("outcome"), F.col("error_reason").alias("error"))).first().asDict()
-            w.commit({"extractions": state.append(w["extractions"], state.with_ids(w["extractions"], added, ["resource_version_id"]))})
+            none = schema.empty(w.spark, "extractions")
+            w.commit(append={"extractions": state.append(none, state.with_ids(none, added, ["resource_version_id"], last=w.reserve("extractions", told["attempted"])))})
         return {name: told[name] for name in ("attempted", "done", "failed", "first_error")}
 
 
@@ -282,7 +293,9 @@ def status_refresh(warehouse: Warehouse, fetch: Fetch, now: Callable[[], str]) -
     def refresh(assignments: DataFrame) -> None:
         got = fetch("submission", _params(assignments, assignid="assignment_id"))
         rows = normalize.submission_status(got.select(F.get_json_object("params", "$.assignid").cast("bigint").alias("assignment_id"), "payload"))
-        warehouse.commit({"submissions": state.upsert(warehouse["submissions"], _numbered(rows), ["assignment_id"], now())})
+        with warehouse.aside() as keep:
+            rows = keep(rows)
+            warehouse.commit(put={"submissions": state.upsert(warehouse.find("submissions", rows), _numbered(rows), ["assignment_id"], now())})
 
     return refresh
 

@@ -8,6 +8,7 @@ from typing import Protocol
 from pyspark.sql import functions as F
 
 from ..operators import history, state
+from ..sources import schema
 from ..sources.warehouse import Warehouse
 
 ABANDONED = "interrupted: its process ended without closing it"
@@ -31,24 +32,26 @@ class Ledger(Protocol):
 
 @dataclass
 class WarehouseLedger:
-    """Rows of executions are added and changed one at a time, by the transitions that queries test; none is held by the driver."""
+    """Rows of executions are added and closed one at a time, by the transitions that queries test: each is a small part of the table's log, under an id that was set aside for it."""
 
     warehouse: Warehouse
 
     def begin(self, job: str, trigger: str, attempt: int, at: str) -> int:
-        rows = self.warehouse["executions"]
-        entry = 1 + (rows.agg(F.max("id")).first()[0] or 0)
-        self.warehouse.commit({"executions": state.start_execution(rows, entry, job, trigger, attempt, at)})
+        w = self.warehouse
+        entry = 1 + w.reserve("executions", 1)
+        w.commit(append={"executions": state.start_execution(schema.empty(w.spark, "executions"), entry, job, trigger, attempt, at)})
         return entry
 
     def end(self, entry: int, status: str, at: str, seconds: float, result: Result) -> None:
+        w = self.warehouse
+        row = w.find("executions", w.spark.createDataFrame([(entry,)], "id long"))
         items = result.items if status == "done" else None
-        self.warehouse.commit({"executions": state.finish_execution(self.warehouse["executions"], entry, status, at, seconds, items, result.detail, result.error)})
+        w.commit(put={"executions": state.finish_execution(row, entry, status, at, seconds, items, result.detail, result.error)})
 
     def fail_open(self, at: str) -> int:
-        rows = self.warehouse["executions"]
-        if n := history.running(rows).count():
-            self.warehouse.commit({"executions": state.fail_stale_running(rows, at, ABANDONED)})
+        rows = history.running(self.warehouse["executions"])
+        if n := rows.count():
+            self.warehouse.commit(put={"executions": state.fail_stale_running(rows, at, ABANDONED)})
         return n
 
     def last_status(self, job: str) -> str | None:

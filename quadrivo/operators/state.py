@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ def upsert(old: DataFrame, batch: DataFrame, keys: Sequence[str], now: str, keep
     return joined.select(*(value(c).alias(c) for c in old.columns))
 
 
-def with_ids(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str = "id") -> DataFrame:
-    """new rows with ids that follow the old ones, in the order of a hash of their keys.
+def with_ids(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str = "id", last: int | None = None) -> DataFrame:
+    """new rows with ids that follow the old ones (or `last`, if that is known), in the order of a hash of their keys.
 
     The hash's first three digits deal rows evenly to 4096 groups, which are numbered side by side; as these digits
     come first in the order too, a group's ids begin after those of the groups before it, of which there are 4096
@@ -51,17 +51,22 @@ def with_ids(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str =
     at = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", *keys))
     sizes = named.groupBy("_group").agg(F.count("*").alias("_n"))
     before = sizes.select("_group", (F.sum("_n").over(Window.orderBy("_group")) - F.col("_n")).alias("_before"))
-    top = old.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
-    starts = before.join(F.broadcast(top)).select("_group", (F.col("_top") + F.col("_before")).alias("_start"))
+    if last is None:
+        top = old.agg(F.coalesce(F.max(column), F.lit(0)).alias("_top"))
+        before = before.join(F.broadcast(top))
+    else:
+        before = before.withColumn("_top", F.lit(last))
+    starts = before.select("_group", (F.col("_top") + F.col("_before")).alias("_start"))
     made = named.withColumn("_at", at).join(F.broadcast(starts), "_group")
     return made.withColumn(column, (F.col("_start") + F.col("_at")).cast("bigint")).drop("_hash", "_group", "_at", "_start")
 
 
-def upsert_with_ids(old: DataFrame, batch: DataFrame, keys: Sequence[str], now: str, order: str = "_seq") -> DataFrame:
-    """upsert for a table whose id is given by the store: new keys get the next ids."""
+def upsert_with_ids(old: DataFrame, batch: DataFrame, keys: Sequence[str], now: str, order: str = "_seq", reserve: Callable[[int], int] | None = None) -> DataFrame:
+    """upsert for a table whose id is given by the store: new keys get the next ids, or those that follow what reserve(how many) returns."""
     merged = upsert(old, batch, keys, now, order=order)
     known, fresh = merged.filter("id IS NOT NULL"), merged.filter("id IS NULL").drop("id")
-    return known.unionByName(with_ids(old, fresh, keys).select(*old.columns))
+    last = reserve(fresh.count()) if reserve else None
+    return known.unionByName(with_ids(old, fresh, keys, last=last).select(*old.columns))
 
 
 def insert_or_ignore(old: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instants, rules, text
 from ..functions.instants import HOUR
-from ..operators import extraction, history, latest, normalize, queues, read_model, reminders, state
+from ..operators import extraction, history, latest, normalize, orders, queues, read_model, reminders, state
 from ..sources import schema, warehouse
 from .lens import CONFIRMED, ORDER_NOW, TASK_NOW, Lens, duckdb_sql
 
@@ -84,19 +84,11 @@ query("course_has_contents", "SELECT * FROM $courses c WHERE EXISTS (SELECT 1 FR
 
 
 def _ordered(name: str, rows: Callable[[Lens], DataFrame], sql: str, order: list[tuple[str, str]], key: str) -> None:
-    """A query of all rows in their order: as result sets are compared without one, each row says which stands before it, as sorted by Spark."""
+    """A query of all rows in their order: as result sets are compared without one, each row says which stands before it."""
     words = ", ".join(f"{c} {how}" for c, how in order)
-    query(name, f"SELECT *, lag({key}) OVER (ORDER BY {words}) AS after FROM ({sql}) o")(lambda t: _neighbours(rows(t).orderBy(*(F.expr(c).desc_nulls_last() if how.startswith("DESC") else F.expr(c).asc_nulls_first() for c, how in order)), key))
-
-
-def _neighbours(rows: DataFrame, key: str) -> DataFrame:
-    """Sorted rows with the key of the row before. A partition of a sorted table holds a range, so only its last row is needed by the next one."""
-    at = rows.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_n"))
-    here = at.withColumn("_before", F.lag(key).over(Window.partitionBy("_p").orderBy("_n")))
-    lasts = at.groupBy("_p").agg(F.max_by(key, "_n").alias("_last"))
-    lasts = lasts.withColumn("_next", F.lead("_p").over(Window.orderBy("_p"))).filter("_next IS NOT NULL").select("_next", "_last")  # a row for each partition
-    first = F.col("_n") == F.shiftleft(F.col("_p").cast("long"), 33)
-    return here.join(F.broadcast(lasts), F.col("_p") == F.col("_next"), "left").select(*rows.columns, F.when(first, F.col("_last")).otherwise(F.col("_before")).alias("after"))
+    query(name, f"SELECT *, lag({key}) OVER (ORDER BY {words}) AS after FROM ({sql}) o")(
+        lambda t: orders.with_previous(rows(t), [F.desc_nulls_last(c) if how.startswith("DESC") else F.asc_nulls_first(c) for c, how in order], key, "after")
+    )
 
 
 _NULLS_FIRST, _NULLS_LAST = "ASC NULLS FIRST", "DESC NULLS LAST"

@@ -46,6 +46,16 @@ def keys(table: str) -> list[list[str]]:
     return KEYS.get(table, [["id"]])
 
 
+def identity(table: str) -> list[str]:
+    """The columns by which a row takes the place of another: those that a batch knows a row by."""
+    return {"files": ["fileurl"], "resources": ["origin", "source_type", "external_reference"]}.get(table, keys(table)[0])
+
+
+def looked_up_by(table: str) -> list[str]:
+    """The columns by which a table's rows are looked up, and its buckets dealt."""
+    return {"versions": ["resource_id"], "extractions": ["resource_version_id"], "sent": ["notification_type", "subject_key", "scheduled_for"]}.get(table, identity(table))
+
+
 def schema(table: str) -> T.StructType:
     return T._parse_datatype_string(COLUMNS[table])
 

@@ -1,69 +1,196 @@
-"""Snapshots of tables, backups, and the content-addressed store of originals."""
+"""Tables as logs of parts, backups, and the content-addressed store of originals."""
 
 from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .schema import COLUMNS, PURGED, after_purge, empty, schema
-
+from .commit_log import BUCKET_BYTES, Log, Part, buckets_for, due
+from .schema import COLUMNS, PURGED, after_purge, empty, identity, looked_up_by, schema
 
 #: Bytes that stay free on the file system of originals.
 RESERVE = 1 << 30
+#: Backups that are kept.
+BACKUPS = 14
+#: Seconds for which a folder stays after nothing names it any more.
+GRACE = 24 * 3600
+
+
+def _bucket(by: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int").alias("_bucket")
+
 
 
 class Warehouse:
-    """Tables as Parquet snapshots below a folder that all executors reach.
+    """Tables as logs of Parquet parts below a folder that all executors reach.
 
-    A commit writes whole new snapshots and then replaces the small file that names them, so readers see
-    all of a change or nothing of it, and nothing is overwritten while it is read.
+    A commit writes parts (all rows anew, rows that are added, rows that take the place of others, ends of rows) and then replaces the small file that names the
+    parts of all tables, so readers see all of a change or nothing of it, and nothing is overwritten while it is read. Small parts are merged by
+    size, large ones lie in buckets by the columns that rows are looked up by. Folders that are named no more stay for a while, for who still reads them.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, now: Callable[[], float] = time.time):
+        self.spark, self.root, self.now = spark, root.rstrip("/"), now
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def names(self) -> dict[str, str]:
-        """table to snapshot path, as last committed."""
+    # --- reading ---
+
+    def log(self) -> Log:
+        """The parts of all tables, as last committed."""
         at = self._path(f"{self.root}/CURRENT")
         if not self._fs.exists(at):
-            return {}
+            return Log()
         stream = self._fs.open(at)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return Log.parsed(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return dict(line.split("\t") for line in text.split("\n") if line)
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in COLUMNS:
             raise KeyError(table)
         if table == "requests":
             return self.requests(self.request_files())
-        where = self.names().get(table)
-        return self.spark.read.schema(schema(table)).parquet(where) if where else empty(self.spark, table)
-
-    def commit(self, tables: Mapping[str, DataFrame]) -> None:
-        """Replaces tables together."""
-        if "requests" in tables:
+        return self._rows(table, self.log().parts.get(table, ()))
+
+    def find(self, table: str, wanted: DataFrame) -> DataFrame:
+        """A table's rows of the wanted keys (a DataFrame of the columns by which the table is looked up, or more), of whose large parts only the buckets of those keys are read."""
+        by = looked_up_by(table)
+        keys = wanted.select(*(F.col(c).cast(schema(table)[c].dataType).alias(c) for c in by)).distinct()
+        rows = self._rows(table, self.log().parts.get(table, ()), keys)
+        return rows.join(keys, by, "left_semi").select(*rows.columns)
+
+    def _rows(self, table: str, parts: Sequence[Part], wanted: DataFrame | None = None) -> DataFrame:
+        """The rows that parts make up."""
+        return self._resolved(table, parts, wanted, ends=False).drop("_gone")
+
+    def _read(self, table: str, part: Part, wanted: DataFrame | None) -> DataFrame:
+        columns = T.StructType([*schema(table), *([T.StructField("_gone", T.BooleanType())] if part.over else []), *([T.StructField("_bucket", T.IntegerType())] if part.buckets else [])])
+        rows = self.spark.read.schema(columns).parquet(f"{self.root}/{part.path}")
+        if part.buckets and wanted is not None:
+            some = [r[0] for r in wanted.select(_bucket(looked_up_by(table), part.buckets)).distinct().collect()]  # as many as there are buckets at most
+            rows = rows.filter(F.col("_bucket").isin(some)) if len(some) < part.buckets else rows
+        return rows.drop("_bucket") if part.over else rows.drop("_bucket").withColumn("_gone", F.lit(None).cast("boolean"))
+
+    def _resolved(self, table: str, parts: Sequence[Part], wanted: DataFrame | None = None, ends: bool = True) -> DataFrame:
+        """What is left of parts, with _gone for the ends of rows that may lie in earlier parts."""
+        names, key = [f.name for f in schema(table)], identity(table)
+        runs: list[tuple[int, DataFrame]] = []  # plain rows, of parts between the same over parts as one
+        overs: list[tuple[int, DataFrame]] = []
+        for n, part in enumerate(parts):
+            rows = self._read(table, part, wanted)
+            if part.over:
+                overs.append((n, rows))
+            elif runs and not any(runs[-1][0] < m for m, _ in overs):
+                runs[-1] = (n, runs[-1][1].unionByName(rows))
+            else:
+                runs.append((n, rows))
+        if not overs:
+            return reduce(DataFrame.unionByName, (rows for _, rows in runs)) if runs else empty(self.spark, table).withColumn("_gone", F.lit(None).cast("boolean"))
+        every = reduce(DataFrame.unionByName, (rows.withColumn("_part", F.lit(n)) for n, rows in overs))
+        if len(overs) > 1:
+            every = every.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_part")))).filter("_nth = 1").drop("_nth")
+        later = every.select(*(F.col(c).alias(f"_{c}") for c in key), F.col("_part").alias("_later"))
+        same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in key))
+        left = [rows.join(later.filter(F.col("_later") > n), same, "left_anti") if n < overs[-1][0] else rows for n, rows in runs]
+        newest = every.drop("_part") if ends else every.drop("_part").filter("_gone IS NULL")
+        return reduce(DataFrame.unionByName, [*left, newest]).select(*names, "_gone")
+
+    # --- writing ---
+
+    def commit(self, tables: Mapping[str, DataFrame] | None = None, *, append: Mapping[str, DataFrame] | None = None, put: Mapping[str, DataFrame] | None = None, drop: Mapping[str, DataFrame] | None = None) -> None:
+        """All changes together. tables: their rows from now on; append: rows of new keys; put: rows that take the place of those with the same key, or are new; drop: keys of rows that end (before what is put)."""
+        if any("requests" in (changes or {}) for changes in (tables, append, put, drop)):
             raise ValueError("requests are added one by one, by any process")
-        made = self.names()
-        for name, df in tables.items():
-            where = f"{self.root}/{name}/{uuid.uuid4().hex}"
-            df.select(*(f.name for f in schema(name))).write.mode("errorifexists").parquet(where)
-            made[name] = where
-        self._name("CURRENT", made)
-
-    def _name(self, file: str, made: Mapping[str, str]) -> None:
+        log = self.log()
+        parts = dict(log.parts)
+        gone = dict(log.gone)
+        for name, df in (tables or {}).items():
+            gone |= {p.path: self._ms() for p in parts.get(name, ())}
+            parts[name] = (self._write(name, df.select(*(f.name for f in schema(name)))),)
+        for changes, over in ((append, False), (drop, True), (put, True)):
+            for name, df in (changes or {}).items():
+                ends = changes is drop
+                rows = df.select(*(F.col(c) if not ends or c in identity(name) else F.lit(None).cast(f.dataType).alias(c) for f in schema(name) for c in [f.name]))
+                rows = rows.withColumn("_gone", F.lit(True) if ends else F.lit(None).cast("boolean")) if over else rows
+                parts[name] = (*parts.get(name, ()), self._write(name, rows, over, few=True))
+        self._name("CURRENT", Log(parts, log.last_ids, gone))
+        for name in {*(tables or {}), *(append or {}), *(put or {}), *(drop or {})}:
+            self.merge(name)
+
+    def merge(self, table: str, whole: bool = False) -> bool:
+        """Merges a table's newest parts where enough of a size have come together, or all of them; a first part that has outgrown its buckets is dealt anew. Whether it did. Readers see the same rows before and after."""
+        log = self.log()
+        parts = log.parts.get(table, ())
+        start = 0 if whole and len(parts) > 1 else due(parts)
+        if start is None and parts and buckets_for(parts[0].size) > 2 * parts[0].buckets:
+            parts, rest, start = parts[:1], parts[1:], 0
+        else:
+            rest = ()
+        if start is None:
+            return False
+        merged, kept = parts[start:], parts[:start]
+        over = start > 0 and any(p.over for p in merged)
+        rows = self._resolved(table, merged, ends=over)
+        made = self._write(table, rows if over else rows.drop("_gone"), over, size=sum(p.size for p in merged))
+        self._name("CURRENT", Log({**log.parts, table: (*kept, made, *rest)}, log.last_ids, {**log.gone, **{p.path: self._ms() for p in merged}}))
+        return True
+
+    def vacuum(self, grace_seconds: float = GRACE) -> list[str]:
+        """Removes folders that have been named by nothing for longer than the grace time, those of broken commits among them; returns what went."""
+        log, before = self.log(), self._ms() - int(1000 * grace_seconds)
+        old = {path for path, at in log.gone.items() if at <= before}
+        named = {p.path for ps in log.parts.values() for p in ps} | set(log.gone)
+        for table in COLUMNS:
+            top = self._path(f"{self.root}/{table}")
+            for f in self._fs.listStatus(top) if table != "requests" and self._fs.exists(top) else []:
+                path = f"{table}/{f.getPath().getName()}"
+                if path not in named and f.getModificationTime() <= before:
+                    old.add(path)
+        self._name("CURRENT", Log(log.parts, log.last_ids, {p: at for p, at in log.gone.items() if p not in old}))
+        for path in old:
+            self._fs.delete(self._path(f"{self.root}/{path}"), True)
+        return sorted(old)
+
+    def reserve(self, table: str, n: int) -> int:
+        """Sets n ids of a table aside, that follow the number returned; none is given twice, whatever becomes of these."""
+        log = self.log()
+        last = log.last_ids.get(table)
+        if last is None:
+            last = self[table].agg(F.max("id")).first()[0] or 0  # once for a table
+        if n or table not in log.last_ids:
+            self._name("CURRENT", Log(log.parts, {**log.last_ids, table: last + n}, log.gone))
+        return last
+
+    def _ms(self) -> int:
+        return int(1000 * self.now())
+
+    def _write(self, table: str, rows: DataFrame, over: bool = False, few: bool = False, size: int = 0) -> Part:
+        """A new part. Rows of a known size are dealt to buckets where that is large; a few are one file."""
+        path, buckets = f"{table}/{uuid.uuid4().hex}", buckets_for(size)
+        where = f"{self.root}/{path}"
+        if buckets:
+            rows.withColumn("_bucket", _bucket(looked_up_by(table), buckets)).repartition("_bucket").write.mode("errorifexists").partitionBy("_bucket").parquet(where)
+        else:
+            (rows.coalesce(1) if few or 0 < size < BUCKET_BYTES else rows).write.mode("errorifexists").parquet(where)
+        return Part(path, over, buckets, self._fs.getContentSummary(self._path(where)).getLength())
+
+    def size(self) -> int:
+        """Bytes below the root, those of folders that are named no more included."""
+        return self._fs.getContentSummary(self._path(self.root)).getLength()
+
+    def _name(self, file: str, log: Log) -> None:
         part = self._path(f"{self.root}/.{file}-{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
-        out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(made.items())).encode()))
+        out.write(bytearray(log.text().encode()))
         out.close()
         options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         array = self.spark.sparkContext._gateway.new_array(options, 1)
@@ -106,21 +233,22 @@ class Warehouse:
         finally:
             self._fs.delete(self._path(where), True)
 
-    def backup(self, stamp: str) -> str:
-        """A full copy of all tables under backups/<stamp>, its row counts checked; an existing one is refused."""
+    def backup(self, stamp: str, most: int = BACKUPS) -> str:
+        """A full copy of all tables under backups/<stamp>, its row counts checked; an existing one is refused. Then the oldest ones go, beyond `most`."""
         where = f"{self.root}/backups/{stamp}"
-        for name in self.names():
+        for name in self.log().parts:
             df = self[name]
             df.write.mode("errorifexists").parquet(f"{where}/{name}")
             if self.spark.read.schema(df.schema).parquet(f"{where}/{name}").count() != df.count():
                 raise RuntimeError(f"the backup of {name} is not whole")
+        self.keep_newest_backups(most)
         return where
 
-    def keep_newest_backups(self, most: int = 14) -> list[str]:
-        """Removes all but the newest backups by stamp; returns what went."""
+    def keep_newest_backups(self, most: int = BACKUPS) -> list[str]:
+        """Removes all but the backups that were made last; returns what went."""
         top = self._path(f"{self.root}/backups")
-        found = sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
-        gone = found[: max(0, len(found) - most)]
+        found = sorted((s.getModificationTime(), s.getPath().getName()) for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+        gone = [name for _, name in found[: max(0, len(found) - most)]]
         for name in gone:
             self._fs.delete(self._path(f"{self.root}/backups/{name}"), True)
         return gone

@@ -45,10 +45,12 @@ def send_cycle(warehouse: Warehouse, rules: Iterable[reminders.Rule], now: int,
 def record(warehouse: Warehouse, rows: DataFrame) -> None:
     """Adds sent messages that are not recorded yet; recording a batch again changes nothing."""
     from ..operators.state import insert_or_ignore, with_ids
+    from ..sources.schema import empty
 
-    old = warehouse["sent"]
-    fresh = rows.dropDuplicates(IDENTITY).join(old.select(*IDENTITY), IDENTITY, "left_anti")
-    warehouse.commit({"sent": insert_or_ignore(old, with_ids(old, fresh, IDENTITY), IDENTITY)})
+    fresh = rows.dropDuplicates(IDENTITY).join(warehouse.find("sent", rows).select(*IDENTITY), IDENTITY, "left_anti")
+    if n := fresh.count():
+        none = empty(warehouse.spark, "sent")
+        warehouse.commit(append={"sent": insert_or_ignore(none, with_ids(none, fresh, IDENTITY, last=warehouse.reserve("sent", n)), IDENTITY)})
 
 
 def start(ticks: DataFrame, warehouse: Warehouse, rules_source: Callable[[], Iterable[reminders.Rule]], sink: Sink, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

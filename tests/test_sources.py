@@ -118,7 +118,7 @@ def test_warehouse(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/w/backups/before-purge-1/sections").count() == 2
     for stamp in ("2", "3"):
         w.backup(stamp)
-    assert w.keep_newest_backups(1) == ["2", "3"]
+    assert w.keep_newest_backups(1) == ["before-purge-1", "2"]
     with pytest.raises(KeyError):
         w["nothing"]
 
