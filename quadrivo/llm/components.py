@@ -34,7 +34,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select("a", "b").filter("a <> b")
     for _ in range(MAX_STEPS):
         to, *used = (new_path(spark, name) for name in ("edges", "least", "large", "least"))
-        large = written(_star(edges, True, used[0]).filter("a <> b").distinct(), "large", used[1])
+        large = written(_star(edges, True, used[0]).filter("a <> b"), "large", used[1])
         edges = written(_star(large, False, used[2]).filter("a <> b").distinct(), "edges", to)
         for done in [*used, *([path] if path else [])]:
             drop_path(spark, done)

@@ -6,15 +6,17 @@ Shingles are compared by their XXH64. Texts with equal sets are one point. Links
 2. Pivots: two sets that are alike enough share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever the order of all shingles
    (prefix filter). While groups of points that share one are so large that their pairs would outgrow them, each group's points are compared with one of them, and
    what is linked need not be compared again. So a group of many copies costs a few comparisons for each copy, not one for each pair.
-3. The rest: points of a group that are not connected yet are paired; how many shingles they share there bounds what they can share
+3. Rarest first: where groups are still crowded, by points that share a passage and are not alike, all points of such groups are filtered by prefixes again, now in
+   the order of exact document frequencies among them, so that a shared passage comes last in each.
+4. The rest: points of a group that are not connected yet are paired; how many shingles they share there bounds what they can share
    at all, and those within the bound are compared whole. So no link between points that are not connected otherwise is lost.
 
-Shingles that are frequent in a sample come last in the order, so that common passages make few candidates; the sample bears on the work only.
+In steps 2 and 4 shingles that are frequent in a sample come last in the order; the sample bears on the work only.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import xxhash
@@ -31,6 +33,8 @@ LEAST, OF, SHINGLE, SEED = 4, 5, 5, 42
 SAMPLE, FREQUENT, MOST = 10_000, 4, 200_000
 #: Pairs of a group's points for each of its points from which pivots are compared first, and the most rounds of that (each has to halve what is left).
 CROWDED, ROUNDS = 32, 3
+#: Tells groups of the second order from those of the first.
+AGAIN = 0x5DEECE66D0B5
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,38 +55,64 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * shared >= LEAST * (len(a) + len(b) - shared)
 
 
-def _frequent(df: DataFrame, text: str, key: str) -> np.ndarray:
-    schema = T.StructType([T.StructField("s", T.LongType())])
+def _exploded(texts: DataFrame) -> DataFrame:
+    """id, s: each shingle of each text (columns id, text) once."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("s", T.LongType())])
 
     def run(batches):
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield batch_of([shingles(t).view(np.int64)], schema)
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = shingles(t).view(np.int64)
+                yield batch_of([np.full(len(found), i), found], schema)
 
-    sample = df.select(text, F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE).select(text)
-    found = arrow_map(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism), run, schema).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    return arrow_map(texts.select("id", "text"), run, schema)
+
+
+def _frequent(df: DataFrame, text: str) -> np.ndarray:
+    """Shingles that are in FREQUENT or more of about SAMPLE rows, drawn by a hash of the text and the place."""
+    share = min(1.0, SAMPLE / max(1, df.count()))
+    drawn = df.filter(F.pmod(F.xxhash64(text, F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = _exploded(drawn.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("text"))).groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
     return np.sort(np.array([r.s for r in found.orderBy(F.desc("n"), "s").limit(MOST).collect()], np.int64).view(np.uint64))
 
 
+def _first(n: int) -> int:
+    """How many shingles of a set of n are its prefix."""
+    return n - -(-LEAST * n // OF) + 1
+
+
 def _sets(df: DataFrame, text: str, key: str, frequent: np.ndarray) -> DataFrame:
-    """key, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found)."""
-    schema = T.StructType([T.StructField(key, column_type(df, key)), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found)."""
+    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        for b in batches:
-            ids, sizes, fps, prefixes = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t)
-                ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                sizes.append(len(s))
-                fps.append(bits_of(s))
-                if len(frequent):
-                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    s = np.r_[s[~late], s[late]]
-                prefixes.append(s[: len(s) - -(-LEAST * len(s) // OF) + 1].view(np.int64).tolist())
-            yield batch_of([b.column(0), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes], schema)
-
-    return arrow_map(df.select(key, text), run, schema)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                b = whole.slice(lo, 512)
+                ids, sizes, fps, prefixes = [], [], [], []
+                for t in b.column(1).to_pylist():
+                    s = shingles(t)
+                    ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                    sizes.append(len(s))
+                    fps.append(bits_of(s))
+                    if len(frequent):
+                        late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                        s = np.r_[s[~late], s[late]]
+                    prefixes.append(s[: _first(len(s))].view(np.int64).tolist())
+                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes], schema)
+
+    return arrow_map(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _rarest_first(texts: DataFrame, points: DataFrame) -> DataFrame:
+    """p, id, n, root: the points (id, n, root) by the shingles of their prefixes, in the order of how many of these points have a shingle; of shingles that two of them share at least."""
+    held = written(_exploded(texts.join(points.select("id"), "id", "left_semi")), "shingles")
+    often = held.groupBy("s").agg(F.count("*").alias("m"))
+    rows = held.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("all"))  # a text's shingles, so as many as a row may hold
+    size = F.size("all")
+    prefix = F.slice("all", F.lit(1), (size - F.ceil(size * LEAST / OF) + 1).cast("int"))
+    some = rows.select("id", F.explode(F.filter(prefix, lambda x: x["m"] > 1)).alias("x")).select("id", F.col("x.s").alias("p"))
+    return some.join(points, "id").select("p", "id", "n", "root")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -131,11 +161,13 @@ def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: key, component_id (the smallest key it is linked with over any number of links, its own included).
 
-    Null, empty and blank texts are alike. Repeated rows and keys repeat; a null key is never the smallest unless it is alone; an empty table gives none.
+    Null, empty and blank texts are alike. Rows are told apart by their place, so repeated rows and keys are rows of their own, which repeat; a null key is never the smallest
+    unless all of its group are null; an empty table gives none; other columns are not read.
     """
     spark = df.sparkSession
-    made = written(_sets(df, text, key, _frequent(df, text, key)), "sets")
-    points = written(made.groupBy("id").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "points")
+    made = written(_sets(df, text, key, _frequent(df, text)), "sets")
+    # A row for each set, which is told by its number from then on, so that no key is needed, be it null or repeated.
+    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "points")
     # Only shingles that two points share can link any.
     every = points.select("id", "n", F.explode("prefix").alias("p"))
     common = every.groupBy("p").agg(F.count("*").alias("m")).filter("m > 1").select("p")
@@ -145,13 +177,12 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     prints = written(points.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("m")), "prints")
     near = links(prints.select("fp")).distinct()
     first = lambda c, to: prints.select(F.col("fp").alias(c), F.col("first").alias(to))
-    same = points.join(prints.filter("m > 1"), "fp").filter("id <> first").select(*_ordered(F.col("id"), F.col("first")))
+    same = points.select("id", "fp").join(prints.filter("m > 1"), "fp").filter("id <> first").select(*_ordered(F.col("id"), F.col("first")))
     found = written(near.join(first("a", "x"), "a").join(first("b", "y"), "b").select(*_ordered(F.col("x"), F.col("y"))).union(same).distinct(), "near")
     # Texts of all points that may have to be compared.
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("id")).distinct()
-    who = points.join(ends, "id").select("id", F.col("least").alias(key))
     text_path = new_path(spark, "texts")
-    texts = written(df.join(who, key).groupBy("id").agg(F.first(text).alias("text")), "", text_path)
+    texts = written(made.select("row", "text").join(points.select("id", "row").join(ends, "id"), "row").select("id", "text"), "", text_path)
     linked = [written(_verified(found, texts), "links")]
     labels = _hooked(_hooked(None, linked[0]), linked[0])
     before = float("inf")
@@ -170,19 +201,28 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         linked.append(written(_verified(pairs, texts), "links"))
         labels = _hooked(_hooked(labels, linked[-1]), linked[-1])  # the pivot goes over to the least label around it, then the others follow
     rest = at.join(main.select("p", "main"), "p")
+    if size.pairs > CROWDED * size.points:
+        crowded = main.filter(f"others > {CROWDED}").select("p")
+        points_there = written(at.join(crowded, "p").select("id", "n", "root").distinct(), "crowded")
+        again = written(_rarest_first(texts, points_there), "rarest")
+        parts = again.groupBy("p", "root").agg(F.count("*").alias("m"))
+        tops = parts.groupBy("p").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).filter("roots > 1").select("p", F.col("top.root").alias("main"))
+        rest = rest.join(crowded, "p", "left_anti").select("p", "id", "n", "root", "main").union(again.join(tops, "p").select(F.col("p").bitwiseXOR(F.lit(AGAIN)), "id", "n", "root", "main"))
     a = rest.filter("root <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
     b = rest.select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main")
     # Both points of a pair may be apart from the main part: then it is met from both sides, of which one counts.
     met = a.join(b, "p").filter(f"rx <> ry AND (ry = main OR x < y) AND {_fit('nx', 'ny')}").select(*_ordered(F.col("x"), F.col("y")), (F.col("nx") + F.col("ny")).alias("both"), F.greatest("nx", "ny").alias("larger"))
     met = met.groupBy("a", "b", "both", "larger").agg(F.count("*").alias("shared"))
-    # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides.
+    # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides. Where groups were made anew, a shingle may have been met twice, which lets a pair through that need not be compared.
     pairs = written(met.filter(f"{LEAST + OF} * (shared + ceil({LEAST} * larger / {OF}) - 1) >= {LEAST} * both").select("a", "b"), "pairs")
-    for more in linked[1:]:
-        linked[0] = linked[0].union(more)
-    every_link = written(linked[0].union(_verified(pairs, texts)), "links")
+    # What the labels connect already is one node.
+    named = lambda c, to: labels.select(F.col("node").alias(c), F.col("root").alias(to))
+    every_link = reduce(DataFrame.union, [*linked, _verified(pairs, texts)])
+    between = every_link.join(named("a", "ra"), "a", "left").join(named("b", "rb"), "b", "left").select(*_ordered(F.coalesce("ra", "a"), F.coalesce("rb", "b"))).filter("a <> b").distinct()
+    roots = components(written(between, "links"))
     for path in (group_path, text_path):
         drop_path(spark, path)
-    roots = components(every_link)
-    placed = written(points.join(roots, points.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("root"), "least"), "groups")
+    placed = points.select("id", "least").join(labels, points.id == labels.node, "left").select("id", "least", F.coalesce("root", "id").alias("label"))
+    placed = written(placed.join(roots, placed.label == roots.node, "left").select("id", "least", F.coalesce("root", "label").alias("root")), "groups")
     tops = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
-    return made.select(key, "id").join(placed.join(tops, "root").select("id", "component_id"), "id").select(key, "component_id")
+    return made.select(F.col("key").alias(key), "id").join(placed.join(tops, "root").select("id", "component_id"), "id").select(key, "component_id")

@@ -72,3 +72,48 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     print(compared)
     assert got == left(texts) and 120 < len(got) < 200
     assert len(compared) > 2 and sum(compared) < 4000  # 31,125 pairs among the copies alone
+
+
+def groups_of(rows):
+    """Brute force: the smallest key of each row's group (null where all of it are null)."""
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    return sorted(((k, min((q for (q, _), r in zip(rows, root) if r == mine and q is not None), default=None)) for (k, _), mine in zip(rows, root)), key=str)
+
+
+def test_null_and_repeated_keys(spark):
+    from quadrivo.llm.near_copies import near_copies
+
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, base), (None, base + " more"), (3, base + " more words"), (3, "a text of its own that is long enough"), (3, "another one under the same key as that"), (4, "another one under the same key as that"), (None, None), (None, ""), (7, " "), (None, "alone"), (9, base), (9, base)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, key string, row string")
+    assert sorted(map(tuple, near_copies(df).collect()), key=str) == groups_of(rows)
+    assert near_copies(df.limit(0)).count() == 0
+
+
+def test_crowds_that_share_a_passage(spark, monkeypatch):
+    """Many texts that share a long passage, no shingle of which the sample finds; pairs of them that are alike besides are all found, and few others are compared."""
+    from quadrivo.llm import near_copies as nc
+
+    rng = random.Random(6)
+    passage, rows = " ".join(f"p{i}" for i in range(60)), []
+    for i in range(150):
+        own = [f"u{i}x{j}" for j in range(rng.randrange(30, 60))]
+        rows.append((2 * i, " ".join(own) + " " + passage))
+        if i % 10 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((2 * i + 1, " ".join(own) + " " + passage))
+    compared, plain, anew = [], nc._verified, []
+    again = nc._rarest_first
+    monkeypatch.setattr(nc, "MOST", 0)
+    monkeypatch.setattr(nc, "CROWDED", 8)
+    monkeypatch.setattr(nc, "_verified", lambda pairs, held: compared.append(pairs.count()) or plain(pairs, held))
+    monkeypatch.setattr(nc, "_rarest_first", lambda *given: anew.append(1) or again(*given))
+    got = sorted(map(tuple, nc.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == groups_of(rows) and anew
+    print(compared)
+    assert compared[-1] < 300  # of 13,530 pairs that share the passage
