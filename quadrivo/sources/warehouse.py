@@ -272,6 +272,12 @@ def addressed(objects: DataFrame, content: str = "content") -> DataFrame:
     return one.select("content_hash", F.concat(F.left("content_hash", F.lit(2)), F.lit("/"), "content_hash").alias("storage_ref"), F.length("content").cast("bigint").alias("size_bytes"), "content")
 
 
+#: Hashes that are looked up one by one, and those up to which a set of them is broadcast; bytes of a row group and of a page of originals.
+POINTS, MANY = 64, 100_000
+ROW_GROUP, PAGE = 8 << 20, 1 << 16
+_PREFIX = F.left("content_hash", F.lit(2)).alias("prefix")
+
+
 class NoSpace(OSError):
     pass
 
@@ -294,7 +300,9 @@ def store(objects: DataFrame, root: str, content: str = "content", reserve: int
     need, left = totals(fresh).first().bytes, free(spark, root)
     if need and left - need < reserve:
         raise NoSpace(f"{need} bytes to store, {left} free, {reserve} are to stay free")
-    fresh.select("content_hash", "content", F.left("content_hash", F.lit(2)).alias("prefix")).write.mode("append").partitionBy("prefix").parquet(root)
+    kept = fresh.select("content_hash", "content", _PREFIX).repartition("prefix").sortWithinPartitions("prefix", "content_hash")
+    # in order of the hashes, in small groups and pages, whose least and greatest hashes tell a reader what to leave out
+    kept.write.mode("append").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).partitionBy("prefix").parquet(root)
     return given.drop("content")
 
 
@@ -306,12 +314,24 @@ def stored(spark: SparkSession, root: str) -> DataFrame | None:
 
 
 def retrieve(spark: SparkSession, root: str, hashes: DataFrame) -> DataFrame:
-    """content_hash, content of the wanted hashes (column content_hash). A hash is checked against its bytes."""
+    """content_hash, content of the wanted hashes (column content_hash). A hash is checked against its bytes.
+
+    Only the folders of the hashes' prefixes are opened; for POINTS hashes or fewer, only the row groups and pages in which they may be are read.
+    """
     held = stored(spark, root)
+    wanted = hashes.select("content_hash").filter(F.length("content_hash") == 64).distinct()
     if held is None:
-        return hashes.select("content_hash", F.lit(None).cast("binary").alias("content")).limit(0)
-    rows = held.join(hashes.select("content_hash"), "content_hash", "left_semi").select("content_hash", "content")
-    return rows.filter(F.sha2("content", 256) == F.col("content_hash"))
+        return wanted.select("content_hash", F.lit(None).cast("binary").alias("content")).limit(0)
+    few = [r.content_hash for r in wanted.limit(POINTS + 1).collect()]
+    if not few:
+        return held.select("content_hash", "content").limit(0)
+    if len(few) <= POINTS:
+        rows = held.filter(F.col("prefix").isin(sorted({h[:2] for h in few}))).filter(reduce(lambda a, b: a | b, (F.col("content_hash") == h for h in few)))
+    else:
+        wanted = wanted.select("content_hash", _PREFIX)
+        wanted = F.broadcast(wanted) if wanted.limit(MANY + 1).count() <= MANY else wanted
+        rows = held.join(wanted, ["prefix", "content_hash"], "left_semi")
+    return rows.select("content_hash", "content").filter(F.sha2("content", 256) == F.col("content_hash"))
 
 
 def storage_totals(spark: SparkSession, root: str) -> DataFrame:
