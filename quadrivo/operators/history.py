@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import instants
@@ -26,10 +26,15 @@ def last_successful_start(executions: DataFrame, job: str) -> DataFrame:
     return done.agg(F.max_by("started_at", "id").alias("started_at")).filter("started_at IS NOT NULL")
 
 
+def asked_since(begun):
+    """From when changes are asked for, in epoch seconds, if the last reading began at a time (a number or a column): a little earlier, as clocks differ."""
+    return F.greatest(F.lit(0), begun - OVERLAP_SECONDS).cast("bigint") if isinstance(begun, Column) else max(0, begun - OVERLAP_SECONDS)
+
+
 def checkpoint(executions: DataFrame, job: str, trigger: str) -> DataFrame:
     """One row, since: from when a sync has to ask for changes, in epoch seconds; null for everything."""
     started = executions.filter((F.col("job_name") == job) & (F.col("status") == DONE)).agg(F.max_by("started_at", "id").alias("s"))
-    since = F.greatest(F.lit(0), instants.epoch_of_iso("s") - OVERLAP_SECONDS).cast("bigint")
+    since = asked_since(instants.epoch_of_iso("s"))
     return started.select((F.lit(None).cast("bigint") if trigger == "startup" else F.when(F.col("s").isNotNull(), since)).alias("since"))
 
 

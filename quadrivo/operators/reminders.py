@@ -1,6 +1,7 @@
 """Deadline reminders: bands, candidates, messages, validation of rule sets.
 
-A rule set is small by contract (MAX_RULES at most), so it is broadcast for the band join.
+Functions over rules take one set, or, with `by`, a table of many sets told apart by that column. One set is small by contract (MAX_RULES at most), so it is
+broadcast for the band join; many sets are met by set and bin of the time left, with a shuffle that Spark plans.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import instants, rules, text
@@ -37,28 +38,39 @@ def rule_table(spark: SparkSession, given: Sequence[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.id, r.offset_seconds, r.title_template, r.body_template) for r in given], SCHEMA)
 
 
-def _edges(rules_: DataFrame) -> DataFrame:
-    """Rules with the lower end of their bands."""
-    return rules_.withColumn("lower", F.lag("offset_seconds", 1, 0).over(Window.orderBy("offset_seconds")))  # a rule set fits in one task
+def _edges(rules_: DataFrame, by: str | None = None) -> DataFrame:
+    """Rules with the lower end of their bands, within their set."""
+    over = Window.partitionBy(*([by] if by else [])).orderBy("offset_seconds", "id")  # a rule set fits in one task
+    return rules_.withColumn("lower", F.lag("offset_seconds", 1, 0).over(over))
 
 
-def bands(rules_: DataFrame) -> DataFrame:
+def bands(rules_: DataFrame, by: str | None = None) -> DataFrame:
     """id, lower, upper of each rule's band (lower, upper], from the deadline outwards."""
-    return _edges(rules_).select("id", "lower", F.col("offset_seconds").alias("upper"))
-
-
-def narrowest_band(rules_: DataFrame) -> DataFrame:
-    """One row: width of the tightest band, 0 without rules."""
-    return bands(rules_).agg(F.coalesce(F.min(F.col("upper") - F.col("lower")), F.lit(0)).cast("bigint").alias("narrowest"))
-
-
-def violations(rules_: DataFrame) -> DataFrame:
-    """rule_id, problem for what is wrong with the numbers of a rule set."""
-    twice = rules_.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("rule_id"), F.lit("duplicate id").alias("problem"))
-    alike = rules_.groupBy("offset_seconds").agg(F.count("*").alias("n"), F.min("id").alias("rule_id")).filter("n > 1").select("rule_id", F.lit("duplicate offset").alias("problem"))
-    early = rules_.filter("offset_seconds <= 0").select(F.col("id").alias("rule_id"), F.lit("not before the deadline").alias("problem"))
-    tight = bands(rules_).filter((F.col("upper") - F.col("lower")).between(1, CYCLE_HOURS * instants.HOUR - 1)).select(F.col("id").alias("rule_id"), F.lit("band too narrow").alias("problem"))
-    return twice.unionByName(alike).unionByName(early).unionByName(tight)
+    return _edges(rules_, by).select(*([by] if by else []), "id", "lower", F.col("offset_seconds").alias("upper"))
+
+
+def narrowest_band(rules_: DataFrame, by: str | None = None) -> DataFrame:
+    """Width of the tightest band: one row, 0 without rules; or a row for each set."""
+    width = F.coalesce(F.min(F.col("upper") - F.col("lower")), F.lit(0)).cast("bigint").alias("narrowest")
+    made = bands(rules_, by)
+    return made.groupBy(by).agg(width) if by else made.agg(width)
+
+
+def violations(rules_: DataFrame, by: str | None = None) -> DataFrame:
+    """rule_id, problem for what is wrong with the numbers of a rule set; by set, from one pass over its rules in the order of their offsets."""
+    own = [by] if by else []
+    each = Window.partitionBy(*own, "id")
+    alike = Window.partitionBy(*own, "offset_seconds")
+    told = _edges(rules_, by).withColumns({"_twice": F.count("*").over(each), "_nth": F.row_number().over(each.orderBy("offset_seconds")), "_alike": F.count("*").over(alike), "_first": F.row_number().over(alike.orderBy("id"))})
+    width = F.col("offset_seconds") - F.col("lower")
+    found = {
+        "duplicate id": (F.col("_twice") > 1) & (F.col("_nth") == 1),
+        "duplicate offset": (F.col("_alike") > 1) & (F.col("_first") == 1),
+        "not before the deadline": F.col("offset_seconds") <= 0,
+        "band too narrow": width.between(1, CYCLE_HOURS * instants.HOUR - 1),
+    }
+    problems = F.filter(F.array(*(F.when(wrong, F.lit(problem)) for problem, wrong in found.items())), lambda x: x.isNotNull())
+    return told.select(*own, F.col("id").alias("rule_id"), F.explode(problems).alias("problem"))
 
 
 def validate(given: Sequence[Rule]) -> None:
@@ -82,19 +94,36 @@ def validate(given: Sequence[Rule]) -> None:
         raise RuleError("bands must be at least one cycle wide")
 
 
-def effective_rules(host: DataFrame, stored: DataFrame, saved: DataFrame) -> DataFrame:
-    """The stored rules that are enabled, possibly none, once any set was saved; the host's until then."""
-    marker = saved.agg((F.count("*") > 0).alias("_saved"))
-    columns = ["id", "offset_seconds", "title_template", "body_template"]
-    own = stored.filter("enabled").join(F.broadcast(marker)).filter("_saved").select(*columns)
-    return own.unionByName(host.join(F.broadcast(marker)).filter("NOT _saved").select(*columns))
+def effective_rules(host: DataFrame, stored: DataFrame, saved: DataFrame, by: str | None = None) -> DataFrame:
+    """The stored rules that are enabled, possibly none, once any set was saved; the host's until then. With `by`, that holds of each set; saved has the sets that were saved."""
+    columns = [*([by] if by else []), "id", "offset_seconds", "title_template", "body_template"]
+    own, theirs = stored.filter("enabled").select(*columns), host.select(*columns)
+    if by:
+        marks = saved.select(by).distinct()
+        return own.join(marks, by, "left_semi").unionByName(theirs.join(marks, by, "left_anti"))
+    marker = saved.agg((F.count("*") > 0).alias("_saved"))  # one row
+    return own.join(F.broadcast(marker)).filter("_saved").select(*columns).unionByName(theirs.join(F.broadcast(marker)).filter("NOT _saved").select(*columns))
 
 
-def in_band(tasks: DataFrame, rules_: DataFrame, now: int, due: str = "duedate") -> DataFrame:
-    """Tasks with the rule of the smallest offset that is not below the time left. Bands don't overlap, so each task meets one rule at most and nothing has to be aggregated; the narrowest band has no lower end."""
-    b = F.broadcast(_edges(rules_).select(F.col("id").alias("rule_id"), F.when(F.col("lower") > 0, F.col("lower")).alias("lower"), F.col("offset_seconds").alias("upper"), "title_template", "body_template"))
+def _bin(seconds: Column) -> Column:
+    """The binary digits of a time left, so that a band of any width lies in a few bins; 0 when it is over."""
+    return F.when(seconds <= 0, 0).otherwise(F.length(F.bin(seconds)))
+
+
+def in_band(tasks: DataFrame, rules_: DataFrame, now: int, due: str = "duedate", by: str | None = None) -> DataFrame:
+    """Tasks with the rule (of their set: both have the column `by`) of the smallest offset that is not below the time left. Bands don't overlap, so each task meets one rule at most and nothing has to be aggregated; the narrowest band has no lower end.
+
+    Met are only rules whose band lies in the bin of the time left, by an equal join.
+    """
+    own = [by] if by else []
+    edges = _edges(rules_, by).select(*(F.col(c).alias(f"_{c}") for c in own), F.col("id").alias("rule_id"), F.when(F.col("lower") > 0, F.col("lower")).alias("lower"), F.col("offset_seconds").alias("upper"), "title_template", "body_template")
+    first = F.when(F.col("lower").isNull(), 0).otherwise(_bin(F.col("lower") + 1))
+    b = edges.filter("upper > 0 OR lower IS NULL").withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, _bin(F.col("upper"))))))
     left = F.col(due) - F.lit(now)
-    return tasks.join(b, (left <= F.col("upper")) & (F.col("lower").isNull() | (left > F.col("lower")))).drop("lower", "upper")
+    met = (_bin(left) == F.col("_bin")) & (left <= F.col("upper")) & (F.col("lower").isNull() | (left > F.col("lower")))
+    for c in own:
+        met = (F.col(c) == F.col(f"_{c}")) & met
+    return tasks.join(b if by else F.broadcast(b), met).drop("lower", "upper", "_bin", *(f"_{c}" for c in own))
 
 
 def candidates(assignments: DataFrame, statuses: DataFrame, rules_: DataFrame, now: int, confirmed: str | None) -> DataFrame:

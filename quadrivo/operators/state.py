@@ -116,6 +116,15 @@ def replace_rules(rules: Sequence, now: str, spark: SparkSession) -> tuple[DataF
     return stored, spark.createDataFrame([(1, now)], "id long, saved_at string")
 
 
+def replace_rule_sets(stored: DataFrame, brought: DataFrame, now: str, by: str) -> DataFrame:
+    """stored rules after sets were brought anew (by, id, offset_seconds, templates): each that can be delivered takes the place of the whole stored set; one that can't changes nothing."""
+    from .reminders import violations
+
+    sound = brought.join(violations(brought, by).select(by).distinct(), by, "left_anti")
+    kept = stored.join(sound.select(by).distinct(), by, "left_anti")
+    return kept.unionByName(sound.select(by, "id", "offset_seconds", F.lit(True).alias("enabled"), "title_template", "body_template", F.lit(now).alias("updated_at")))
+
+
 def record_outcomes(results: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A batch's results (resource_id, outcome done, too_large or failed, size_bytes, limit_bytes, source_timemodified, at) as: checks to
     put in, resources whose deferral ends, deferrals to put in. A plain failure leaves no trace, so it is tried again."""

@@ -91,6 +91,10 @@ LENS = {
         CAST(NULL AS BIGINT) AS allowsubmissionsfromdate, CAST(NULL AS BIGINT) AS cutoffdate, value AS grade, {_STAMPS}, CASE WHEN event_id % 6 = 0 THEN '2024-01-14T00:00:00+00:00' ELSE '2024-01-16T00:00:00+00:00' END AS last_synced_at FROM $events""",
     "task_status": "SELECT CAST(event_id AS BIGINT) AS assignment_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'submitted' ELSE 'new' END AS submission_status, 'notgraded' AS grading_status FROM $events WHERE event_id % 5 <> 0",
     "sent": "SELECT CAST(event_id AS BIGINT) AS id, CASE WHEN event_id % 2 = 0 THEN 'assignment_due_24h' ELSE 'assignment_due_12h' END AS notification_type, concat('assignment:', CAST(event_id AS STRING)) AS subject_key, ISO(seconds_) AS scheduled_for, '2024-01-15T00:00:00+00:00' AS sent_at FROM (SELECT *, EPOCH(ts) AS seconds_ FROM $events) e WHERE event_id % 3 = 0",
+    "rule_sets": """SELECT CAST(l_suppkey AS BIGINT) AS set_id, concat('q', CAST(CAST(l_quantity AS BIGINT) AS STRING)) AS id, CAST(l_quantity AS BIGINT) * 5400 + CAST(l_suppkey AS BIGINT) * 7 AS offset_seconds, min(l_linenumber) <= 3 AS enabled,
+        '{assignment}' AS title_template, '{remaining}' AS body_template, '2024-01-10T00:00:00+00:00' AS updated_at FROM $lineitem GROUP BY l_suppkey, l_quantity""",
+    "rule_drafts": """SELECT CAST(o_custkey AS BIGINT) AS set_id, o_orderpriority AS id, (CAST(floor(o_totalprice) AS BIGINT) % 40 - 2) * 1800 AS offset_seconds, '{assignment}' AS title_template, '{remaining}' AS body_template FROM $orders""",
+    "rule_marks": "SELECT CAST(s_suppkey AS BIGINT) AS set_id FROM $supplier WHERE s_acctbal > 2000",
 }
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import instants, rules, text
 from ..functions.instants import HOUR
 from ..operators import extraction, history, latest, normalize, orders, queues, read_model, reminders, state
-from ..sources import schema, warehouse
+from ..sources import platform, schema, warehouse
 from .lens import CONFIRMED, ORDER_NOW, TASK_NOW, Lens, duckdb_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,7 +174,24 @@ def _candidates(t: Lens) -> DataFrame:
 
 
 query("reminder_bands", f"SELECT id, duedate, rule_id FROM {_BANDED} t WHERE rule_id IS NOT NULL AND duedate >= {TASK_NOW}")(lambda t: reminders.in_band(t["tasks"].filter(F.col("duedate") >= TASK_NOW), _rules(t), TASK_NOW).select("id", "duedate", "rule_id"))
-query("reminder_band_edges", f"SELECT id, coalesce(lag(o) OVER (ORDER BY o), 0) AS lower, o AS upper FROM {_RULES_SQL} r")(lambda t: reminders.bands(_rules(t)))
+_EDGES = "(SELECT set_id, id, coalesce(lag(offset_seconds) OVER (PARTITION BY set_id ORDER BY offset_seconds, id), 0) AS lower, offset_seconds AS upper FROM {rules} r)"
+query("reminder_band_edges", f"SELECT * FROM {_EDGES.format(rules='$rule_sets')} e")(lambda t: reminders.bands(t["rule_sets"], "set_id"))
+query("narrowest_band", f"SELECT set_id, CAST(min(upper - lower) AS BIGINT) AS narrowest FROM {_EDGES.format(rules='$rule_sets')} e GROUP BY set_id")(lambda t: reminders.narrowest_band(t["rule_sets"], "set_id"))
+query("reminder_bands_by_set", f"SELECT t.id, t.duedate, t.course_id AS set_id, arg_min(r.id, r.offset_seconds) AS rule_id FROM $tasks t JOIN $rule_sets r ON r.set_id = t.course_id AND r.offset_seconds >= t.duedate - {TASK_NOW} GROUP BY ALL")(
+    lambda t: reminders.in_band(t["tasks"].select("id", "duedate", F.col("course_id").alias("set_id")), t["rule_sets"], TASK_NOW, by="set_id").select("id", "duedate", "set_id", "rule_id")
+)
+_VIOLATIONS = f"""(SELECT set_id, id AS rule_id, 'duplicate id' AS problem FROM $rule_drafts GROUP BY set_id, id HAVING count(*) > 1 UNION ALL SELECT set_id, min(id), 'duplicate offset' FROM $rule_drafts GROUP BY set_id, offset_seconds HAVING count(*) > 1
+    UNION ALL SELECT set_id, id, 'not before the deadline' FROM $rule_drafts WHERE offset_seconds <= 0 UNION ALL SELECT set_id, id, 'band too narrow' FROM {_EDGES.format(rules='$rule_drafts')} e WHERE upper - lower BETWEEN 1 AND 3599)"""
+query("rule_validation", f"SELECT * FROM {_VIOLATIONS} v")(lambda t: reminders.violations(t["rule_drafts"], "set_id"))
+_HOST = "(SELECT set_id, id, offset_seconds FROM $rule_drafts WHERE offset_seconds > 36000)"
+
+
+def _effective(t: Lens, saved: DataFrame) -> DataFrame:
+    return reminders.effective_rules(t["rule_drafts"].filter("offset_seconds > 36000"), t["rule_sets"], saved, "set_id").select("set_id", "id", "offset_seconds")
+
+
+query("effective_rules_never_saved", f"SELECT * FROM {_HOST} h")(lambda t: _effective(t, t["rule_marks"].filter("set_id < 0")))
+query("effective_rules_saved", f"SELECT set_id, id, offset_seconds FROM $rule_sets WHERE enabled AND set_id IN (SELECT set_id FROM $rule_marks) UNION ALL SELECT * FROM {_HOST} h WHERE set_id NOT IN (SELECT set_id FROM $rule_marks)")(lambda t: _effective(t, t["rule_marks"]))
 query("reminder_candidates", _CANDIDATES)(lambda t: _candidates(t).drop("title_template", "body_template"))
 query("reminder_unsent", _UNSENT)(lambda t: reminders.unsent(_candidates(t), t["sent"]).drop("title_template", "body_template"))
 query("reminders_without_sync", "SELECT CAST(1 AS BIGINT) AS assignment_id WHERE false")(lambda t: reminders.candidates(t["tasks"], t["task_status"], _rules(t), TASK_NOW, None).select("assignment_id"))
@@ -189,18 +206,6 @@ query(
     FROM ({_UNSENT}) u LEFT JOIN $courses c ON c.id = u.course_id""",
 )(lambda t: reminders.messages(reminders.unsent(_candidates(t), t["sent"]), t["courses"], RULES))
 query("remaining_words", f"SELECT id, {_WORDS.format(s='(duedate - 1704067200)')} AS words FROM $tasks")(lambda t: t["tasks"].select("id", instants.remaining_words(F.col("duedate") - 1_704_067_200).alias("words")))
-query("narrowest_band", f"SELECT CAST(min(o - p) AS BIGINT) AS narrowest FROM (SELECT o, coalesce(lag(o) OVER (ORDER BY o), 0) AS p FROM {_RULES_SQL} r) x")(lambda t: reminders.narrowest_band(_rules(t)))
-_BAD_RULES = "(SELECT 'a' AS id, CAST(3600 AS BIGINT) AS offset_seconds UNION ALL SELECT 'a', 7200 UNION ALL SELECT 'b', 7200 UNION ALL SELECT 'c', 9000 UNION ALL SELECT 'd', -5)"
-query(
-    "rule_validation",
-    f"""WITH r AS (SELECT * FROM {_BAD_RULES} q), b AS (SELECT id, offset_seconds - coalesce(lag(offset_seconds) OVER (ORDER BY offset_seconds), 0) AS w FROM r)
-    SELECT id AS rule_id, 'duplicate id' AS problem FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT min(id), 'duplicate offset' FROM r GROUP BY offset_seconds HAVING count(*) > 1
-    UNION ALL SELECT id, 'not before the deadline' FROM r WHERE offset_seconds <= 0 UNION ALL SELECT id, 'band too narrow' FROM b WHERE w BETWEEN 1 AND 3599""",
-)(lambda t: reminders.violations(t.spark.sql(f"SELECT * FROM {_BAD_RULES} q")))
-for _name, _saved, _oracle in (("effective_rules_never_saved", "false", "SELECT id, o AS offset_seconds FROM {r} r"), ("effective_rules_saved", "true", "SELECT id, o AS offset_seconds FROM {r} r WHERE o > 30000")):
-    query(_name, _oracle.format(r=_RULES_SQL))(
-        lambda t, s=_saved: reminders.effective_rules(_rules(t), _rules(t).withColumn("enabled", F.col("offset_seconds") > 30000), t.spark.sql(f"SELECT 1L AS id, 'x' AS saved_at WHERE {s}")).select("id", "offset_seconds")
-    )
 query("subject_key_roundtrip", "SELECT id, 'assignment:' || CAST(id AS VARCHAR) AS k, id AS back, CAST(NULL AS BIGINT) AS other FROM $tasks")(
     lambda t: t["tasks"].select("id", text.subject_key("id").alias("k"), text.subject_id(text.subject_key("id")).alias("back"), text.subject_id(F.concat(F.lit("job:"), F.col("id").cast("string"))).alias("other"))
 )
@@ -307,7 +312,10 @@ query("insert_or_ignore_sent", f"SELECT notification_type, subject_key, schedule
 )
 query("clear_deferral", "SELECT * FROM $deferrals WHERE resource_id <> 16")(lambda t: state.delete(t["deferrals"], F.col("resource_id") == 16))
 query("set_classification", "SELECT * REPLACE (CASE WHEN id = 3 THEN 'past' ELSE timeline_classification END AS timeline_classification) FROM $courses")(lambda t: state.update(t["courses"], F.col("id") == 3, timeline_classification=F.lit("past")))
-query("replace_rules", f"SELECT id, o AS offset_seconds, true AS enabled, 'now' AS updated_at FROM {_RULES_SQL} r")(lambda t: state.replace_rules(RULES, "now", t.spark)[0].select("id", "offset_seconds", "enabled", "updated_at"))
+_SOUND = f"(SELECT * FROM $rule_drafts WHERE set_id NOT IN (SELECT set_id FROM {_VIOLATIONS} v))"
+query("replace_rules", f"SELECT set_id, id, offset_seconds, enabled, updated_at FROM $rule_sets WHERE set_id NOT IN (SELECT set_id FROM {_SOUND} s) UNION ALL SELECT set_id, id, offset_seconds, true, 'now' FROM {_SOUND} s")(
+    lambda t: state.replace_rule_sets(t["rule_sets"], t["rule_drafts"], "now", "set_id").select("set_id", "id", "offset_seconds", "enabled", "updated_at")
+)
 
 
 def _outcomes(t: Lens) -> DataFrame:
@@ -329,8 +337,8 @@ query("requests_taken", "SELECT r.id, r.job_name, EXISTS (SELECT 1 FROM $executi
 query("purged_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS before, {'0' if n in schema.PURGED else 'count(*)'} AS after FROM ${n}" for n in (*_COUNTED, "executions", "requests", "sent")))(
     lambda t: schema.purge_report({n: t[n] for n in (*_COUNTED, "executions", "requests", "sent")})
 )
-query("purged_and_kept", "SELECT DISTINCT table_name, kept FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, {str(n in schema.KEPT).lower()} AS kept" for n in schema.COLUMNS) + ") x")(
-    lambda t: t.spark.createDataFrame([(n, n in schema.KEPT) for n in (*schema.PURGED, *schema.KEPT)], "table_name string, kept boolean")
+query("purged_and_kept", " UNION ALL ".join(f"SELECT '{n}' AS table_name, {str(n in schema.KEPT).lower()} AS kept, count(*) AS n FROM ${n}" for n in (*_COUNTED, "executions", "requests", "sent")))(
+    lambda t: history.table_counts({n: t[n] for n in (*_COUNTED, "executions", "requests", "sent")}).select("table_name", F.col("table_name").isin(*schema.KEPT).alias("kept"), "n")
 )
 query("storage_totals", "SELECT count(*) AS objects, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT sha256(text) AS h, max(strlen(text)) AS n FROM $documents GROUP BY 1) x")(lambda t: warehouse.totals(warehouse.addressed(t["documents"].select(F.encode("text", "UTF-8").alias("content")))))
 
@@ -430,20 +438,9 @@ query("url_reference_bytes", "SELECT id, sha256(url) AS content_hash, 'text/uri-
 query("depth_validity", "SELECT id, depth IN ('basic', 'deep') AS valid FROM $extractions")(lambda t: t["extractions"].select("id", rules.valid_depth("depth").alias("valid")))
 
 
-@query("flatten_params", "SELECT event_id, 'options[0][k]' AS field, json_extract_string(props, '$.k') AS value FROM $events UNION ALL SELECT event_id, 'options[1][on]', '1' FROM $events UNION ALL SELECT event_id, 'options[1][none]', '' FROM $events")
-def _flatten(t: Lens) -> DataFrame:
-    """Form fields of nested parameters, a row for each."""
-    import json
-
-    import pandas as pd
-
-    from ..sources.platform import flatten
-    from ..sources.shipping import ship
-
-    def run(batches):
-        for b in batches:
-            rows = [(i, k, v) for i, p in zip(b["event_id"], b["props"]) for k, v in sorted(flatten({"options": [json.loads(p), {"on": True, "none": None}]}).items())]
-            yield pd.DataFrame(rows, columns=["event_id", "field", "value"])
-
-    ship(t.spark)
-    return t["events"].select("event_id", "props").mapInPandas(run, "event_id long, field string, value string")
+_NESTED = """CASE event_id % 3 WHEN 0 THEN concat('{"options":[', props, ',{"on":true,"off":false,"none":null}],"empty":{},"list":[]}')
+    WHEN 1 THEN concat('{"a":{"b":[1,[2.5,{"c":', CAST(event_id AS STRING), '}]]}}') ELSE concat('[{"user":{"id":', CAST(user_id AS STRING), ',"tags":["x","', event_type, '"]}}]') END"""
+_FIELDS = [(0, "options[0][k]", "json_extract_string(props, '$.k')"), (0, "options[1][on]", "'1'"), (0, "options[1][off]", "'0'"), (0, "options[1][none]", "''"), (1, "a[b][0]", "'1'"), (1, "a[b][1][0]", "'2.5'"), (1, "a[b][1][1][c]", "CAST(event_id AS VARCHAR)"), (2, "0[user][id]", "CAST(user_id AS VARCHAR)"), (2, "0[user][tags][0]", "'x'"), (2, "0[user][tags][1]", "event_type")]
+query("flatten_params", " UNION ALL ".join(f"SELECT event_id, '{field}' AS field, {value} AS value FROM $events WHERE event_id % 3 = {shape}" for shape, field, value in _FIELDS))(
+    lambda t: platform.form_fields(t.sql(f"SELECT event_id, {_NESTED} AS params FROM $events"), "params", "event_id")
+)

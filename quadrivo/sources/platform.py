@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -38,6 +39,24 @@ def flatten(params: object, prefix: str = "") -> dict[str, str]:
     return {prefix: "" if params is None else str(int(params)) if isinstance(params, bool) else str(params)}
 
 
+def form_fields(df: DataFrame, params: str, *keys: str) -> DataFrame:
+    """keys, field, value: nested parameters (a column of JSON text) as form fields, a row for each, by the same rules as flatten; of any depth, level by level. An empty object or list has none, and neither has a null."""
+    spark, out = df.sparkSession, None
+    rows = df.select(*keys, F.lit("").alias("field"), F.parse_json(params).alias("_v")).filter("_v IS NOT NULL")
+    while True:
+        kind = F.schema_of_variant("_v")
+        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+        value = F.when(kind == "VOID", "").when(kind == "BOOLEAN", F.try_variant_get("_v", "$", "boolean").cast("int").cast("string")).otherwise(F.try_variant_get("_v", "$", "string"))
+        leaves = rows.filter(~nested).select(*keys, "field", value.alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        inner = rows.filter(nested)
+        if inner.isEmpty():
+            return out
+        below = inner.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_w")))
+        name = F.coalesce("_key", F.col("_pos").cast("string"))
+        rows = below.select(*keys, F.when(F.col("field") == "", name).otherwise(F.concat("field", F.lit("["), name, F.lit("]"))).alias("field"), F.col("_w").alias("_v"))
+
+
 class ApiError(RuntimeError):
     def __init__(self, code: str, said: str, auth: bool):
         super().__init__(f"{code}: {said}")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
 _SYNCED = ", created_at string, last_synced_at string"
 COLUMNS = {
     "users": "id long, username string, fullname string" + _SYNCED,
@@ -64,21 +66,29 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schema(table))
 
 
-def fk_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """child, reference, id of rows whose parent is missing; a null reference is none. Parents are cut down to their key; nothing is collected."""
-    out = None
-    for child, column, parent in REFERENCES:
-        if child in tables and parent in tables:
-            p = tables[parent].select(F.col(keys(parent)[0][0]).alias("_p"))
-            own = keys(child)[0][0]
-            bad = tables[child].filter(F.col(column).isNotNull()).join(p, F.col(column) == F.col("_p"), "left_anti")
-            bad = bad.select(F.lit(child).alias("child"), F.lit(column).alias("reference"), F.col(own).cast("string").alias("id"))
-            out = bad if out is None else out.unionByName(bad)
-    if out is None:
+def references(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """table_name, key, child, reference, id: each row's own key (child null), if its table is a parent, and each of its references (not null) to another table's key, from one pass over each table."""
+    within = [(c, k, p) for c, k, p in REFERENCES if c in tables and p in tables]
+    if not within:
         raise ValueError("no table with a reference among these")
+    out = None
+    for name in dict.fromkeys([c for c, _, _ in within] + [p for _, _, p in within]):
+        own, text = F.col(keys(name)[0][0]), F.lit(None).cast("string")
+        entry = lambda table, key, child, column, i: F.struct(F.lit(table).alias("table_name"), key.cast("bigint").alias("key"), child.alias("child"), column.alias("reference"), i.alias("id"))
+        entries = [entry(name, own, text, text, text)] if any(p == name for _, _, p in within) else []
+        entries += [entry(p, F.col(k), F.lit(name), F.lit(k), own.cast("string")) for c, k, p in within if c == name]
+        rows = tables[name].select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("key IS NOT NULL")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def fk_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """child, reference, id of rows whose parent is missing; a null reference is none. Each table is read once, its keys and references written down together, and one join meets them all."""
+    entries = written(references(tables), "references")
+    held = entries.filter("child IS NULL").select("table_name", "key")
+    return entries.filter("child IS NOT NULL").join(held, ["table_name", "key"], "left_anti").select("child", "reference", "id")
+
+
 def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keys that occur more than once, with n."""
     return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")

@@ -220,14 +220,15 @@ class Warehouse:
 
     @contextmanager
     def aside(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
-        """A function that writes a DataFrame down and gives it back as read, so that calls and downloads are made once even if an executor is lost; all is removed at the end."""
+        """A function that writes a DataFrame down and gives it back as read, so that calls and downloads are made once even if an executor is lost; its path() is a new place there; all is removed at the end."""
         where = f"{self.root}/.aside-{uuid.uuid4().hex}"
 
         def keep(df: DataFrame) -> DataFrame:
-            path = f"{where}/{uuid.uuid4().hex}"
+            path = keep.path()
             df.write.parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
 
+        keep.path = lambda: f"{where}/{uuid.uuid4().hex}"
         try:
             yield keep
         finally:
@@ -275,7 +276,11 @@ def addressed(objects: DataFrame, content: str = "content") -> DataFrame:
 #: Hashes that are looked up one by one, and those up to which a set of them is broadcast; bytes of a row group and of a page of originals.
 POINTS, MANY = 64, 100_000
 ROW_GROUP, PAGE = 8 << 20, 1 << 16
-_PREFIX = F.left("content_hash", F.lit(2)).alias("prefix")
+
+
+def _prefix() -> Column:
+    """The folder of an object."""
+    return F.left("content_hash", F.lit(2)).alias("prefix")
 
 
 class NoSpace(OSError):
@@ -300,7 +305,7 @@ def store(objects: DataFrame, root: str, content: str = "content", reserve: int
     need, left = totals(fresh).first().bytes, free(spark, root)
     if need and left - need < reserve:
         raise NoSpace(f"{need} bytes to store, {left} free, {reserve} are to stay free")
-    kept = fresh.select("content_hash", "content", _PREFIX).repartition("prefix").sortWithinPartitions("prefix", "content_hash")
+    kept = fresh.select("content_hash", "content", _prefix()).repartition("prefix").sortWithinPartitions("prefix", "content_hash")
     # in order of the hashes, in small groups and pages, whose least and greatest hashes tell a reader what to leave out
     kept.write.mode("append").option("parquet.block.size", ROW_GROUP).option("parquet.page.size", PAGE).partitionBy("prefix").parquet(root)
     return given.drop("content")
@@ -328,7 +333,7 @@ def retrieve(spark: SparkSession, root: str, hashes: DataFrame) -> DataFrame:
     if len(few) <= POINTS:
         rows = held.filter(F.col("prefix").isin(sorted({h[:2] for h in few}))).filter(reduce(lambda a, b: a | b, (F.col("content_hash") == h for h in few)))
     else:
-        wanted = wanted.select("content_hash", _PREFIX)
+        wanted = wanted.select("content_hash", _prefix())
         wanted = F.broadcast(wanted) if wanted.limit(MANY + 1).count() <= MANY else wanted
         rows = held.join(wanted, ["prefix", "content_hash"], "left_semi")
     return rows.select("content_hash", "content").filter(F.sha2("content", 256) == F.col("content_hash"))

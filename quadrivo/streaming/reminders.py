@@ -6,40 +6,40 @@ import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import reminders
 from ..operators.history import last_successful_start
-from ..sources.sinks import Message, Sink
+from ..sources import outbox
+from ..sources.outbox import IDENTITY
+from ..sources.sinks import Sink
 from ..sources.warehouse import Warehouse
 
 SYNC = "moodle_sync"
-IDENTITY = ["notification_type", "subject_key", "scheduled_for"]
+#: Failures of a cycle that the log tells of one by one.
+LOGGED = 20
 log = logging.getLogger(__name__)
 
 
 def send_cycle(warehouse: Warehouse, rules: Iterable[reminders.Rule], now: int, confirmed: str | None, sink: Sink, at: str, should_stop: Callable[[], bool] = lambda: False) -> dict:
-    """Sends what is due and not sent yet, and records each message after it was sent, so a failure is tried again (at least once).
-
-    The number of messages of a cycle is that of one student's deadlines within the widest band; they are fetched a partition at a time.
-    """
+    """Sends what is due and not sent yet, on the executors, and records what the receipts say was sent, so a failure is tried again (at least once). A stop is heard before the cycle sends anything."""
     spark, rules = warehouse.spark, list(rules)
-    table = reminders.rule_table(spark, rules)
-    found = reminders.candidates(warehouse["assignments"], warehouse["submissions"], table, now, confirmed)
+    found = reminders.candidates(warehouse["assignments"], warehouse["submissions"], reminders.rule_table(spark, rules), now, confirmed)
     due = reminders.messages(reminders.unsent(found, warehouse["sent"]), warehouse["courses"], rules)
-    done, failed, first = [], 0, None
-    for r in due.toLocalIterator():
-        if should_stop():  # what was sent is recorded, the rest is for the next cycle
-            break
+    with warehouse.aside() as keep:
+        due = keep(due)  # a lost task sends the same messages again, not others that have become due meanwhile
+        if should_stop() or due.isEmpty():
+            return {"pending": 0, "sent": 0, "failed": 0, "first_error": None}
+        path = keep.path()
         try:
-            sink.send(Message(r.notification_type, r.title, r.body))
-            done.append((r.notification_type, r.subject_key, r.scheduled_for, at))
-        except Exception as e:  # noqa: BLE001 - one message never stops the rest
-            failed, first = failed + 1, first or f"{type(e).__name__}: {e}"
-            log.warning("%s for %s was not sent: %s", r.notification_type, r.subject_key, e)
-    if done:
-        record(warehouse, spark.createDataFrame(done, "notification_type string, subject_key string, scheduled_for string, sent_at string"))
-    return {"pending": len(done) + failed, "sent": len(done), "failed": failed, "first_error": first}
+            told = outbox.send(due, sink, path)
+        finally:  # what tasks sent before another one broke the cycle is not sent again
+            record(warehouse, outbox.receipts(due, path).filter("error IS NULL").select(*IDENTITY, F.lit(at).alias("sent_at")))
+        row = told.agg(F.count("*").alias("n"), F.count("error").alias("failed"), F.min_by("error", F.struct(F.col("error").isNull(), *IDENTITY)).alias("first")).first()
+        for r in told.filter("error IS NOT NULL").limit(LOGGED).collect():
+            log.warning("%s for %s was not sent: %s", r.notification_type, r.subject_key, r.error)
+    return {"pending": row.n, "sent": row.n - row.failed, "failed": row.failed, "first_error": row.first}
 
 
 def record(warehouse: Warehouse, rows: DataFrame) -> None:

@@ -9,6 +9,7 @@ from quadrivo.control import jobs
 from quadrivo.control.config import Config
 from quadrivo.control.scheduler import Trigger
 from quadrivo.sources.warehouse import Warehouse
+from tests.test_sources import FolderSink
 
 NOW = dt.datetime(2024, 1, 15, 12, tzinfo=dt.UTC)
 DUE = int(NOW.timestamp()) + 10 * 3600
@@ -66,15 +67,14 @@ def test_from_payloads_to_reminders(spark, tmp_path):
     kinds = {r.id: r.source_type for r in w["resources"].collect()}
     assert sorted((kinds[r.resource_id], r.version_number) for r in w["versions"].collect()) == [("file", 1), ("file", 2), ("url", 1)]
 
-    got = []
-    sink = type("Sink", (), {"send": lambda self, m: got.append(m.title)})()
+    sink = FolderSink(str(tmp_path / "sent"))
     notify = jobs.NotificationJob(w, conf, sink, clock=clock)
-    assert notify.has_work() and notify.run(Trigger.MANUAL, lambda: False).items == 1 and got == ["Essay: 10 horas"]
+    assert notify.has_work() and notify.run(Trigger.MANUAL, lambda: False).items == 1 and sink.titles() == ["Essay: 10 horas"]
     assert not notify.has_work()
     w.commit({"sent": w["sent"].limit(0)})
     submitted = payloads() | {"submission": {"*": {"lastattempt": {"submission": {"status": "submitted"}}}}}
     notify.refresh = jobs.status_refresh(w, jobs.recorded(spark, submitted), NOW.isoformat)
-    assert notify.run(Trigger.MANUAL, lambda: False).detail == "0 sent, 0 failed, 1 no longer due" and len(got) == 1
+    assert notify.run(Trigger.MANUAL, lambda: False).detail == "0 sent, 0 failed, 1 no longer due" and len(sink.titles()) == 1
 
 
 def test_command_line(tmp_path, capsys, spark):
@@ -137,14 +137,13 @@ def test_an_outage_does_not_silence_reminders(spark, tmp_path, caplog):
     from quadrivo.sources import schema
 
     w.commit({"executions": spark.createDataFrame([(1, "moodle_sync", "startup", 1, "done", NOW.isoformat(), NOW.isoformat(), 1.0, 7, None, None)], schema.schema("executions"))})
-    got = []
-    sink = type("Sink", (), {"send": lambda self, m: got.append(m.title)})()
+    sink = FolderSink(str(tmp_path / "sent"))
 
     def down(ids):
         raise OSError("no route to https://h/?wstoken=secret1")
 
     out = jobs.NotificationJob(w, Config(), sink, down, clock=lambda: NOW).run(Trigger.MANUAL, lambda: False)
-    assert out.items == 1 and len(got) == 1 and "wstoken=***" in caplog.text and "secret1" not in caplog.text
+    assert out.items == 1 and len(sink.titles()) == 1 and "wstoken=***" in caplog.text and "secret1" not in caplog.text
 
 
 def test_no_original_is_stored_into_the_reserve(spark, tmp_path):
