@@ -7,8 +7,8 @@ class, to the other's training set. Each view's score is calibrated on labelled
 calibrated views, which lets either veto, scores all documents.
 
 Every text is read once: its features are written to the shared folder (two bytes for each distinct word and beginning of a word, eleven numbers), and rounds and
-verdicts work on these. The driver holds the features of the labelled sample and of the verdicts handed over, both bounded
-in rows and in words, whatever keys repeat or are null.
+verdicts work on these. The driver holds the features of the labelled sample, bounded in rows and in words, and of the verdicts handed over: so many a view, class and round, each
+of 2**16 word buckets at most, however long its text is.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from .shared import arrow_map, batch_of, column_type, drop_path, new_path, written
 
-#: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample, the most distinct words in all of them (an eighth of it holds for
-#: the verdicts of a class that a view hands over in one round); rounds, and those verdicts.
+#: Buckets of words, of categories; bins of a number. Expected documents of the labelled sample, the most distinct words in all of them; rounds, and the
+#: verdicts of a class that a view hands over in one round.
 WORDS, CATEGORIES, BINS = 1 << 16, 128, 12
 SAMPLE, SAMPLE_WORDS, ROUNDS, HANDED, CONFIDENT = 12_000, 8_000_000, 3, 50, 0.95
 #: Beginnings of words that are features too, as words are inflected; steps of a view's first fit and of later ones, which go on from it; how strongly log-odds are drawn in
@@ -285,7 +285,8 @@ def features(df: DataFrame, text: str, key: str, source: str, lang: str) -> Data
 
 def fetched(made: DataFrame, ids: list[int]) -> Rows:
     """Features of the contents with these ids, each once, in the order of the ids."""
-    rows = made.filter(F.col("_id").isin(ids)).groupBy("_id").agg(F.first("_meta").alias("_meta"), F.first("_words").alias("_words")) if ids else made.select("_id", "_meta", "_words").limit(0)
+    wanted = made.sparkSession.createDataFrame([(i,) for i in ids], "_id long")  # those of a bounded sample, or of the verdicts handed over
+    rows = made.join(F.broadcast(wanted), "_id", "left_semi").groupBy("_id").agg(F.first("_meta").alias("_meta"), F.first("_words").alias("_words"))
     got = {i: (m, w) for i, m, w in zip(*(c.to_pylist() for c in rows.toArrow().columns))}
     ids = [i for i in ids if i in got]
     return Rows.of(ids, [got[i][0] for i in ids], [got[i][1] for i in ids])
@@ -328,9 +329,8 @@ def co_train(made: DataFrame, labels: DataFrame, key: str = "doc_id", sample: in
         # A task sends on no more than could be among the surest of all.
         sent = arrow_map(made.select("_id", "_meta", "_words"), run, schema).groupBy("view", "id", "good").agg(F.max("sure").alias("sure"), F.first("n").alias("n"))
         order = Window.partitionBy("view", "good").orderBy(F.desc("sure"), "id")
-        ranked = sent.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= handed).withColumn("words", F.sum("n").over(order))
         chosen = [{}, {}]
-        for r in ranked.filter(F.col("words") <= most_words // 8).collect():
+        for r in sent.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= handed).collect():
             chosen[r.view][r.id] = r.good
         every = fetched(made, sorted(set(chosen[0]) | set(chosen[1])))
         shared.destroy()

@@ -19,6 +19,7 @@ import bisect
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +78,7 @@ class ShardWriter:
         self.out, self.width, self.block_bytes = out, width, block_bytes
         self.block, self.index, self.last, self.first = bytearray(), [], b"", b""
         self.place = self.entries = self.in_block = self.ids = self.ids_before = 0
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
 
     def add(self, key: bytes, value: bytes) -> None:
         if key < self.last:
@@ -89,8 +90,8 @@ class ShardWriter:
         else:
             self.first, self.ids_before = key, self.ids
         self.block += _number(shared) + _number(len(key) - shared) + _number(len(value)) + key[shared:] + value
-        if key != self.last or not self.keys:
-            self.keys.append(key)
+        if key != self.last or not self.hashes:
+            self.hashes.append(xxhash.xxh64_intdigest(key))
         self.last, self.in_block, self.entries, self.ids = key, self.in_block + 1, self.entries + 1, self.ids + len(value) // self.width
         if len(self.block) >= self.block_bytes:
             self._flush()
@@ -105,10 +106,11 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush()
-        bits = max(64, BLOOM_BITS * len(self.keys))
+        bits = max(64, BLOOM_BITS * len(self.hashes))
         marks = np.zeros(bits, bool)
-        for key in self.keys:
-            marks[_bloom_places(key, bits)] = True
+        h = np.frombuffer(self.hashes, np.uint64)
+        for i in range(BLOOM_HASHES):  # as in _bloom_places; the sum stays below 2**36
+            marks[((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1))) % np.uint64(bits)] = True
         bloom = struct.pack("<Q", bits) + np.packbits(marks).tobytes()
         index = b"".join(k + struct.pack("<QQQQ", *rest) for k, *rest in self.index)
         self.out.write(bloom + index + FOOTER.pack(self.place, len(bloom), self.place + len(bloom), len(index), self.entries, self.ids, VERSION, self.width, MAGIC))
@@ -171,14 +173,14 @@ class ShardReader:
 def write_sorted_table(df: DataFrame, tokenizer: str, path: str, text: str = "text", key: str = "doc_id", end_id: int = 0, block_bytes: int = BLOCK_BYTES) -> list[dict]:
     """Encodes text, appends end_id, and writes shards in ascending key order to the folder path, which all executors must reach.
 
-    Returns the manifest in key order: a dict for each shard (path, entries, ids, bytes, and start: ids in all shards before it).
+    Returns the manifest in key order: a dict for each shard (path, entries, ids, bytes, first and last key, and start: ids in all shards before it).
     key must be an integer column (else TypeError). Equal keys are ordered by a hash of their text and then dealt at random, so that a hot key, even of equal texts,
     spreads over shards. A null text counts as empty; a null key sorts first; an empty table gives no shards. Each attempt of a task writes a file of
     its own name, and the manifest names those of the attempts that succeeded; what a killed or late attempt leaves is no part of the table.
     """
     if not isinstance(column_type(df, key), T.IntegralType):
         raise TypeError(f"{key} must be an integer column")
-    schema = T._parse_datatype_string("shard int, path string, entries long, ids long, bytes long")
+    schema = T._parse_datatype_string("shard int, path string, entries long, ids long, bytes long, first long, last long")
 
     def run(batches):
         bpe, task = byte_bpe(tokenizer), TaskContext.get()
@@ -187,6 +189,7 @@ def write_sorted_table(df: DataFrame, tokenizer: str, path: str, text: str = "te
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if writer is None:
+                    first = k
                     store, folder = open_path(path)
                     store.create_dir(folder, recursive=True)
                     out = store.open_output_stream(f"{folder}/{name}")
@@ -195,12 +198,12 @@ def write_sorted_table(df: DataFrame, tokenizer: str, path: str, text: str = "te
         if writer:
             writer.close()
             out.close()
-            yield batch_of([[task.partitionId()], [f"{path}/{name}"], [writer.entries], [writer.ids], [store.get_file_info(f"{folder}/{name}").size]], schema)
+            yield batch_of([[task.partitionId()], [f"{path}/{name}"], [writer.entries], [writer.ids], [store.get_file_info(f"{folder}/{name}").size], [first], [decode_key(writer.last)]], schema)
 
     # The random number makes no difference to the result: rows that it parts are equal in key and text.
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), F.rand(1).alias("deal"))
     order = ["key", "hash", "deal"]
-    shards = sorted(arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text"), run, schema).collect())
+    shards = sorted(arrow_map(rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text"), run, schema).collect(), key=lambda s: s.shard)
     manifest, start = [], 0
     for s in shards:
         manifest.append(s.asDict() | {"start": start})
@@ -231,9 +234,12 @@ def read_sorted_table(spark: SparkSession, manifest: list[dict], key: str = "doc
 
 
 def look_up(manifest: list[dict], key: int | None) -> list[np.ndarray]:
-    """The ids of each entry with this key: shards by their Bloom filters, then bisection of the index."""
-    found = []
-    for shard in manifest:
+    """The ids of each entry with this key: bisection of the manifest, and of the index of the one shard that may hold it (or of the few over which a repeated key spreads), by its Bloom filter if it does at all."""
+    found, want = [], encode_key(key)
+    at = bisect.bisect_left(manifest, want, key=lambda s: encode_key(s["last"]))
+    for shard in manifest[at:]:
+        if encode_key(shard["first"]) > want:
+            break
         store, place = open_path(shard["path"])
         with store.open_input_file(place) as source:
             found += ShardReader(source).get(key)

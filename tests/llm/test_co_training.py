@@ -142,6 +142,26 @@ def test_rows_at_the_driver_are_bounded(spark, monkeypatch):
     assert held[1] < 800 and few.text.any()
 
 
+def test_long_texts_are_handed_over_too(spark, monkeypatch):
+    """Unlabelled texts of tens of thousands of distinct words: as many verdicts of a class are handed over as of short ones."""
+    docs = spark.range(400).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, if(id < 200, 20, 30000)), i -> concat(if(id % 2 = 0, 'good', 'bad'), i, if(i % 7 = 0, string(id), '')))) text", "'en' lang", "concat('s', id % 2) source")
+    labels = docs.filter("doc_id < 200").selectExpr("doc_id", "int(doc_id % 2 = 0) quality", "0 toxic")
+    handed, plain = [], ct.learn
+
+    def spy(rows, y, calibration, exchange, rounds):
+        def told(*a):
+            given = exchange(*a)
+            handed.append([len(r.ids) for r, _ in given])
+            return given
+
+        return plain(rows, y, calibration, told, rounds)
+
+    monkeypatch.setattr(ct, "learn", spy)
+    monkeypatch.setattr(ct, "CONFIDENT", 0.5)
+    ct.train(docs, labels)
+    assert max(handed[0]) == 2 * ct.HANDED and min(handed[0]) >= ct.HANDED  # the views have to agree, so one class may have none
+
+
 def test_rows(spark):
     rows = [(1, None, None, None, "x"), (2, "", "en", "s", "x"), (3, "word " * 100_000, "en", "s", "x"), (4, "a", "en", "s", "x"), (4, "a", "en", "s", "x"), (None, "é", "fr", None, "x")]
     docs, none = spark.createDataFrame(rows, DOCS), spark.createDataFrame([], LABELS)

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import types as T
 
+from quadrivo.llm import queries
 from quadrivo.llm.language_id import _clean, hashed, language_id, posterior, train
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("score", T.StringType())])
@@ -71,3 +72,46 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id(docs).filter("held_out and lang_pred <> 'und'").join(docs.select("doc_id", "lang"), "doc_id").selectExpr("avg(int(lang = lang_pred))").first()[0]
     assert got > 0.98
+
+
+def test_query_against_brute_force(spark):
+    """Naive Bayes of hashed n-grams, text by text in plain Python."""
+    from collections import Counter
+    from functools import lru_cache
+    from math import exp, log
+
+    sf, buckets, word = "/root/testdata/sf0.01", 1 << 15, (1 << 32) - 1
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+
+    @lru_cache(maxsize=None)
+    def place(gram):
+        h = 0
+        for n, c in enumerate(gram, 1):
+            h = h * 0x01000193 & word ^ ord(c) * 0x9E3779B1 + n & word
+        mixed = h * 0x85EBCA6B & word
+        return (mixed ^ mixed >> 15) & buckets - 1
+
+    def grams(text):
+        runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        t = f" {' '.join(runs)} " if runs else ""
+        return [place(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+
+    learned = [(t, g) for i, t, g in rows if g is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    sizes = Counter(g for _, g in learned)
+    assert max(sizes.values()) < 2000  # so that none is left out of the sample
+    counts = {g: Counter() for g in sizes}
+    for t, g in {(i, t, g): (t, g) for i, t, g in rows if g is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2}.values():
+        counts[g].update(grams(t))
+    whole = {g: sum(c.values()) + 0.5 * buckets for g, c in counts.items()}
+    got = {r.doc_id: r for r in queries.QUERIES["op4_language_id"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        found = grams(t)
+        r = got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        z = {g: log(sizes[g] / len(learned)) + sum(n * log((counts[g][b] + 0.5) / whole[g]) for b, n in Counter(found).items()) for g in sizes}
+        best = max(z.values())
+        assert z[r.lang_pred] > best - 1e-6 and abs(r.score - 1 / sum(exp(v - best) for v in z.values())) < 1e-6

@@ -97,3 +97,28 @@ def test_table_against_brute_force(spark):
     assert look_up(manifest, 9999) == []
     assert write_sorted_table(spark.createDataFrame([], SCHEMA), PATH, new_path(spark, "t")) == []
     assert read_sorted_table(spark, []).count() == 0
+
+
+def test_look_up_opens_one_shard(spark, monkeypatch):
+    from quadrivo.llm import sorted_table as st
+
+    rows = [(i, f"text {i}") for i in range(0, 4000, 2)] + [(None, "none"), (None, "none too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_sorted_table(df, PATH, new_path(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) == 4 and manifest[0]["first"] is None and manifest[-1]["last"] == 3998
+    assert all(a["last"] < b["first"] for a, b in zip(manifest[1:], manifest[2:]))
+    opened, plain = [], st.open_path
+    monkeypatch.setattr(st, "open_path", lambda path: opened.append(path) or plain(path))
+    ends = [s[c] for s in manifest for c in ("first", "last") if s[c] is not None]
+    for key in [0, 2, 1001, 2000, 3998, *ends]:
+        opened.clear()
+        assert [len(x) > 1 for x in look_up(manifest, key)] == [True] * (key % 2 == 0)
+        assert len(opened) <= 1
+    opened.clear()
+    assert len(look_up(manifest, None)) == 2 and len(opened) == 1
+    opened.clear()
+    assert look_up(manifest, 4001) == [] and look_up(manifest, -5) == [] and len(opened) <= 1
