@@ -1,4 +1,4 @@
-"""Command line: python -m quadrivo CONFIG [--job NAME | --status | --purge [--yes]]; without an option, the daemon. Beside a daemon, --job
+"""Command line: python -m quadrivo CONFIG [--job NAME | --status | --backup | --purge [--yes]]; without an option, the daemon. Beside a daemon, --job
 leaves the job to it.
 
 Exit codes: 0 done, 1 failed or refused, 2 bad configuration or usage, 130 interrupted.
@@ -16,7 +16,7 @@ from pathlib import Path
 
 from .control import config as configs
 from .control.ledger import WarehouseLedger
-from .control.scheduler import Lock, Scheduler, is_locked
+from .control.scheduler import Scheduler
 
 
 def build(conf: configs.Config, spark, base: str, token: str) -> Scheduler:
@@ -39,11 +39,12 @@ def build(conf: configs.Config, spark, base: str, token: str) -> Scheduler:
 
 
 def status(conf: configs.Config, spark) -> None:
+    from .control.lease import Lease
     from .operators import history, queues, reminders
     from .sources.warehouse import Warehouse
 
     w = Warehouse(spark, conf.warehouse)
-    print(f"Scheduler: {'running' if is_locked(conf.lock_path) else 'not running'}")
+    print(f"Scheduler: {'running' if Lease(w).taken() else 'not running'}")
     for r in history.status_report(w["executions"], w["requests"], list(configs.JOBS)).collect():
         print(f"[{r.job_name}] enabled={conf.is_enabled(r.job_name)} last={r.status} at {r.started_at} ({r.trigger}, items={r.items_processed}) {r.detail or ''}" + (f" last failure {r.failed_at}: {r.last_error}" if r.last_error else ""))
     for r in reminders.bands(reminders.rule_table(spark, conf.reminders)).collect():
@@ -61,6 +62,7 @@ def main(args: list[str] | None = None) -> int:
     what.add_argument("--job", choices=configs.JOBS)
     what.add_argument("--status", action="store_true")
     what.add_argument("--purge", action="store_true")
+    what.add_argument("--backup", action="store_true")
     parser.add_argument("--yes", action="store_true")
     given = parser.parse_args(args)
     try:
@@ -70,46 +72,55 @@ def main(args: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from .sources.sinks import guard
+    from .control.lease import Held, Lease
     from .sources.warehouse import Warehouse
 
     spark = SparkSession.builder.appName("quadrivo").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if given.status:
         status(conf, spark)
         return 0
-    lock = Lock(conf.lock_path)
-    if not lock.acquire():
+    w = Warehouse(spark, conf.warehouse)
+    try:
+        with Lease(w):
+            return work(conf, spark, w, given)
+    except Held:
         if given.job:
-            Warehouse(spark, conf.warehouse).ask(given.job, datetime.now(UTC).isoformat(timespec="microseconds"))
+            w.ask(given.job, datetime.now(UTC).isoformat(timespec="microseconds"))
             print(f"{given.job} is left to the process that runs on this warehouse")
             return 0
         print("another process runs on this warehouse", file=sys.stderr)
         return 1
-    try:
-        if given.purge:
-            if not given.yes:
-                print("add --yes to empty the academic tables after a backup", file=sys.stderr)
-                return 1
-            for r in Warehouse(spark, conf.warehouse).purge(f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}").collect():
-                print(f"{r.table_name}: {r.n} row(s) removed")
-            return 0
-        logging.basicConfig(level=logging.INFO)
-        guard(logging.getLogger())
-        run = build(conf, spark, os.environ.get("MOODLE_URL", ""), os.environ.get("MOODLE_TOKEN", ""))
-        for name in (signal.SIGINT, signal.SIGTERM):
-            before = signal.getsignal(name)
-            signal.signal(name, lambda *_, n=name, b=before: (run.stop(), signal.signal(n, b)))
-        run.open(daemon=not given.job)
-        if given.job:
-            run.ask(given.job)
-            run.drain()
-            return 0 if run.ledger.last_status(given.job) == "done" else 1
-        run.serve()
-        return 0
     except KeyboardInterrupt:
         return 130
-    finally:
-        lock.release()
+
+
+def work(conf: configs.Config, spark, w, given: argparse.Namespace) -> int:
+    """What was asked for, by the process that has the warehouse."""
+    from .sources.sinks import guard
+
+    if given.backup:
+        print(w.backup(f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}"))
+        return 0
+    if given.purge:
+        if not given.yes:
+            print("add --yes to empty the academic tables after a backup", file=sys.stderr)
+            return 1
+        for r in w.purge(f"{datetime.now(UTC):%Y%m%dT%H%M%SZ}").collect():
+            print(f"{r.table_name}: {r.n} row(s) removed")
+        return 0
+    logging.basicConfig(level=logging.INFO)
+    guard(logging.getLogger())
+    run = build(conf, spark, os.environ.get("MOODLE_URL", ""), os.environ.get("MOODLE_TOKEN", ""))
+    for name in (signal.SIGINT, signal.SIGTERM):
+        before = signal.getsignal(name)
+        signal.signal(name, lambda *_, n=name, b=before: (run.stop(), signal.signal(n, b)))
+    run.open(daemon=not given.job)
+    if given.job:
+        run.ask(given.job)
+        run.drain()
+        return 0 if run.ledger.last_status(given.job) == "done" else 1
+    run.serve()
+    return 0
 
 
 if __name__ == "__main__":

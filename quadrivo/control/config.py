@@ -48,10 +48,6 @@ class Config:
         """Hours of each job that runs on the clock."""
         return {name: self.jobs[name].interval_hours for name in JOBS if self.jobs[name].interval_hours}
 
-    @property
-    def lock_path(self) -> str:
-        return f"{self.warehouse}/.lock"
-
 
 def _typed(where: str, value: object, kind: type, least: float | None = None) -> object:
     if kind is float and isinstance(value, int) and not isinstance(value, bool):

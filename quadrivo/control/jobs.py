@@ -81,7 +81,9 @@ class SyncJob(Base):
 
     def run(self, trigger: Trigger, should_stop: Callable[[], bool]) -> Result:
         with self.warehouse.aside() as keep:
-            return self._run(trigger, should_stop, keep)
+            made = self._run(trigger, should_stop, keep)
+        self.warehouse.vacuum()
+        return made
 
     def _run(self, trigger: Trigger, should_stop: Callable[[], bool], keep: Callable[[DataFrame], DataFrame]) -> Result:
         """keep writes a payload down, so that it is fetched once, however often it is used. A stop is heard before each kind of payload; nothing is stored then,

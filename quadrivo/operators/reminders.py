@@ -116,9 +116,10 @@ def in_band(tasks: DataFrame, rules_: DataFrame, now: int, due: str = "duedate",
     Met are only rules whose band lies in the bin of the time left, by an equal join.
     """
     own = [by] if by else []
-    edges = _edges(rules_, by).select(*(F.col(c).alias(f"_{c}") for c in own), F.col("id").alias("rule_id"), F.when(F.col("lower") > 0, F.col("lower")).alias("lower"), F.col("offset_seconds").alias("upper"), "title_template", "body_template")
+    below = F.lag("offset_seconds").over(Window.partitionBy(*own).orderBy("offset_seconds", "id"))
+    edges = rules_.select(*(F.col(c).alias(f"_{c}") for c in own), F.col("id").alias("rule_id"), below.alias("lower"), F.col("offset_seconds").alias("upper"), "title_template", "body_template")
     first = F.when(F.col("lower").isNull(), 0).otherwise(_bin(F.col("lower") + 1))
-    b = edges.filter("upper > 0 OR lower IS NULL").withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, _bin(F.col("upper"))))))
+    b = edges.withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, _bin(F.col("upper"))))))
     left = F.col(due) - F.lit(now)
     met = (_bin(left) == F.col("_bin")) & (left <= F.col("upper")) & (F.col("lower").isNull() | (left > F.col("lower")))
     for c in own:

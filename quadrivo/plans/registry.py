@@ -11,6 +11,7 @@ from ..functions import instants, rules, text
 from ..functions.instants import HOUR
 from ..operators import extraction, history, latest, normalize, orders, queues, read_model, reminders, state
 from ..sources import platform, schema, warehouse
+from ..sources.scratch import new_path, written
 from .lens import CONFIRMED, ORDER_NOW, TASK_NOW, Lens, duckdb_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +258,34 @@ query(
 # --- mutations --------------------------------------------------------------------------------------
 
 _NOW = "2024-02-01T00:00:00+00:00"
+def _logged(t: Lens, *tables: str) -> warehouse.Warehouse:
+    """A warehouse of its own that has tables committed."""
+    made = warehouse.Warehouse(t.spark, new_path(t.spark, "warehouse"))
+    made.commit({name: t[name] for name in tables})
+    return made
+
+
+def _appended(t: Lens, table: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A table after rows were appended to its log, under ids that were set aside."""
+    w, rows = _logged(t, table), written(rows, "rows")
+    new = state.with_ids(t[table].limit(0), rows, keys, last=w.reserve(table, rows.count()))
+    w.commit(append={table: new.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.schema(table) if f.name not in new.columns))})
+    return w[table]
+
+
+def _put(t: Lens, table: str, batch: DataFrame) -> DataFrame:
+    """A table after a batch was put over it: only rows of the batch's keys are read and written."""
+    w, keys = _logged(t, table), schema.identity(table)
+    w.commit(put={table: state.upsert_with_ids(w.find(table, batch), batch, keys, _NOW, reserve=lambda n: w.reserve(table, n))})
+    return w[table]
+
+
+def _begun(t: Lens) -> DataFrame:
+    w = _logged(t, "executions")
+    w.commit(append={"executions": state.start_execution(schema.empty(t.spark, "executions"), w.reserve("executions", 1) + 1, "ingestion", "manual", 2, "now")})
+    return w["executions"]
+
+
 query(
     "upsert_courses",
     f"""WITH b AS (SELECT id + 5 AS id, 'new ' || fullname AS fullname, shortname, category, visible, progress, startdate, enddate FROM $courses WHERE id % 4 = 0)
@@ -271,7 +300,7 @@ query(
     SELECT r.id, r.origin, r.source_type, r.external_reference, r.course_id, r.section_id, r.module_id, CASE WHEN b.origin IS NULL THEN r.name ELSE b.name END AS name, r.source_url, r.created_at, CASE WHEN b.origin IS NULL THEN r.last_synced_at ELSE '{_NOW}' END AS last_synced_at
     FROM $resources r LEFT JOIN b ON r.origin = b.origin AND r.source_type = b.source_type AND r.external_reference = b.external_reference
     UNION ALL SELECT id, origin, source_type, external_reference, course_id, section_id, module_id, name, source_url, '{_NOW}', '{_NOW}' FROM f""",
-)(lambda t: state.upsert_with_ids(t["resources"], t["resources"].filter("id % 2 = 0").selectExpr("origin", "source_type", "CASE WHEN id % 4 = 0 THEN external_reference ELSE 'n' || external_reference END AS external_reference", "course_id", "section_id", "module_id", "name || '!' AS name", "source_url", "id AS _seq"), ["origin", "source_type", "external_reference"], _NOW))
+)(lambda t: _put(t, "resources", t["resources"].filter("id % 2 = 0").selectExpr("origin", "source_type", "CASE WHEN id % 4 = 0 THEN external_reference ELSE 'n' || external_reference END AS external_reference", "course_id", "section_id", "module_id", "name || '!' AS name", "source_url", "id AS _seq")))
 def _upserted(columns: str, key: str) -> str:
     """The oracle of an upsert of the rows with key % 4 = 0, changed in one column, as keys key + 3."""
     first, *rest = columns.split(", ")
@@ -300,7 +329,7 @@ query(
     UNION ALL SELECT id, module_id, filename, filepath, filesize, mimetype, fileurl, timemodified, '{_NOW}', '{_NOW}' FROM f""",
 )(lambda t: state.upsert_with_ids(t["files"], t["files"].filter("id % 2 = 0").selectExpr("module_id", "filename", "filepath", "filesize + 1 AS filesize", "mimetype", "CASE WHEN id % 4 = 0 THEN fileurl ELSE 'n' || fileurl END AS fileurl", "timemodified", "id AS _seq"), ["fileurl"], _NOW))
 query("append_versions", "SELECT id, resource_id, version_number FROM $versions UNION ALL SELECT (SELECT max(id) FROM $versions) + row_number() OVER (ORDER BY sha256(CAST(r.id AS VARCHAR))), r.id, coalesce(max(v.version_number), 0) + 1 FROM $resources r LEFT JOIN $versions v ON v.resource_id = r.id WHERE r.id % 10 = 1 GROUP BY r.id")(
-    lambda t: state.append(t["versions"].select("id", "resource_id", "version_number"), state.with_ids(t["versions"], latest.next_version_numbers(t["resources"].filter("id % 10 = 1"), t["versions"]).select(F.col("id").alias("resource_id"), F.col("next_number").alias("version_number")), ["resource_id"]))
+    lambda t: _appended(t, "versions", latest.next_version_numbers(t["resources"].filter("id % 10 = 1"), t["versions"]).select(F.col("id").alias("resource_id"), F.col("next_number").alias("version_number")), ["resource_id"]).select("id", "resource_id", "version_number")
 )
 query("upsert_checks", "SELECT coalesce(b.resource_id, c.resource_id) AS resource_id, CASE WHEN b.resource_id IS NULL THEN c.source_timemodified ELSE 1 END AS source_timemodified, CASE WHEN b.resource_id IS NULL THEN c.checked_at ELSE 'now' END AS checked_at FROM $checks c FULL JOIN (SELECT id AS resource_id FROM $resources WHERE id % 5 = 0 OR id % 7 = 0) b ON b.resource_id = c.resource_id")(
     lambda t: state.upsert(t["checks"], t["resources"].filter("id % 5 = 0 OR id % 7 = 0").selectExpr("id AS resource_id", "1L AS source_timemodified", "'now' AS checked_at", "id AS _seq"), ["resource_id"], _NOW)
@@ -328,10 +357,10 @@ query("record_outcomes_deferred", "SELECT id AS resource_id, 'too_large' AS reas
 query("deferrals_after_batch", "SELECT * FROM $deferrals WHERE resource_id % 3 = 2 UNION ALL SELECT id, 'too_large', id, 1, id, 'now' FROM $resources WHERE id % 3 = 1")(lambda t: state.deferrals_after(t["deferrals"], *state.record_outcomes(_outcomes(t))[1:]))
 _TRIED = "SELECT v.id AS resource_version_id, 'basic' AS depth, 'plain_text' AS extractor_name, '1' AS extractor_version, CASE WHEN v.id % 2 = 0 THEN 'done' ELSE 'failed' END AS status, CASE WHEN v.id % 2 = 1 THEN 'why ' || v.id END AS error_reason, CASE WHEN v.id % 2 = 0 THEN v.content_hash END AS extracted_text, CAST(NULL AS VARCHAR) AS metadata, 'now' AS extracted_at FROM $versions v WHERE v.version_number = 1"
 query("append_extractions", f"SELECT * FROM $extractions UNION ALL BY NAME SELECT (SELECT max(id) FROM $extractions) + row_number() OVER (ORDER BY sha256(CAST(resource_version_id AS VARCHAR))) AS id, * FROM ({_TRIED}) n")(
-    lambda t: state.append(t["extractions"], state.with_ids(t["extractions"], t.sql(_TRIED.replace("VARCHAR", "STRING")), ["resource_version_id"]))
+    lambda t: _appended(t, "extractions", t.sql(_TRIED.replace("VARCHAR", "STRING")), ["resource_version_id"])
 )
 query("start_execution", "SELECT * FROM $executions UNION ALL BY NAME SELECT max(id) + 1 AS id, 'ingestion' AS job_name, 'manual' AS trigger, 2 AS attempt, 'running' AS status, 'now' AS started_at FROM $executions")(
-    lambda t: state.start_execution(t["executions"], t["executions"].agg(F.max("id")).first()[0] + 1, "ingestion", "manual", 2, "now")
+    lambda t: _begun(t)
 )
 query("requests_taken", "SELECT r.id, r.job_name, EXISTS (SELECT 1 FROM $executions e WHERE e.job_name = r.job_name AND (e.finished_at IS NULL OR e.finished_at >= r.requested_at)) AS served FROM $requests r")(lambda t: history.waiting_requests(t["requests"], t["executions"]).select("id", "job_name", "served"))
 query("purged_tables", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS before, {'0' if n in schema.PURGED else 'count(*)'} AS after FROM ${n}" for n in (*_COUNTED, "executions", "requests", "sent")))(
@@ -433,6 +462,15 @@ query(
     FROM (SELECT *, s <= {rules.MEMBER_BYTES} AND s <= {rules.MEMBER_RATIO} * (i + 1) * 100000 AND total + s <= {rules.TOTAL_BYTES} AS fits FROM (SELECT *, CAST(i + 1 AS BIGINT) * p_size * 1000000 AS s FROM r WHERE i < 9) a) b)
     SELECT p_partkey, ok FROM r WHERE i = 9""",
 )(lambda t: t["part"].select("p_partkey", F.array_join(F.transform(rules.safe_members(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.struct((i.cast("bigint") * F.col("p_size") * 1000000).alias("size"), (i * 100000).alias("packed")))), lambda x: F.when(x, "y").otherwise("n")), "").alias("ok")))
+def _read_back(t: Lens) -> DataFrame:
+    """Every twentieth document's original, read by its hash from a store of all."""
+    content, root = F.encode("text", "UTF-8").alias("content"), new_path(t.spark, "originals")
+    warehouse.store(t["documents"].select(content), root, reserve=0)
+    hashes = t["documents"].filter("doc_id % 20 = 0").select(F.sha2(content, 256).alias("content_hash"))
+    return warehouse.retrieve(t.spark, root, hashes).select("content_hash", F.length("content").cast("bigint").alias("size_bytes"), F.md5("content").alias("md5"))
+
+
+query("originals_by_hash", "SELECT DISTINCT sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size_bytes, md5(text) AS md5 FROM $documents WHERE doc_id % 20 = 0")(_read_back)
 query("content_dedup", "SELECT sha256(text) AS content_hash, left(sha256(text), 2) || '/' || sha256(text) AS storage_ref, CAST(max(strlen(text)) AS BIGINT) AS size_bytes FROM $documents GROUP BY 1, 2")(lambda t: warehouse.addressed(t["documents"].select(F.encode("text", "UTF-8").alias("content"))).drop("content"))
 query("url_reference_bytes", "SELECT id, sha256(url) AS content_hash, 'text/uri-list' AS mimetype FROM $modules WHERE url <> ''")(lambda t: t["modules"].filter("url <> ''").select("id", F.sha2(queues.url_bytes("url"), 256).alias("content_hash"), queues.default_mimetype(F.lit("url"), F.lit(None).cast("string")).alias("mimetype")))
 query("depth_validity", "SELECT id, depth IN ('basic', 'deep') AS valid FROM $extractions")(lambda t: t["extractions"].select("id", rules.valid_depth("depth").alias("valid")))

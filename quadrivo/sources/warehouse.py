@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,63 @@ def _bucket(by: Sequence[str], buckets: int) -> Column:
 
 
 
+class Files:
+    """Small text files of a folder, on any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.conf, self.gateway, self.folder = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway, folder
+        self.fs = self._at("").getFileSystem(self.conf)
+
+    def _at(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def names(self) -> list[str]:
+        """The files' names in order; hidden ones are left out."""
+        found = self.fs.listStatus(self._at("")) if self.fs.exists(self._at("")) else []
+        return sorted(n for f in found for n in [f.getPath().getName()] if n[0] not in "._")
+
+    def read(self, name: str) -> str | None:
+        """A file's text; None where there is no such file."""
+        if not self.fs.exists(self._at(name)):
+            return None
+        stream = self.fs.open(self._at(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _written(self, text: str):
+        part = self._at(f".{uuid.uuid4().hex}")
+        out = self.fs.create(part, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        return part
+
+    def _renamed(self, part, name: str, over: bool) -> None:
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        array = self.gateway.new_array(options, 1)
+        array[0] = options.OVERWRITE if over else options.NONE
+        uri = part.toUri() if part.toUri().getScheme() else self.fs.getUri()
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.conf).rename(self.fs.makeQualified(part), self.fs.makeQualified(self._at(name)), array)
+
+    def replace(self, name: str, text: str) -> None:
+        """Puts a file in place of one of that name, whole at any moment."""
+        self._renamed(self._written(text), name, True)
+
+    def create(self, name: str, text: str) -> bool:
+        """Makes a file unless there is one of that name; whether it did."""
+        part = self._written(text)
+        try:
+            self._renamed(part, name, False)
+        except Py4JJavaError:
+            self.fs.delete(part, False)
+            return False
+        return True
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self._at(name), False)
+
+
 class Warehouse:
     """Tables as logs of Parquet parts below a folder that all executors reach.
 
@@ -45,14 +103,7 @@ class Warehouse:
 
     def log(self) -> Log:
         """The parts of all tables, as last committed."""
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return Log()
-        stream = self._fs.open(at)
-        try:
-            return Log.parsed(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return Log.parsed(self.files("").read("CURRENT") or "")
 
     def __getitem__(self, table: str) -> DataFrame:
         if table not in COLUMNS:
@@ -188,15 +239,11 @@ class Warehouse:
         return self._fs.getContentSummary(self._path(self.root)).getLength()
 
     def _name(self, file: str, log: Log) -> None:
-        part = self._path(f"{self.root}/.{file}-{uuid.uuid4().hex}")
-        out = self._fs.create(part, True)
-        out.write(bytearray(log.text().encode()))
-        out.close()
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        array = self.spark.sparkContext._gateway.new_array(options, 1)
-        array[0] = options.OVERWRITE
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(self._fs.makeQualified(part), self._fs.makeQualified(self._path(f"{self.root}/{file}")), array)
+        self.files("").replace(file, log.text())
+
+    def files(self, folder: str) -> Files:
+        """Small text files in a folder beside the tables."""
+        return Files(self.spark, f"{self.root}/{folder}".rstrip("/"))
 
     # Requests come from processes that don't hold the lock, so each is a file of its own, which no commit replaces.
 

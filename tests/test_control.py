@@ -6,6 +6,7 @@ import pytest
 from quadrivo.control import config, scheduler
 from quadrivo.control.ledger import MemoryLedger, Result, WarehouseLedger
 from quadrivo.control.scheduler import Agenda, Answer, Outcome, Scheduler, Trigger
+from quadrivo.control.lease import Held, Lease
 from quadrivo.sources.warehouse import Warehouse
 
 
@@ -108,7 +109,7 @@ def test_skips_and_unknown_work():
     s.ask("notifications", Trigger.INTERVAL)
     s.drain()
     assert rows(s) == [("moodle_sync", "manual", 1, "done"), *[("notifications", "interval", i, "failed") for i in (1, 2, 3)], ("extraction", "dependency", 1, "done")]
-    assert "could not determine pending work" in s.ledger.rows[1]["error"]
+    assert "can't tell whether it has work" in s.ledger.rows[1]["error"]
 
 
 def test_requests():
@@ -144,7 +145,7 @@ def test_shutdown_is_recorded():
     s.ask("extraction")
     with pytest.raises(KeyboardInterrupt):
         s.turn()
-    assert s.ledger.rows[0]["status"] == "failed" and "process was ended" in s.ledger.rows[0]["error"] and s.agenda.running is None
+    assert s.ledger.rows[0]["status"] == "failed" and "process ended" in s.ledger.rows[0]["error"] and s.agenda.running is None
 
 
 def test_daemon_waits_for_slots():
@@ -185,11 +186,50 @@ def test_ledger_of_the_warehouse(spark, tmp_path):
         w.commit({"requests": w["requests"]})
 
 
-def test_lock(tmp_path):
-    a, b = scheduler.Lock(tmp_path / "x" / "lock"), scheduler.Lock(tmp_path / "x" / "lock")
-    assert a.acquire() and a.acquire() and not b.acquire() and scheduler.is_locked(a.path)
-    a.release()
-    assert b.acquire() and b.release() is None and not scheduler.is_locked(a.path)
+def test_lease(spark, tmp_path):
+    clock = [100.0]
+    w = Warehouse(spark, f"file://{tmp_path}/w")
+    a, b, c = (Lease(w, seconds=10, now=lambda: clock[0]) for _ in range(3))
+    assert not a.taken()
+    with a:
+        assert b.taken()
+        with pytest.raises(Held), b:
+            raise AssertionError("two have it")
+        clock[0] += 8
+        a.renew()
+        clock[0] += 8
+        assert b.taken() and not a.lost
+    assert not b.taken()
+    with b:  # a process that is killed renews nothing; its term runs out, and it finds that another one has the warehouse
+        clock[0] += 11
+        assert not c.taken()
+        with c:
+            b.renew()
+            assert b.lost and not c.lost and c.taken()
+        assert c.term == b.term + 1
+    assert not a.taken() and len(w.files("lease").names()) == 1
+
+
+def test_a_term_is_made_once(spark, tmp_path):
+    files = Warehouse(spark, f"file://{tmp_path}/w").files("lease")
+    assert files.names() == [] and files.read("x") is None
+    assert files.create("x", "a") and not files.create("x", "b") and files.read("x") == "a"
+    files.replace("x", "c")
+    assert files.read("x") == "c" and files.names() == ["x"]
+
+
+def test_course_of_a_job():
+    c = scheduler.Course()
+    assert c.next(False) is scheduler.Step.TRY and c.next(True) is scheduler.Outcome.STOPPED
+    for n in range(1, scheduler.ATTEMPTS):
+        c = c.tried(scheduler.Outcome.FAILED, f"e{n}")
+        assert c.next(False) is scheduler.Step.PAUSE and c.next(True) is scheduler.Outcome.STOPPED
+        c = c.paused()
+        assert c.next(False) is scheduler.Step.TRY
+    last = c.tried(scheduler.Outcome.FAILED, "last")
+    assert last.next(False) is last.next(True) is scheduler.Outcome.FAILED and last.error == "last"
+    for end in (scheduler.Outcome.SUCCEEDED, scheduler.Outcome.SKIPPED):
+        assert c.tried(end, None).next(True) is end
 
 
 def test_config():

@@ -87,6 +87,7 @@ def test_command_line(tmp_path, capsys, spark):
     assert main([str(conf), "--status"]) == 0 and "not running" in capsys.readouterr().out
     assert main([str(conf), "--purge"]) == 1 and main([str(conf), "--purge", "--yes"]) == 0
     assert "courses: 0 row(s) removed" in capsys.readouterr().out
+    assert main([str(conf), "--backup"]) == 0 and "/w/backups/" in capsys.readouterr().out
 
 
 def batch(spark, tmp_path, n, conf="", **more):
@@ -164,12 +165,11 @@ def test_no_original_is_stored_into_the_reserve(spark, tmp_path):
 def test_a_request_beside_a_running_process_is_queued(spark, tmp_path, capsys):
     from quadrivo.__main__ import main
     from quadrivo.control.ledger import WarehouseLedger
-    from quadrivo.control.scheduler import Lock
+    from quadrivo.control.lease import Lease
 
     conf = tmp_path / "c.toml"
     conf.write_text(f'warehouse = "{tmp_path}/w"')
-    lock = Lock(f"{tmp_path}/w/.lock")
-    assert lock.acquire()
-    assert main([str(conf), "--job", "extraction"]) == 0 and "left to the process" in capsys.readouterr().out
-    lock.release()
+    with Lease(Warehouse(spark, f"{tmp_path}/w")):
+        assert main([str(conf), "--job", "extraction"]) == 0 and "left to the process" in capsys.readouterr().out
+        assert main([str(conf), "--status"]) == 0 and "Scheduler: running" in capsys.readouterr().out
     assert WarehouseLedger(Warehouse(spark, f"{tmp_path}/w")).take_requests() == [("extraction", False)]
