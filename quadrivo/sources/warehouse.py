@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from threading import RLock
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +30,9 @@ def _bucket(by: Sequence[str], buckets: int) -> Column:
 
 
 
+_locks: dict[str, RLock] = {}
+
+
 class Files:
     """Small text files of a folder, on any file system that Spark reaches."""
 
@@ -96,6 +100,8 @@ class Warehouse:
 
     def __init__(self, spark: SparkSession, root: str, now: Callable[[], float] = time.time):
         self.spark, self.root, self.now = spark, root.rstrip("/"), now
+        #: Held while the log is read and replaced. Another process doesn't change it: see the lease.
+        self._lock = _locks.setdefault(self.root, RLock())
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -161,64 +167,73 @@ class Warehouse:
         """All changes together. tables: their rows from now on; append: rows of new keys; put: rows that take the place of those with the same key, or are new; drop: keys of rows that end (before what is put)."""
         if any("requests" in (changes or {}) for changes in (tables, append, put, drop)):
             raise ValueError("requests are added one by one, by any process")
-        log = self.log()
-        parts = dict(log.parts)
-        gone = dict(log.gone)
+        new: list[tuple[str, Part, bool]] = []  # table, part, whether it is all of the table
         for name, df in (tables or {}).items():
-            gone |= {p.path: self._ms() for p in parts.get(name, ())}
-            parts[name] = (self._write(name, df.select(*(f.name for f in schema(name)))),)
+            new.append((name, self._write(name, df.select(*(f.name for f in schema(name)))), True))
         for changes, over in ((append, False), (drop, True), (put, True)):
             for name, df in (changes or {}).items():
                 ends = changes is drop
                 rows = df.select(*(F.col(c) if not ends or c in identity(name) else F.lit(None).cast(f.dataType).alias(c) for f in schema(name) for c in [f.name]))
                 rows = rows.withColumn("_gone", F.lit(True) if ends else F.lit(None).cast("boolean")) if over else rows
-                parts[name] = (*parts.get(name, ()), self._write(name, rows, over, few=True))
-        self._name("CURRENT", Log(parts, log.last_ids, gone))
-        for name in {*(tables or {}), *(append or {}), *(put or {}), *(drop or {})}:
+                new.append((name, self._write(name, rows, over, few=True), False))
+        with self._lock:
+            log = self.log()
+            parts, gone = dict(log.parts), dict(log.gone)
+            for name, part, whole in new:
+                gone |= {p.path: self._ms() for p in parts.get(name, ()) if whole}
+                parts[name] = (*(() if whole else parts.get(name, ())), part)
+            self._name("CURRENT", Log(parts, log.last_ids, gone))
+        for name in {name for name, _, _ in new}:
             self.merge(name)
 
     def merge(self, table: str, whole: bool = False) -> bool:
         """Merges a table's newest parts where enough of a size have come together, or all of them; a first part that has outgrown its buckets is dealt anew. Whether it did. Readers see the same rows before and after."""
-        log = self.log()
-        parts = log.parts.get(table, ())
-        start = 0 if whole and len(parts) > 1 else due(parts)
+        parts = self.log().parts.get(table, ())
+        start, end = 0 if whole and len(parts) > 1 else due(parts), len(parts)
         if start is None and parts and buckets_for(parts[0].size) > 2 * parts[0].buckets:
-            parts, rest, start = parts[:1], parts[1:], 0
-        else:
-            rest = ()
+            start, end = 0, 1
         if start is None:
             return False
-        merged, kept = parts[start:], parts[:start]
+        merged = parts[start:end]
         over = start > 0 and any(p.over for p in merged)
         rows = self._resolved(table, merged, ends=over)
         made = self._write(table, rows if over else rows.drop("_gone"), over, size=sum(p.size for p in merged))
-        self._name("CURRENT", Log({**log.parts, table: (*kept, made, *rest)}, log.last_ids, {**log.gone, **{p.path: self._ms() for p in merged}}))
+        with self._lock:
+            log = self.log()
+            now = log.parts.get(table, ())
+            if now[start:end] != merged:  # the table was replaced meanwhile: what was made is named by nothing, so a vacuum removes it
+                return False
+            self._name("CURRENT", Log({**log.parts, table: (*now[:start], made, *now[end:])}, log.last_ids, {**log.gone, **{p.path: self._ms() for p in merged}}))
         return True
 
     def vacuum(self, grace_seconds: float = GRACE) -> list[str]:
         """Removes folders that have been named by nothing for longer than the grace time, those of broken commits among them; returns what went."""
-        log, before = self.log(), self._ms() - int(1000 * grace_seconds)
-        old = {path for path, at in log.gone.items() if at <= before}
-        named = {p.path for ps in log.parts.values() for p in ps} | set(log.gone)
-        for table in COLUMNS:
-            top = self._path(f"{self.root}/{table}")
-            for f in self._fs.listStatus(top) if table != "requests" and self._fs.exists(top) else []:
-                path = f"{table}/{f.getPath().getName()}"
-                if path not in named and f.getModificationTime() <= before:
-                    old.add(path)
-        self._name("CURRENT", Log(log.parts, log.last_ids, {p: at for p, at in log.gone.items() if p not in old}))
+        before = self._ms() - int(1000 * grace_seconds)
+        with self._lock:
+            log = self.log()
+            old = {path for path, at in log.gone.items() if at <= before}
+            named = {p.path for ps in log.parts.values() for p in ps} | set(log.gone)
+            for table in COLUMNS:
+                top = self._path(f"{self.root}/{table}")
+                for f in self._fs.listStatus(top) if table != "requests" and self._fs.exists(top) else []:
+                    path = f"{table}/{f.getPath().getName()}"
+                    if path not in named and f.getModificationTime() <= before:
+                        old.add(path)
+            self._name("CURRENT", Log(log.parts, log.last_ids, {p: at for p, at in log.gone.items() if p not in old}))
         for path in old:
             self._fs.delete(self._path(f"{self.root}/{path}"), True)
         return sorted(old)
 
     def reserve(self, table: str, n: int) -> int:
         """Sets n ids of a table aside, that follow the number returned; none is given twice, whatever becomes of these."""
-        log = self.log()
-        last = log.last_ids.get(table)
-        if last is None:
-            last = self[table].agg(F.max("id")).first()[0] or 0  # once for a table
-        if n or table not in log.last_ids:
-            self._name("CURRENT", Log(log.parts, {**log.last_ids, table: last + n}, log.gone))
+        known = None
+        if table not in self.log().last_ids:
+            known = self[table].agg(F.max("id")).first()[0] or 0  # once for a table
+        with self._lock:
+            log = self.log()
+            last = log.last_ids.get(table, known)
+            if n or table not in log.last_ids:
+                self._name("CURRENT", Log(log.parts, {**log.last_ids, table: last + n}, log.gone))
         return last
 
     def _ms(self) -> int:

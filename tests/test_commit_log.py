@@ -156,3 +156,19 @@ def test_a_small_upsert_into_a_large_table(spark, tmp_path, monkeypatch):
     assert w["assignments"].count() == 1_000_005
     changed = {r.id: (r.name, r.created_at, r.last_synced_at) for r in w["assignments"].filter("last_synced_at = 'now'").collect()}
     assert changed == {40_000 * i + (10**6 if i % 5 == 0 else 0): (f"new {i}", "now" if i % 5 == 0 else "c", "now") for i in range(25)}
+
+
+def test_commits_of_two_threads(spark, tmp_path):
+    """A streaming query and a job commit side by side: nothing that one adds is lost to the other, merges included."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(start):
+        w = Warehouse(spark, f"file://{tmp_path}/w")
+        for i in range(start, start + 12):
+            last = w.reserve("files", 1)
+            w.commit(append={"deferrals": deferral(spark, [(i, last)])})
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(work, [0, 100]))
+    got = held(Warehouse(spark, f"file://{tmp_path}/w"))
+    assert sorted(got) == [*range(12), *range(100, 112)] and sorted(got.values()) == list(range(24))
