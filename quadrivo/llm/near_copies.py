@@ -7,7 +7,8 @@ Shingles are compared by their XXH64. Texts with equal sets are one point. Links
    (prefix filter). While groups of points that share one are so large that their pairs would outgrow them, each group's points are compared with one of them, and
    what is linked need not be compared again. So a group of many copies costs a few comparisons for each copy, not one for each pair.
 3. Rarest first: where groups are still crowded, by points that share a passage and are not alike, all points of such groups are filtered by prefixes again, now in
-   the order of exact document frequencies among them, so that a shared passage comes last in each.
+   the order of exact document frequencies among them, so that a shared passage comes last in each; and each has an odd sketch, in which the bits that two
+   sets don't share are no more than the shingles that they don't share, so that most pairs that can't be alike are never made.
 4. The rest: points of a group that are not connected yet are paired; how many shingles they share there bounds what they can share
    at all, and those within the bound are compared whole. So no link between points that are not connected otherwise is lost.
 
@@ -16,6 +17,7 @@ In steps 2 and 4 shingles that are frequent in a sample come last in the order;
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -31,10 +33,10 @@ from .simhash import bits_of, links
 LEAST, OF, SHINGLE, SEED = 4, 5, 5, 42
 #: Documents in which frequent shingles are sought, in how many of them one is frequent, and the most that are kept.
 SAMPLE, FREQUENT, MOST = 10_000, 4, 200_000
-#: Pairs of a group's points for each of its points from which pivots are compared first, and the most rounds of that (each has to halve what is left).
+#: Unconnected points of a group beyond which its points are compared with a pivot first, and the most rounds of that (each has to halve the pairs that are left in such groups).
 CROWDED, ROUNDS = 32, 3
-#: Tells groups of the second order from those of the first.
-AGAIN = 0x5DEECE66D0B5
+#: Pairs of a group up to which they are made without looking at sketches, and a sketch's 64-bit words.
+HEAVY, WORDS = 256, 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -76,43 +78,56 @@ def _frequent(df: DataFrame, text: str) -> np.ndarray:
     return np.sort(np.array([r.s for r in found.orderBy(F.desc("n"), "s").limit(MOST).collect()], np.int64).view(np.uint64))
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words: each shingle turns one bit over. Two sets' sketches differ in as many bits at most as shingles are in one set only."""
+    odd = np.bincount((s >> np.uint64(64 - 6) << np.uint64(3) | s & np.uint64(7)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near_sketches(x: str, y: str, n: str, m: str) -> str:
+    """Whether sets with these sketches and sizes can be alike: those in one only are (OF - LEAST) / (OF + LEAST) of all at most."""
+    apart = " + ".join(f"bit_count({x}{i} ^ {y}{i})" for i in range(WORDS))
+    return f"{OF + LEAST} * ({apart}) <= {OF - LEAST} * ({n} + {m})"
+
+
 def _first(n: int) -> int:
     """How many shingles of a set of n are its prefix."""
     return n - -(-LEAST * n // OF) + 1
 
 
 def _sets(df: DataFrame, text: str, key: str, frequent: np.ndarray) -> DataFrame:
-    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found)."""
-    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found), sketch."""
+    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                ids, sizes, fps, prefixes = [], [], [], []
+                ids, sizes, fps, prefixes, sketches = [], [], [], [], []
                 for t in b.column(1).to_pylist():
                     s = shingles(t)
                     ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     sizes.append(len(s))
                     fps.append(bits_of(s))
+                    sketches.append(odd_sketch(s).byteswap().tobytes())
                     if len(frequent):
                         late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         s = np.r_[s[~late], s[late]]
                     prefixes.append(s[: _first(len(s))].view(np.int64).tolist())
-                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes], schema)
+                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes, sketches], schema)
 
     return arrow_map(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _rarest_first(texts: DataFrame, points: DataFrame) -> DataFrame:
-    """p, id, n, root: the points (id, n, root) by the shingles of their prefixes, in the order of how many of these points have a shingle; of shingles that two of them share at least."""
+    """p with the points' columns (id, n, root, ...): the points by the shingles of their prefixes, in the order of how many of these points have a shingle; of shingles that two of them share at least."""
     held = written(_exploded(texts.join(points.select("id"), "id", "left_semi")), "shingles")
     often = held.groupBy("s").agg(F.count("*").alias("m"))
     rows = held.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("all"))  # a text's shingles, so as many as a row may hold
     size = F.size("all")
     prefix = F.slice("all", F.lit(1), (size - F.ceil(size * LEAST / OF) + 1).cast("int"))
     some = rows.select("id", F.explode(F.filter(prefix, lambda x: x["m"] > 1)).alias("x")).select("id", F.col("x.s").alias("p"))
-    return some.join(points, "id").select("p", "id", "n", "root")
+    return some.join(points, "id").select("p", *points.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,6 +173,16 @@ def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(named.join(goes, "ra").select(F.col("a").alias("node"), F.least("ra", "to").alias("root")), "labels")
 
 
+def _met(rest: DataFrame, sketch: Sequence[str] = ()) -> DataFrame:
+    """a, b, both, larger: pairs of points (p, id, n, root, main, and the words of a sketch) that are in a group and not connected, once for each shingle p. Of the main part's points
+    none are paired with each other; other points that meet from both sides count on one."""
+    a = rest.filter("root <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *(F.col(c).alias(f"x_{c}") for c in sketch))
+    b = rest.select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main", *(F.col(c).alias(f"y_{c}") for c in sketch))
+    fit = f"rx <> ry AND (ry = main OR x < y) AND {_fit('nx', 'ny')}" + (f" AND {_near_sketches('x_k', 'y_k', 'nx', 'ny')}" if sketch else "")
+    same_p = a.alias("l").join(b.alias("r"), (F.col("l.p") == F.col("r.p")) & F.expr(fit))
+    return same_p.select(*_ordered(F.col("x"), F.col("y")), (F.col("nx") + F.col("ny")).alias("both"), F.greatest("nx", "ny").alias("larger"))
+
+
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """For each row: key, component_id (the smallest key it is linked with over any number of links, its own included).
 
@@ -167,7 +192,7 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     spark = df.sparkSession
     made = written(_sets(df, text, key, _frequent(df, text)), "sets")
     # A row for each set, which is told by its number from then on, so that no key is needed, be it null or repeated.
-    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix")), "points")
+    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "points")
     # Only shingles that two points share can link any.
     every = points.select("id", "n", F.explode("prefix").alias("p"))
     common = every.groupBy("p").agg(F.count("*").alias("m")).filter("m > 1").select("p")
@@ -191,27 +216,29 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         # The points of a group that are connected with most of it need no comparison among themselves.
         parts = at.groupBy("p", "root").agg(F.count("*").alias("m"))
         main = written(parts.groupBy("p").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top")).select("p", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("others")).filter("others > 0"), "main")
-        size = main.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("points"), F.coalesce(F.sum(F.col("m").cast("double") * F.col("others")), F.lit(0.0)).alias("pairs")).first()
-        if step == ROUNDS or size.pairs <= CROWDED * size.points or size.pairs > before / 2:
+        many = F.col("m").cast("double") * F.col("others")
+        size = main.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("points"), F.coalesce(F.sum(many), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum(F.when(F.col("others") > CROWDED, many)), F.lit(0.0)).alias("hot")).first()
+        if step == ROUNDS or not size.hot or size.hot > before / 2:
             break
-        before = size.pairs
+        before = size.hot
         here = at.join(main.filter(f"others > {CROWDED}").select("p"), "p")
         pivot = here.groupBy("p").agg(F.min(F.struct(F.xxhash64(F.lit(step), "id"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))).alias("x")).select("p", "x.v", "x.nv", "x.rv")
         pairs = written(here.join(pivot, "p").filter(f"root <> rv AND {_fit('n', 'nv')}").select(*_ordered(F.col("id"), F.col("v"))).distinct(), "pivots")
         linked.append(written(_verified(pairs, texts), "links"))
         labels = _hooked(_hooked(labels, linked[-1]), linked[-1])  # the pivot goes over to the least label around it, then the others follow
-    rest = at.join(main.select("p", "main"), "p")
+    rest, met, words = at.join(main.select("p", "main"), "p"), None, [f"k{i}" for i in range(WORDS)]
+    sketched = points.select("id", *(F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(w) for i, w in enumerate(words)))
     if size.pairs > CROWDED * size.points:
         crowded = main.filter(f"others > {CROWDED}").select("p")
-        points_there = written(at.join(crowded, "p").select("id", "n", "root").distinct(), "crowded")
+        points_there = written(at.join(crowded, "p").select("id", "n", "root").distinct().join(sketched, "id"), "crowded")
         again = written(_rarest_first(texts, points_there), "rarest")
         parts = again.groupBy("p", "root").agg(F.count("*").alias("m"))
         tops = parts.groupBy("p").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).filter("roots > 1").select("p", F.col("top.root").alias("main"))
-        rest = rest.join(crowded, "p", "left_anti").select("p", "id", "n", "root", "main").union(again.join(tops, "p").select(F.col("p").bitwiseXOR(F.lit(AGAIN)), "id", "n", "root", "main"))
-    a = rest.filter("root <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    b = rest.select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main")
-    # Both points of a pair may be apart from the main part: then it is met from both sides, of which one counts.
-    met = a.join(b, "p").filter(f"rx <> ry AND (ry = main OR x < y) AND {_fit('nx', 'ny')}").select(*_ordered(F.col("x"), F.col("y")), (F.col("nx") + F.col("ny")).alias("both"), F.greatest("nx", "ny").alias("larger"))
+        rest, met = rest.join(crowded, "p", "left_anti"), _met(again.join(tops, "p"), words)
+    # Groups of few pairs need no sketch; the others' pairs, which grow with the square of a group's size, are held against theirs before they are made.
+    heavy = main.filter(f"m * others > {HEAVY}").select("p")
+    for part in (_met(rest.join(heavy, "p", "left_anti")), _met(rest.join(heavy, "p").join(sketched, "id"), words)):
+        met = part if met is None else met.union(part)
     met = met.groupBy("a", "b", "both", "larger").agg(F.count("*").alias("shared"))
     # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides. Where groups were made anew, a shingle may have been met twice, which lets a pair through that need not be compared.
     pairs = written(met.filter(f"{LEAST + OF} * (shared + ceil({LEAST} * larger / {OF}) - 1) >= {LEAST} * both").select("a", "b"), "pairs")

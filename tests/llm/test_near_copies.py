@@ -117,3 +117,19 @@ def test_crowds_that_share_a_passage(spark, monkeypatch):
     assert got == groups_of(rows) and anew
     print(compared)
     assert compared[-1] < 300  # of 13,530 pairs that share the passage
+
+
+def test_sketches_differ_by_no_more_than_the_sets():
+    import numpy as np
+
+    from quadrivo.llm.near_copies import WORDS, odd_sketch
+
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        for change in (0, 1, n // 3):
+            b = np.unique(np.r_[a[change:], rng.integers(0, 1 << 63, change).astype(np.uint64)])
+            apart = int(np.bitwise_count((odd_sketch(a) ^ odd_sketch(b)).view(np.uint64)).sum())
+            different = len(np.setxor1d(a, b))
+            assert len(odd_sketch(a)) == WORDS and apart <= different and (different - apart) % 2 == 0
+            assert not 0 < different < 20 or apart > 0
