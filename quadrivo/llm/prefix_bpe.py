@@ -9,11 +9,14 @@ entries are the old ones again as soon as as many in a row are equal as the long
 from __future__ import annotations
 
 import base64
+import struct
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 from .shared import arrow_map, batch_of, column_type
 
 #: Pre-tokens and pairs that a worker remembers, the longest pre-token that it does, and characters of texts that are encoded together.
-MEMORY, LONGEST, TOGETHER = 400_000, 64, 1 << 20
+MEMORY, PAIRS, LONGEST, TOGETHER = 800_000, 400_000, 64, 1 << 20
 #: For each class of characters one that every Unicode version puts there: letters, numbers, spaces, the rest.
 _STANDS_FOR = ("ß", "²", " ", "…")
 _BEYOND = regex.compile(r"[^\x00-\x7f]")
@@ -55,6 +58,22 @@ class Classes:
         return text.translate(self.table) if self.table else text
 
 
+class Known(dict):
+    """Pre-tokens with their ids as little-endian 32-bit numbers: found when they are first asked for; short ones are remembered, up to MEMORY of them."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        made = self.find(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[piece] = made
+        return made
+
+
 class PrefixBpe:
     """Exact for ranks in which every single byte is a token and every token is the encoding of its own bytes; the pattern may ask for \\p{L}, \\p{N} and \\s, and covers all texts."""
 
@@ -69,19 +88,18 @@ class PrefixBpe:
         self.pattern, self.classes = regex.compile(pattern), Classes()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self._piece)
 
-    @property
+    @cached_property
     def found(self):
         """The automaton of all tokens."""
-        if not hasattr(self, "_found"):
-            import ahocorasick
+        import ahocorasick
 
-            self._found = ahocorasick.Automaton()
-            for t, r in self.rank.items():
-                self._found.add_word(t.decode("latin-1"), r)
-            self._found.make_automaton()
-        return self._found
+        made = ahocorasick.Automaton()
+        for t, r in self.rank.items():
+            made.add_word(t.decode("latin-1"), r)
+        made.make_automaton()
+        return made
 
     def split(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t."""
@@ -112,7 +130,7 @@ class PrefixBpe:
         pair = a << 32 | b
         made = self.pairs.get(pair)
         if made is None:
-            if len(self.pairs) > MEMORY:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             made = self.pairs[pair] = self._apart(a, b, len(self.token))
         return made
@@ -123,22 +141,44 @@ class PrefixBpe:
         old: the table of a text that, from place `edited` of raw on, is the same, `shift` bytes earlier. When as many entries as the longest token
         has bytes are its entries, so are all others.
         """
-        known, same = len(last), 0
-        lo = max(0, known + 1 - self.longest)
+        n, same = len(last), 0
+        lo = max(0, n + 1 - self.longest)
+        size, pairs, neighbours = self.size, self.pairs, self.neighbours
         for end, t in self.found.iter(raw[lo:].decode("latin-1")):
             i = lo + end
-            if i != len(last):
-                continue
-            j = i - self.size[t]
-            if j >= 0 and not self.neighbours(last[j], t):
+            if i != n:
                 continue
+            j = i - size[t]
+            if j >= 0:
+                stand = pairs.get(last[j] << 32 | t)
+                if not (neighbours(last[j], t) if stand is None else stand):
+                    continue
             last.append(t)
+            n += 1
             if old is not None and i >= edited:
                 same = same + 1 if 0 <= i - shift < len(old) and old[i - shift] == t else 0
                 if same == self.longest:
                     last += old[i + 1 - shift :]
                     return
 
+    def fresh(self, raw: bytes) -> list[int]:
+        """The table of raw."""
+        last: list[int] = []
+        n, size, known, neighbours, add = 0, self.size, self.pairs.get, self.neighbours, last.append
+        for end, t in self.found.iter(raw.decode("latin-1")):
+            if end == n:
+                j = end - size[t]
+                if j >= 0:
+                    a = last[j]
+                    stand = known(a << 32 | t)
+                    if stand is None:
+                        stand = neighbours(a, t)
+                    if not stand:
+                        continue
+                add(t)
+                n += 1
+        return last
+
     def walk(self, last: list[int]) -> list[int]:
         """The ids of the bytes that last is the table of."""
         ids, i = [], len(last)
@@ -154,25 +194,20 @@ class PrefixBpe:
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(seen)]
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        last: list[int] = []
-        self.extend(piece.encode(), last)
-        return tuple(self.walk(last))
+    def _piece(self, piece: str) -> bytes:
+        ids = self.walk(self.fresh(piece.encode()))
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text's begin, and the last one's end."""
+        get = self.known.__getitem__
+        made = [b"".join(map(get, self.pieces(t))) for t in texts]
+        return np.frombuffer(b"".join(made), "<i4"), np.cumsum([0, *(len(m) // 4 for m in made)])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text; short pre-tokens are remembered."""
-        split = [self.pieces(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        for p in new:
-            self.known[p] = self._piece(p)
-        made = [[*chain.from_iterable(map(self.known.__getitem__, ps))] for ps in split]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        else:
-            for p in new:
-                if len(p) > LONGEST:
-                    del self.known[p]
-        return made
+        """The ids of each text."""
+        ids, ends = self.encode_all(texts)
+        return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -272,8 +307,9 @@ def bpe_encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", key:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in _together(texts):
-                ids = bpe.encode(texts[lo:hi])
-                yield batch_of([b.column(0).slice(lo, hi - lo), [np.array(i, np.int32) for i in ids], [bpe.decode(i) for i in ids]], schema)
+                ids, ends = bpe.encode_all(texts[lo:hi])
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                yield batch_of([b.column(0).slice(lo, hi - lo), listed, [bpe.decode(ids[i:j].tolist()) for i, j in zip(ends, ends[1:])]], schema)
 
     return arrow_map(df.select(key, text), run, schema)
 
