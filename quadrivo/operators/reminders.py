@@ -59,13 +59,13 @@ def narrowest_band(rules_: DataFrame, by: str | None = None) -> DataFrame:
 def violations(rules_: DataFrame, by: str | None = None) -> DataFrame:
     """rule_id, problem for what is wrong with the numbers of a rule set; by set, from one pass over its rules in the order of their offsets."""
     own = [by] if by else []
-    each = Window.partitionBy(*own, "id")
-    alike = Window.partitionBy(*own, "offset_seconds")
-    told = _edges(rules_, by).withColumns({"_twice": F.count("*").over(each), "_nth": F.row_number().over(each.orderBy("offset_seconds")), "_alike": F.count("*").over(alike), "_first": F.row_number().over(alike.orderBy("id"))})
+    # Two sorts: by offset and id, which the bands need too, and by id and offset. A group has more than one row if its first row has a next one.
+    each, alike, more = Window.partitionBy(*own, "id").orderBy("offset_seconds"), Window.partitionBy(*own, "offset_seconds").orderBy("id"), lambda w: F.lead(F.lit(True), 1, False).over(w)
+    told = _edges(rules_, by).withColumns({"_first": F.row_number().over(alike), "_alike": more(alike)}).withColumns({"_nth": F.row_number().over(each), "_twice": more(each)})
     width = F.col("offset_seconds") - F.col("lower")
     found = {
-        "duplicate id": (F.col("_twice") > 1) & (F.col("_nth") == 1),
-        "duplicate offset": (F.col("_alike") > 1) & (F.col("_first") == 1),
+        "duplicate id": F.col("_twice") & (F.col("_nth") == 1),
+        "duplicate offset": F.col("_alike") & (F.col("_first") == 1),
         "not before the deadline": F.col("offset_seconds") <= 0,
         "band too narrow": width.between(1, CYCLE_HOURS * instants.HOUR - 1),
     }

@@ -7,6 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.parts import dealt
+from ..sources.scratch import written
+
 
 def last_of_batch(batch: DataFrame, keys: Sequence[str], order: str = "_seq") -> DataFrame:
     """The last row of each key in a batch."""
@@ -120,8 +123,13 @@ def replace_rule_sets(stored: DataFrame, brought: DataFrame, now: str, by: str)
     """stored rules after sets were brought anew (by, id, offset_seconds, templates): each that can be delivered takes the place of the whole stored set; one that can't changes nothing."""
     from .reminders import violations
 
-    sound = brought.join(violations(brought, by).select(by).distinct(), by, "left_anti")
-    kept = stored.join(sound.select(by).distinct(), by, "left_anti")
+    # Both are dealt out by set for as many rows, and what is found about sets is written down, so that a task sorts one or two bounded parts at a time.
+    rows = stored.count() + brought.count()
+    stored, brought = dealt(stored, rows, by), dealt(brought, rows, by)
+    unsound = written(violations(brought, by).select(by).distinct(), "unsound")
+    sound = brought.join(dealt(unsound, rows, by), by, "left_anti")
+    replaced = written(sound.select(by).distinct(), "replaced")
+    kept = stored.join(dealt(replaced, rows, by), by, "left_anti")
     return kept.unionByName(sound.select(by, "id", "offset_seconds", F.lit(True).alias("enabled"), "title_template", "body_template", F.lit(now).alias("updated_at")))
 
 
