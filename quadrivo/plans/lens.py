@@ -7,10 +7,13 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.parts import dealt
+
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 ORDER_NOW, TASK_NOW = 883_612_800, 1_705_320_000
 CONFIRMED = "2024-01-15T00:00:00+00:00"
@@ -96,6 +99,8 @@ LENS = {
     "rule_drafts": """SELECT CAST(o_custkey AS BIGINT) AS set_id, o_orderpriority AS id, (CAST(floor(o_totalprice) AS BIGINT) % 40 - 2) * 1800 AS offset_seconds, '{assignment}' AS title_template, '{remaining}' AS body_template FROM $orders""",
     "rule_marks": "SELECT CAST(s_suppkey AS BIGINT) AS set_id FROM $supplier WHERE s_acctbal > 2000",
 }
+#: Logical tables that are joined or numbered over whole source tables: these are dealt out to them by the keys that they meet by.
+DEALT = {"grades": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
 
 
 def _used(text: str) -> list[str]:
@@ -109,16 +114,25 @@ class Lens:
         self.spark, self.sf_dir = spark, sf_dir
         self._prefix = f"lens_{zlib.crc32(sf_dir.encode()):08x}_"
         self._made: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in SOURCES else self.sql(LENS[name])
+            self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet") if name in SOURCES else self.sql(LENS[name], DEALT.get(name, {}))
         return self._made[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """A query in Spark's dialect over these tables."""
+    def rows(self, name: str) -> int:
+        """How many rows a source table has, from the footers of its files."""
+        if name not in self._rows:
+            self._rows[name] = self[name].count()
+        return self._rows[name]
+
+    def sql(self, text: str, by: Mapping[str, str] | None = None) -> DataFrame:
+        """A query in Spark's dialect over these tables, some of them dealt out by a column."""
+        by = by or {}
+        most = max((self.rows(other) for other in by), default=0)
         for other in _used(text):
-            self[other].createOrReplaceTempView(self._prefix + other)
+            (dealt(self[other], most, by[other]) if other in by else self[other]).createOrReplaceTempView(self._prefix + other)
         return self.spark.sql(re.sub(r"\$(\w+)", lambda m: self._prefix + m[1], SPARK.sql(text)))
 
 

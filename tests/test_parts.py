@@ -2,10 +2,13 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quadrivo.operators import reminders, state
+from quadrivo.plans import registry
+from quadrivo.plans.lens import Lens
 from quadrivo.sources import parts
 
 
@@ -46,3 +49,14 @@ def test_small_tables_lie_as_they_do(spark):
     df = spark.range(100).withColumn("k", F.col("id") % 3)
     assert parts.dealt(df, 100, "k") is df
     assert parts.parts(spark, parts.ROWS) is None and parts.parts(spark, parts.ROWS * 100 + 1) == 101
+    assert parts.parts(spark, parts.MOST * 200) == 200 and parts.parts(spark, parts.MOST * 300) == 300
+
+
+def test_grades_are_joined_and_numbered_in_parts(spark, small):
+    """grades_all: one shuffle of each source table, by order, in parts for its rows."""
+    sf = "/root/testdata/sf0.001"
+    n = min(200, -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500))
+    got = Lens(spark, sf)["grades"]
+    assert {("l_orderkey", n), ("o_orderkey", n)} == dealt_by(got)
+    want = duckdb.sql(registry.ORACLE_SQL["grades_all"].replace("FROM lineitem JOIN orders", f"FROM '{sf}/lineitem.parquet' JOIN '{sf}/orders.parquet'"))
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
