@@ -60,3 +60,5 @@ def test_grades_are_joined_and_numbered_in_parts(spark, small):
     assert {("l_orderkey", n), ("o_orderkey", n)} == dealt_by(got)
     want = duckdb.sql(registry.ORACLE_SQL["grades_all"].replace("FROM lineitem JOIN orders", f"FROM '{sf}/lineitem.parquet' JOIN '{sf}/orders.parquet'"))
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+    one = registry.QUERIES["grades_by_course"](spark, sf)
+    assert sorted(r.id for r in one.collect()) == sorted(r[0] for r in want.filter("course_id = 10").select("id").fetchall())
