@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import written
+from ..sources.parts import parts
+from ..sources.scratch import drop_path, new_path, written
 from ..sources.shipping import ship
 
 
@@ -41,7 +42,14 @@ def ranged(df: DataFrame, order: Sequence[Column], key: str) -> tuple[DataFrame,
                 yield pa.RecordBatch.from_arrays([*b.columns, before, pa.array(np.full(rows, number)), pa.array(np.arange(n, n + rows))], names=[f.name for f in schema])
                 n, last = n + rows, keys.slice(rows - 1, 1)
 
-    return written(df.orderBy(*order).mapInArrow(run, schema), "ranged"), *names
+    # The rows are written and so counted first: a task sorts a range of about as many rows at any size, and what makes the rows runs once, not for the sample of the ranges too.
+    path = new_path(df.sparkSession, "unordered")
+    held = written(df, "", path)
+    n = parts(df.sparkSession, held.count())
+    in_order = held.orderBy(*order) if n is None else held.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    made = written(in_order.mapInArrow(run, schema), "ranged")
+    drop_path(df.sparkSession, path)
+    return made, *names
 
 
 def with_previous(df: DataFrame, order: Sequence[Column], key: str, name: str) -> DataFrame:

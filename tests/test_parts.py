@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quadrivo.operators import reminders, state
+from quadrivo.operators import orders, reminders, state
 from quadrivo.plans import registry
 from quadrivo.plans.lens import Lens
 from quadrivo.sources import parts
@@ -62,3 +62,15 @@ def test_grades_are_joined_and_numbered_in_parts(spark, small):
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
     one = registry.QUERIES["grades_by_course"](spark, sf)
     assert sorted(r.id for r in one.collect()) == sorted(r[0] for r in want.filter("course_id = 10").select("id").fetchall())
+
+
+def test_orders_are_sorted_in_parts(spark, small):
+    """As many ranges as the rows need, whatever the shuffle partitions are (4 here), and each row's neighbour as before."""
+    rows = spark.range(20_000, numPartitions=3).selectExpr("id", "if(id % 11 = 0, null, hash(id) % 50) AS a")
+    order = [F.asc_nulls_first("a"), F.asc("id")]
+    made, _, part, place = orders.ranged(rows, order, "id")
+    ranges = made.groupBy(part).agg(F.max(place).alias("last")).collect()
+    assert 20 < len(ranges) <= 40 and max(r.last for r in ranges) < 3 * 500
+    got = orders.with_previous(rows, order, "id", "after")
+    want = rows.selectExpr("*", "lag(id) OVER (ORDER BY a ASC NULLS FIRST, id) AS after")
+    assert got.count() == 20_000 and got.exceptAll(want).isEmpty()
