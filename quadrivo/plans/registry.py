@@ -11,6 +11,7 @@ from ..functions import instants, rules, text
 from ..functions.instants import HOUR
 from ..operators import extraction, history, latest, normalize, orders, queues, read_model, reminders, state
 from ..sources import platform, schema, warehouse
+from ..sources.parts import dealt
 from ..sources.scratch import new_path, written
 from .lens import CONFIRMED, ORDER_NOW, TASK_NOW, Lens, duckdb_sql
 
@@ -405,7 +406,7 @@ query("normalize_assignments", "SELECT id, course_id, name, duedate, allowsubmis
 )
 query("normalize_grades", "SELECT id, course_id, user_id, cmid, item_name, item_type, item_module, grade_raw, grade_formatted, percentage_formatted FROM $grades")(
     lambda t: normalize.grades(
-        t["grades"].groupBy("course_id", "user_id").agg(F.collect_list(F.struct("id", "cmid", F.col("item_name").alias("itemname"), F.col("item_type").alias("itemtype"), F.col("item_module").alias("itemmodule"), F.col("grade_raw").alias("graderaw"), F.col("grade_formatted").alias("gradeformatted"), F.col("percentage_formatted").alias("percentageformatted"))).alias("gradeitems"))
+        dealt(t["grades"], t.rows("lineitem"), "course_id").groupBy("course_id", "user_id").agg(F.collect_list(F.struct("id", "cmid", F.col("item_name").alias("itemname"), F.col("item_type").alias("itemtype"), F.col("item_module").alias("itemmodule"), F.col("grade_raw").alias("graderaw"), F.col("grade_formatted").alias("gradeformatted"), F.col("percentage_formatted").alias("percentageformatted"))).alias("gradeitems"))
         .select(F.to_json(F.struct(F.array(F.struct(F.col("course_id").alias("courseid"), F.col("user_id").alias("userid"), "gradeitems")).alias("usergrades"))).alias("payload"))
     )
 )

@@ -74,3 +74,12 @@ def test_orders_are_sorted_in_parts(spark, small):
     got = orders.with_previous(rows, order, "id", "after")
     want = rows.selectExpr("*", "lag(id) OVER (ORDER BY a ASC NULLS FIRST, id) AS after")
     assert got.count() == 20_000 and got.exceptAll(want).isEmpty()
+
+
+def test_grades_are_packed_into_payloads_in_parts(spark, small):
+    sf = "/root/testdata/sf0.001"
+    t, got = Lens(spark, sf), registry.QUERIES["normalize_grades"](spark, sf)
+    n = parts.parts(spark, t.rows("lineitem"))
+    assert {("course_id", n), ("l_orderkey", n), ("o_orderkey", n)} == dealt_by(got)
+    want = t["grades"].select(*got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
