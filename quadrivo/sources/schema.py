@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import parts
 from .scratch import written
 
 _SYNCED = ", created_at string, last_synced_at string"
@@ -83,10 +84,25 @@ def references(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def fk_violations(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """child, reference, id of rows whose parent is missing; a null reference is none. Each table is read once, its keys and references written down together, and one join meets them all."""
+    """child, reference, id of rows whose parent is missing; a null reference is none. Each table is read once, its keys and references written down together, and one join meets them all.
+
+    A key that very many rows refer to would be one task's, however its rows are dealt. Such keys are looked up by themselves, and their rows kept or left where they lie.
+    """
     entries = written(references(tables), "references")
-    held = entries.filter("child IS NULL").select("table_name", "key")
-    return entries.filter("child IS NOT NULL").join(held, ["table_name", "key"], "left_anti").select("child", "reference", "id")
+    rows, meet = entries.count(), ["table_name", "key"]
+    held, named = entries.filter("child IS NULL").select(*meet), entries.filter("child IS NOT NULL")
+    if rows <= parts.ROWS:
+        return named.join(held, meet, "left_anti").select("child", "reference", "id")
+    often = written(crowded(named, parts.ROWS), "crowded")
+    lost = often.join(held.join(F.broadcast(often), meet, "left_semi").distinct(), meet, "left_anti")
+    few = parts.dealt(named.join(F.broadcast(often), meet, "left_anti"), rows, *meet).join(parts.dealt(held, rows, *meet), meet, "left_anti")
+    return few.unionByName(named.join(F.broadcast(lost), meet, "left_semi").select(*few.columns)).select("child", "reference", "id")
+
+
+def crowded(named: DataFrame, rows: int) -> DataFrame:
+    """table_name, key that more than about so many rows refer to, told by one row in 256 of each; at most one key for every rows / 2 rows. Which keys these are bears on the work only, every row is met whatever they are."""
+    some = named.filter(F.pmod(F.xxhash64("child", "reference", "id"), F.lit(256)) == 0)
+    return some.groupBy("table_name", "key").agg(F.count("*").alias("m")).filter(F.col("m") > rows // 512).select("table_name", "key")
 
 
 def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:

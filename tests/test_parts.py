@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrivo.operators import orders, reminders, state
 from quadrivo.plans import registry
 from quadrivo.plans.lens import Lens
-from quadrivo.sources import parts
+from quadrivo.sources import parts, schema
 
 
 @pytest.fixture
@@ -83,3 +83,21 @@ def test_grades_are_packed_into_payloads_in_parts(spark, small):
     assert {("course_id", n), ("l_orderkey", n), ("o_orderkey", n)} == dealt_by(got)
     want = t["grades"].select(*got.columns)
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def test_keys_that_many_rows_refer_to_are_met_where_they_lie(spark, small):
+    """Present and missing keys of 3,000 rows each, beside those of one row; null references are none."""
+    empty = {n: schema.empty(spark, n) for n in ("users", "courses", "grades")}
+    filled = lambda n, df: empty[n].unionByName(df, allowMissingColumns=True)
+    tables = {
+        "users": filled("users", spark.range(2).selectExpr("id")),
+        "courses": filled("courses", spark.range(4_000).filter("id % 5 <> 0").selectExpr("id")),
+        "grades": filled("grades", spark.range(9_000).selectExpr("id", "if(id % 7 = 0, null, id % 6000) AS course_id", "if(id % 3 = 0, null, id % 3) AS user_id")),
+    }
+    often = {tuple(r) for r in schema.crowded(schema.references(tables).filter("child IS NOT NULL"), 500).collect()}
+    assert {("users", 1), ("users", 2)} <= often
+    got = sorted(map(tuple, schema.fk_violations(tables).collect()))
+    want = [("grades", "course_id", str(i)) for i in range(9_000) if i % 7 and (i % 6000 >= 4_000 or i % 6000 % 5 == 0)] + [("grades", "user_id", str(i)) for i in range(9_000) if i % 3 == 2]
+    assert got == sorted(want)
+    plain = spark.createDataFrame([("t", k, "c", "r", str(i)) for k in (1, 2) for i in range(200_000 if k == 1 else 200)], "table_name string, key long, child string, reference string, id string")
+    assert [tuple(r) for r in schema.crowded(plain, 100_000).collect()] == [("t", 1)]
