@@ -8,7 +8,7 @@ calibrated views, which lets either veto, scores all documents.
 
 Every text is read once: its features are written to the shared folder (two bytes for each distinct word and beginning of a word, eleven numbers), and rounds and
 verdicts work on these. The driver holds the features of the labelled sample, bounded in rows and in words, and of the verdicts handed over: so many a view, class and round, each
-of 2**16 word buckets at most, however long its text is.
+of 2**16 word buckets at most, however long its text is. It holds them in two bytes each, some times over, and never a wider form of all of them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +33,8 @@ SAMPLE, SAMPLE_WORDS, ROUNDS, HANDED, CONFIDENT = 12_000, 8_000_000, 3, 50, 0.95
 #: Beginnings of words that are features too, as words are inflected; steps of a view's first fit and of later ones, which go on from it; how strongly log-odds are drawn in
 #: by their standard errors, so that words seen by chance on one side weigh little; weight of a verdict beside a label.
 BEGINNINGS, STEPS, ERRORS, VOUCHED = (4, 6), (40, 10), 4.0, 0.25
-#: Words that a Python worker remembers.
-MEMORY = 400_000
+#: Words that a Python worker remembers; features that a product is worked out for at a time.
+MEMORY, PIECE = 400_000, 1 << 18
 NUMBERS = ("log_chars", "log_lines", "line_chars", "upper", "signs", "digits", "bangs", "spaces", "repeats")
 _WORD = re.compile(r"\w+")
 _UPPER, _SIGNS, _DIGITS, _SPACES = (bytes(c for c in range(128) if test(chr(c))) for test in (str.isupper, lambda c: not c.isalnum() and not c.isspace() and c.isprintable() and c not in ".,;:'!?-\"", str.isdigit, str.isspace))
@@ -75,26 +75,53 @@ def buckets(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
 
 
 class Sparse:
-    """Rows of active features."""
+    """Rows of active features, the constant `size` in each. They are kept as they come, flat, with each row's count; what a product needs for each of them is made for some
+    rows at a time, so that it doesn't grow with them."""
 
     def __init__(self, rows: list[np.ndarray], size: int):
-        self.size, self.n = size, len(rows)
-        self.index = np.concatenate([np.r_[r, size] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)  # `size` is the constant
-        self.row = np.repeat(np.arange(self.n), [len(r) + 1 for r in rows])
+        self._set(np.concatenate(rows) if rows else np.empty(0, np.int64), np.array(list(map(len, rows)), np.int64), size)
+
+    @classmethod
+    def flat(cls, index: np.ndarray, sizes: np.ndarray, size: int) -> Sparse:
+        """From the features of all rows, one row after another, and how many each row has."""
+        made = object.__new__(cls)
+        made._set(index, sizes, size)
+        return made
+
+    def _set(self, index: np.ndarray, sizes: np.ndarray, size: int) -> None:
+        self.size, self.n, self.index, self.sizes = size, len(sizes), index, sizes
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.index], self.n)
+        made = np.empty(self.n)
+        for rows, places in pieces(self.sizes):
+            made[rows] = np.bincount(np.repeat(np.arange(rows.stop - rows.start), self.sizes[rows]), w[self.index[places]], rows.stop - rows.start)
+        return made + w[-1]
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, g[self.row], self.size + 1)
+        made = np.zeros(self.size + 1)
+        for rows, places in pieces(self.sizes):
+            np.add.at(made, self.index[places].astype(np.intp), np.repeat(g[rows], self.sizes[rows]))
+        made[-1] = np.bincount(np.zeros(self.n, np.intp), g, 1)[0]
+        return made
 
     def take(self, which: np.ndarray) -> Sparse:
-        made = object.__new__(Sparse)
-        places = np.full(self.n, -1)
-        places[which] = np.arange(len(which))
-        kept = places[self.row] >= 0
-        made.size, made.n, made.index, made.row = self.size, len(which), self.index[kept], places[self.row[kept]]
-        return made
+        return Sparse.flat(taken(self.index, self.sizes, which), self.sizes[which], self.size)
+
+
+def pieces(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Rows, of so many features each, in runs of PIECE features (but a row at least): the rows' places, and their features' places."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        start = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, start + PIECE, side="right")))
+        yield slice(lo, hi), slice(start, int(ends[hi - 1]))
+        lo = hi
+
+
+def taken(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The features of some of the rows."""
+    ends = np.cumsum(sizes)
+    return np.concatenate([np.empty(0, flat.dtype), *(flat[ends[i] - sizes[i] : ends[i]] for i in which)])
 
 
 def sigmoid(z):
@@ -180,24 +207,27 @@ class Rows:
 
     @classmethod
     def joined(cls, parts: list[Rows]) -> Rows:
-        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "meta", "flat", "sizes")))
+        return parts[0] if len(parts) == 1 else cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "meta", "flat", "sizes")))
 
     def take(self, which: np.ndarray) -> Rows:
-        texts = self.texts()
-        return Rows(self.ids[which], self.meta[which], np.concatenate([np.empty(0, "<u2"), *(texts[i] for i in which)]), self.sizes[which])
-
-    def texts(self) -> list[np.ndarray]:
-        return np.split(self.flat, np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+        return Rows(self.ids[which], self.meta[which], taken(self.flat, self.sizes, which), self.sizes[which])
 
-    def views(self, model: Model) -> list[Sparse]:
-        return [Sparse([t.astype(np.int64) for t in self.texts()], WORDS), Sparse(list(model.meta_features(self.meta[:, : len(NUMBERS)], self.meta[:, len(NUMBERS) :].astype(np.int64))), _meta_size())]
+    def view(self, model: Model, which: int) -> Sparse:
+        """The text's features, or those of the metadata."""
+        if not which:
+            return Sparse.flat(self.flat, self.sizes, WORDS)
+        features = model.meta_features(self.meta[:, : len(NUMBERS)], self.meta[:, len(NUMBERS) :].astype(np.int64))
+        return Sparse.flat(features.ravel(), np.full(len(features), features.shape[1]), _meta_size())
 
     def scores(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """What each view's weights add up to."""
-        ends = np.cumsum(self.sizes)
-        sums = np.r_[0.0, model.text[self.flat]]
-        text = np.add.reduceat(np.r_[sums, 0.0], np.stack([ends - self.sizes + 1, ends + 1], 1).ravel())[::2] if len(ends) else np.empty(0)
-        text = np.where(self.sizes > 0, text, 0.0) + model.text[-1]
+        text = np.empty(len(self.sizes))
+        for rows, places in pieces(self.sizes):
+            sizes = self.sizes[rows]
+            ends = np.cumsum(sizes)
+            sums = np.add.reduceat(np.r_[0.0, model.text[self.flat[places]], 0.0], np.stack([ends - sizes + 1, ends + 1], 1).ravel())[::2]
+            text[rows] = np.where(sizes > 0, sums, 0.0)
+        text += model.text[-1]
         features = model.meta_features(self.meta[:, : len(NUMBERS)], self.meta[:, len(NUMBERS) :].astype(np.int64))
         return text, model.meta[features].sum(1) + model.meta[-1]
 
@@ -239,7 +269,7 @@ def learn(rows: Rows, y: np.ndarray, held: np.ndarray, exchange: Callable[[Model
     for step in range(rounds + 1):
         weights = []
         for view, rare in ((0, 3), (1, 1)):
-            x = Rows.joined([p for p, _, _ in parts[view]]).views(model)[view]
+            x = Rows.joined([p for p, _, _ in parts[view]]).view(model, view)
             target = np.concatenate([t for _, t, _ in parts[view]])
             weight = np.concatenate([np.full(len(t), w) for _, t, w in parts[view]])
             w, scaled[view] = fit(x, target, weight, rare, scaled[view])

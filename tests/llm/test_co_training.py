@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import types as T
 
@@ -48,6 +50,38 @@ def test_views_teach_each_other():
     assert taught > alone + 0.02 and taught > 0.9
 
 
+def test_learning_holds_no_wide_form_of_all_features():
+    """The driver learns from millions of words in a few bytes for each of them."""
+    rng = np.random.default_rng(3)
+    n, each = 4_000, 1_000
+    flat = np.sort(rng.integers(0, ct.WORDS, (n, each)), 1).astype("<u2").ravel()
+    rows = Rows(np.arange(n), np.concatenate([rng.random((n, len(NUMBERS))), np.zeros((n, 2))], 1), flat, np.full(n, each))
+    tracemalloc.start()
+    try:
+        learn(rows, rng.integers(0, 2, n), np.arange(n) % 4 == 0, lambda model, told: [], 0)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 8 * len(flat)
+
+
+def test_features_in_pieces(monkeypatch):
+    """Pieces of any size give the same sums and scores, empty rows and rows larger than a piece among them."""
+    rng = np.random.default_rng(4)
+    sizes = np.array([0, 3, 0, 0, 25, 1, 7, 0, 12, 0])
+    rows = Rows(np.arange(10), np.concatenate([rng.random((10, len(NUMBERS))), np.zeros((10, 2))], 1), rng.integers(0, ct.WORDS, sizes.sum()).astype("<u2"), sizes)
+    model = ct.Model(np.sort(rng.random((len(NUMBERS), ct.BINS))), rng.random(ct.WORDS + 1), rng.random(ct._meta_size() + 1), [], np.empty(0))
+    w, g = rng.random(ct.WORDS + 1), rng.random(10)
+    texts = np.split(rows.flat, np.cumsum(sizes)[:-1])
+    for piece in (1, 2, 8, 1 << 18):
+        monkeypatch.setattr(ct, "PIECE", piece)
+        x = rows.view(model, 0)
+        assert np.allclose(x.dot(w), [w[t].sum() + w[-1] for t in texts])
+        assert np.allclose(x.back(g), np.bincount(np.concatenate([*texts, np.full(10, ct.WORDS)]).astype(int), np.r_[np.repeat(g, sizes), g], ct.WORDS + 1))
+        assert np.allclose(rows.scores(model)[0], [model.text[t].sum() + model.text[-1] for t in texts])
+        assert np.allclose(rows.scores(model)[1], rows.view(model, 1).dot(model.meta))
+
+
 def test_surest_of_parts_is_surest_of_all():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 60, 400)
