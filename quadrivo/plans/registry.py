@@ -76,7 +76,7 @@ query("upcoming_assignments", f"SELECT {_ASSIGNMENT} WHERE a.duedate <> 0 AND a.
 query("calendar_range", f"SELECT * FROM $calendar WHERE timestart >= {TASK_NOW} AND timestart <= {TASK_NOW + 3 * 86400}")(lambda t: read_model.calendar(t["calendar"], TASK_NOW, TASK_NOW + 3 * 86400))
 query("course_calendar_range", f"SELECT * FROM $calendar WHERE course_id = 5 AND timestart BETWEEN {TASK_NOW - 9 * 86400} AND {TASK_NOW + 9 * 86400}")(lambda t: read_model.calendar(t["calendar"], TASK_NOW - 9 * 86400, TASK_NOW + 9 * 86400, 5))
 query("grades_all", "SELECT * FROM $grades")(lambda t: t["grades"])
-query("grades_by_course", "SELECT * FROM $grades WHERE course_id = 10")(lambda t: read_model.of_course(t["grades"], 10))
+query("grades_by_course", "SELECT * FROM $grades WHERE course_id = 10")(lambda t: read_model.of_course(t.grades_of(10), 10))
 query("course_materials", f"{_MATERIAL} WHERE r.course_id = 4")(lambda t: read_model.materials(t["resources"], t["versions"], t["extractions"], 4))
 query("materials_all", _MATERIAL)(lambda t: read_model.materials(t["resources"], t["versions"], t["extractions"]))
 query("material_by_id", f"{_MATERIAL} WHERE r.id = 19")(lambda t: read_model.materials(t["resources"], t["versions"], t["extractions"], resource=19))

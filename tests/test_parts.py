@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quadrivo.operators import orders, reminders, state
-from quadrivo.plans import registry
+from quadrivo.plans import lens, registry
 from quadrivo.plans.lens import Lens
 from quadrivo.sources import parts, schema
 
@@ -64,6 +64,29 @@ def test_grades_are_joined_and_numbered_in_parts(spark, small):
     assert sorted(r.id for r in one.collect()) == sorted(r[0] for r in want.filter("course_id = 10").select("id").fetchall())
 
 
+def test_grades_of_a_course_are_made_of_its_orders_lines(spark, tmp_path, monkeypatch):
+    """No other line is shuffled or sorted; where keys of orders repeat, within the course or with another one, rows are numbered as in the whole table."""
+    sf = "/root/testdata/sf0.001"
+    orders, lines = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("orders", "lineitem"))
+    kind, keys = orders.schema["o_custkey"].dataType, [r.o_orderkey for r in orders.filter("o_custkey = 10").orderBy("o_orderkey").collect()]
+    again = orders.filter(F.col("o_orderkey").isin(keys[:2])).withColumn("o_custkey", F.when(F.col("o_orderkey") == keys[0], 10).otherwise(11).cast(kind))
+    orders.unionByName(again).write.parquet(f"{tmp_path}/orders.parquet")
+    lines.unionByName(lines.filter("l_linenumber = 1")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Lens(spark, str(tmp_path))
+    got = t.grades_of(10)
+    table = duckdb.sql(registry.ORACLE_SQL["grades_all"].replace("FROM lineitem JOIN orders", f"FROM '{tmp_path}/lineitem.parquet/*.parquet' JOIN '{tmp_path}/orders.parquet/*.parquet'")).fetchall
+    want = [r[0] for r in table() if r[0] // 512 in keys]
+    assert len(want) > len(keys) and sorted(r.id for r in got.collect()) == sorted(want)
+    # Of a key with orders of two courses it is open which of them has which number; all else is told.
+    row = lambda r: str((r[0] // 512 if r[0] // 512 == keys[1] else r[0], *r[1:3]))
+    asked = sorted(row(r) for r in table() if r[1] == 10)
+    assert sorted(row(r) for r in registry.QUERIES["grades_by_course"](spark, str(tmp_path)).collect()) == asked
+    plan = registry.QUERIES["grades_by_course"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2 and "RepartitionByExpression" not in plan
+    monkeypatch.setattr(lens, "FEW", 1)
+    assert sorted(row(r) for r in registry.QUERIES["grades_by_course"](spark, str(tmp_path)).collect()) == asked
+
+
 def test_orders_are_sorted_in_parts(spark, small):
     """As many ranges as the rows need, whatever the shuffle partitions are (4 here), and each row's neighbour as before."""
     rows = spark.range(20_000, numPartitions=3).selectExpr("id", "if(id % 11 = 0, null, hash(id) % 50) AS a")
