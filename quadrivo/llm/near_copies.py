@@ -1,6 +1,6 @@
 """Near copies of texts: links of Jaccard similarity LEAST / OF or more over sets of word shingles, every one found and none else.
 
-Shingles are compared by their XXH64. Texts with equal sets are one point. Links are sought in three steps, each of which leaves less to the next:
+Shingles are compared by their XXH64. Texts with equal sets are one point. Links are sought in four steps, each of which leaves less to the next:
 
 1. SimHash: the sets' fingerprints go through the vantage-point trees of simhash; its links, and equal fingerprints, are compared whole.
 2. Pivots: two sets that are alike enough share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever the order of all shingles
@@ -9,8 +9,9 @@ Shingles are compared by their XXH64. Texts with equal sets are one point. Links
 3. Rarest first: where groups are still crowded, by points that share a passage and are not alike, all points of such groups are filtered by prefixes again, now in
    the order of exact document frequencies among them, so that a shared passage comes last in each; and each has an odd sketch, in which the bits that two
    sets don't share are no more than the shingles that they don't share, so that most pairs that can't be alike are never made.
-4. The rest: points of a group that are not connected yet are paired; how many shingles they share there bounds what they can share
-   at all, and those within the bound are compared whole. So no link between points that are not connected otherwise is lost.
+4. The rest: points of a group that are not connected yet are paired at the first shingle that they share, not once for each: where both have a shared one among the few
+   before, they have met already. What comes before the first is in one set only, which bounds what they can share at all; pairs within the bound are held against odd sketches
+   as long as the sets, and those that are left are compared whole. So no link between points that are not connected otherwise is lost.
 
 In steps 2 and 4 shingles that are frequent in a sample come last in the order; the sample bears on the work only.
 """
@@ -22,7 +23,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ SAMPLE, FREQUENT, MOST = 10_000, 4, 200_000
 CROWDED, ROUNDS = 32, 3
 #: Pairs of a group up to which they are made without looking at sketches, and a sketch's 64-bit words.
 HEAVY, WORDS = 256, 8
+#: Shingles of a point that are looked at for an earlier meeting.
+BEFORE = 4
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -78,12 +81,25 @@ def _frequent(df: DataFrame, text: str) -> np.ndarray:
     return np.sort(np.array([r.s for r in found.orderBy(F.desc("n"), "s").limit(MOST).collect()], np.int64).view(np.uint64))
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit words: each shingle turns one bit over. Two sets' sketches differ in as many bits at most as shingles are in one set only."""
-    odd = np.bincount((s >> np.uint64(64 - 6) << np.uint64(3) | s & np.uint64(7)).astype(np.int64), minlength=64 * WORDS) & 1
+def odd_sketch(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64-bit words, a power of two of them: each shingle turns one bit over. Two sets' sketches differ in as many bits at most as shingles are in one set only."""
+    odd = np.bincount((s >> np.uint64(64 - 6) << np.uint64(words.bit_length() - 1) | s & np.uint64(words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """An odd sketch of WORDS words or more, and of two bits for a shingle or more."""
+    return odd_sketch(s, max(WORDS, 1 << (-(-len(s) // 32) - 1).bit_length())).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two wide sketches differ, the longer one folded to the other's length."""
+    a, b = (np.frombuffer(z, np.uint8).reshape(64, -1) for z in (x, y))
+    width = min(a.shape[1], b.shape[1])
+    a, b = (np.bitwise_xor.reduce(z.reshape(64, -1, width), axis=1) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _near_sketches(x: str, y: str, n: str, m: str) -> str:
     """Whether sets with these sketches and sizes can be alike: those in one only are (OF - LEAST) / (OF + LEAST) of all at most."""
     apart = " + ".join(f"bit_count({x}{i} ^ {y}{i})" for i in range(WORDS))
@@ -96,38 +112,39 @@ def _first(n: int) -> int:
 
 
 def _sets(df: DataFrame, text: str, key: str, frequent: np.ndarray) -> DataFrame:
-    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found), sketch."""
-    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
+    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found), sketch, wide (a wide sketch)."""
+    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("sketch", "wide"))])
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                ids, sizes, fps, prefixes, sketches = [], [], [], [], []
+                ids, sizes, fps, prefixes, sketches, wides = [], [], [], [], [], []
                 for t in b.column(1).to_pylist():
                     s = shingles(t)
                     ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     sizes.append(len(s))
                     fps.append(bits_of(s))
                     sketches.append(odd_sketch(s).byteswap().tobytes())
+                    wides.append(wide_sketch(s))
                     if len(frequent):
                         late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         s = np.r_[s[~late], s[late]]
                     prefixes.append(s[: _first(len(s))].view(np.int64).tolist())
-                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes, sketches], schema)
+                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes, sketches, wides], schema)
 
     return arrow_map(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _rarest_first(texts: DataFrame, points: DataFrame) -> DataFrame:
-    """p with the points' columns (id, n, root, ...): the points by the shingles of their prefixes, in the order of how many of these points have a shingle; of shingles that two of them share at least."""
+    """p and pos (its place in the prefix) with the points' columns (id, n, root, ...): the points by the shingles of their prefixes, in the order of how many of these points have a shingle; of shingles that two of them share at least."""
     held = written(_exploded(texts.join(points.select("id"), "id", "left_semi")), "shingles")
     often = held.groupBy("s").agg(F.count("*").alias("m"))
     rows = held.join(often, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("all"))  # a text's shingles, so as many as a row may hold
     size = F.size("all")
     prefix = F.slice("all", F.lit(1), (size - F.ceil(size * LEAST / OF) + 1).cast("int"))
-    some = rows.select("id", F.explode(F.filter(prefix, lambda x: x["m"] > 1)).alias("x")).select("id", F.col("x.s").alias("p"))
-    return some.join(points, "id").select("p", *points.columns)
+    some = rows.select("id", F.posexplode(prefix).alias("pos", "x")).filter("x.m > 1").select("id", F.col("x.s").alias("p"), "pos")
+    return some.join(points, "id").select("p", "pos", *points.columns)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -151,6 +168,20 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(whole.select("a", "b", "s", "t"), run, schema)
 
 
+def _within(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be alike by their wide sketches: of both sets' shingles (OF - LEAST) / (OF + LEAST) at most are in one only."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            a, b, both, x, y = (batch.column(i).to_pylist() for i in range(5))
+            kept = [i for i in range(len(a)) if (OF + LEAST) * apart(x[i], y[i]) <= (OF - LEAST) * both[i]]
+            yield batch_of([[a[i] for i in kept], [b[i] for i in kept]], schema)
+
+    of = lambda c, n, w: points.select(F.col("id").alias(c), F.col("n").alias(n), F.col("wide").alias(w))
+    return arrow_map(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", (F.col("n") + F.col("m")).alias("both"), "x", "y"), run, schema)
+
+
 def _fit(n: str, m: str) -> str:
     """Whether sets of these sizes can be alike."""
     return f"{OF} * least({n}, {m}) >= {LEAST} * greatest({n}, {m})"
@@ -173,14 +204,20 @@ def _hooked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(named.join(goes, "ra").select(F.col("a").alias("node"), F.least("ra", "to").alias("root")), "labels")
 
 
+def _preceded(rest: DataFrame) -> DataFrame:
+    """rest with before: the BEFORE shingles by which a point is there that come before p in its prefix."""
+    return rest.withColumn("before", F.collect_list("p").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-BEFORE, -1)))
+
+
 def _met(rest: DataFrame, sketch: Sequence[str] = ()) -> DataFrame:
-    """a, b, both, larger: pairs of points (p, id, n, root, main, and the words of a sketch) that are in a group and not connected, once for each shingle p. Of the main part's points
-    none are paired with each other; other points that meet from both sides count on one."""
-    a = rest.filter("root <> main").select("p", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), *(F.col(c).alias(f"x_{c}") for c in sketch))
-    b = rest.select("p", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), "main", *(F.col(c).alias(f"y_{c}") for c in sketch))
-    fit = f"rx <> ry AND (ry = main OR x < y) AND {_fit('nx', 'ny')}" + (f" AND {_near_sketches('x_k', 'y_k', 'nx', 'ny')}" if sketch else "")
-    same_p = a.alias("l").join(b.alias("r"), (F.col("l.p") == F.col("r.p")) & F.expr(fit))
-    return same_p.select(*_ordered(F.col("x"), F.col("y")), (F.col("nx") + F.col("ny")).alias("both"), F.greatest("nx", "ny").alias("larger"))
+    """a, b: pairs of points (p, pos, before, id, n, root, main, and the words of a sketch) that are in a group and not connected, where p may be the first shingle that they share: neither has one
+    of those before it in common, and what is left of each set from there suffices. Of the main part's points none are paired with each other; other points that meet from both sides count on one."""
+    side = lambda df, x, *more: df.select("p", *(F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "pos", "root", "before", *sketch)), *more)
+    a, b = side(rest.filter("root <> main"), "x"), side(rest, "y", "main")
+    fit = f"x_root <> y_root AND (y_root = main OR x_id < y_id) AND {_fit('x_n', 'y_n')}"
+    fit += f" AND {OF + LEAST} * least(x_n - x_pos, y_n - y_pos) >= {LEAST} * (x_n + y_n)" + (f" AND {_near_sketches('x_k', 'y_k', 'x_n', 'y_n')}" if sketch else "")
+    same_p = a.alias("l").join(b.alias("r"), (F.col("l.p") == F.col("r.p")) & F.expr(f"{fit} AND NOT arrays_overlap(x_before, y_before)"))
+    return same_p.select(*_ordered(F.col("x_id"), F.col("y_id")))
 
 
 def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -192,9 +229,9 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     spark = df.sparkSession
     made = written(_sets(df, text, key, _frequent(df, text)), "sets")
     # A row for each set, which is told by its number from then on, so that no key is needed, be it null or repeated.
-    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "points")
+    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "points")
     # Only shingles that two points share can link any.
-    every = points.select("id", "n", F.explode("prefix").alias("p"))
+    every = points.select("id", "n", F.posexplode("prefix").alias("pos", "p"))
     common = every.groupBy("p").agg(F.count("*").alias("m")).filter("m > 1").select("p")
     group_path = new_path(spark, "groups-of-shingles")
     groups = written(every.join(common, "p"), "", group_path)
@@ -212,7 +249,7 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     labels = _hooked(_hooked(None, linked[0]), linked[0])
     before = float("inf")
     for step in range(ROUNDS + 1):
-        at = written(groups.join(labels, groups.id == labels.node, "left").select("p", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+        at = written(groups.join(labels, groups.id == labels.node, "left").select("p", "pos", "id", "n", F.coalesce("root", "id").alias("root")), "", at_path := new_path(spark, "placed"))
         # The points of a group that are connected with most of it need no comparison among themselves.
         parts = at.groupBy("p", "root").agg(F.count("*").alias("m"))
         main = written(parts.groupBy("p").agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("top")).select("p", "m", F.col("top.root").alias("main"), (F.col("m") - F.col("top.m")).alias("others")).filter("others > 0"), "main")
@@ -226,6 +263,7 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         pairs = written(here.join(pivot, "p").filter(f"root <> rv AND {_fit('n', 'nv')}").select(*_ordered(F.col("id"), F.col("v"))).distinct(), "pivots")
         linked.append(written(_verified(pairs, texts), "links"))
         labels = _hooked(_hooked(labels, linked[-1]), linked[-1])  # the pivot goes over to the least label around it, then the others follow
+        drop_path(spark, at_path)
     rest, met, words = at.join(main.select("p", "main"), "p"), None, [f"k{i}" for i in range(WORDS)]
     sketched = points.select("id", *(F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(w) for i, w in enumerate(words)))
     if size.pairs > CROWDED * size.points:
@@ -234,14 +272,15 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
         again = written(_rarest_first(texts, points_there), "rarest")
         parts = again.groupBy("p", "root").agg(F.count("*").alias("m"))
         tops = parts.groupBy("p").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("top")).filter("roots > 1").select("p", F.col("top.root").alias("main"))
-        rest, met = rest.join(crowded, "p", "left_anti"), _met(again.join(tops, "p"), words)
-    # Groups of few pairs need no sketch; the others' pairs, which grow with the square of a group's size, are held against theirs before they are made.
+        rest, met = rest.join(crowded, "p", "left_anti"), _met(_preceded(again.join(tops, "p")), words)
+    # What two points share in a crowded group counts as met, as such points are found by their new prefixes. Groups of few pairs need no sketch; the others' pairs,
+    # which grow with the square of a group's size, are held against theirs before they are made.
+    rest = written(_preceded(rest), "rest")
+    drop_path(spark, at_path)
     heavy = main.filter(f"m * others > {HEAVY}").select("p")
     for part in (_met(rest.join(heavy, "p", "left_anti")), _met(rest.join(heavy, "p").join(sketched, "id"), words)):
         met = part if met is None else met.union(part)
-    met = met.groupBy("a", "b", "both", "larger").agg(F.count("*").alias("shared"))
-    # Beyond its prefix a set has ceil(0.8 n) - 1 shingles, which are all that the pair can share besides. Where groups were made anew, a shingle may have been met twice, which lets a pair through that need not be compared.
-    pairs = written(met.filter(f"{LEAST + OF} * (shared + ceil({LEAST} * larger / {OF}) - 1) >= {LEAST} * both").select("a", "b"), "pairs")
+    pairs = written(_within(met.distinct(), points), "pairs")
     # What the labels connect already is one node.
     named = lambda c, to: labels.select(F.col("node").alias(c), F.col("root").alias(to))
     every_link = reduce(DataFrame.union, [*linked, _verified(pairs, texts)])

@@ -133,3 +133,44 @@ def test_sketches_differ_by_no_more_than_the_sets():
             different = len(np.setxor1d(a, b))
             assert len(odd_sketch(a)) == WORDS and apart <= different and (different - apart) % 2 == 0
             assert not 0 < different < 20 or apart > 0
+
+
+def test_pairs_are_made_once_not_for_each_shingle(spark, monkeypatch):
+    """Texts that share most of their shingles and are not connected: their pairs are made about once, and those that are alike besides are found."""
+    from pyspark.sql import functions as F
+
+    from quadrivo.llm import near_copies as nc
+
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(30):
+        words = [f"n{i}x{j}" if (j + 2 * i) % 50 == 0 else w for j, w in enumerate(base)]
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:
+            words[rng.randrange(len(words))] = "changed"
+            rows.append((2 * i + 1, " ".join(words)))
+    made, plain = [], nc._met
+    monkeypatch.setattr(nc, "_met", lambda *given: made.append(plain(*given).agg(F.count("*"), F.countDistinct("a", "b")).first()) or plain(*given))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for heavy in (0, 1 << 30):  # with sketches and without
+        monkeypatch.setattr(nc, "HEAVY", heavy)
+        made.clear()
+        assert sorted(map(tuple, nc.near_copies(df).collect()), key=str) == groups_of(rows)
+        print(made)
+        assert sum(n for n, _ in made) <= 1.5 * sum(pairs for _, pairs in made) and (not heavy or sum(pairs for _, pairs in made) > 100)
+
+
+def test_wide_sketches_of_any_two_lengths():
+    import numpy as np
+
+    from quadrivo.llm.near_copies import apart, wide_sketch
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (1, 200, 257, 600, 5000)]
+    sets += [np.unique(np.r_[s[len(s) // 10 :], rng.integers(0, 1 << 64, len(s) // 8, np.uint64)]) for s in sets]
+    for a in sets:
+        assert 8 * len(wide_sketch(a)) >= 2 * len(a) and apart(wide_sketch(a), wide_sketch(a)) == 0
+        for b in sets:
+            n, different = apart(wide_sketch(a), wide_sketch(b)), len(np.setxor1d(a, b))
+            assert n <= different and (n - different) % 2 == 0 and n == apart(wide_sketch(b), wide_sketch(a))
+    assert 9 * apart(wide_sketch(sets[4]), wide_sketch(np.unique(rng.integers(0, 1 << 64, 5000, np.uint64)))) > 10_000  # a short sketch can't tell these
