@@ -37,7 +37,7 @@ SAMPLE, FREQUENT, MOST = 10_000, 4, 200_000
 #: Unconnected points of a group beyond which its points are compared with a pivot first, and the most rounds of that (each has to halve the pairs that are left in such groups).
 CROWDED, ROUNDS = 32, 3
 #: Pairs of a group up to which they are made without looking at sketches, and a sketch's 64-bit words.
-HEAVY, WORDS = 256, 8
+HEAVY, WORDS = 256, 16
 #: Shingles of a point that are looked at for an earlier meeting.
 BEFORE = 4
 
@@ -112,26 +112,25 @@ def _first(n: int) -> int:
 
 
 def _sets(df: DataFrame, text: str, key: str, frequent: np.ndarray) -> DataFrame:
-    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found), sketch, wide (a wide sketch)."""
-    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("sketch", "wide"))])
+    """key, text, id (a hash of the set), n (its size), fp (its fingerprint), prefix (the shingles by which it is found), sketch."""
+    schema = T.StructType([T.StructField("key", column_type(df, key)), T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("id", "n", "fp")), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
 
     def run(batches):
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                ids, sizes, fps, prefixes, sketches, wides = [], [], [], [], [], []
+                ids, sizes, fps, prefixes, sketches = [], [], [], [], []
                 for t in b.column(1).to_pylist():
                     s = shingles(t)
                     ids.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                     sizes.append(len(s))
                     fps.append(bits_of(s))
                     sketches.append(odd_sketch(s).byteswap().tobytes())
-                    wides.append(wide_sketch(s))
                     if len(frequent):
                         late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
                         s = np.r_[s[~late], s[late]]
                     prefixes.append(s[: _first(len(s))].view(np.int64).tolist())
-                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes, sketches, wides], schema)
+                yield batch_of([b.column(0), b.column(1), np.array(ids, np.uint64).view(np.int64), sizes, np.array(fps, np.uint64).view(np.int64), prefixes, sketches], schema)
 
     return arrow_map(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), run, schema).withColumn("row", F.monotonically_increasing_id())
 
@@ -168,17 +167,24 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(whole.select("a", "b", "s", "t"), run, schema)
 
 
-def _within(pairs: DataFrame, points: DataFrame) -> DataFrame:
+def _within(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that can be alike by their wide sketches: of both sets' shingles (OF - LEAST) / (OF + LEAST) at most are in one only."""
+    ends = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("wide", T.BinaryType())])
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
+    def sketches(batches):
+        for batch in batches:
+            found = [(len(s), wide_sketch(s)) for s in map(shingles, batch.column(1).to_pylist())]
+            yield batch_of([batch.column(0), [n for n, _ in found], [w for _, w in found]], ends)
+
     def run(batches):
         for batch in batches:
             a, b, both, x, y = (batch.column(i).to_pylist() for i in range(5))
             kept = [i for i in range(len(a)) if (OF + LEAST) * apart(x[i], y[i]) <= (OF - LEAST) * both[i]]
             yield batch_of([[a[i] for i in kept], [b[i] for i in kept]], schema)
 
-    of = lambda c, n, w: points.select(F.col("id").alias(c), F.col("n").alias(n), F.col("wide").alias(w))
+    made = written(arrow_map(texts.select("id", "text"), sketches, ends), "wide")
+    of = lambda c, n, w: made.select(F.col("id").alias(c), F.col("n").alias(n), F.col("wide").alias(w))
     return arrow_map(pairs.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").select("a", "b", (F.col("n") + F.col("m")).alias("both"), "x", "y"), run, schema)
 
 
@@ -227,9 +233,10 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     unless all of its group are null; an empty table gives none; other columns are not read.
     """
     spark = df.sparkSession
-    made = written(_sets(df, text, key, _frequent(df, text)), "sets")
+    sets_path = new_path(spark, "sets")
+    made = written(_sets(df, text, key, _frequent(df, text)), "", sets_path)
     # A row for each set, which is told by its number from then on, so that no key is needed, be it null or repeated.
-    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "points")
+    points = written(made.groupBy("id").agg(F.min("key").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "", points_path := new_path(spark, "points"))
     # Only shingles that two points share can link any.
     every = points.select("id", "n", F.posexplode("prefix").alias("pos", "p"))
     common = every.groupBy("p").agg(F.count("*").alias("m")).filter("m > 1").select("p")
@@ -245,6 +252,10 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     ends = found.select(F.explode(F.array("a", "b")).alias("id")).union(groups.select("id")).distinct()
     text_path = new_path(spark, "texts")
     texts = written(made.select("row", "text").join(points.select("id", "row").join(ends, "id"), "row").select("id", "text"), "", text_path)
+    # Texts and prefixes lie in these tables only from here on.
+    made, points = written(made.select("key", "id"), "keys"), written(points.select("id", "least", "n", "sketch"), "points")
+    for path in (sets_path, points_path):
+        drop_path(spark, path)
     linked = [written(_verified(found, texts), "links")]
     labels = _hooked(_hooked(None, linked[0]), linked[0])
     before = float("inf")
@@ -276,18 +287,18 @@ def near_copies(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     # What two points share in a crowded group counts as met, as such points are found by their new prefixes. Groups of few pairs need no sketch; the others' pairs,
     # which grow with the square of a group's size, are held against theirs before they are made.
     rest = written(_preceded(rest), "rest")
-    drop_path(spark, at_path)
+    for path in (at_path, group_path):
+        drop_path(spark, path)
     heavy = main.filter(f"m * others > {HEAVY}").select("p")
     for part in (_met(rest.join(heavy, "p", "left_anti")), _met(rest.join(heavy, "p").join(sketched, "id"), words)):
         met = part if met is None else met.union(part)
-    pairs = written(_within(met.distinct(), points), "pairs")
+    pairs = written(_within(met.distinct(), texts), "pairs")
     # What the labels connect already is one node.
     named = lambda c, to: labels.select(F.col("node").alias(c), F.col("root").alias(to))
     every_link = reduce(DataFrame.union, [*linked, _verified(pairs, texts)])
     between = every_link.join(named("a", "ra"), "a", "left").join(named("b", "rb"), "b", "left").select(*_ordered(F.coalesce("ra", "a"), F.coalesce("rb", "b"))).filter("a <> b").distinct()
     roots = components(written(between, "links"))
-    for path in (group_path, text_path):
-        drop_path(spark, path)
+    drop_path(spark, text_path)
     placed = points.select("id", "least").join(labels, points.id == labels.node, "left").select("id", "least", F.coalesce("root", "id").alias("label"))
     placed = written(placed.join(roots, placed.label == roots.node, "left").select("id", "least", F.coalesce("root", "label").alias("root")), "groups")
     tops = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
